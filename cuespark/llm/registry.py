@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from cuespark.dist import ship
 
+from .bpe import op3_bpe
 from .exact_dedup import SQL as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
 from .html_extraction import op9_html_extraction
 from .license_scan import op5_license_scan
 from .license_scan import sql as license_sql
+from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .sharding import op1_sharding
+from .token_files import op6_token_files
 
-OPERATORS = [op1_sharding, op4_exact_dedup, op5_license_scan, op9_html_extraction, op10_quality_rules]
+OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op9_html_extraction, op10_quality_rules]
 
 
 def _shipped(query):
