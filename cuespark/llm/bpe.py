@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import Encoder, byte_characters, in_batches, tokenizer_path
+from .tokens import byte_characters, in_batches, shared_encoder, tokenizer_path
 
 LONG = 200
 _NONE = 1 << 60
@@ -106,7 +106,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches):
-        encoder = Encoder(path, RankArrayWords)
+        encoder = shared_encoder(path, RankArrayWords)
         decoder = Decoder(encoder.tokenizer)
         for batch in batches:
             texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id").cast(pa.int64())
@@ -122,7 +122,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches):
-        encoder = Encoder(path, RankArrayWords)
+        encoder = shared_encoder(path, RankArrayWords)
         decoder = Decoder(encoder.tokenizer)
         for batch in batches:
             texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id").cast(pa.int64())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import END, Encoder, in_batches, tokenizer_path
+from .tokens import END, in_batches, shared_encoder, tokenizer_path
 from .workspace import Workspace
 
 CAPACITY = 4096
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id").cast(pa.int64()).to_pylist()
             for a, b in in_batches(texts):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import END, Encoder, in_batches, tokenizer_path
+from .tokens import END, in_batches, shared_encoder, tokenizer_path
 from .workspace import Workspace
 
 MAGIC, VERSION = b"RANS", 1
@@ -187,7 +187,7 @@ def write(docs: DataFrame, work: Workspace, path: str | None = None, segment: in
     path = path or tokenizer_path()
 
     def run(batches):
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(path), TaskContext.get().partitionId()
         names, found, held, number = [], [], 0, 0
 
         def flush():

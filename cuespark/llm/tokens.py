@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: Cached pieces of a worker, about; beyond that the cache starts anew.
-CACHED = 600_000
+CACHED = 300_000
 END = 1
 
 _RANGE = [chr(i) for i in range(0x250)]
@@ -114,6 +114,17 @@ class Encoder:
         return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut)]
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def shared_encoder(path: str, words=LibraryWords) -> Encoder:
+    """The encoder of this Python worker: its tokenizer and what it has met serve all tasks."""
+    if (path, words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, words] = Encoder(path, words)
+    return _ENCODERS[path, words]
+
+
 def splitter(tokenizer):
     """The tokenizer's first splitter, whose spans are those of words in the normalised text."""
     return tokenizer.pre_tokenizer[0] if hasattr(tokenizer.pre_tokenizer, "__getitem__") else tokenizer.pre_tokenizer
