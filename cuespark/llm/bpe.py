@@ -82,9 +82,8 @@ class RankArrayWords:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p]
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        ids = self.ids
-        return [b"".join(ids[p].to_bytes(2, "little") for p in self.parts(w)) for w in words]
+    def __call__(self, word: str) -> bytes:
+        return b"".join([self.ids[p].to_bytes(2, "little") for p in self.parts(word)])
 
 
 class Decoder:

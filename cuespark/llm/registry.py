@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from cuespark.dist import ship
-
 from .bpe import op3_bpe
 from .exact_dedup import SQL as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
@@ -14,13 +12,14 @@ from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .sharding import op1_sharding
 from .token_files import op6_token_files
+from .workspace import prepare
 
 OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op9_html_extraction, op10_quality_rules]
 
 
 def _shipped(query):
     def run(spark, sf_dir):
-        ship(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     run.__name__, run.__doc__ = query.__name__, query.__doc__

@@ -39,12 +39,12 @@ from .tokens import END, in_batches, shared_encoder, tokenizer_path
 from .workspace import Workspace
 
 MAGIC, VERSION = b"RANS", 1
-LANES = 1024
+LANES = 2048
 PRECISION = 20
 #: Steps of all lanes between checkpoints; ids of a block; ids of a file, about.
-CHECKPOINT = 64
+CHECKPOINT = 128
 BLOCK = 256 * LANES
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHIIIIII")
 
@@ -193,7 +193,7 @@ def write(docs: DataFrame, work: Workspace, path: str | None = None, segment: in
         def flush():
             nonlocal names, found, held, number
             lengths = np.array([len(x) // 2 for x in found], np.int64)
-            ids = np.frombuffer(b"".join(found), "<u2").astype(np.int64)
+            ids = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([write_file(names, lengths, ids)], pa.binary())})
             names, found, held, number = [], [], 0, number + 1
             return row

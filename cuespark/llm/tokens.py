@@ -1,8 +1,8 @@
 """Token ids of texts, as the tokenizers library gives them, through caches.
 
 A text is cut at white space; a piece that has been met before costs one look-up of
-the bytes of its ids.  New pieces are cut into words by the tokenizer's own rule and
-new words are encoded together: by the library, or by another encoder of words.
+the bytes of its ids.  New pieces are cut into words by the tokenizer's own rule, and
+words are encoded by the library's model, or by another encoder of words.
 Texts with characters outside Latin script and common punctuation, or with special
 tokens, take the library's own normaliser and splitter, so ids are the same for any
 text.
@@ -13,12 +13,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from itertools import chain
-
-import numpy as np
 
 #: Cached pieces of a worker, about; beyond that the cache starts anew.
-CACHED = 300_000
+CACHED = 250_000
 END = 1
 
 _RANGE = [chr(i) for i in range(0x250)]
@@ -47,21 +44,33 @@ def byte_characters() -> list[str]:
 
 
 class LibraryWords:
-    """Encodes words with the library's model."""
+    """Encodes a word with the library's model."""
 
     def __init__(self, tokenizer):
         self.model = tokenizer.model
         self.characters = byte_characters()
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        tokenize, shown = self.model.tokenize, self.characters
-        return [b"".join([t.id.to_bytes(2, "little") for t in tokenize(w if w.isascii() and w.isprintable() else "".join([shown[b] for b in w.encode()]))]) for w in words]
+    def __call__(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isprintable() else "".join([self.characters[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(shown)])
+
+
+class Pieces(dict):
+    """Ids of pieces, worked out when first asked for."""
+
+    def __init__(self, encode_word: Callable[[str], bytes]):
+        self.encode_word = encode_word
+
+    def __missing__(self, piece: str) -> bytes:
+        found = b"".join([self.encode_word(w) for w in _WORD.findall(piece)])
+        self[piece] = found
+        return found
 
 
 class Encoder:
     """encode(texts): for each text the bytes of its ids, little-endian, two bytes an id."""
 
-    def __init__(self, path: str, words: Callable[[object], Callable[[list[str]], list[bytes]]] = LibraryWords):
+    def __init__(self, path: str, words: Callable[[object], Callable[[str], bytes]] = LibraryWords):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,18 +78,10 @@ class Encoder:
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than two bytes")
-        self.encode_words = words(self.tokenizer)
+        self.encode_word = words(self.tokenizer)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Adds the ids of pieces that are not cached."""
-        cut = {p: _WORD.findall(p) for p in pieces}
-        known = self.pieces
-        if new := [w for w in set(chain.from_iterable(cut.values())) if w not in known]:
-            known.update(zip(new, self.encode_words(new)))
-        known.update((p, b"".join(map(known.__getitem__, w))) for p, w in cut.items() if p not in known)
+        self.pieces = Pieces(self.encode_word)
 
     def _whole(self, text: str) -> bytes:
         out = []
@@ -89,29 +90,21 @@ class Encoder:
                 out.append(self.special[part].to_bytes(2, "little"))
             elif part:
                 normal = self.tokenizer.normalizer.normalize_str(part)
-                spans = (span for _, span in splitter(self.tokenizer).pre_tokenize_str(normal))
-                out += self.encode_words([normal[a:b] for a, b in spans])
+                out += [self.encode_word(normal[a:b]) for _, (a, b) in splitter(self.tokenizer).pre_tokenize_str(normal)]
         return b"".join(out)
 
-    def _cut(self, text: str) -> list[str] | None:
-        """Pieces of a text that the tokenizer cuts as str.split() does; most are words."""
-        if _OTHER.search(text):
-            return None
+    def _plain(self, text: str) -> bytes:
+        """Of a text that the tokenizer cuts as str.split() does; most pieces are words."""
         text = text.lower()
         if not _JOINED.search(text):
             for mark, apart in _SPLIT:
                 text = text.replace(mark, apart)
-        return text.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        pieces = set(chain.from_iterable(p for p in cut if p))
         if len(self.pieces) > CACHED:
             self.pieces.clear()
-        if new := pieces.difference(self.pieces):
-            self._learn(new)
-        get = self.pieces.__getitem__
-        return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut)]
+        return b"".join(map(self.pieces.__getitem__, text.split()))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self._whole(t) if _OTHER.search(t) else self._plain(t) for t in texts]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuespark.dist import ship
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -26,6 +28,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and Arrow batches of bounded bytes, as texts may be long."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Workspace:
     """A folder of one run of an operator; tables that are no longer read can be dropped."""
 
