@@ -26,12 +26,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, marked
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-#: Bits of the table that tells texts that surely stand alone, in bitmaps of 2**15 bits: 4 MB, whatever the corpus.
-BITS = 1 << 25
 #: Rows of a group that are compared with its first row in one task.
 HITS_PER_TASK = 512
 
@@ -70,16 +68,6 @@ def _stream(work: Workspace, log: str, trigger_bytes: int) -> DataFrame:
     return spark.read.schema(schema + ", batch int").option("basePath", out).parquet(out)
 
 
-def _marked(log: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds ``hit``: false only where the digest was seen once; true for all hits, and by chance for a few more."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(BITS)) + 1
-    maps = groups.where("n > 1").select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
-    return log.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "bucket", "left").withColumn("hit", hit).drop("bucket", "bits")
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, trigger_bytes: int = 16 << 30) -> DataFrame:
     """Rows (doc struct of the input's columns, digest, keep_id, group_size, kept).
 
@@ -104,8 +92,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts move only where a digest has been met again.
     text = normalised(F.col(f"doc.{text_col}"))
     salts = F.ceil(F.col("n") / HITS_PER_TASK).cast("int")
-    marked = _marked(log, groups)
-    found = marked.where("hit").drop("hit").join(groups, "digest")
+    known = marked(log, groups.where("n > 1"), "digest")
+    found = known.where("hit").drop("hit").join(groups, "digest")
     hits = found.where("n > 1").select("digest", "row", "first", text.alias("t"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"), salts.alias("salts"))
     held = hits.where("row = first.row").select("digest", F.col("t").alias("held"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     differ = hits.where("row <> first.row").join(held, ["digest", "salt"]).where("t <> held").select("digest").distinct()
@@ -115,7 +103,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         byte_groups = apart.groupBy("digest", "t").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count("*").alias("n"))
         exact = apart.drop("first", "n").join(byte_groups, ["digest", "t"])
         found = found.join(differ, "digest", "left_anti").select("digest", "row", "doc", "first", "n").unionByName(exact.select("digest", "row", "doc", "first", "n"))
-    alone = marked.where("NOT hit").select("doc", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    alone = known.where("NOT hit").select("doc", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return alone.unionByName(found.select("doc", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept")))
 
 

@@ -11,10 +11,11 @@ from .license_scan import sql as license_sql
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .sharding import op1_sharding
+from .substring_dedup import op8_suffix_dedup
 from .token_files import op6_token_files
 from .workspace import prepare
 
-OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op9_html_extraction, op10_quality_rules]
+OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op8_suffix_dedup, op9_html_extraction, op10_quality_rules]
 
 
 def _shipped(query):

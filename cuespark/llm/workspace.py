@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuespark.dist import ship
 
@@ -34,6 +35,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+#: Bits of the table of ``marked``, in bitmaps of 2**15 bits: 4 MB, whatever the tables.
+BITS = 1 << 25
+
+
+def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Adds ``hit``: false only for rows whose key is surely not in ``keys``; true for all others, and by chance for a few more.
+
+    What is broadcast has a fixed size.  Rows that are not hit need not move to be joined.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(BITS)) + 1
+    maps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket", "left").withColumn("hit", hit).drop("_bucket", "_bits")
+
+
 class Workspace:
     """A folder of one run of an operator; tables that are no longer read can be dropped."""
 
