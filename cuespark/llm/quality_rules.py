@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, marked
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Frequent function words of the languages that are expected.
@@ -167,8 +167,10 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with all their columns.  Rows of one doc_id stay if any of them is kept."""
-    kept = judge(docs.select("doc_id", "text"), threshold).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+    out = judge(docs.select("doc_id", "text"), threshold).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("NOT _kept").select("doc_id")
+    known = marked(docs, out, "doc_id")
+    asked = known.where("hit").drop("hit").join(out.select(F.col("doc_id").alias("_out")), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    return known.where("NOT hit").select(docs.columns).unionByName(asked.select(docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -6,6 +6,8 @@ from .bpe import op3_bpe
 from .exact_dedup import SQL as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
 from .html_extraction import op9_html_extraction
+from .jaccard_join import SQL as JACCARD_SQL
+from .jaccard_join import op7_jaccard_join
 from .license_scan import op5_license_scan
 from .license_scan import sql as license_sql
 from .packing import op2_packing
@@ -15,7 +17,7 @@ from .substring_dedup import op8_suffix_dedup
 from .token_files import op6_token_files
 from .workspace import prepare
 
-OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op8_suffix_dedup, op9_html_extraction, op10_quality_rules]
+OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op7_jaccard_join, op8_suffix_dedup, op9_html_extraction, op10_quality_rules]
 
 
 def _shipped(query):
@@ -32,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP_SQL, "op5_license_scan": license_sql()}
+    return {"op4_exact_dedup": EXACT_DEDUP_SQL, "op5_license_scan": license_sql(), "op7_jaccard_join": JACCARD_SQL}

@@ -268,6 +268,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     return clean.unionByName(hit.mapInArrow(_remover(digest), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept string"))
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated strings taken out, with all their columns; those of which nothing but white space is left go."""
+    left = remove_repeats(docs).where(r"kept RLIKE '[^\\x20\\x09-\\x0D]'")
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return left.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"row.{c}") for c in docs.columns])
+
+
 def op8_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, digest=True).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
