@@ -5,7 +5,8 @@ each shingle whose hash for that run is below 1 / (THRESHOLD * size): so two set
 that are similar enough are expected to share a path, and miss it with a
 probability below 1/e a run.  Sets that share a path form a bucket; a bucket of more
 than BUCKET sets is split further on shingles sampled for the next level, with
-SPLIT times that rate, to DEPTH levels.  Buckets are then brute-forced on sketches.
+SPLIT times that rate, to DEPTH levels, unless a sample shows that its sets are all
+alike, which no split would part.  Buckets are then brute-forced on sketches.
 RUNS is the least number of runs for which a pair at the threshold is lost, even at
 full depth, with a probability below 1 - RECALL.
 
@@ -50,8 +51,10 @@ RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - _FIRST * _NEXT ** (DEPTH -
 BUCKET = 2000
 SKETCH = 128
 #: Estimates of the similarity that make a candidate, that make a set follow a leader, and that join two leaders.
-#: Followers lie within a distance of 0.2 with the estimate's error, and similar ones within 0.2 of each other: leaders within 0.6.
-NEAR, FOLLOW, LEADERS = 0.6, 0.9, 0.3
+#: Followers lie within a distance of 0.3 with the estimate's error, and similar ones within 0.2 of each other: leaders within 0.8.
+NEAR, FOLLOW, LEADERS = 0.6, 0.8, 0.12
+#: A large bucket is dense, and not split further, if half of the pairs of a sample of its sets agree so far.
+SAMPLE, DENSE = 16, 0.5
 #: Shingles and sets of a block of exact counting.
 BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 2_000
 
@@ -175,10 +178,19 @@ def bucket_edges(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> li
             else:
                 leaders.append(int(row))
     lead = np.array(leaders)
-    for a in range(0, len(lead), 256):
-        i, j = np.nonzero(_alike(sketches[lead[a : a + 256]], sketches[lead], sizes[lead[a : a + 256]] * 0 + 1, sizes[lead] * 0 + 1, LEADERS))
-        edges += [(int(ids[lead[a + x]]), int(ids[lead[y]])) for x, y in zip(i, j) if a + x < y]
-    return edges
+    one = np.ones(len(lead), np.int64)
+    pairs = ((a + x, y) for a in range(0, len(lead), 256) for x, y in zip(*(v.tolist() for v in np.nonzero(_alike(sketches[lead[a : a + 256]], sketches[lead], one[a : a + 256], one, LEADERS)))) if a + x < y)
+    return edges + [(int(ids[lead[x]]), int(ids[lead[y]])) for x, y in _forest(len(lead), pairs)]
+
+
+def _density(batches):
+    for batch in batches:
+        dense = []
+        for row in batch.column("sample").to_pylist():
+            sketches = np.frombuffer(b"".join(x["sketch"] for x in row), np.uint8).reshape(-1, SKETCH)
+            agree = (sketches[:, None] == sketches).mean(2)
+            dense.append(bool(len(row) > 1 and (agree[np.triu_indices(len(row), 1)] >= DENSE).mean() >= 0.5))
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(dense, pa.bool_())], names=["bucket", "dense"])
 
 
 def _brute_force(batches):
@@ -294,19 +306,27 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     # Buckets: those that are small enough, level by level.
     level = sets.select("rid", F.explode("p0").alias("p")).select("rid", "p.run", F.col("p.tok").alias("bucket"))
     ready = None
+    sketches = sets.select("rid", "size", "sketch")
     for depth in range(DEPTH):
-        counts = level.groupBy("bucket").count().where("count > 1")
+        counts = work.table(level.groupBy("bucket").count().where("count > 1"), f"counts-{depth}")
         level = work.table(level.join(counts, "bucket"), f"level-{depth}")
-        small = level if depth == DEPTH - 1 else level.where(F.col("count") <= bucket)
-        ready = small.select("bucket", "rid") if ready is None else ready.unionByName(small.select("bucket", "rid"))
+        done = level if depth == DEPTH - 1 else level.where(F.col("count") <= bucket)
         big = level.where(F.col("count") > bucket)
+        if depth < DEPTH - 1 and not big.isEmpty():
+            h = F.xxhash64("rid")
+            picks = [F.min(F.when(F.pmod(h, F.lit(SAMPLE)) == i, F.struct(h.alias("h"), "sketch"))) for i in range(SAMPLE)]
+            sample = big.join(sketches, "rid").groupBy("bucket").agg(F.array_compact(F.array(*picks)).alias("sample"))
+            dense = work.table(sample.mapInArrow(_density, "bucket long, dense boolean").where("dense").select("bucket"), f"dense-{depth}")
+            done = done.unionByName(big.join(dense, "bucket", "left_semi"))
+            big = big.join(dense, "bucket", "left_anti")
+        ready = done.select("bucket", "rid") if ready is None else ready.unionByName(done.select("bucket", "rid"))
         if depth == DEPTH - 1 or big.isEmpty():
             break
         onward = sets.select("rid", F.explode(f"p{depth + 1}").alias("p")).select("rid", "p.run", "p.tok")
         level = big.drop("count").join(onward, ["rid", "run"]).select("rid", "run", F.xxhash64("bucket", "tok").alias("bucket"))
-    rows = ready.join(sets.select("rid", "size", "sketch"), "rid")
+    rows = ready.join(sketches, "rid")
     found = work.table(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force, "a long, b long").distinct(), "candidates")
-    work.drop(*(f"level-{d}" for d in range(DEPTH)))
+    work.drop(*(f"{n}-{d}" for n in ("level", "counts", "dense") for d in range(DEPTH)))
     near = work.table(components(found, work, "near"), "near")
 
     # Exact counts within components, in pairs of blocks.
