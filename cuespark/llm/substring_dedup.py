@@ -38,7 +38,7 @@ GRAM = 128
 #: Phrases: grams of PHRASE_GRAM bytes, a cut in each PHRASE_SPAN of them at least.
 PHRASE_GRAM, PHRASE_SPAN = 16, 48
 #: Bytes of one suffix array, about; texts are cut into stretches PART bytes at a time.
-BATCH, PART = 4 << 20, 8 << 20
+BATCH, PART = 2 << 20, 8 << 20
 #: Stretches of an anchor that one task compares, about.
 PER_TASK = 20_000
 
@@ -204,9 +204,9 @@ def spans(docs: DataFrame, work: Workspace) -> DataFrame:
     """key (digest of a text's bytes), spans: array of (s, n), runs of strings that also stand elsewhere."""
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     found = work.table(texts.mapInArrow(_find_stretches, "key binary, m long, d long, s int, n int, o int"), "stretches")
-    anchors = found.groupBy("m").agg(F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1")
+    anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1"), "anchors")
     again = work.table(found.join(anchors, "m"), "again")
-    work.drop("stretches")
+    work.drop("stretches", "anchors")
     classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(F.struct("key", "s", "n", "o")).alias("first"), F.max("mixed").alias("mixed"), F.max("times").alias("times")), "classes")
     whole = again.join(classes.where("c > 1").select("m", "d"), ["m", "d"]).select("key", "s", "n")
 
