@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, marked
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, and no disk set aside beforehand for each of many small stores.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Rows of a group that are compared with its first row in one task.
 HITS_PER_TASK = 512
 
@@ -57,13 +58,15 @@ def _stream(work: Workspace, log: str, trigger_bytes: int) -> DataFrame:
     def save(batch: DataFrame, number: int) -> None:  # again after a failure: the same folder
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = seen.writeStream.outputMode("update").option("checkpointLocation", work.path("stream")).trigger(availableNow=True).foreachBatch(save).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, first struct<no_id:boolean,id:long,row:long>, n long"
     return spark.read.schema(schema + ", batch int").option("basePath", out).parquet(out)
 
@@ -93,10 +96,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = normalised(F.col(f"doc.{text_col}"))
     salts = F.ceil(F.col("n") / HITS_PER_TASK).cast("int")
     known = marked(log, groups.where("n > 1"), "digest")
-    found = known.where("hit").drop("hit").join(groups, "digest")
+    found = known.where("hit").drop("hit").join(groups.hint("merge"), "digest")
     hits = found.where("n > 1").select("digest", "row", "first", text.alias("t"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"), salts.alias("salts"))
     held = hits.where("row = first.row").select("digest", F.col("t").alias("held"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    differ = hits.where("row <> first.row").join(held, ["digest", "salt"]).where("t <> held").select("digest").distinct()
+    differ = hits.where("row <> first.row").join(held.hint("merge"), ["digest", "salt"]).where("t <> held").select("digest").distinct()
     differ = work.table(differ, "differ")
     if not differ.isEmpty():
         apart = found.join(differ, "digest").withColumn("t", text)

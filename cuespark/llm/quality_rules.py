@@ -169,7 +169,7 @@ def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with all their columns.  Rows of one doc_id stay if any of them is kept."""
     out = judge(docs.select("doc_id", "text"), threshold).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("NOT _kept").select("doc_id")
     known = marked(docs, out, "doc_id")
-    asked = known.where("hit").drop("hit").join(out.select(F.col("doc_id").alias("_out")), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    asked = known.where("hit").drop("hit").join(out.select(F.col("doc_id").alias("_out")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
     return known.where("NOT hit").select(docs.columns).unionByName(asked.select(docs.columns))
 
 
