@@ -11,8 +11,8 @@ RUNS is the least number of runs for which a pair at the threshold is lost, even
 full depth, with a probability below 1 - RECALL.
 
 What brute force finds are candidates.  It leaves a spanning forest of a bucket's
-close sets, not their pairs; buckets that no split makes small are held together by
-leaders, whose distances bound those of the sets near them.  Candidates are joined
+close sets, not their pairs: a set that has been reached is not compared again, so
+a bucket of copies takes time in proportion to its size.  Candidates are joined
 into components, and within a component every pair is counted exactly, in blocks, so
 a pair that its own paths missed is still found if both are near a third set.
 
@@ -48,11 +48,11 @@ RECALL, DEPTH, SPLIT = 0.9999, 3, 2.5
 #: Chance that a pair at the threshold shares a path at the first level, and goes on together at each next.
 _FIRST, _NEXT = 1 - math.exp(-1), 1 - math.exp(-SPLIT * THRESHOLD)
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - _FIRST * _NEXT ** (DEPTH - 1)))
-BUCKET = 2000
-SKETCH = 128
-#: Estimates of the similarity that make a candidate, that make a set follow a leader, and that join two leaders.
-#: Followers lie within a distance of 0.3 with the estimate's error, and similar ones within 0.2 of each other: leaders within 0.8.
-NEAR, FOLLOW, LEADERS = 0.6, 0.8, 0.12
+BUCKET = 20_000
+#: Bytes of a sketch; those that are compared first, and how many of them must agree (a pair at the threshold: all but 4 in a million).
+SKETCH, GLANCE, GLANCE_LEAST = 128, 16, 5
+#: Estimate of the similarity that makes a candidate: 5 standard errors below the threshold.
+NEAR = 0.6
 #: A large bucket is dense, and not split further, if half of the pairs of a sample of its sets agree so far.
 SAMPLE, DENSE = 16, 0.5
 #: Shingles and sets of a block of exact counting.
@@ -100,38 +100,46 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return (_mix(least) >> np.uint64(56)).astype(np.uint8)
 
 
-_PATHS = "array<struct<run:int,tok:long>>"
-SIGNED = f"doc_id long, text_key binary, key binary, size int, sketch binary, p0 {_PATHS}, p1 {_PATHS}, p2 {_PATHS}"
-_ARROW_PATHS = pa.list_(pa.struct([("run", pa.int32()), ("tok", pa.int64())]))
+SIGNED = "doc_id long, text_key binary, key binary, size int, sketch binary, paths array<struct<run:int,tok:long>>"
 
 
 def _sign(batches):
     for batch in batches:
         rows = {k: [] for k in ("key", "size", "sketch")}
-        taken = [([0], [], []) for _ in range(DEPTH)]
+        offsets, runs, tokens = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             found = shingles(text)
             rows["key"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             rows["size"].append(len(found))
             rows["sketch"].append(sketch(found).tobytes() if len(found) else None)
-            for level, (offsets, runs, tokens) in enumerate(taken):
-                if len(found):
-                    r, t = paths(found, level)
-                    runs.append(r.astype(np.int32))
-                    tokens.append(t.view(np.int64))
-                    offsets.append(offsets[-1] + len(r))
-                else:
-                    offsets.append(offsets[-1])
-        lists = [
-            pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), kind) for x, kind in ((r, pa.int32()), (t, pa.int64()))], names=["run", "tok"]))
-            for o, r, t in taken
-        ]
+            if len(found):
+                r, t = paths(found, 0)
+                runs.append(r.astype(np.int32))
+                tokens.append(t.view(np.int64))
+            offsets.append(offsets[-1] + (len(r) if len(found) else 0))
+        taken = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(runs)), pa.array(np.concatenate(tokens))], names=["run", "tok"]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(rows["key"], pa.binary()), pa.array(rows["size"], pa.int32()), pa.array(rows["sketch"], pa.binary()), *lists],
-            names=["doc_id", "text_key", "key", "size", "sketch", "p0", "p1", "p2"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(rows["key"], pa.binary()), pa.array(rows["size"], pa.int32()), pa.array(rows["sketch"], pa.binary()), taken],
+            names=["doc_id", "text_key", "key", "size", "sketch", "paths"],
         )
 
 
+def _onward(level: int):
+    """Paths of a further level, for the sets in large buckets alone."""
+
+    def run(batches):
+        for batch in batches:
+            rids, runs, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                r, t = paths(shingles(text), level)
+                rids.append(np.full(len(r), rid))
+                runs.append(r.astype(np.int32))
+                tokens.append(t.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rids, runs, tokens)], names=["rid", "run", "tok"])
+
+    return run
+
+
 def _forest(n: int, pairs) -> list[tuple[int, int]]:
     """Edges of a spanning forest, each tree a star around its least node."""
     parent = list(range(n))
@@ -148,39 +156,30 @@ def _forest(n: int, pairs) -> list[tuple[int, int]]:
     return [(i, r) for i in range(n) if (r := root(i)) != i]
 
 
-def _alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: float) -> np.ndarray:
-    """Of sketches a and b, which pairs agree in a share of ``least``; sets of too different size are never near."""
-    out = np.zeros((len(a), len(b)), bool)
-    for k in range(0, len(a), max(1, (1 << 21) // max(1, len(b)) // SKETCH)):
-        stop = k + max(1, (1 << 21) // max(1, len(b)) // SKETCH)
-        out[k:stop] = (a[k:stop, None, :] == b[None, :, :]).sum(2) >= least * SKETCH
-    ratio = THRESHOLD if least == NEAR else 0.0
-    return out & (np.minimum(size_a[:, None], size_b) >= ratio * np.maximum(size_a[:, None], size_b))
-
-
 def bucket_edges(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the near sets of a bucket."""
-    n = len(ids)
-    if n <= BUCKET:
-        i, j = np.nonzero(np.triu(_alike(sketches, sketches, sizes, sizes, NEAR), 1))
-        return [(int(ids[a]), int(ids[b])) for a, b in _forest(n, zip(i.tolist(), j.tolist()))]
-    # Leaders: a set follows the first leader that it is very near to.  Followers of two leaders can be
-    # similar only if the leaders are no further apart than NEAR allows, and then their leaders are joined.
-    leaders: list[int] = []
-    edges = []
-    for a in range(0, n, 256):
-        rows = np.arange(a, min(n, a + 256))
-        lead = np.array(leaders, np.int64)
-        follows = _alike(sketches[rows], sketches[lead], sizes[rows], sizes[lead], FOLLOW) if leaders else np.zeros((len(rows), 0), bool)
-        for k, row in enumerate(rows):
-            if follows.shape[1] and follows[k].any():
-                edges.append((int(ids[row]), int(ids[lead[follows[k].argmax()]])))
-            else:
-                leaders.append(int(row))
-    lead = np.array(leaders)
-    one = np.ones(len(lead), np.int64)
-    pairs = ((a + x, y) for a in range(0, len(lead), 256) for x, y in zip(*(v.tolist() for v in np.nonzero(_alike(sketches[lead[a : a + 256]], sketches[lead], one[a : a + 256], one, LEADERS)))) if a + x < y)
-    return edges + [(int(ids[lead[x]]), int(ids[lead[y]])) for x, y in _forest(len(lead), pairs)]
+    """Edges of a spanning forest of a bucket's near sets."""
+    order = np.lexsort((ids, sizes))
+    ids, sizes, sketches = ids[order], sizes[order], sketches[order]
+    edges, left = [], np.arange(len(ids))  # left: not reached yet, by size
+    while len(left) > 1:
+        seed, frontier, left = left[0], [left[0]], left[1:]
+        while frontier and len(left):
+            some, frontier = np.array(frontier[:64]), frontier[64:]
+            # sets whose sizes differ too much are never similar enough
+            lo, hi = np.searchsorted(sizes[left], [THRESHOLD * sizes[some].min(), sizes[some].max() / THRESHOLD + 1])
+            reached = []
+            for a in range(lo, hi, 4096):
+                near = left[a : min(a + 4096, hi)]
+                x, y = np.nonzero((sketches[some, None, :GLANCE] == sketches[near, :GLANCE]).sum(2) >= GLANCE_LEAST)
+                for k in range(0, len(x), 8192):
+                    good = (sketches[some[x[k : k + 8192]]] == sketches[near[y[k : k + 8192]]]).sum(1) >= NEAR * SKETCH
+                    reached.append(near[y[k : k + 8192][good]])
+            new = np.unique(np.concatenate(reached)) if reached else np.zeros(0, np.int64)
+            if len(new):
+                edges += [(int(ids[k]), int(ids[seed])) for k in new]
+                left = left[~np.isin(left, new)]
+                frontier += new.tolist()
+    return edges
 
 
 def _density(batches):
@@ -295,46 +294,52 @@ def _count(batches):
         yield batch_of(done)
 
 
+def _sources(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` with the text of each text_key; only such texts move."""
+    found = marked(texts, keys, "text_key").where("hit").groupBy("text_key").agg(F.first("text").alias("text"))
+    return keys.hint("merge").join(found, "text_key")
+
+
 def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, class_id, class_size, n_links: a row for each row of ``docs`` (doc_id, text)."""
     work = Workspace(docs.sparkSession, "jaccard")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("binary").alias("text_key"))
     signed = work.table(texts.mapInArrow(_sign, SIGNED), "signed")
     first = lambda *names: [F.first(n).alias(n) for n in names]
-    sets = work.table(signed.where("size > 0").groupBy("key").agg(*first("text_key", "size", "sketch", "p0", "p1", "p2"), F.count("*").alias("times"), F.min("doc_id").alias("least_id")).withColumn("rid", F.monotonically_increasing_id()), "sets")
+    sets = work.table(signed.where("size > 0").groupBy("key").agg(*first("text_key", "size", "sketch", "paths"), F.count("*").alias("times"), F.min("doc_id").alias("least_id")).withColumn("rid", F.monotonically_increasing_id()), "sets")
 
     # Buckets: those that are small enough, level by level.
-    level = sets.select("rid", F.explode("p0").alias("p")).select("rid", "p.run", F.col("p.tok").alias("bucket"))
+    level = sets.select("rid", F.explode("paths").alias("p")).select("rid", "p.run", F.col("p.tok").alias("bucket"))
     ready = None
     sketches = sets.select("rid", "size", "sketch")
     for depth in range(DEPTH):
         counts = work.table(level.groupBy("bucket").count().where("count > 1"), f"counts-{depth}")
-        level = work.table(level.join(counts, "bucket"), f"level-{depth}")
+        level = work.table(level.join(counts.hint("merge"), "bucket"), f"level-{depth}")
         done = level if depth == DEPTH - 1 else level.where(F.col("count") <= bucket)
         big = level.where(F.col("count") > bucket)
         if depth < DEPTH - 1 and not big.isEmpty():
             h = F.xxhash64("rid")
             picks = [F.min(F.when(F.pmod(h, F.lit(SAMPLE)) == i, F.struct(h.alias("h"), "sketch"))) for i in range(SAMPLE)]
-            sample = big.join(sketches, "rid").groupBy("bucket").agg(F.array_compact(F.array(*picks)).alias("sample"))
+            sample = big.join(sketches.hint("merge"), "rid").groupBy("bucket").agg(F.array_compact(F.array(*picks)).alias("sample"))
             dense = work.table(sample.mapInArrow(_density, "bucket long, dense boolean").where("dense").select("bucket"), f"dense-{depth}")
             done = done.unionByName(big.join(dense, "bucket", "left_semi"))
             big = big.join(dense, "bucket", "left_anti")
         ready = done.select("bucket", "rid") if ready is None else ready.unionByName(done.select("bucket", "rid"))
         if depth == DEPTH - 1 or big.isEmpty():
             break
-        onward = sets.select("rid", F.explode(f"p{depth + 1}").alias("p")).select("rid", "p.run", "p.tok")
+        wanted = work.table(big.select("rid").distinct().join(sets.select("rid", "text_key").hint("merge"), "rid"), f"wanted-{depth}")
+        onward = _sources(texts, wanted).mapInArrow(_onward(depth + 1), "rid long, run int, tok long")
         level = big.drop("count").join(onward, ["rid", "run"]).select("rid", "run", F.xxhash64("bucket", "tok").alias("bucket"))
-    rows = ready.join(sketches, "rid")
+    rows = ready.join(sketches.hint("merge"), "rid")
     found = work.table(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force, "a long, b long").distinct(), "candidates")
-    work.drop(*(f"{n}-{d}" for n in ("level", "counts", "dense") for d in range(DEPTH)))
+    work.drop(*(f"{n}-{d}" for n in ("level", "counts", "dense", "wanted") for d in range(DEPTH)))
     near = work.table(components(found, work, "near"), "near")
 
     # Exact counts within components, in pairs of blocks.
-    members = near.join(sets.select("rid", "size", "times", "text_key"), near["node"] == F.col("rid")).select("root", "rid", "size", "times", "text_key")
+    members = near.join(sets.select("rid", "size", "times", "text_key").hint("merge"), near["node"] == F.col("rid")).select("root", "rid", "size", "times", "text_key")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    members = work.table(members.join(blocks, "root"), "members")
-    sources = marked(texts, members, "text_key").where("hit").groupBy("text_key").agg(F.first("text").alias("text"))
-    held = work.table(members.join(sources, "text_key").select("root", "rid", "times", "blocks", "text").mapInArrow(_with_shingles, "root long, rid long, times long, blocks int, shingles binary"), "held")
+    members = work.table(members.join(blocks.hint("merge"), "root"), "members")
+    held = work.table(_sources(texts, members).select("root", "rid", "times", "blocks", "text").mapInArrow(_with_shingles, "root long, rid long, times long, blocks int, shingles binary"), "held")
     block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     pairs = held.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "rid", "times", "shingles", "block")
     counted = work.table(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_count, "rid long, links long, other long"), "counted")
@@ -342,11 +347,11 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     linked = work.table(components(counted.where("other IS NOT NULL").select(F.col("rid").alias("a"), F.col("other").alias("b")), work, "linked"), "linked")
 
     links = counted.groupBy("rid").agg(F.sum("links").alias("links"))
-    whole = sets.select("rid", "key", "times", "least_id").join(linked.withColumnRenamed("node", "rid"), "rid", "left").join(links, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    whole = sets.select("rid", "key", "times", "least_id").join(linked.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").join(links.hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     groups = whole.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("times").alias("class_size"))
-    by_key = work.table(whole.join(groups, "root").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")), "classes")
+    by_key = work.table(whole.join(groups.hint("merge"), "root").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")), "classes")
     work.drop("counted", "linked", "sets")
-    known = signed.select("doc_id", "key").where("key IS NOT NULL").join(by_key, "key").select("doc_id", "class_id", "class_size", "n_links")
+    known = signed.select("doc_id", "key").where("key IS NOT NULL").join(by_key.hint("merge"), "key").select("doc_id", "class_id", "class_size", "n_links")
     blank = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     return known.unionByName(blank)
 
@@ -356,7 +361,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select(F.col("doc_id").alias("_out"))
     known = marked(docs, out.select(F.col("_out").alias("doc_id")), "doc_id")
     clear = known.where("NOT hit").select(docs.columns)
-    asked = known.where("hit").drop("hit").join(out, F.col("doc_id") == F.col("_out"), "left_anti").select(docs.columns)
+    asked = known.where("hit").drop("hit").join(out.hint("merge"), F.col("doc_id") == F.col("_out"), "left_anti").select(docs.columns)
     return clear.unionByName(asked)
 
 

@@ -205,15 +205,15 @@ def spans(docs: DataFrame, work: Workspace) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     found = work.table(texts.mapInArrow(_find_stretches, "key binary, m long, d long, s int, n int, o int"), "stretches")
     anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1"), "anchors")
-    again = work.table(found.join(anchors, "m"), "again")
+    again = work.table(found.join(anchors.hint("merge"), "m"), "again")
     work.drop("stretches", "anchors")
     classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(F.struct("key", "s", "n", "o")).alias("first"), F.max("mixed").alias("mixed"), F.max("times").alias("times")), "classes")
-    whole = again.join(classes.where("c > 1").select("m", "d"), ["m", "d"]).select("key", "s", "n")
+    whole = again.join(classes.where("c > 1").select("m", "d").hint("merge"), ["m", "d"]).select("key", "s", "n")
 
     parts = F.least(F.lit(LENGTH - GRAM + 1), F.ceil(F.col("times") / PER_TASK)).cast("int").alias("parts")
     asked = work.table(classes.where("mixed").select("first.key", F.struct("m", "first.s", "first.n", "first.o", parts).alias("x")).groupBy("key").agg(F.collect_list("x").alias("asked")), "asked")
     sources = marked(texts, asked, "key").where("hit").groupBy("key").agg(F.first("text").alias("text"))
-    sliced = asked.join(sources, "key").select("key", "text", "asked").mapInArrow(_slice, "m long, part int, key binary, s int, n int, data binary")
+    sliced = asked.hint("merge").join(sources, "key").select("key", "text", "asked").mapInArrow(_slice, "m long, part int, key binary, s int, n int, data binary")
     compared = work.table(sliced.repartition("m", "part").sortWithinPartitions("m", "part").mapInArrow(_compare, "key binary, s int, n int"), "compared")
     out = work.table(whole.unionByName(compared).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
     work.drop("again", "classes", "asked", "compared")
@@ -263,7 +263,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     rows = marked(rows, found, "key")
     clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (F.sha2("text", 256) if digest else F.col("text")).alias("kept"))
-    hit = rows.where("hit").join(found, "key", "left").select("row", "text", "spans")
+    hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans")
     kind = rows.schema["row"].dataType.simpleString()
     return clean.unionByName(hit.mapInArrow(_remover(digest), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept string"))
 
