@@ -3,15 +3,242 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuespark.functions.timecode import format_srt, stable_id
+from cuespark.operators import audio, chunking, readability, review, timeline
+from cuespark.plans.views import CUES, IVALS, LINES, TRACKS, cues, doc_lines, intervals, table, tracks
+
+#: name: (query, SQL)
+QUERIES: dict = {}
+
+
+def _query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = (f, "WITH " + sql)
+        return f
+
+    return add
+
+
+_CODES = lambda rules: "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in rules) + "], lambda x: x IS NOT NULL)"
+_READ = r"length(regexp_replace({}, '[\s\pZ.,!?;:\"''()\[\]{{}}\-…、。！？「」『』（）]', '', 'g'))"
+
+
+@_query(CUES + """, s AS (SELECT *, lag(idx, 1, 0) OVER w AS li, lag(end_ms) OVER w AS le FROM cues WINDOW w AS (PARTITION BY file ORDER BY pos))
+SELECT file, pos, idx, unnest(""" + _CODES([("index_not_continuous", "idx <> li + 1"), ("invalid_time_range", "start_ms >= end_ms"), ("time_overlap", "start_ms < le"), ("empty_subtitle", "trim(content) = ''"), ("index_position_mismatch", "idx <> pos")]) + ") AS code FROM s")
+def structural_issues(spark, d):
+    return timeline.structural_issues(cues(spark, d))
+
+
+_KINDS = """, s AS (SELECT *, lag(start_ms) OVER w AS ls, lag(end_ms) OVER w AS le FROM cues WINDOW w AS (PARTITION BY file ORDER BY pos)),
+k AS (SELECT *, coalesce(le - start_ms, 0) AS o FROM s),
+kinds AS (SELECT file, pos, idx, start_ms, end_ms, greatest(o, 0)::BIGINT AS overlap_ms, CASE WHEN start_ms >= end_ms OR coalesce(ls >= le, false) THEN 'invalid' WHEN o <= 0 THEN 'ok' WHEN o <= 120 AND start_ms - ls >= 1500 THEN 'minor' WHEN o <= 120 THEN 'too_short' WHEN o <= 500 THEN 'moderate' ELSE 'severe' END AS kind FROM k)"""
+
+
+@_query(CUES + _KINDS + " SELECT file, pos, idx, overlap_ms, kind FROM kinds")
+def overlap_classes(spark, d):
+    return timeline.overlap_classes(cues(spark, d), least_ms=1500)
+
+
+@_query(CUES + _KINDS + " SELECT file, pos, idx, start_ms, CASE WHEN lead(kind) OVER w = 'minor' THEN lead(start_ms) OVER w ELSE end_ms END AS end_ms FROM kinds WINDOW w AS (PARTITION BY file ORDER BY pos)")
+def overlap_clip(spark, d):
+    return timeline.overlap_clip(cues(spark, d), least_ms=1500)
+
+
+@_query(CUES + """, r AS (SELECT file, start_ms, greatest(0, coalesce(max(end_ms) OVER (PARTITION BY file ORDER BY start_ms, end_ms, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS g FROM cues)
+SELECT file, g AS gap_start, start_ms AS gap_end FROM r WHERE start_ms - g >= 300""")
+def gap_windows(spark, d):
+    return timeline.gap_windows(cues(spark, d), 300)
+
+
+@_query(CUES + """, r AS (SELECT *, max(end_ms) OVER (PARTITION BY file ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM cues),
+i AS (SELECT *, sum(CASE WHEN m IS NULL OR start_ms > m + 250 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT file, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM i GROUP BY file, island""")
+def merged_windows(spark, d):
+    return timeline.merged_windows(cues(spark, d))
+
+
+@_query(IVALS + """, a AS (SELECT file, frame, start_ms, end_ms FROM ivals WHERE kind IN (SELECT min(event_type) FROM events)), b AS (SELECT * FROM ivals WHERE kind NOT IN (SELECT min(event_type) FROM events))
+SELECT a.file, a.frame, count(b.frame) AS n FROM a LEFT JOIN b ON a.file = b.file AND b.start_ms < a.end_ms AND b.end_ms > a.start_ms GROUP BY ALL""")
+def interval_coverage(spark, d):
+    rows = intervals(spark, d)
+    first = rows.agg(F.min("kind").alias("first"))
+    frames = rows.join(F.broadcast(first), F.col("kind") == F.col("first"), "left_semi").select("file", "frame", "start_ms", "end_ms")
+    return timeline.interval_coverage(frames, rows.join(F.broadcast(first), F.col("kind") == F.col("first"), "left_anti"))
+
+
+@_query(CUES + """, t AS (SELECT file, max(end_ms) AS d FROM cues GROUP BY file)
+SELECT file, k::BIGINT AS segment, (k * 9000)::BIGINT AS start_ms, least(k * 9000 + 10000, d)::BIGINT AS end_ms FROM (SELECT file, d, unnest(range(0, greatest(1, ceil((d - 1000) / 9000.0)::BIGINT))) AS k FROM t)""")
+def segments(spark, d):
+    return timeline.segments(cues(spark, d).groupBy("file").agg(F.max("end_ms").alias("duration_ms")), 10_000, 1_000)
+
+
+@_query(CUES + ", c AS (SELECT *, " + _READ.format("content") + " AS chars, string_split(content, chr(10)) AS l FROM cues) SELECT file, pos, idx, unnest(" + _CODES([
+    ("too_many_chars", "chars > 250"), ("high_cps", "chars / greatest(0.001, (end_ms - start_ms) / 1000) > 100"), ("too_many_lines", "len(l) > 2"), ("line_too_long", "len(list_filter(l, lambda x: " + _READ.format("x") + " > 200)) > 0"),
+    ("dense_repeated_sound", "len(list_filter(range(1, length(content) + 1), lambda i: length(substr(regexp_replace(content, '\\s', '', 'g'), i, 6)) = 6 AND len(list_distinct(string_split(substr(regexp_replace(content, '\\s', '', 'g'), i, 6), ''))) = 1)) > 0"),
+]) + ") AS code FROM c")
+def readability_warnings(spark, d):
+    return readability.warnings(cues(spark, d), 250, 100.0, 2, 200)
+
+
+@_query(CUES + """, c AS (SELECT *, CASE WHEN length(content) <= 200 THEN 1 ELSE 0 END AS short, lead(start_ms) OVER (PARTITION BY file ORDER BY pos) - end_ms AS gap FROM cues),
+w AS (SELECT *, min(short) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s, count(*) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS n FROM c)
+SELECT file, pos, idx FROM w WHERE s = 1 AND n = 2 AND gap <= 600""")
+def short_runs(spark, d):
+    return readability.short_runs(cues(spark, d), 2, 200, 600)
+
+
+RULES = [("article", r"\bthe\b"), ("number", r"\d+"), ("licence", r"licen[cs]ed? under [a-z]+"), ("mail", r"[a-z.]+@[a-z.]+")]
+
+
+@_query(LINES + ", m AS (" + " UNION ALL ".join(f"SELECT file, pos, '{n}' AS rule, unnest(regexp_extract_all(content, '(?i){p}')) AS matched FROM lines" for n, p in RULES) + ") SELECT file, pos, rule, matched FROM m")
+def risk_findings(spark, d):
+    return readability.rule_findings(doc_lines(spark, d), RULES)
+
+
+TERMS = ["the", "tion", "the", "qu", "sch"]
+
+
+@_query(CUES + " SELECT file, pos, (" + " + ".join(f"contains(content, '{t}')::INT" for t in TERMS) + " + (length(content) > 140)::INT)::BIGINT AS score FROM cues")
+def risk_score(spark, d):
+    return readability.risk_score(cues(spark, d), TERMS)
+
+
+@_query(CUES + " SELECT file, pos, ((pos - 1) // 3)::BIGINT AS chunk FROM cues")
+def chunks_fixed(spark, d):
+    return chunking.fixed(cues(spark, d), 3)
+
+
+@_query("RECURSIVE " + CUES + """, r AS (SELECT file, pos, length(content) AS ch, contains(content, 'tion')::INT AS rk, regexp_matches(content, '[。！？!?…」』.]$') AND length(content) >= 18 AS e FROM cues),
+f AS (SELECT file, pos, 0::BIGINT AS chunk, 1 AS n, ch, rk, e FROM r WHERE pos = 1
+UNION ALL SELECT file, pos, CASE WHEN cut THEN chunk + 1 ELSE chunk END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN xch ELSE ch + xch END, CASE WHEN cut THEN xrk ELSE rk + xrk END, xe FROM (
+ SELECT r.file, r.pos, f.chunk, f.n, f.ch, f.rk, r.ch AS xch, r.rk AS xrk, r.e AS xe, (f.n >= 4 OR (f.n >= 2 AND f.ch >= 1500) OR (f.n >= 2 AND f.rk >= 3) OR (f.n >= 3 AND f.ch >= 700)) OR (f.n >= 2 AND f.ch >= 700 AND f.e) AS cut FROM f JOIN r ON r.file = f.file AND r.pos = f.pos + 1))
+SELECT file, pos, chunk FROM f""")
+def chunks_dynamic(spark, d):
+    rows = cues(spark, d).select("file", "pos", "content", F.length("content").cast("long").alias("chars"), F.col("content").contains("tion").cast("long").alias("risk"))
+    return chunking.dynamic(rows, size=3, least=2, most=4, target=700, hard=1500, risk_limit=3)
+
+
+@_query(CUES + " SELECT file, pos, coalesce(string_agg(pos::VARCHAR, ',') OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(pos::VARCHAR, ',') OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM cues")
+def halo(spark, d):
+    return chunking.halo(cues(spark, d))
+
+
+@_query(CUES + """, n AS (SELECT file, pos, max(CASE WHEN length(content) > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM cues),
+i AS (SELECT file, pos, pos - row_number() OVER (PARTITION BY file ORDER BY pos) AS island FROM n WHERE near = 1)
+SELECT file, pos, island::BIGINT AS island, ((row_number() OVER (PARTITION BY file, island ORDER BY pos) - 1) // 3)::BIGINT AS part FROM i""")
+def deep_groups(spark, d):
+    return chunking.dilated_groups(cues(spark, d).select("file", "pos", (F.length("content") > 400).alias("flag")), 1, 3)
+
+
+_SIDES = ", r AS (SELECT file, pos, idx + (pos % 7 = 0)::INT AS idx, start_ms, end_ms + (pos % 5 = 0)::INT AS end_ms FROM cues WHERE file % 6 <> 0 AND pos % 11 <> 0)"
+
+
+def _right(rows: DataFrame) -> DataFrame:
+    return rows.where("file % 6 <> 0 AND pos % 11 <> 0").select("file", "pos", (F.col("idx") + (F.col("pos") % 7 == 0).cast("int")).alias("idx"), "start_ms", (F.col("end_ms") + (F.col("pos") % 5 == 0).cast("int")).alias("end_ms"), "content")
+
+
+@_query(CUES + _SIDES + """ SELECT * FROM (SELECT file, pos, CASE WHEN r.idx IS NULL THEN 'missing_right' WHEN cues.idx IS NULL THEN 'missing_left' WHEN cues.idx <> r.idx THEN 'index_mismatch' WHEN cues.start_ms <> r.start_ms OR cues.end_ms <> r.end_ms THEN 'timeline_mismatch' END AS code FROM cues FULL JOIN r USING (file, pos)) WHERE code IS NOT NULL""")
+def pair_mismatch(spark, d):
+    rows = cues(spark, d)
+    return review.pair_mismatch(rows, _right(rows))
+
+
+@_query(CUES + _SIDES + " SELECT DISTINCT file FROM cues WHERE file NOT IN (SELECT file FROM r)")
+def missing_pairs(spark, d):
+    rows = cues(spark, d)
+    return review.missing_pairs(rows, _right(rows))
+
+
+@_query(CUES + ", i AS (SELECT file, idx FROM cues WHERE pos % 3 = 0) SELECT i.file, i.idx, o.o AS \"offset\", c.content FROM i, (SELECT unnest([-2, -1, 1, 2]) AS o) o JOIN cues c ON c.file = i.file AND c.idx = i.idx + o.o")
+def neighbor_context(spark, d):
+    rows = cues(spark, d)
+    return review.neighbour_context(rows.where("pos % 3 = 0").select("file", "idx"), rows)
+
+
+@_query("""e AS (SELECT doc_id AS issue_id FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT doc_id AS issue_id, CASE WHEN toxic = 1 THEN 'defer' WHEN quality = 1 THEN 'Accept ' ELSE 'reject' END AS decision, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'seen' END AS reason FROM labels)
+SELECT issue_id, CASE WHEN e.issue_id IS NULL THEN 'unknown' WHEN r.issue_id IS NULL THEN 'unresolved' WHEN decision = 'defer' THEN 'deferred' WHEN trim(reason) = '' THEN 'invalid' WHEN decision = 'Accept ' THEN 'ready_to_apply' ELSE 'rejected' END AS status FROM e FULL JOIN r USING (issue_id)""")
+def closure_status(spark, d):
+    word = F.when(F.col("toxic") == 1, "defer").when(F.col("quality") == 1, "Accept ").otherwise("reject")
+    reviewed = table(spark, d, "labels").select(F.col("doc_id").alias("issue_id"), F.lit(0).alias("ord"), word.alias("decision"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise("seen").alias("reason"))
+    return review.closure(table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("issue_id")), reviewed)
+
+
+@_query(CUES + """, u AS (SELECT file, idx + (file % 4 = 0 AND idx = 3)::INT * 100 AS idx, CASE WHEN file % 5 = 0 AND idx = 2 THEN 'other' ELSE content END AS cur, CASE WHEN idx % 3 = 0 THEN content ELSE 'new' END AS rep FROM cues WHERE idx < 5),
+s AS (SELECT u.file, u.idx, CASE WHEN c.content IS NULL THEN 'not_found' WHEN trim(rep) = '' THEN 'empty' WHEN trim(cur) <> '' AND trim(cur) <> trim(c.content) THEN 'stale' WHEN trim(rep) = trim(c.content) THEN 'already_correct' ELSE 'applied' END AS status FROM u LEFT JOIN cues c ON c.file = u.file AND c.idx = u.idx)
+SELECT file, idx, CASE WHEN status = 'applied' AND bool_or(status IN ('not_found', 'empty', 'stale')) OVER (PARTITION BY file) THEN 'not_applied' ELSE status END AS status FROM s""")
+def apply_result(spark, d):
+    rows = cues(spark, d).select("file", "idx", "content")
+    updates = rows.where("idx < 5").select("file", F.expr("idx + if(file % 4 = 0 AND idx = 3, 100, 0)").alias("idx"), F.expr("if(file % 5 = 0 AND idx = 2, 'other', content)").alias("current"), F.expr("if(idx % 3 = 0, content, 'new')").alias("replacement"))
+    return review.apply_updates(rows, updates)
+
+
+@_query("held AS (SELECT doc_id AS id, lang AS v FROM documents WHERE doc_id % 2 = 0), new AS (SELECT doc_id AS id, source AS v FROM documents WHERE doc_id % 3 = 0) SELECT * FROM held UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM held)")
+def queue_upsert(spark, d):
+    docs = table(spark, d, "documents")
+    return review.upsert_absent(docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("v")), "id")
+
+
+@_query("w AS (SELECT doc_id, sha256(coalesce(text, '')) AS signature FROM documents) SELECT doc_id, signature FROM w WHERE signature NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0)")
+def cache_misses(spark, d):
+    wanted = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("signature"))
+    return review.cache_misses(wanted, wanted.where("doc_id % 2 = 0").select("signature", F.when(F.col("doc_id") % 10 == 0, "failed").otherwise("ok").alias("status")))
+
+
+@_query(CUES + " SELECT 'qc-' || substr(sha256(file::VARCHAR || chr(31) || idx::VARCHAR || chr(31) || content), 1, 16) AS issue_id, file, idx, CASE WHEN regexp_matches(lower(content), 'licen') THEN 'terminology' WHEN regexp_matches(lower(content), 'sch') THEN 'formatting' ELSE 'semantic' END AS category FROM cues")
+def review_items(spark, d):
+    rows = cues(spark, d)
+    low = F.lower("content")
+    return rows.select(stable_id(F.col("file").cast("string"), F.col("idx").cast("string"), F.col("content")).alias("issue_id"), "file", "idx", F.when(low.rlike("licen"), "terminology").when(low.rlike("sch"), "formatting").otherwise("semantic").alias("category"))
+
+
+@_query(CUES + " SELECT file, pos, " + " || ".join(f"({{}})".format(x) for x in ("lpad((start_ms // 3600000)::VARCHAR, 2, '0')", "':'", "lpad((start_ms // 60000 % 60)::VARCHAR, 2, '0')", "':'", "lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0')", "','", "lpad((start_ms % 1000)::VARCHAR, 3, '0')")) + " AS line FROM cues")
+def srt_lines(spark, d):
+    return cues(spark, d).select("file", "pos", format_srt(F.col("start_ms")).alias("line"))
+
+
+@_query(TRACKS + " SELECT directory, count(*) AS files, coalesce(sum(duration_s), 0.0)::DOUBLE AS seconds, count(*) FILTER (duration_s IS NULL) AS unknown FROM tracks GROUP BY directory")
+def folder_rollup(spark, d):
+    return audio.rollup(tracks(spark, d))
+
+
+@_query(TRACKS + ", r AS (SELECT *, coalesce(list_position(['wav', 'flac', 'm4a', 'mp3'], extension), 5) AS k FROM tracks) SELECT track_key, arg_min(path, (warnings, k, path)) AS path, count(*) AS variants FROM r GROUP BY track_key")
+def best_variant(spark, d):
+    return audio.best_variant(tracks(spark, d))
+
+
+@_query(TRACKS + ", t AS (SELECT * FROM tracks WHERE duration_s IS NOT NULL) SELECT a.track_key, a.path, count(b.path) AS matches FROM t a LEFT JOIN t b ON a.track_key = b.track_key AND a.path <> b.path AND b.duration_s >= a.duration_s * (1 - 0.02::DOUBLE) AND b.duration_s <= a.duration_s / (1 - 0.02::DOUBLE) GROUP BY ALL")
+def variant_match(spark, d):
+    return audio.variant_match(tracks(spark, d).where("duration_s IS NOT NULL"))
+
+
+@_query(IVALS + ", r AS (SELECT file, level, row_number() OVER (PARTITION BY file ORDER BY level) AS k, count(*) OVER (PARTITION BY file) AS n FROM ivals) SELECT file, level AS floor FROM r WHERE k = round_even((n - 1) * 0.2::DOUBLE, 0) + 1")
+def noise_floor(spark, d):
+    return audio.noise_floor(intervals(spark, d))
+
+
+@_query(IVALS + """, k AS (SELECT *, lag(pos) OVER w AS lp, lag(end_ms) OVER w AS le FROM ivals WHERE level >= 20 WINDOW w AS (PARTITION BY file ORDER BY pos)),
+i AS (SELECT *, sum(CASE WHEN coalesce(pos <> lp + 1 OR start_ms - le > 86400000, true) THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM k)
+SELECT file, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS frames FROM i GROUP BY file, run HAVING max(end_ms) - min(start_ms) >= 1000""")
+def activity_islands(spark, d):
+    return audio.islands(intervals(spark, d).withColumn("candidate", F.col("level") >= 20), 86_400_000, 1000)
+
+
+@_query("p AS (SELECT page_id, coalesce(html, '') AS h FROM pages) SELECT page_id, regexp_extract(h, '<title>([^<]*)</title>', 1) AS title, regexp_extract(h, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(h, '<meta charset=\"([^\"]*)\"', 1) AS charset FROM p")
+def page_meta(spark, d):
+    h = F.coalesce("html", F.lit(""))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, '<html lang="([^"]*)"', 1).alias("lang"), F.regexp_extract(h, '<meta charset="([^"]*)"', 1).alias("charset"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """How many cues break each structural rule."""
+    return structural_issues(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items()}
