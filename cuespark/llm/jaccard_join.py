@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .substring_dedup import Hashes, _mix
-from .workspace import Workspace, marked
+from .workspace import Workspace, marked, without
 
 WORDS, THRESHOLD = 5, 0.8
 RECALL, DEPTH, SPLIT = 0.9999, 3, 2.5
@@ -357,12 +357,8 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each class stays, the one with the least doc_id, with all their columns."""
-    out = classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select(F.col("doc_id").alias("_out"))
-    known = marked(docs, out.select(F.col("_out").alias("doc_id")), "doc_id")
-    clear = known.where("NOT hit").select(docs.columns)
-    asked = known.where("hit").drop("hit").join(out.hint("merge"), F.col("doc_id") == F.col("_out"), "left_anti").select(docs.columns)
-    return clear.unionByName(asked)
+    """The documents of which one of each class stays, the one with the least doc_id, with all their columns; rows without an id stay."""
+    return without(docs, classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id"), "doc_id")
 
 
 def op7_jaccard_join(spark, sf_dir):

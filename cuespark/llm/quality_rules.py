@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, marked
+from .workspace import Workspace, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Frequent function words of the languages that are expected.
@@ -104,7 +104,7 @@ def _rules() -> dict[str, Column]:
     }
 
 
-RULES = tuple(_rules())
+RULES = ("length", "word_length", "symbols", "symbol_density", "dup_lines", "repeats", "stop_words", "shouting", "endings")
 
 
 def _posterior(p: Column, votes: list[Column]) -> Column:
@@ -148,7 +148,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, p_good, kept.
     """
-    rules = _rules()
+    rules = {name: _rules()[name] for name in RULES}
     votes = F.array(*rules.values())
     place = reduce(lambda a, v: a * 3 + (v + 1), rules.values(), F.lit(0))
     work = Workspace(docs.sparkSession, "quality")
@@ -168,9 +168,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with all their columns.  Rows of one doc_id stay if any of them is kept."""
     out = judge(docs.select("doc_id", "text"), threshold).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("NOT _kept").select("doc_id")
-    known = marked(docs, out, "doc_id")
-    asked = known.where("hit").drop("hit").join(out.select(F.col("doc_id").alias("_out")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
-    return known.where("NOT hit").select(docs.columns).unionByName(asked.select(docs.columns))
+    return without(docs, out, "doc_id")
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -52,6 +52,15 @@ def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket", "left").withColumn("hit", hit).drop("_bucket", "_bits")
 
 
+def without(docs: DataFrame, out: DataFrame, column: str) -> DataFrame:
+    """Rows of ``docs`` whose ``column`` is not in ``out`` (null equals null), with all their columns; few rows move."""
+    rows = docs.select(F.col(column).alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    known = marked(rows, out.select(F.col(column).alias("id")), "id")
+    gone = out.select(F.col(column).alias("gone")).hint("merge")
+    asked = known.where("hit").select("id", "row").join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    return known.where("NOT hit").select("row.*").unionByName(asked.select("row.*"))
+
+
 class Workspace:
     """A folder of one run of an operator; tables that are no longer read can be dropped."""
 
