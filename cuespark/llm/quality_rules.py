@@ -90,10 +90,10 @@ def _rules() -> dict[str, Column]:
     """Votes of each rule; ratios are per word or per line."""
     c, n = F.col, F.col("n_words")
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    mean = c("word_chars") / n
+    chars = c("word_chars")
     return {
         "length": vote(n < 20, n >= 50),
-        "word_length": vote((mean < 3) | (mean > 12), (mean >= 3.5) & (mean <= 10)),
+        "word_length": vote((chars < 3 * n) | (chars > 12 * n), (2 * chars >= 7 * n) & (chars <= 10 * n)),
         "symbols": vote(c("n_symbols") > 0.1 * n, c("n_symbols") < 0.03 * n),
         "symbol_density": vote(c("n_symbols") > 0.3 * n, c("n_symbols") < 0.01 * n),
         "dup_lines": vote(c("n_dup_lines") > 0.3 * c("n_lines"), c("n_dup_lines") < 0.1 * c("n_lines")),
