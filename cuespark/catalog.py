@@ -203,7 +203,7 @@ def folder_rollup(spark, d):
     return audio.rollup(tracks(spark, d))
 
 
-@_query(TRACKS + ", r AS (SELECT *, coalesce(list_position(['wav', 'flac', 'm4a', 'mp3'], extension), 5) AS k FROM tracks) SELECT track_key, arg_min(path, (warnings, k, path)) AS path, count(*) AS variants FROM r GROUP BY track_key")
+@_query(TRACKS + ", r AS (SELECT *, list_position(['mp3', 'wav', 'flac', 'ogg'], extension) AS k FROM tracks) SELECT track_key, arg_min(path, (warnings, k, path)) AS path, count(*) AS variants FROM r GROUP BY track_key")
 def best_variant(spark, d):
     return audio.best_variant(tracks(spark, d))
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIORITY = ("wav", "flac", "m4a", "mp3")
+# Kinds of file by preference, first to last.
+PRIORITY = {"mp3": 0, "wav": 1, "wave": 1, "flac": 2, "m4a": 3, "aac": 4, "opus": 5, "ogg": 6, "wma": 7}
+
+
+def ext_rank(extension: Column) -> Column:
+    """Rank of a kind of file; 99 for kinds without one."""
+    ranks = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
+    return F.coalesce(F.try_element_at(ranks, F.lower(extension)), F.lit(99))
 
 
 def rollup(files: DataFrame) -> DataFrame:
@@ -15,9 +22,7 @@ def rollup(files: DataFrame) -> DataFrame:
 
 def best_variant(files: DataFrame) -> DataFrame:
     """Of each track_key the file with the fewest warnings, then by kind, then by path."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("extension")), F.lit(0))
-    rank = F.when(rank == 0, len(PRIORITY) + 1).otherwise(rank)
-    return files.groupBy("track_key").agg(F.min(F.struct("warnings", rank.alias("rank"), "path")).alias("m"), F.count("*").alias("variants")).select("track_key", F.col("m.path").alias("path"), "variants")
+    return files.groupBy("track_key").agg(F.min(F.struct("warnings", ext_rank(F.col("extension")).alias("rank"), "path")).alias("m"), F.count("*").alias("variants")).select("track_key", F.col("m.path").alias("path"), "variants")
 
 
 def variant_match(files: DataFrame, tolerance: float = 0.02) -> DataFrame:

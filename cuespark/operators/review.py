@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.functions.text import decision
+
 
 def pair_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cues of two versions of a file, position by position: where index or times differ, or one side has ended."""
@@ -28,12 +30,6 @@ def neighbour_context(items: DataFrame, cues: DataFrame, offsets=(-2, -1, 1, 2))
     return wanted.join(last, ["file", "at"]).select("file", "idx", "offset", "content")
 
 
-def decision(word: Column, blank: str) -> Column:
-    """Closure reads a blank decision as pending, application as defer: ``blank``."""
-    told = F.lower(F.trim(F.coalesce(word, F.lit(""))))
-    return F.when(told == "", blank).otherwise(told)
-
-
 def closure(expected: DataFrame, reviewed: DataFrame) -> DataFrame:
     """expected (issue_id) and reviewed (issue_id, ord, decision, reason): a status for every id of either side; the last of repeated reviews counts."""
     newest = Window.partitionBy("issue_id").orderBy(F.desc("ord"))
