@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuespark.functions.text import keywords, script_form
 from cuespark.functions.timecode import format_srt, stable_id
-from cuespark.operators import audio, chunking, readability, review, timeline
-from cuespark.plans.views import CUES, IVALS, LINES, TRACKS, cues, doc_lines, intervals, table, tracks
+from cuespark.operators import activity, audio, chunking, closure, matching, readability, recovery, review, stages, timeline
+from cuespark.operators import tracks as track_files
+from cuespark.plans.views import CUES, FILES, FRAMES, IVALS, LINES, TRACKS, cues, doc_lines, files, frames, intervals, table, tracks
+from cuespark.sources import documents
 
 #: name: (query, SQL)
 QUERIES: dict = {}
 
 
-def _query(sql: str):
+def _query(sql: str | None):
+    """Registers a query with its SQL, or with None where SQL cannot express it."""
+
     def add(f):
-        QUERIES[f.__name__] = (f, "WITH " + sql)
+        QUERIES[f.__name__] = (f, sql and "WITH " + sql)
         return f
 
     return add
@@ -231,6 +238,153 @@ def page_meta(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, '<html lang="([^"]*)"', 1).alias("lang"), F.regexp_extract(h, '<meta charset="([^"]*)"', 1).alias("charset"))
 
 
+_GAPS = CUES + """, t AS (SELECT file, max(end_ms) + 2000 AS d FROM cues GROUP BY file),
+r AS (SELECT file, greatest(0, coalesce(max(end_ms) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a, start_ms AS b FROM cues UNION ALL SELECT file, d - 2000, d FROM t),
+gaps AS (SELECT file, a AS start_ms, b AS end_ms, 'main_asr_gap' AS reason FROM r WHERE b - a >= 300)"""
+
+
+def _lengths(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("file").agg((F.max("end_ms") + 2000).alias("duration_ms"))
+
+
+@_query(_GAPS + " SELECT * FROM gaps")
+def uncovered_windows(spark, d):
+    rows = cues(spark, d)
+    return recovery.uncovered(rows, _lengths(rows), 300)
+
+
+@_query(_GAPS + " SELECT file, greatest(0, start_ms - 200)::BIGINT AS start_ms, least(d, end_ms + 200)::BIGINT AS end_ms, reason FROM gaps JOIN t USING (file) WHERE least(d, end_ms + 200) - greatest(0, start_ms - 200) >= 800")
+def padded_windows(spark, d):
+    rows = cues(spark, d)
+    return recovery.padded(recovery.uncovered(rows, _lengths(rows), 300), _lengths(rows), 200, 800)
+
+
+@_query(CUES + """, x AS (SELECT file, start_ms, end_ms, CASE WHEN idx % 3 = 0 THEN 'third' ELSE 'other' END AS reason FROM cues),
+r AS (SELECT *, max(end_ms) OVER (PARTITION BY file ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM x),
+i AS (SELECT *, sum(CASE WHEN m IS NULL OR start_ms > m + 250 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM r),
+k AS (SELECT file, island, reason, min(start_ms) AS s, max(end_ms) AS e FROM i GROUP BY ALL)
+SELECT file, min(s) AS start_ms, max(e) AS end_ms, string_agg(reason, '+' ORDER BY s) AS reason FROM k GROUP BY file, island""")
+def merged_reasons(spark, d):
+    return recovery.merged(cues(spark, d).select("file", "start_ms", "end_ms", F.when(F.col("idx") % 3 == 0, "third").otherwise("other").alias("reason")))
+
+
+_SCORED = FRAMES + """, l AS (SELECT *, CASE WHEN left_rms <= 0 THEN -120.0::DOUBLE ELSE 20 * log10(least(left_rms, 32767) / 32767.0::DOUBLE) END AS left_db, CASE WHEN right_rms <= 0 THEN -120.0::DOUBLE ELSE 20 * log10(least(right_rms, 32767) / 32767.0::DOUBLE) END AS right_db FROM frames),
+k AS (SELECT *, greatest(left_db, right_db) AS level, row_number() OVER (PARTITION BY file ORDER BY greatest(left_db, right_db)) AS k, count(*) OVER (PARTITION BY file) AS n FROM l),
+h AS (SELECT *, greatest(max(CASE WHEN k = round_even((n - 1) * 0.2::DOUBLE, 0) + 1 THEN level END) OVER (PARTITION BY file) + 10, -48) AS threshold FROM k),
+c AS (SELECT *, regexp_replace(content, '[\\s\\pZ]+', '', 'g') AS t, (end_ms - start_ms) / 1000 AS s FROM cues),
+v AS (SELECT *, length(t) = 0 OR (s >= 2.5 AND length(t) <= 4) OR (s >= 4 AND length(t) / s <= 1) AS weak FROM c),
+m AS (SELECT f.file, f.pos, bool_and(weak) AS weak FROM frames f JOIN v ON f.file = v.file AND v.start_ms / 1000 < f.end_s AND v.end_ms / 1000 > f.start_s GROUP BY ALL),
+z AS (SELECT h.*, CASE WHEN weak IS NULL THEN 'none' WHEN weak THEN 'weak' ELSE 'strong' END AS state, level >= threshold AS active, abs(left_db - right_db) >= 6 AS sided FROM h LEFT JOIN m ON h.file = m.file AND h.pos = m.pos)"""
+
+
+@_query(_SCORED + """ SELECT file, pos, state, active, CASE WHEN NOT sided THEN 'balanced' WHEN left_db > right_db THEN 'left' ELSE 'right' END AS side,
+round(active::INT * 1.0 + CASE state WHEN 'none' THEN 1.25 WHEN 'weak' THEN 0.9 ELSE -0.5 END + CASE WHEN sided THEN 0.75 WHEN active THEN 0.3 ELSE 0 END + CASE WHEN level >= threshold + 8 THEN 0.4 ELSE 0 END, 2)::DOUBLE AS score FROM z""")
+def activity_scores(spark, d):
+    seen = activity.coverage(frames(spark, d), cues(spark, d))
+    return activity.scored(seen).select("file", "pos", "state", "active", "side", F.round("score", 2).alias("score"))
+
+
+@_query(_SCORED + """, q AS (SELECT * FROM z WHERE active AND (state <> 'strong' OR abs(left_db - right_db) >= 5)),
+b AS (SELECT *, sum(CASE WHEN pos = lp + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(pos) OVER (PARTITION BY file ORDER BY pos) AS lp FROM q))
+SELECT file, min(start_s)::DOUBLE AS start_s, max(end_s)::DOUBLE AS end_s, count(*) AS frames, round(avg((state = 'none')::INT), 6) AS gap_ratio,
+CASE WHEN avg((sided AND left_db > right_db)::INT) >= 0.4 AND avg((sided AND left_db > right_db)::INT) > avg((sided AND left_db <= right_db)::INT) THEN 'left' WHEN avg((sided AND left_db <= right_db)::INT) >= 0.4 AND avg((sided AND left_db <= right_db)::INT) > avg((sided AND left_db > right_db)::INT) THEN 'right' ELSE 'balanced' END AS side
+FROM b GROUP BY file, run HAVING max(end_s) - min(start_s) >= 1""")
+def activity_candidates(spark, d):
+    seen = activity.scored(activity.coverage(frames(spark, d), cues(spark, d)))
+    return activity.candidates(seen).select("file", "start_s", "end_s", "frames", F.round("gap_ratio", 6).alias("gap_ratio"), "side")
+
+
+_REVIEWS = """e AS (SELECT doc_id AS issue_id, source AS file, doc_id AS idx, CASE WHEN doc_id % 4 = 0 THEN 'formatting' ELSE 'semantic' END AS category FROM documents WHERE doc_id % 3 <> 0),
+r AS (SELECT doc_id AS issue_id, CASE WHEN toxic = 1 THEN 'defer' WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'seen' END AS reason, CASE WHEN doc_id % 7 = 0 THEN 'insufficient' ELSE 'script_confirmed' END AS level, CASE WHEN doc_id % 11 = 0 THEN 'looks right' ELSE 'ASR line' END AS evidence FROM labels)"""
+
+
+@_query(_REVIEWS + """, j AS (SELECT issue_id, e.issue_id AS ei, r.issue_id AS ri, category, decision, reason, level, evidence, decision = 'accept' AND category = 'semantic' AND evidence = 'looks right' AS put_off, reason = '' OR (decision = 'accept' AND level = 'insufficient') OR decision = 'defer' AS failed FROM e FULL JOIN r USING (issue_id))
+SELECT issue_id, CASE WHEN ri IS NULL THEN 'unresolved' WHEN ei IS NULL THEN 'unknown' WHEN put_off OR decision = 'defer' THEN 'deferred' WHEN decision = 'accept' AND NOT failed THEN 'ready_to_apply' WHEN decision = 'reject' AND NOT failed THEN 'rejected' ELSE 'invalid' END AS status,
+ri IS NOT NULL AND ei IS NOT NULL AND decision = 'accept' AND NOT put_off AND NOT failed AS apply_allowed FROM j""")
+def closure_report(spark, d):
+    n = F.col("doc_id")
+    e = table(spark, d, "documents").where("doc_id % 3 <> 0").select(n.alias("issue_id"), F.col("source").alias("file"), n.alias("idx"), F.when(n % 4 == 0, "formatting").otherwise("semantic").alias("category"), F.lit("high").alias("severity"))
+    none = F.lit(None).cast("string")
+    word = F.when(F.col("toxic") == 1, "defer").when(F.col("quality") == 1, "accept").otherwise("reject")
+    r = table(spark, d, "labels").select(
+        n.alias("issue_id"), F.lit(1).alias("ord"), none.alias("file"), F.lit(None).cast("long").alias("idx"), word.alias("decision"), F.when(n % 5 == 0, "").otherwise("seen").alias("decision_reason"), F.when(n % 7 == 0, "insufficient").otherwise("script_confirmed").alias("evidence_level"),
+        F.when(n % 11 == 0, "looks right").otherwise("ASR line").alias("evidence_summary"), F.lit("new").alias("replacement"), none.alias("corrected"), none.alias("suggest"), F.lit("old").alias("current"), none.alias("review_method"), F.lit(True).alias("review_required"),
+    )
+    return closure.items(e, r).select("issue_id", "status", "apply_allowed")
+
+
+@_query(FILES + """, b AS (SELECT track_key, min({n: w, r: k, p: path, e: extension, d: duration_s}) AS m, bool_or(extension = 'mp3') AS mp3 FROM files WHERE without GROUP BY track_key),
+c AS (SELECT b.track_key, string_agg(f.path, ',' ORDER BY f.path) AS others FROM b JOIN files f ON b.track_key = f.track_key AND NOT f.without AND greatest(m.d, f.duration_s) > 0 AND abs(m.d - f.duration_s) / greatest(m.d, f.duration_s) <= 0.02::DOUBLE GROUP BY ALL)
+SELECT b.track_key, m.p AS path, coalesce(others, '') AS others, others IS NULL OR m.n > 0 AS requires_review FROM b LEFT JOIN c ON b.track_key = c.track_key""")
+def selected_sources(spark, d):
+    chosen = track_files.select_sources(track_files.described(files(spark, d)))
+    return chosen.select("track_key", "path", F.array_join("counterparts", ",").alias("others"), "requires_review")
+
+
+@_query(FILES + " SELECT directory, CASE WHEN without THEN 'no_se' ELSE 'unknown' END AS category, count(*) AS files FROM files GROUP BY ALL")
+def category_hist(spark, d):
+    return track_files.described(files(spark, d)).groupBy("directory", "category").agg(F.count("*").alias("files"))
+
+
+@_query("k AS (SELECT doc_id, trim(lang) AS k1, trim(source) AS k2 FROM documents) SELECT doc_id, array_to_string(list_filter([k1, CASE WHEN 'x' <> k1 THEN 'x' END, CASE WHEN 'y' <> k1 THEN 'y' END, CASE WHEN k2 NOT IN (k1, 'x', 'y') THEN k2 END], lambda x: x IS NOT NULL), ';') AS words FROM k")
+def keyword_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(keywords(F.concat_ws(",", "lang", F.lit("x / y"), "source", F.lit(" x"), "lang")), ";").alias("words"))
+
+
+@_query(CUES + r""" SELECT file, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(content, '︙', '…'), '[\s\pZ]+', '', 'g'), '[0-9０-９]', '', 'g'), '[-‐‑–—―ー−]+', 'ー', 'g'), '[、。,.!?！？♡❤♪『』「」()\[\]（）…・:：;；"''“”]', '', 'g') AS form FROM cues""")
+def script_forms(spark, d):
+    return cues(spark, d).select("file", "pos", script_form(F.col("content")).alias("form"))
+
+
+@_query("f AS (SELECT doc_id AS file, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE coalesce(text, '') <> '') SELECT file, generate_subscripts(l, 1)::BIGINT AS line, md5(unnest(l)) AS content FROM f")
+def document_lines(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("value"))
+    return documents.lines(texts).select("file", "line", F.md5("content").alias("content"))
+
+
+def _quote(request: str) -> str:
+    """A model for tests: every target between marks."""
+    return json.dumps([{"i": x["i"], "zh": f"> {x['text']} <", "flags": ["long_line", "none"]} for x in json.loads(request)["target_items"]])
+
+
+@_query(CUES + " SELECT file, idx AS i, md5('> ' || content || ' <') AS text, 'long_line' AS flags FROM cues")
+def model_stage(spark, d):
+    rows = cues(spark, d).select("file", "pos", F.floor((F.col("pos") - 1) / 12).alias("chunk"), F.struct(F.col("idx").alias("i"), F.col("content").alias("text")).alias("item"))
+    told = stages.translations(stages.ask(stages.requests(rows), _quote))
+    return told.select("file", "i", F.md5("text").alias("text"), F.array_join("flags", ",").alias("flags"))
+
+
+@_query("x AS (SELECT doc_id AS setting, CASE WHEN doc_id % 2 = 0 THEN lang END AS a, CASE WHEN doc_id % 3 = 0 THEN source END AS b FROM documents) SELECT setting, coalesce(a, b, 'default') AS value, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 ELSE 2 END AS layer FROM x")
+def config_overlay(spark, d):
+    docs = table(spark, d, "documents")
+    key = F.col("doc_id").alias("setting")
+    first, second = docs.select(key, F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("value")), docs.select(key, F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("value"))
+    return stages.overlay([first, second, docs.select(key, F.lit("default").alias("value"))])
+
+
+@_query(None)
+def page_metadata(spark, d):
+    return documents.page_metadata(table(spark, d, "pages")).select("page_id", "title", "description", "image", "maker", "published", F.array_join("keywords", ";").alias("keywords"))
+
+
+def _scripts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select((F.col("item_id") % 20).alias("work"), F.col("item_id").alias("track"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@_query(None)
+def page_windows(spark, d):
+    scripts = _scripts(spark, d)
+    sentences = scripts.select("work", "track", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select("work", F.struct("track", "k").alias("page"), "text")
+    return matching.best_page_window(scripts, matching.clean_pages(sentences), 4)
+
+
+@_query(None)
+def unscripted_cues(spark, d):
+    items = _scripts(spark, d)
+    scripts = items.groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return matching.unscripted(cues(spark, d).withColumn("work", F.col("file") % 20), scripts).select("work", "file", "idx", F.round("ratio", 6).alias("ratio"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cues break each structural rule."""
     return structural_issues(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
@@ -241,4 +395,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items()}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

@@ -61,3 +61,29 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRACKS = """tracks AS (SELECT p_name AS track_key, p_name || '/' || p_partkey AS path, p_brand AS directory, ['mp3', 'wav', 'flac', 'ogg'][p_partkey % 4 + 1] AS extension, (p_size % 3)::BIGINT AS warnings,
   CASE WHEN p_size % 10 <> 0 THEN floor(p_retailprice)::DOUBLE END AS duration_s FROM part)"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as frames of half a second, with levels from their values."""
+    rms = F.floor(F.col("value") * 20).cast("int")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.row_number().over(w).cast("long").alias("pos"), rms.alias("left_rms"), (rms * (1 + F.col("event_id") % 3)).cast("int").alias("right_rms"))
+    return rows.withColumns({"start_s": (F.col("pos") - 1) / 2, "end_s": F.col("pos") / 2})
+
+
+FRAMES = CUES + """, base_frames AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, floor(value * 20)::INT AS left_rms, (floor(value * 20)::INT * (1 + event_id % 3))::INT AS right_rms FROM events),
+frames AS (SELECT *, (pos - 1) / 2 AS start_s, pos / 2 AS end_s FROM base_frames)"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as audio files, every other one said to be without effects."""
+    kinds = F.array(*map(F.lit, ("mp3", "wav", "flac", "ogg")))
+    key = F.col("p_partkey")
+    kind = kinds[(F.floor(key / 2) % 4).cast("int")]
+    path = F.concat("p_brand", F.lit("/"), key.cast("string"), F.lit("/"), "p_name", F.when(key % 2 == 0, " No_SE").otherwise(""), F.lit("."), kind)
+    return table(spark, sf_dir, "part").select(path.alias("path"), F.col("p_brand").alias("directory"), kind.alias("extension"), (F.col("p_size").cast("long") * 20_000).alias("size_bytes"), F.when(F.col("p_size") % 10 != 0, F.floor("p_retailprice").cast("double")).alias("duration_s"))
+
+
+FILES = r"""named AS (SELECT *, ['mp3', 'wav', 'flac', 'ogg'][p_partkey // 2 % 4 + 1] AS extension FROM part),
+files AS (SELECT p_brand || '/' || p_partkey || '/' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' No_SE' ELSE '' END || '.' || extension AS path, p_brand AS directory, extension, list_position(['mp3', 'wav', 'flac', '', '', '', 'ogg'], extension) AS k, (p_size * 20000 < 262144)::INT AS w, p_partkey % 2 = 0 AS without,
+  CASE WHEN p_size % 10 <> 0 THEN floor(p_retailprice)::DOUBLE END AS duration_s, regexp_replace(lower(p_name), '[\s\-_.,/\\()]+', '', 'g') AS track_key FROM named)"""
