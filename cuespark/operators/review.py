@@ -64,3 +64,27 @@ def upsert_absent(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows of ``wanted`` (signature) without a cached result of that signature whose status is ok."""
     return wanted.join(cache.where("status = 'ok'").select("signature").distinct(), "signature", "left_anti")
+
+
+def update_by_key(held: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """``held`` with ``column`` replaced where ``changes`` (key, column) has a value; of several changes of a key the greatest counts."""
+    new = changes.where(F.col(column).isNotNull()).groupBy(key).agg(F.max(column).alias("_new"))
+    value = F.coalesce("_new", column)
+    return held.join(new, key, "left").select(*[value.alias(c) if c == column else F.col(c) for c in held.columns])
+
+
+def promote(queue: DataFrame, libraries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Approved rows of a queue (id, ord, target, decision, entry) into libraries (target, entry).
+
+    The libraries with each new entry once, and what became of every approved row (id,
+    status): applied, already_present (there before, or from an earlier row), or
+    unknown_target, where no library has that name.
+    """
+    approved = queue.where(F.lower(F.trim("decision")) == "approve")
+    known = libraries.select("target").distinct().withColumn("_known", F.lit(True))
+    held = libraries.where("entry IS NOT NULL").select("target", "entry").distinct().withColumn("_held", F.lit(True))
+    j = approved.join(known, "target", "left").join(held, ["target", "entry"], "left")
+    rank = F.row_number().over(Window.partitionBy("target", "entry").orderBy("ord", "id"))
+    j = j.withColumn("status", F.when(F.col("_known").isNull(), "unknown_target").when(F.col("_held") | (rank > 1), "already_present").otherwise("applied"))
+    added = j.where("status = 'applied'").select("target", "entry")
+    return libraries.select("target", "entry").unionByName(added), j.select("id", "status")

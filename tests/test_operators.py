@@ -69,3 +69,14 @@ def test_resume(spark, tmp_path):
     inputs = spark.createDataFrame([("a",), ("b",)], "signature string")
     done = spark.createDataFrame([("a", "ok"), ("b", "failed")], "signature string, status string")
     assert [r[0] for r in pending(inputs, done).collect()] == ["b"]
+
+
+def test_update_and_promotion(spark):
+    held = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, status string, note string")
+    changes = spark.createDataFrame([(1, "done"), (2, None), (3, "z")], "id int, status string")
+    assert sorted(tuple(r) for r in review.update_by_key(held, changes, "id", "status").collect()) == [(1, "done", "x"), (2, "b", "y")]
+    libraries = spark.createDataFrame([("rules", "r1"), ("terms", None)], "target string, entry string")
+    queue = spark.createDataFrame([(1, 1, "rules", "Approve", "r1"), (2, 2, "terms", "approve", "t1"), (3, 3, "terms", "approve", "t1"), (4, 4, "none", "approve", "e"), (5, 5, "rules", "reject", "r2")], "id int, ord int, target string, decision string, entry string")
+    after, told = review.promote(queue, libraries)
+    assert {r.id: r.status for r in told.collect()} == {1: "already_present", 2: "applied", 3: "already_present", 4: "unknown_target"}
+    assert sorted((r.target, r.entry or "") for r in after.collect()) == [("rules", "r1"), ("terms", ""), ("terms", "t1")]
