@@ -12,8 +12,12 @@ is met with other contents too send one copy of their bytes to the task of that
 anchor.  There, texts are cut into phrases at local minima of a hash, the suffix
 array of the phrases is built (suffix_groups), and stretches whose suffixes share
 their first phrases are neighbours in it; strings of such places are then compared.
-A stretch's strings of an anchor that very many stretches have are dealt over
-several tasks by where in them the anchor stands; equal strings agree in that.
+Stretches of an anchor that very many have are cut into parts by where in their
+strings the anchor stands, and go to groups by the part and by the content that all
+strings of it hold around the anchor; equal strings agree in both.  The parts are
+then treated like stretches, so that only those whose group has other contents too
+send bytes.  Where a group of parts is still too large, it is cut into single
+strings, for which equal groups are equal strings.
 
 Defined cases: null text counts as empty; texts of less than LENGTH bytes and empty
 texts are left as they are; copies of a text are repeats of each other; repeated
@@ -24,6 +28,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,10 @@ GRAM = 128
 PHRASE_GRAM, PHRASE_SPAN = 16, 48
 #: Bytes of one suffix array, about; texts are cut into stretches PART bytes at a time.
 BATCH, PART = 2 << 20, 8 << 20
-#: Stretches of an anchor that one task compares, about.
+#: Stretches of an anchor (or parts in a group) that one suffix array takes, at most.
 PER_TASK = 20_000
+#: Places of the anchor that a part spans, where there are more: first so many, then one.
+WIDTHS = (16, 1)
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -82,7 +89,7 @@ class Hashes:
 def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` hashes the place of the least, the first of those that tie."""
     n = len(hashes) - span + 1
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << max(24, len(hashes).bit_length())) - 1)
     keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     full = -(-len(keys) // span) * span
     padded = np.full(full, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -149,6 +156,14 @@ def repeated(parts: list[bytes], counts: list[int], length: int = LENGTH) -> lis
     return out
 
 
+STRETCH = "key binary, m long, d long, s int, n int, o int"
+
+
+def _stretch_rows(keys: list, columns: list) -> pa.RecordBatch:
+    m, d, s, n, o = (np.concatenate(c) for c in zip(*columns))
+    return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "m": m, "d": d, "s": s.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32)})
+
+
 def _find_stretches(batches):
     for batch in batches:
         keys, columns = [], []
@@ -158,65 +173,99 @@ def _find_stretches(batches):
                 keys += [key] * len(found[0])
                 columns.append(found)
         if columns:
-            m, d, s, n, o = (np.concatenate(c) for c in zip(*columns))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "m": m, "d": d, "s": s.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32)})
+            yield _stretch_rows(keys, columns)
 
 
 def _slice(batches):
-    """Bytes of the stretches that are asked for; those of frequent anchors in parts by the anchor's place."""
+    """Bytes of the stretches that are asked for."""
     for batch in batches:
         rows = []
         for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
-            for x in asked:
-                width = -(-(LENGTH - GRAM + 1) // x["parts"])
-                s, stop = x["s"], x["s"] + x["n"]
-                while s < stop:
-                    part = (x["s"] + x["o"] - s) // width  # the anchor stands s bytes nearer with each string
-                    n = min(stop - s, x["s"] + x["o"] - s - part * width + 1)
-                    rows.append((x["m"], part, key, s, n, text[s : s + n - 1 + LENGTH]))
-                    s += n
+            rows += [(x["m"], key, x["s"], x["n"], text[x["s"] : x["s"] + x["n"] - 1 + LENGTH]) for x in asked]
         for a in range(0, len(rows), 4000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4000]), (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["m", "part", "key", "s", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4000]), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["m", "key", "s", "n", "data"])
+
+
+def parts(data: bytes, s: int, n: int, o: int, width: int):
+    """Like ``stretches``, of one stretch: its parts of ``width`` places of the anchor; the hash is that of what all strings of the part would hold."""
+    hashes = Hashes(np.frombuffer(data, np.uint8, n - 1 + LENGTH, s))
+    low = np.arange((o - n + 1) // width, o // width + 1) * width
+    high = np.minimum(low + width - 1, LENGTH - GRAM)
+    top = np.minimum(high, o)  # the anchor stands a byte nearer with each string
+    size = top - np.maximum(low, o - n + 1) + 1
+    first = o - top
+    around = _mix(hashes.of(o - low, o - high + LENGTH) ^ _mix(low.astype(np.uint64)))
+    content = _mix(hashes.of(first, first + size - 1 + LENGTH) ^ _mix(size.astype(np.uint64) << np.uint64(32) ^ top.astype(np.uint64)))
+    return around.view(np.int64), content.view(np.int64), first + s, size, top
+
+
+def _cutter(width: int):
+    def run(batches):
+        for batch in batches:
+            keys, columns = [], []
+            for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
+                for x in asked:
+                    columns.append(parts(text, x["s"], x["n"], x["o"], width))
+                    keys += [key] * len(columns[-1][0])
+            if columns:
+                yield _stretch_rows(keys, columns)
+
+    return run
 
 
 def _compare(batches):
-    """Over rows in the order of (m, part): strings that are met twice."""
+    """Over rows in the order of m: strings that are met twice."""
     held, size, last = [], 0, None
 
     def flush():
-        rows = [(key, s + a, k) for (_, key, s, _, _), runs in zip(held, repeated([h[4] for h in held], [h[3] for h in held])) for a, k in runs]
+        rows = [(key, s + a, k) for (key, s, _, _), runs in zip(held, repeated([h[3] for h in held], [h[2] for h in held])) for a, k in runs]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int32()))], names=["key", "s", "n"])
 
     for batch in batches:
-        for m, part, key, s, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "part", "key", "s", "n", "data"))):
-            if size >= BATCH and (m, part) != last:
+        for m, key, s, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "key", "s", "n", "data"))):
+            if size >= BATCH and m != last:
                 yield from flush()
                 held, size = [], 0
-            last = (m, part)
-            held.append((m, key, s, n, data))
+            last = m
+            held.append((key, s, n, data))
             size += len(data)
     if held:
         yield from flush()
 
 
+def _met(found: DataFrame, work: Workspace, step: int) -> tuple[DataFrame, DataFrame]:
+    """Of the written stretches of a step: those met again as a whole; and one of each content, where a group has several."""
+    anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1"), f"anchors{step}")
+    again = work.table(found.join(anchors.hint("merge"), "m"), f"again{step}")
+    work.drop(f"stretches{step}", f"anchors{step}")
+    classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(F.struct("key", "s", "n", "o")).alias("first"), F.max("mixed").alias("mixed"), F.max("times").alias("times")), f"classes{step}")
+    whole = again.join(classes.where("c > 1").select("m", "d").hint("merge"), ["m", "d"]).select("key", "s", "n")
+    return whole, classes.where("mixed").select("m", "first.*", "times")
+
+
 def spans(docs: DataFrame, work: Workspace) -> DataFrame:
     """key (digest of a text's bytes), spans: array of (s, n), runs of strings that also stand elsewhere."""
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    found = work.table(texts.mapInArrow(_find_stretches, "key binary, m long, d long, s int, n int, o int"), "stretches")
-    anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1"), "anchors")
-    again = work.table(found.join(anchors.hint("merge"), "m"), "again")
-    work.drop("stretches", "anchors")
-    classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(F.struct("key", "s", "n", "o")).alias("first"), F.max("mixed").alias("mixed"), F.max("times").alias("times")), "classes")
-    whole = again.join(classes.where("c > 1").select("m", "d").hint("merge"), ["m", "d"]).select("key", "s", "n")
 
-    parts = F.least(F.lit(LENGTH - GRAM + 1), F.ceil(F.col("times") / PER_TASK)).cast("int").alias("parts")
-    asked = work.table(classes.where("mixed").select("first.key", F.struct("m", "first.s", "first.n", "first.o", parts).alias("x")).groupBy("key").agg(F.collect_list("x").alias("asked")), "asked")
-    sources = marked(texts, asked, "key").where("hit").groupBy("key").agg(F.first("text").alias("text"))
-    sliced = asked.hint("merge").join(sources, "key").select("key", "text", "asked").mapInArrow(_slice, "m long, part int, key binary, s int, n int, data binary")
-    compared = work.table(sliced.repartition("m", "part").sortWithinPartitions("m", "part").mapInArrow(_compare, "key binary, s int, n int"), "compared")
-    out = work.table(whole.unionByName(compared).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
-    work.drop("again", "classes", "asked", "compared")
+    def with_text(some: DataFrame, name: str) -> DataFrame:
+        asked = work.table(some.groupBy("key").agg(F.collect_list(F.struct("m", "s", "n", "o")).alias("asked")), name)
+        sources = marked(texts, asked, "key").where("hit").groupBy("key").agg(F.first("text").alias("text"))
+        return asked.hint("merge").join(sources, "key").select("key", "text", "asked")
+
+    found, runs, made = texts.mapInArrow(_find_stretches, STRETCH), [], []
+    for step, width in enumerate((*WIDTHS, None)):
+        whole, left = _met(work.table(found, f"stretches{step}"), work, step)
+        few = left.where(F.col("times") <= PER_TASK) if width else left  # groups of single strings have one content
+        sliced = with_text(few, f"asked{step}").mapInArrow(_slice, "m long, key binary, s int, n int, data binary")
+        runs += [whole, work.table(sliced.repartition("m").sortWithinPartitions("m").mapInArrow(_compare, "key binary, s int, n int"), f"compared{step}")]
+        made += [f"{name}{step}" for name in ("again", "classes", "asked", "compared", "cut")]
+        many = left.where(F.col("times") > PER_TASK)
+        if not width or many.isEmpty():
+            break
+        found = with_text(many, f"cut{step}").mapInArrow(_cutter(width), STRETCH)
+    out = work.table(reduce(DataFrame.unionByName, runs).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
+    work.drop(*made)
     return out
 
 

@@ -228,6 +228,27 @@ def test_frequent_anchors_are_dealt_in_parts(spark, sf_dir, monkeypatch):
     assert sorted(map(str, substring_dedup.remove_repeats(docs, digest=True).collect())) == want
 
 
+def test_places_beyond_24_bits():
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, (1 << 24) + 5000, dtype=np.uint64)
+    assert (substring_dedup.least_places(hashes, 48)[1 << 24 :] == substring_dedup.least_places(hashes[1 << 24 :], 48) + (1 << 24)).all()
+
+
+def test_an_anchor_of_over_16_mb_in_many_surroundings(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    data = letters(1 << 20)
+    least = int(substring_dedup.Hashes(np.frombuffer(data.encode(), np.uint8)).every(substring_dedup.GRAM).argmin())
+    phrase, side, n = data[least : least + substring_dedup.GRAM], substring_dedup.LENGTH - substring_dedup.GRAM, 40_000
+    rows = [(i, letters(side), letters(side)) for i in range(n)]
+    for i in range(0, n, 8):  # a pair is like before the phrase, a pair in 20 bytes less before it and 20 after it
+        rows[i + 1] = (i + 1, rows[i][1], rows[i + 1][2])
+        rows[i + 3] = (i + 3, rows[i + 3][1][:20] + rows[i + 2][1][20:], rows[i + 2][2][:20] + rows[i + 3][2][20:])
+    docs = spark.createDataFrame([(i, a + phrase + b) for i, a, b in rows], "doc_id long, text string").repartition(8)
+    got = {r.row.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, digest=True).collect()}
+    assert len(got) == n and all(v >= 400 if k % 8 < 4 else v == 0 for k, v in got.items())
+    assert {v for k, v in got.items() if k % 8 < 4} <= set(range(400, 410))  # neighbours may agree by chance
+
+
 def test_jaccard_join(spark, sf_dir, odd):
     out = by_id(jaccard_join.classes(odd), "class_id", "class_size", "n_links")
     assert out[4] == (1, 3, 2) and out[2] == (2, 1, 0) and out[7] == (7, 1, 0) and out[6][0] == 5
