@@ -24,6 +24,7 @@ by ``rewrite``.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,15 +142,18 @@ def _ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> Data
     return df.withColumn("inside", inside).join(before, [*keys, "bucket"]).withColumn(name, (F.col("before") + F.col("inside")).cast("long")).drop("before", "inside")
 
 
+def _measures() -> tuple[Column, Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+
+
 def assign(docs: DataFrame, old_shard: Column, n_new: int) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, size, text_crc32, old_shard, shard, slot.
 
     Law ``rows``: counts of the shards are at most one apart.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = (F.octet_length(text) + 1).cast("long")
     work = Workspace(docs.sparkSession, "reshard")
-    rows = work.table(docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard")), "rows")
+    rows = work.table(docs.select("doc_id", *_measures(), old_shard.cast("int").alias("old_shard")), "rows")
     rows = rows.withColumn("cls", F.least(F.lit(SIZE_CLASSES - 1), F.floor(4 * F.log2("size"))).cast("int"))
     blocks = [(r[0], r[1], r[2], r[3]) for r in rows.groupBy("old_shard", "cls").agg(F.count("*"), F.sum("size")).collect()]
     moves = plan(blocks, n_new)
@@ -170,17 +174,36 @@ def assign(docs: DataFrame, old_shard: Column, n_new: int) -> DataFrame:
 def rewrite(target: str, moved: DataFrame, docs: DataFrame, shard_col: str = "shard") -> list[int]:
     """Rewrite the shards of ``target`` (Parquet by ``shard_col``) that gain or lose rows, and no other file; returns them.
 
-    ``moved``: rows of ``assign``.  ``docs``: the rows of target, with a unique doc_id.
+    ``moved``: rows of ``assign`` over the rows of target.  ``docs``: those rows.  A row's
+    identity is its old shard, doc_id, size and crc32 and, among rows that agree in
+    these, its number: the k-th of docs goes where the k-th of ``moved`` does.
     """
     spark = docs.sparkSession
     crossing = moved.where("shard <> old_shard").groupBy("old_shard", "shard").count().collect()
     affected = sorted({r["old_shard"] for r in crossing} | {r["shard"] for r in crossing})
-    if affected:
-        work = Workspace(spark, "rewrite")
-        new = docs.drop(shard_col).join(moved.where(F.col("shard").isin(affected)).select("doc_id", F.col("shard").alias(shard_col)), "doc_id")
-        staged = work.table(new, "staged")  # the target is read before any of it goes
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard_col).parquet(target)
-        work.drop("staged")
+    if not affected:
+        return affected
+    kind = docs.drop(shard_col).schema
+    keys = ["doc_id", "size", "text_crc32"]
+    lying = docs.where(F.col(shard_col).isin(affected)).select("doc_id", *_measures(), F.col(shard_col).cast("int").alias("old_shard"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("to"), F.struct(*kind.names).alias("row"))
+    places = moved.where(F.col("old_shard").isin(affected)).select(*keys, "old_shard", F.lit(0).alias("side"), F.col("shard").cast("int").alias("to"), F.lit(None).cast(kind).alias("row"))
+    both = places.unionByName(lying).withColumn("hash", F.xxhash64(*keys)).repartition("old_shard", "hash")  # the one exchange: the windows agree with it
+    both = both.withColumn("k", F.row_number().over(Window.partitionBy("old_shard", "hash", "side").orderBy(*keys)))
+    before = Window.partitionBy("old_shard", "hash").orderBy(*keys, "k", "side")
+    known = F.lag(F.struct(*keys, "k", "side")).over(before).eqNullSafe(F.struct(*keys, "k", F.lit(0).alias("side")))
+    paired = both.withColumns({"known": known, "to": F.lag("to").over(before)}).where("side = 1")
+    shard = F.when(F.col("known"), F.col("to")).otherwise(F.raise_error(F.lit("a row of the target has no place")).cast("int"))
+    staged = f"{target}/_rewrite-{uuid.uuid4().hex[:12]}"  # not seen by readers; all is written before any of the target goes
+    paired.select("row.*", shard.alias(shard_col)).write.option("compression", "zstd").partitionBy(shard_col).parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in affected:
+        files.delete(path(f"{target}/{shard_col}={k}"), True)
+        new = path(f"{staged}/{shard_col}={k}")
+        if files.exists(new) and not files.rename(new, path(f"{target}/{shard_col}={k}")):
+            raise OSError(f"{new.toString()} could not be moved")
+    files.delete(path(staged), True)
+    spark.catalog.refreshByPath(target)
     return affected
 
 
@@ -188,7 +211,13 @@ N_SHARDS = 8
 
 
 def op1_sharding(spark, sf_dir):
-    """Documents lie by source, which is uneven; they are dealt evenly to shards 0 to 7."""
+    """Documents lie by source, which is uneven; they are dealt evenly to shards 0 to 7, and the files of those that change are rewritten."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(N_SHARDS))
-    return assign(docs, by_source, N_SHARDS).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(N_SHARDS)).cast("int")
+    work = Workspace(spark, "shards")
+    docs = docs.withColumn("shard", by_source)
+    docs.write.option("compression", "zstd").partitionBy("shard").parquet(work.path("target"))
+    lying = work.read("target", docs.schema)
+    moved = work.table(assign(lying, F.col("shard"), N_SHARDS), "moved")
+    rewrite(work.path("target"), moved, lying)
+    return moved.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

@@ -188,6 +188,21 @@ def test_packing(odd):
         assert sum(x * n for x, n in chosen.items()) == best and all(n <= counts[x] for x, n in chosen.items())
 
 
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    prepare(spark)
+    target = str(tmp_path / "data")
+    rows = [(None if i % 3 == 0 else i // 4, None if i % 5 == 0 else f"t{i % 7}", i, i % 8) for i in range(90)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, n int, shard int")
+    docs.repartition(2).write.partitionBy("shard").parquet(target)
+    moved = sharding.assign(spark.read.parquet(target), F.col("shard"), 4).cache()
+    want = sorted(str((r.shard, r.doc_id, r.size, r.text_crc32)) for r in moved.collect())
+    assert sharding.rewrite(target, moved, spark.read.parquet(target)) == list(range(8))
+    after = spark.read.parquet(target)
+    assert sorted(str((r.doc_id, r.text, r.n)) for r in after.collect()) == sorted(str(r[:3]) for r in rows + rows[:9])
+    assert sorted(str((r.shard, r.doc_id, r.size, r.text_crc32)) for r in after.select("shard", "doc_id", *sharding._measures()).collect()) == want
+    assert sorted(p.name for p in (tmp_path / "data").iterdir() if p.is_dir()) == [f"shard={k}" for k in range(4)]
+
+
 def test_suffix_array():
     random.seed(2)
     for _ in range(600):
