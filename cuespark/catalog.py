@@ -376,7 +376,7 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
 def page_windows(spark, d):
     scripts = _scripts(spark, d)
     sentences = scripts.select("work", "track", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select("work", F.struct("track", "k").alias("page"), "text")
-    return matching.best_page_window(scripts, matching.clean_pages(sentences), 4)
+    return matching.best_page_window(scripts, matching.clean_pages(sentences))
 
 
 @_query(None)

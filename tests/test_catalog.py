@@ -72,6 +72,17 @@ def test_page_windows_by_brute_force(spark, duck, sf_dir):
     assert got == want
 
 
+def test_page_windows_of_twelve_pages(spark, duck, sf_dir):
+    want = {}
+    for work, items in _works(duck).items():
+        pages = [_form(p) for _, t in items for p in re.split(r"(?<=[.!?])\s+", t) if p.strip() and not re.fullmatch(r"[\d\s]+|-\s*\d+\s*-", p.strip())]
+        for item, text in items:
+            runs = [(-_alike(_form(text), "".join(pages[k:k + n])), k + 1, k + n) for k in range(len(pages)) for n in range(1, min(12, len(pages) - k) + 1)]
+            want[item] = min((r for r in runs if r[0] < 0), default=(0.0, 1, 1))
+    got = {r.track: (-r.ratio, r.first_page, r.last_page) for r in catalog.page_windows(spark, sf_dir).collect()}
+    assert got == want and any(b - a >= 4 for _, a, b in got.values())
+
+
 def test_unscripted_by_brute_force(spark, duck, sf_dir):
     scripts = {w: _form("\n".join(t for _, t in items)) for w, items in _works(duck).items()}
     want = set()
