@@ -1,28 +1,35 @@
 """Removal of long strings that stand in more than one place, by suffix arrays.
 
-Every byte is removed that a string of LENGTH bytes covers which also starts
+Every byte is removed that a string of ``length`` bytes covers which also starts
 anywhere else, in the same text or another.
 
-The work is divided by content.  In each string of LENGTH bytes one gram of GRAM
-bytes is its anchor (the first of those with the least hash), so equal strings have
+The work is divided by content.  In each string one gram (GRAM of its bytes in
+RATIO) is its anchor, the first of those with the least hash, so equal strings have
 equal anchors.  The strings of a text that share an anchor follow each other and
-form a stretch.  Only hashes of anchors and stretches are shuffled at first:
-stretches that are met again as a whole are repeats at once; stretches whose anchor
-is met with other contents too send one copy of their bytes to the task of that
-anchor.  There, texts are cut into phrases at local minima of a hash, the suffix
-array of the phrases is built (suffix_groups), and stretches whose suffixes share
-their first phrases are neighbours in it; strings of such places are then compared.
-Stretches of an anchor that very many have are cut into parts by where in their
-strings the anchor stands, and go to groups by the part and by the content that all
-strings of it hold around the anchor; equal strings agree in both.  The parts are
-then treated like stretches, so that only those whose group has other contents too
-send bytes.  Where a group of parts is still too large, it is cut into single
-strings, for which equal groups are equal strings.
-
-Defined cases: null text counts as empty; texts of less than LENGTH bytes and empty
-texts are left as they are; copies of a text are repeats of each other; repeated
-rows are rows like any other; an empty table gives an empty result; other columns
-are ignored.
+form a stretch.  Hashes of anchors and stretches are shuffled first: a stretch whose
+anchor is met nowhere else has no repeats.  Of the others, stretches with equal
+hashes form a class, and the bytes of one of a class, or two if it has several, go
+to the task of their anchor.
+
+There, what stands right of the anchor and, read backwards, what stands left of it
+are put in order by a suffix array (suffix_groups) over symbols of SYMBOL bytes.
+Neighbours in it tell how many bytes they share, so runs of neighbours that share
+enough on both sides hold equal strings: all bytes are compared, also those of
+stretches that are equal as a whole.  What is found for the one or two of a class
+holds for all of it; that rests on the class's 64-bit hash besides the anchor's, and
+on the md5 of texts, by which copies are known: among g stretches of an anchor, two
+different ones are taken for one with a chance below g*g / 2**65.
+
+Stretches of an anchor that very many classes have are cut into parts by where in
+their strings the anchor stands, and go to groups by the part and by the content
+that all strings of it hold around the anchor; equal strings agree in both.  The
+parts are then treated like stretches.  Where a group of parts is still too large,
+it is cut into single strings, of which a group holds one class.
+
+Defined cases: null text counts as empty; texts of less than ``length`` bytes and
+empty texts are left as they are; copies of a text are repeats of each other;
+repeated rows are rows like any other; an empty table gives an empty result; other
+columns are carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -39,13 +46,14 @@ from .suffix_groups import suffix_array
 from .workspace import Workspace, marked
 
 LENGTH = 400
-GRAM = 128
-#: Phrases: grams of PHRASE_GRAM bytes, a cut in each PHRASE_SPAN of them at least.
-PHRASE_GRAM, PHRASE_SPAN = 16, 48
+#: An anchor has GRAM bytes of RATIO of a string.
+GRAM, RATIO = 8, 25
+#: Bytes of a symbol of the suffix arrays.
+SYMBOL = 16
 #: Bytes of one suffix array, about; texts are cut into stretches PART bytes at a time.
-BATCH, PART = 2 << 20, 8 << 20
+BATCH, PART = 1 << 20, 8 << 20
 #: Stretches of an anchor (or parts in a group) that one suffix array takes, at most.
-PER_TASK = 20_000
+PER_TASK = 8_000
 #: Places of the anchor that a part spans, where there are more: first so many, then one.
 WIDTHS = (16, 1)
 
@@ -100,9 +108,13 @@ def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
     return (np.minimum(to_end[:n], from_start[span - 1 : span - 1 + n]) & low).astype(np.int64)
 
 
-def stretches(data: bytes, length: int = LENGTH, gram: int = GRAM):
+def gram_of(length: int) -> int:
+    return max(1, length * GRAM // RATIO)
+
+
+def stretches(data: bytes, length: int = LENGTH):
     """Arrays of a text's stretches: anchor hash, content hash, first string's start, strings, anchor's place in the first."""
-    out = []
+    out, gram = [], gram_of(length)
     for at in range(0, max(1, len(data) - length + 1), PART):
         part = np.frombuffer(data, np.uint8, min(len(data) - at, PART + length - 1), at)
         if len(part) < length:
@@ -118,173 +130,212 @@ def stretches(data: bytes, length: int = LENGTH, gram: int = GRAM):
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
-def repeated(parts: list[bytes], counts: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Of each part, whose first ``counts`` strings are asked about: runs (start, strings) of strings that stand in some other place of the parts."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    stops = np.cumsum([len(p) for p in parts])
-    begins = stops - np.array([len(p) for p in parts])
-    out: list[list[tuple[int, int]]] = [[] for _ in parts]
-    hashes = Hashes(data)
-    cuts = np.unique(least_places(hashes.every(PHRASE_GRAM), PHRASE_SPAN))
-    if len(cuts) < 3:
-        return out
-    ids = hashes.of(cuts[:-1], cuts[1:])
-    owner = np.searchsorted(stops, cuts, "right")
-    apart = np.flatnonzero(owner[:-1] != owner[1:])  # phrases over the end of a part are like no other
-    ids[apart] = apart.astype(np.uint64)
-    order = suffix_array(ids)
-    pair = np.stack([ids[order], np.append(ids, np.uint64(1 << 63))[order + 1]])
-    same = (pair[:, 1:] == pair[:, :-1]).all(0)
-    met = np.zeros(len(cuts) + 1, bool)
-    met[order[1:][same]] = met[order[:-1][same]] = True
-
-    n = np.array(counts, np.int64)
-    strings = np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    # the first cut that lies deep enough in a string is the same wherever the string stands
-    asked = strings[met[np.searchsorted(cuts, strings + PHRASE_GRAM + PHRASE_SPAN)]]
-    found = hashes.of(asked, asked + length)
-    by_hash = np.argsort(found)
-    equal = np.diff(found[by_hash]) == 0
-    twice = np.zeros(len(asked), bool)
-    twice[by_hash[1:][equal]] = twice[by_hash[:-1][equal]] = True
-    hits = np.sort(asked[twice])
-    if len(hits):
-        part = np.searchsorted(stops, hits, "right")
-        edge = np.flatnonzero((np.diff(hits, prepend=-2) != 1) | (np.diff(part, prepend=-1) != 0))
-        for a, size in zip(edge, np.diff(edge, append=len(hits))):
-            out[part[a]].append((int(hits[a] - begins[part[a]]), int(size)))
+def ordered(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte strings by a suffix array over all of them, and how many bytes neighbours in it share.
+
+    Strings are filled up with zeros to whole symbols; what is shared may reach into that.
+    """
+    sizes = np.array([-(-len(x) // SYMBOL) for x in strings])
+    width = max(1, int(sizes.max()))
+    table = np.frombuffer(b"".join(x.ljust(width * SYMBOL, b"\0") for x in strings), np.uint8).reshape(len(strings), -1)
+    words = table.view(">u8").reshape(len(strings), width, -1)
+    symbols = np.zeros(words.shape[:2], np.int64)
+    for k in range(words.shape[2]):  # the rank of a symbol's bytes among all: equal for equal bytes only
+        names, rank = np.unique(words[:, :, k], return_inverse=True)
+        symbols = np.unique(symbols * len(names) + rank.reshape(symbols.shape), return_inverse=True)[1].reshape(symbols.shape)
+    ends = np.arange(len(strings))  # an end of its own for each string, before all symbols
+    rows = np.concatenate([symbols + len(strings), ends[:, None]], axis=1)
+    rows[ends, sizes] = ends
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    order_of = np.empty(int((sizes + 1).sum()), np.int64)
+    order_of[suffix_array(rows[np.arange(width + 1) <= sizes[:, None]])] = np.arange(len(order_of))
+    order = np.argsort(order_of[starts])
+    differ = table[order[1:]] != table[order[:-1]]
+    shared = np.where(differ.any(1), differ.argmax(1), width * SYMBOL)
+    return order, np.minimum(shared, SYMBOL * np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+
+
+def repeated(rows: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Of each row (strings, place of the anchor in the first, bytes): runs (first, strings) of its strings that another row holds too."""
+    n, o = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    left, left_shared = ordered([r[2][: r[1]][::-1] for r in rows])
+    right, right_shared = ordered([r[2][r[1] :] for r in rows])
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
+    before, after = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for k in range(int((o - n).min()) + 1, int(o.max()) + 1):  # strings with k bytes before the anchor
+        those = np.flatnonzero((o >= k) & (o - n < k))
+        if len(those) > 1:
+            before[left[1:]] = np.cumsum(left_shared < k)
+            after[right[1:]] = np.cumsum(right_shared < length - k)
+            _, group, size = np.unique(before[those] * len(rows) + after[those], return_inverse=True, return_counts=True)
+            met = those[size[group] > 1]
+            hits.append((met, o[met] - k))
+    out: list[list[tuple[int, int]]] = [[] for _ in rows]
+    if hits:
+        row, at = (np.concatenate(x) for x in zip(*hits))
+        by = np.lexsort((at, row))
+        row, at = row[by], at[by]
+        edge = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        for a, size in zip(edge, np.diff(edge, append=len(row))):
+            out[row[a]].append((int(at[a]), int(size)))
     return out
 
 
 STRETCH = "key binary, m long, d long, s int, n int, o int"
+#: Parts know their stretch's class and where in it they begin.
+PARTS = STRETCH + ", cm long, cd long, at int"
 
 
-def _stretch_rows(keys: list, columns: list) -> pa.RecordBatch:
+def _stretch_rows(keys: list, columns: list, **more) -> pa.RecordBatch:
     m, d, s, n, o = (np.concatenate(c) for c in zip(*columns))
-    return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "m": m, "d": d, "s": s.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32)})
+    return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "m": m, "d": d, "s": s.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32)} | more)
+
+
+def _finder(length: int):
+    def run(batches):
+        for batch in batches:
+            keys, columns = [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                found = stretches(text, length)
+                if len(found[0]):
+                    keys += [key] * len(found[0])
+                    columns.append(found)
+            if columns:
+                yield _stretch_rows(keys, columns)
+
+    return run
 
 
-def _find_stretches(batches):
-    for batch in batches:
-        keys, columns = [], []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            found = stretches(text)
-            if len(found[0]):
-                keys += [key] * len(found[0])
-                columns.append(found)
-        if columns:
-            yield _stretch_rows(keys, columns)
+SLICED = ("m long, d long, again boolean, n int, o int, data binary", (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()))
 
 
-def _slice(batches):
+def _slicer(length: int):
     """Bytes of the stretches that are asked for."""
-    for batch in batches:
-        rows = []
-        for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
-            rows += [(x["m"], key, x["s"], x["n"], text[x["s"] : x["s"] + x["n"] - 1 + LENGTH]) for x in asked]
-        for a in range(0, len(rows), 4000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4000]), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["m", "key", "s", "n", "data"])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, asked in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
+                rows += [(x["m"], x["d"], x["again"], x["n"], x["o"], text[x["s"] : x["s"] + x["n"] - 1 + length]) for x in asked]
+            for a in range(0, len(rows), 4000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4000]), SLICED[1])], names=["m", "d", "again", "n", "o", "data"])
+
+    return run
 
 
-def parts(data: bytes, s: int, n: int, o: int, width: int):
+def parts(data: bytes, s: int, n: int, o: int, width: int, length: int):
     """Like ``stretches``, of one stretch: its parts of ``width`` places of the anchor; the hash is that of what all strings of the part would hold."""
-    hashes = Hashes(np.frombuffer(data, np.uint8, n - 1 + LENGTH, s))
+    hashes = Hashes(np.frombuffer(data, np.uint8, n - 1 + length, s))
     low = np.arange((o - n + 1) // width, o // width + 1) * width
-    high = np.minimum(low + width - 1, LENGTH - GRAM)
+    high = np.minimum(low + width - 1, length - gram_of(length))
     top = np.minimum(high, o)  # the anchor stands a byte nearer with each string
     size = top - np.maximum(low, o - n + 1) + 1
     first = o - top
-    around = _mix(hashes.of(o - low, o - high + LENGTH) ^ _mix(low.astype(np.uint64)))
-    content = _mix(hashes.of(first, first + size - 1 + LENGTH) ^ _mix(size.astype(np.uint64) << np.uint64(32) ^ top.astype(np.uint64)))
+    around = _mix(hashes.of(o - low, o - high + length) ^ _mix(low.astype(np.uint64)))
+    content = _mix(hashes.of(first, first + size - 1 + length) ^ _mix(size.astype(np.uint64) << np.uint64(32) ^ top.astype(np.uint64)))
     return around.view(np.int64), content.view(np.int64), first + s, size, top
 
 
-def _cutter(width: int):
+def _cutter(width: int, length: int):
     def run(batches):
         for batch in batches:
-            keys, columns = [], []
+            keys, columns, more = [], [], {"cm": [], "cd": [], "at": []}
             for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
                 for x in asked:
-                    columns.append(parts(text, x["s"], x["n"], x["o"], width))
-                    keys += [key] * len(columns[-1][0])
+                    columns.append(parts(text, x["s"], x["n"], x["o"], width, length))
+                    size = len(columns[-1][0])
+                    keys += [key] * size
+                    more["cm"] += [x["cm"]] * size
+                    more["cd"] += [x["cd"]] * size
+                    more["at"] += (columns[-1][2] - x["s"] + x["at"]).tolist()
             if columns:
-                yield _stretch_rows(keys, columns)
+                yield _stretch_rows(keys, columns, cm=pa.array(more["cm"], pa.int64()), cd=pa.array(more["cd"], pa.int64()), at=pa.array(more["at"], pa.int32()))
 
     return run
 
 
-def _compare(batches):
-    """Over rows in the order of m: strings that are met twice."""
-    held, size, last = [], 0, None
-
-    def flush():
-        rows = [(key, s + a, k) for (key, s, _, _), runs in zip(held, repeated([h[3] for h in held], [h[2] for h in held])) for a, k in runs]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int32()))], names=["key", "s", "n"])
-
-    for batch in batches:
-        for m, key, s, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "key", "s", "n", "data"))):
-            if size >= BATCH and m != last:
-                yield from flush()
-                held, size = [], 0
-            last = m
-            held.append((key, s, n, data))
-            size += len(data)
-    if held:
-        yield from flush()
+def _comparer(length: int):
+    """Over rows in the order of m: of each class, runs of strings that are met twice."""
 
+    def run(batches):
+        held, size, last = [], 0, None
+
+        def flush():
+            found = repeated([h[3:] for h in held], length) if len(held) > 1 else []
+            rows = [(m, d, a, k) for (m, d, again, *_), runs in zip(held, found) if not again for a, k in runs]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["m", "d", "a", "k"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("m", "d", "again", "n", "o", "data"))):
+                if size >= BATCH and row[0] != last:
+                    yield from flush()
+                    held, size = [], 0
+                last = row[0]
+                held.append(row)
+                size += len(row[5])
+        yield from flush()
 
-def _met(found: DataFrame, work: Workspace, step: int) -> tuple[DataFrame, DataFrame]:
-    """Of the written stretches of a step: those met again as a whole; and one of each content, where a group has several."""
-    anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1"), f"anchors{step}")
-    again = work.table(found.join(anchors.hint("merge"), "m"), f"again{step}")
-    work.drop(f"stretches{step}", f"anchors{step}")
-    classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(F.struct("key", "s", "n", "o")).alias("first"), F.max("mixed").alias("mixed"), F.max("times").alias("times")), f"classes{step}")
-    whole = again.join(classes.where("c > 1").select("m", "d").hint("merge"), ["m", "d"]).select("key", "s", "n")
-    return whole, classes.where("mixed").select("m", "first.*", "times")
+    return run
 
 
-def spans(docs: DataFrame, work: Workspace) -> DataFrame:
+def spans(docs: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
     """key (digest of a text's bytes), spans: array of (s, n), runs of strings that also stand elsewhere."""
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") >= length).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
 
     def with_text(some: DataFrame, name: str) -> DataFrame:
-        asked = work.table(some.groupBy("key").agg(F.collect_list(F.struct("m", "s", "n", "o")).alias("asked")), name)
+        asked = work.table(some.groupBy("key").agg(F.collect_list(F.struct(*[c for c in some.columns if c != "key"])).alias("asked")), name)
         sources = marked(texts, asked, "key").where("hit").groupBy("key").agg(F.first("text").alias("text"))
         return asked.hint("merge").join(sources, "key").select("key", "text", "asked")
 
-    found, runs, made = texts.mapInArrow(_find_stretches, STRETCH), [], []
+    found, runs, made = texts.mapInArrow(_finder(length), STRETCH), [], []
     for step, width in enumerate((*WIDTHS, None)):
-        whole, left = _met(work.table(found, f"stretches{step}"), work, step)
-        few = left.where(F.col("times") <= PER_TASK) if width else left  # groups of single strings have one content
-        sliced = with_text(few, f"asked{step}").mapInArrow(_slice, "m long, key binary, s int, n int, data binary")
-        runs += [whole, work.table(sliced.repartition("m").sortWithinPartitions("m").mapInArrow(_compare, "key binary, s int, n int"), f"compared{step}")]
-        made += [f"{name}{step}" for name in ("again", "classes", "asked", "compared", "cut")]
-        many = left.where(F.col("times") > PER_TASK)
-        if not width or many.isEmpty():
+        found = work.table(found, f"stretches{step}")
+        anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1"), f"anchors{step}")
+        again = work.table(found.join(anchors.hint("merge"), "m"), f"again{step}")
+        work.drop(f"stretches{step}", f"anchors{step}")
+        if step == 0:
+            met = again
+            again = again.withColumns({"cm": F.col("m"), "cd": F.col("d"), "at": F.lit(0)})
+        one = F.struct("key", "s", "n", "o", "cm", "cd", "at")
+        classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(one).alias("first"), F.max(one).alias("last"), F.max("times").alias("times")), f"classes{step}")
+        sent = classes.select("m", "d", "times", F.explode(F.when(F.col("c") > 1, F.array(F.struct(F.lit(False).alias("again"), "first.*"), F.struct(F.lit(True).alias("again"), "last.*"))).otherwise(F.array(F.struct(F.lit(False).alias("again"), "first.*")))).alias("x")).select("m", "d", "times", "x.*")
+        made += [f"{name}{step}" for name in ("again", "classes", "crowded", "asked", "compared", "cut")]
+        crowded = None
+        if width:  # groups of single strings hold one class
+            crowded = work.table(classes.where(F.col("times") > PER_TASK).groupBy("m").agg(F.sum(F.least("c", F.lit(2))).alias("rows")).where(F.col("rows") > PER_TASK).select("m"), f"crowded{step}")
+            crowded = None if crowded.isEmpty() else crowded
+        few = sent.join(crowded, "m", "left_anti") if crowded else sent
+        sliced = with_text(few.select("key", "m", "d", "again", "s", "n", "o"), f"asked{step}").mapInArrow(_slicer(length), SLICED[0])
+        compared = work.table(sliced.repartition("m").sortWithinPartitions("m").mapInArrow(_comparer(length), "m long, d long, a int, k int"), f"compared{step}")
+        if step:
+            compared = again.join(compared.hint("merge"), ["m", "d"]).select(F.col("cm").alias("m"), F.col("cd").alias("d"), (F.col("at") + F.col("a")).alias("a"), "k").distinct()
+        runs.append(compared)
+        if not crowded:
             break
-        found = with_text(many, f"cut{step}").mapInArrow(_cutter(width), STRETCH)
-    out = work.table(reduce(DataFrame.unionByName, runs).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
+        found = with_text(sent.join(crowded, "m", "left_semi").select("key", "s", "n", "o", "cm", "cd", "at"), f"cut{step}").mapInArrow(_cutter(width, length), PARTS)
+    hits = met.join(reduce(DataFrame.unionByName, runs).hint("merge"), ["m", "d"]).select("key", (F.col("s") + F.col("a")).alias("s"), F.col("k").alias("n"))
+    out = work.table(hits.distinct().groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
     work.drop(*made)
     return out
 
 
-def covered(n_bytes: int, runs) -> np.ndarray:
+def covered(n_bytes: int, runs, length: int = LENGTH) -> np.ndarray:
     """True for each byte that a repeated string covers."""
     edges = np.zeros(n_bytes + 1, np.int64)
     for x in runs:
         edges[x["s"]] += 1
-        edges[x["s"] + x["n"] - 1 + LENGTH] -= 1
+        edges[x["s"] + x["n"] - 1 + length] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
-def _remover(digest: bool):
+def _remover(length: int):
     def run(batches):
         for batch in batches:
             texts, runs = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
             kept, removed, n_spans = [], [], []
             for text, r in zip(texts, runs):
-                cover = covered(len(text), r or [])
+                cover = covered(len(text), r or [], length)
                 kept.append(np.frombuffer(text, np.uint8)[~cover].tobytes())
                 removed.append(int(cover.sum()))
                 n_spans.append(int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum()))
@@ -294,36 +345,37 @@ def _remover(digest: bool):
                     "n_bytes": pa.array(map(len, texts), pa.int64()),
                     "n_removed": pa.array(removed, pa.int64()),
                     "n_spans": pa.array(n_spans, pa.int64()),
-                    "kept": pa.array([hashlib.sha256(k).hexdigest() if digest else k.decode("utf-8", "ignore") for k in kept], pa.string()),
+                    "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                    "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
                 }
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """(row struct of the input's columns but text, n_bytes, n_removed, n_spans, kept).
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(row struct of the input's columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
-    kept: what is left of the text, without characters that were cut in two; with
-    ``digest`` the sha256 of the bytes that are left.  Only texts with repeats move.
+    kept_sha256: digest of the bytes that are left; kept: the text they are, without
+    characters that were cut in two.  Only texts with repeats move.
     """
-    found = spans(docs, Workspace(docs.sparkSession, "repeats"))
+    found = spans(docs, Workspace(docs.sparkSession, "repeats"), length)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     rows = marked(rows, found, "key")
-    clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (F.sha2("text", 256) if digest else F.col("text")).alias("kept"))
+    clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
     hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans")
     kind = rows.schema["row"].dataType.simpleString()
-    return clean.unionByName(hit.mapInArrow(_remover(digest), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept string"))
+    return clean.unionByName(hit.mapInArrow(_remover(length), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings taken out, with all their columns; those of which nothing but white space is left go."""
-    left = remove_repeats(docs).where(r"kept RLIKE '[^\\x20\\x09-\\x0D]'")
+    left = remove_repeats(docs, length).where(r"kept RLIKE '[^\\x20\\x09-\\x0D]'")
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return left.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"row.{c}") for c in docs.columns])
 
 
 def op8_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, digest=True).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))

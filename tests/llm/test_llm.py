@@ -227,20 +227,22 @@ def test_substring_dedup(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.where("doc_id IS NOT NULL").select((F.col("doc_id") + 10**6).alias("doc_id"), "text")).withColumn("n", F.monotonically_increasing_id())
     rows = docs.collect()
     texts = [(r.text or "").encode() for r in rows]
-    got = {r.row.n: r for r in substring_dedup.remove_repeats(docs, digest=True).collect()}
-    for row, text, cover in zip(rows, texts, brute_cover(texts, substring_dedup.LENGTH)):
-        r = got[row.n]
-        assert (r.n_bytes, r.n_removed) == (len(text), int(cover.sum()))
-        assert r.n_spans == int((np.diff(cover.astype(int), prepend=0) == 1).sum())
-        assert r.kept == hashlib.sha256(np.frombuffer(text, np.uint8)[~cover].tobytes()).hexdigest()
+    for length in (substring_dedup.LENGTH, corpus_pipeline.REPEAT_BYTES, 40):
+        got = {r.row.n: r for r in substring_dedup.remove_repeats(docs, length).collect()}
+        for row, text, cover in zip(rows, texts, brute_cover(texts, length)):
+            r = got[row.n]
+            assert (r.n_bytes, r.n_removed) == (len(text), int(cover.sum()))
+            assert r.n_spans == int((np.diff(cover.astype(int), prepend=0) == 1).sum())
+            left = np.frombuffer(text, np.uint8)[~cover].tobytes()
+            assert r.kept_sha256 == hashlib.sha256(left).hexdigest() and r.kept == left.decode("utf-8", "ignore")
     assert substring_dedup.without_repeats(odd).columns == odd.columns
 
 
 def test_frequent_anchors_are_dealt_in_parts(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    want = sorted(map(str, substring_dedup.remove_repeats(docs, digest=True).collect()))
+    want = sorted(map(str, substring_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(substring_dedup, "PER_TASK", 1)
-    assert sorted(map(str, substring_dedup.remove_repeats(docs, digest=True).collect())) == want
+    assert sorted(map(str, substring_dedup.remove_repeats(docs).collect())) == want
 
 
 def test_places_beyond_24_bits():
@@ -251,15 +253,15 @@ def test_places_beyond_24_bits():
 def test_an_anchor_of_over_16_mb_in_many_surroundings(spark):
     rng = np.random.default_rng(3)
     letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
-    data = letters(1 << 20)
-    least = int(substring_dedup.Hashes(np.frombuffer(data.encode(), np.uint8)).every(substring_dedup.GRAM).argmin())
-    phrase, side, n = data[least : least + substring_dedup.GRAM], substring_dedup.LENGTH - substring_dedup.GRAM, 40_000
+    data, gram = letters(1 << 20), substring_dedup.gram_of(substring_dedup.LENGTH)
+    least = int(substring_dedup.Hashes(np.frombuffer(data.encode(), np.uint8)).every(gram).argmin())
+    phrase, side, n = data[least : least + gram], substring_dedup.LENGTH - gram, 40_000
     rows = [(i, letters(side), letters(side)) for i in range(n)]
     for i in range(0, n, 8):  # a pair is like before the phrase, a pair in 20 bytes less before it and 20 after it
         rows[i + 1] = (i + 1, rows[i][1], rows[i + 1][2])
         rows[i + 3] = (i + 3, rows[i + 3][1][:20] + rows[i + 2][1][20:], rows[i + 2][2][:20] + rows[i + 3][2][20:])
     docs = spark.createDataFrame([(i, a + phrase + b) for i, a, b in rows], "doc_id long, text string").repartition(8)
-    got = {r.row.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, digest=True).collect()}
+    got = {r.row.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
     assert len(got) == n and all(v >= 400 if k % 8 < 4 else v == 0 for k, v in got.items())
     assert {v for k, v in got.items() if k % 8 < 4} <= set(range(400, 410))  # neighbours may agree by chance
 
