@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cuespark.llm import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
 from cuespark.llm.workspace import Workspace, prepare
 
+#: Bytes of a passage that counts as repeated: less than 51 words take.
+REPEAT_BYTES = 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
@@ -30,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that also stand elsewhere."""
     prepare(spark)
-    return substring_dedup.without_repeats(docs)
+    return substring_dedup.without_repeats(docs, REPEAT_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
