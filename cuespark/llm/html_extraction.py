@@ -2,20 +2,27 @@
 
 A page is a sequence of words and tags.  Words score positive and tags negative,
 with weights from labelled pages; the contiguous run with the largest sum, found in
-one linear scan, is the content region.  Weights are log-odds of a token's being
-inside the content, counted over pages whose markup labels it (an ``article`` or
-``main`` element), with a prior from what element and class names mean.  A word
-inside page furniture (a menu, footer, advert, ...) counts as furniture: it never
-adds to a region.
-
-Inside the region, furniture is left out; character references are decoded, white
-space in a block becomes one space, and blocks are joined by a line feed.
+one linear scan, is the content region.
+
+A run of words is known by its features: the elements it stands in and which of them
+is the innermost, their roles, the words of their class and id names, and whether it
+is short or long.  Weights of
+features are fitted by logistic regression on at most FIT_PAGES pages whose markup
+labels their content (an ``article`` or ``main`` element), each taken twice: as it
+is, and without the label, so that pages without one are judged by all else.  What element and class names mean is where the fit begins and what it is
+drawn to, no more: no name alone decides.  As pages do set adverts within an article,
+runs inside a label that such a name speaks against count DOUBT as much as others.
+
+A word scores what its features sum to, within bounds; a tag costs the more, the less
+often it stands inside the content of labelled pages.  Inside the region, runs whose
+features sum to less than nothing are left out; character references are decoded,
+white space in a block becomes one space, and blocks are joined by a line feed.
 
 Defined cases: null or empty html gives an empty text; unclosed or misnested markup
 is read as browsers do in the main (a closing tag closes up to its opening tag, one
-without is ignored); a page without content words gives an empty text; repeated
-rows are extracted one by one; an empty table gives an empty result; other columns
-are ignored.
+without is ignored); a page without content words gives an empty text; without a
+labelled page the weights are where the fit would begin; repeated rows are extracted
+one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,31 +32,41 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages that the weights are fitted on, at most: the first in the order of a hash of their id.
 FIT_PAGES = 400
-#: Pages that the prior counts for.
-PRIOR = 5.0
-MOST, LEAST = 1.0, -0.25
+#: Runs that where the fit begins counts for, its steps and its pace.
+PRIOR, STEPS, PACE = 1.0, 400, 0.5
+DOUBT = 0.1
+#: A word's score at most and at least, and what its features must sum to for the most; a tag's.
+MOST, LEAST, FULL = 1.0, -0.25, 2.0
+TAG_MOST, TAG_LEAST = -0.01, -0.25
+#: A run is short below, long from so many words.
+SHORT, LONG = 8, 20
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is not page text.
 RAW = frozenset("script style template noscript iframe textarea title svg math object select noembed noframes xmp".split())
-CONTENT = frozenset(["article", "main"])
-#: Elements that are no content wherever they stand.
-FURNITURE = frozenset("head nav footer aside form menu dialog button fieldset search".split()) | RAW
+LABELS = frozenset(["article", "main"])
+#: Where the fit begins: elements, roles and names (a class or id of one word, or a word of a longer one).
+TEXT = frozenset("article main p h1 h2 h3 blockquote pre".split())
+FURNITURE = frozenset("head nav footer aside form menu dialog button fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names of furniture.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer sidebar widget widgets related recommended share sharing social comment comments disqus replies respond cookie "
+    "breadcrumb breadcrumbs header footer sidebar widget widgets related recommended share sharing social comment comments disqus replies respond cookie "
     "cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search pagination pager "
     "copyright toolbar masthead".split()
 )
-OUTSIDE_ONLY = frozenset(["header"])
+START = {
+    **{t: 1.0 for t in TEXT}, **{t: -3.0 for t in FURNITURE}, "header": -1.0, **{"@" + r: -3.0 for r in ROLES},
+    **{"." + n: -4.0 for n in NAMES}, **{"-" + n: -0.5 for n in NAMES}, "=div": -1.0, "#short": -0.5, "#long": 0.5,
+}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_WORDS = re.compile(r"[a-z0-9]+")
@@ -60,18 +77,33 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class Element:
-    __slots__ = ("name", "sign", "furniture", "content")
+    __slots__ = ("name", "features", "hidden", "sums")
 
     def __init__(self, name: str, raw: str, parent: Element | None):
         attributes = _attributes(raw)
-        words = _NAME_WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+        own = {name} if name not in ("html", "body") else set()
+        if own:
+            for word in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+                inner = [w for w in _NAME_WORDS.findall(word) if not w.isdigit()]
+                own.update(["." + inner[0]] if len(inner) == 1 else ["-" + w for w in inner])
+            if role := attributes.get("role", "").lower():
+                own.add("@" + role)
         self.name = name
-        own = name in FURNITURE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or not NAMES.isdisjoint(words) and name not in ("html", "body")
-        self.content = name in CONTENT and not own or bool(parent and parent.content)
-        own = own or not self.content and (name in OUTSIDE_ONLY or not OUTSIDE_ONLY.isdisjoint(words) and name not in ("html", "body"))
-        self.furniture = bool(parent and parent.furniture) or own
-        # what weights are known by: the outermost furniture, else the element itself
-        self.sign = parent.sign if parent and parent.furniture else name + "".join(f".{w}" for w in sorted(set(words)) if not w.isdigit())
+        self.features = parent.features | own if parent else frozenset(own)
+        self.hidden = "hidden" in attributes or bool(parent and parent.hidden)
+        self.sums: dict[str, float] = {}
+
+    def told(self, size: str) -> frozenset[str]:
+        return self.features | {size, "=" + self.name}
+
+    def sum(self, size: str, weight: dict[str, float]) -> float:
+        if size not in self.sums:
+            self.sums[size] = -1.0 if self.hidden else sum(weight.get(f, 0.0) for f in self.told(size))
+        return self.sums[size]
+
+
+def _size(n: int) -> str:
+    return "#short" if n < SHORT else "#long" if n >= LONG else "#mid"
 
 
 def tokens(html: str):
@@ -120,36 +152,58 @@ def tokens(html: str):
 
 
 def count(html: str, into: Counter) -> None:
-    """Token counts of a page that labels its content: (feature, inside) -> times."""
+    """Of a page that labels its content: (features of a run, or tag; inside) -> times."""
     for element, text in tokens(html):
+        inside = not LABELS.isdisjoint(element.features)
         if text is None:
-            into["t:" + element.name, element.content and not element.furniture] += 1
-        elif n := len(text.split()):
-            into["w:" + element.sign, element.content and not element.furniture] += n
+            into["<" + element.name, inside] += 1
+        elif not element.hidden and (n := len(text.split())):
+            told = element.told(_size(n))
+            into["\x1f".join(sorted(told)), inside] += 1
+            if inside:
+                into["\x1f".join(sorted(told - LABELS)), inside] += 1
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    out = {}
-    for feature in {f for f, _ in counts}:
-        inside, outside = counts.get((feature, True), 0), counts.get((feature, False), 0)
-        name = re.split(r"[:.]", feature)[1]
-        likely = 0.02 if name in FURNITURE or not NAMES.isdisjoint(feature[2:].split(".")[1:]) else 0.9
-        odds = math.log((inside + PRIOR * likely) / (outside + PRIOR * (1 - likely)))
-        out[feature] = max(LEAST, min(MOST if feature[0] == "w" else -0.01, odds / 4))
-    return out
+    """Weights of features and costs of tags ("<name")."""
+    out = dict(START)
+    for tag in {k[1:] for k, _ in counts if k[:1] == "<"}:
+        inside, outside = counts.get(("<" + tag, True), 0), counts.get(("<" + tag, False), 0)
+        out["<" + tag] = max(TAG_LEAST, min(TAG_MOST, math.log((inside + 0.1) / (outside + 0.1)) / 4))
+    runs = sorted((k.split("\x1f"), inside, n) for (k, inside), n in counts.items() if k[:1] != "<")
+    if not runs:
+        return out
+    names = sorted({f for told, _, _ in runs for f in told})
+    place = {f: i for i, f in enumerate(names)}
+    row = np.concatenate([np.full(len(told), i) for i, (told, _, _) in enumerate(runs)])
+    column = np.array([place[f] for told, _, _ in runs for f in told])
+    sign = np.array([1.0 if inside else -1.0 for _, inside, _ in runs])
+    doubt = lambda told: any(START.get(f, 0.0) < 0 and f[0] not in "#=" for f in told)
+    times = np.array([n * (DOUBT if inside and doubt(told) else 1.0) for told, inside, n in runs])
+    start = np.array([START.get(f, 0.0) for f in names])
+    weight, seen = start.copy(), np.full(len(names), 1e-9)
+    for _ in range(STEPS):
+        margin = sign * np.bincount(row, weight[column], len(runs))
+        pull = times * sign / (1 + np.exp(np.minimum(margin, 50)))
+        slope = np.bincount(column, pull[row], len(names)) - PRIOR * (weight - start)
+        seen += slope**2
+        weight += PACE * slope / np.sqrt(seen)
+    return out | dict(zip(names, weight.tolist()))
 
 
 def extract(html: str, weight: dict[str, float]) -> str:
     """Text of the content region."""
     items, best, run, began, region = [], 0.0, 0.0, 0, (0, 0)
-    get = weight.get
     for element, text in tokens(html):
+        good = False
         if text is None:
-            score = get("t:" + element.name, LEAST / 5)
+            score = weight.get("<" + element.name, TAG_LEAST / 5)
         else:
             n = len(text.split())
-            score = LEAST * (n > 0) if element.furniture else n * get("w:" + element.sign, MOST / 2)
-        items.append((element, text))
+            told = element.sum(_size(n), weight) if n else 0.0
+            good = told > 0 or not n
+            score = n * max(LEAST, min(MOST, told * MOST / FULL))
+        items.append((element, text, good))
         run += score
         if run <= 0:
             run, began = 0.0, len(items)
@@ -162,13 +216,13 @@ def extract(html: str, weight: dict[str, float]) -> str:
             blocks.append(block)
         parts.clear()
 
-    for element, text in items[slice(*region)]:
+    for element, text, good in items[slice(*region)]:
         if text is None:
             if element.name in BLOCKS:
                 close()
             elif element.name == "br":
                 parts.append(" ")
-        elif not element.furniture:
+        elif good:
             parts.append(text)
     close()
     return "\n".join(blocks)
@@ -179,7 +233,7 @@ def fit(pages: DataFrame, most: int = FIT_PAGES) -> dict[str, float]:
     labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).where("page_id IS NOT NULL")
     ids = [r[0] for r in labelled.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most).collect()]
     if not ids:
-        return {}
+        return weights({})
 
     def counted(batches):
         counts: Counter = Counter()

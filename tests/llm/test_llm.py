@@ -333,6 +333,35 @@ def test_pages_of_the_table(spark, sf_dir):
         assert got[r.page_id] == "\n".join(p for p in parts if p)
 
 
+def test_pages_without_the_label(spark):
+    """Weights of labelled pages find the content of others whose label is hidden; without weights nothing is found."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html IS NOT NULL")
+    known = html_extraction.fit(pages.where("page_id % 2 = 0"))
+    hidden = pages.where("page_id % 2 = 1")
+    want = {r.page_id: r.text for r in html_extraction.main_text(hidden, known).collect()}
+    plain = hidden.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    got = {r.page_id: r.text for r in html_extraction.main_text(plain, known).collect()}
+    assert np.mean([got[i] == t for i, t in want.items()]) > 0.95
+    assert not any(r.text for r in html_extraction.main_text(hidden, {}).collect())
+
+
+def test_names_alone_do_not_decide():
+    count = html_extraction.Counter()
+    html_extraction.count("<nav><a>Home</a></nav><article><h1>A title of it</h1><p>" + "many words of text " * 20 + "</p><p>more of these words</article><footer>Copyright us</footer>", count)
+    known = html_extraction.weights(count)
+    within = html_extraction.extract("<nav>Home</nav><article><h1>Title</h1><p>" + "some words " * 20 + "<div class='related-work'><p>What others have done before.</p></div></article><div class=ad>Buy</div>", known)
+    assert within.startswith("Title\n") and within.endswith("What others have done before.")
+    other = html_extraction.extract("<div>Home About Contact</div><div class='share-price-table'><p>" + "prices went up " * 9 + "</p></div><div>Copyright us all rights</div>", known)
+    assert other == ("prices went up " * 9).strip()
+
+
+def test_html_of_any_shape(spark):
+    odd_pages = [(1, "u", "<p>" + "long text of many words " * 20000 + "</p>"), (2, "u", "<" * 500 + "&" * 500), (3, "u", "</p></div><article>"), (3, "u", "</p></div><article>"), (None, None, None)]
+    df = spark.createDataFrame([(*r, "h", 1) for r in odd_pages], "page_id long, url string, html string, text string, n_chars int")
+    rows = html_extraction.main_text(df).collect()
+    assert len(rows) == 5 and max(r.n_chars for r in rows) == len("long text of many words " * 20000) - 1
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
