@@ -11,7 +11,7 @@ from cuespark.llm import exact_dedup, jaccard_join, packing, quality_rules, subs
 from cuespark.llm.workspace import Workspace, prepare
 
 #: Bytes of a passage that counts as repeated: less than 51 words take.
-REPEAT_BYTES = 200
+REPEAT_BYTES = 240
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
