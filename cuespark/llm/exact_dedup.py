@@ -2,21 +2,27 @@
 
 Documents arrive through a log in the shared folder; a Structured Streaming query
 reads it and keeps, for each digest, a state of constant size that never expires:
-the digest, the stable identifier of the row that stays (the smallest doc_id) and
-where its content is (its row of the log), and how many rows have had that digest.
-State is in RocksDB, on disk, with its changes in the stream's checkpoint.  Counts
-and minima are formed before the exchange, so that a text that a third of all rows
-hold reaches its state as one row per task.
+the digest, the stable identifier of the row that stays and where its content is
+(its batch and row of the log), and how many rows have had that digest.  State is in
+RocksDB, on disk, with its changes in the stream's checkpoint.  Counts and minima are
+formed before the exchange, so that a text that a third of all rows hold reaches its
+state as one row per task.
+
+With a named ``store`` log, checkpoint and state last: rows of a later call are held
+against all that came before.  What an earlier call has kept stays; within a call the
+smallest doc_id does.  Without a name a call has a store of its own.
 
 A digest that has been seen is a hit, not yet a copy: the full bytes of every hit
-are compared with the content that the state's locator points to.  The comparison
-is dealt over several tasks for a large group.  If bytes differ behind one digest,
-the rows of that digest are grouped by their bytes instead.
+are compared with the content that the state's locator points to, in whichever batch
+of the log that lies.  The comparison is dealt over several tasks for a large group.
+If bytes differ behind one digest, the rows of that digest are grouped by their bytes
+instead.
 
 Defined cases: null text counts as empty; of rows with equal text the smallest
 doc_id stays (null ids last; of repeated ids, the first in the log); all rows are
 returned, repeated ones too; an empty table gives an empty result; other columns
-are carried in a struct and cannot clash.
+are carried in a struct and cannot clash.  A call that failed has its rows in the log
+and the next one counts them.  A store takes one call at a time.
 """
 
 from __future__ import annotations
@@ -43,20 +49,28 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _stream(work: Workspace, log: str, trigger_bytes: int) -> DataFrame:
-    """Run the stream over the whole log; what it has updated, a row for a digest and micro-batch."""
+#: What stays of a digest's rows: the least of these.
+FIRST = "struct<batch:int,no_id:boolean,id:long,row:long>"
+
+
+def _first() -> Column:
+    return F.min(F.struct("batch", F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+
+
+def _stream(work: Workspace, trigger_bytes: int) -> DataFrame:
+    """Run the stream over what is new in the log; the state of each digest that it has updated."""
     spark = work.spark
     seen = (
-        spark.readStream.schema("digest string, id long, row long")
+        spark.readStream.schema("digest string, id long, row long, batch int")
         .option("maxBytesPerTrigger", trigger_bytes)
-        .parquet(work.path(log))
+        .parquet(work.path("log"))
         .groupBy("digest")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count("*").alias("n"))
+        .agg(_first(), F.count("*").alias("n"))
     )
-    out = work.path("updates")
+    out, known = work.path("updates"), set(work.names("updates"))
 
     def save(batch: DataFrame, number: int) -> None:  # again after a failure: the same folder
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/part={number}")
 
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
@@ -67,17 +81,19 @@ def _stream(work: Workspace, log: str, trigger_bytes: int) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "digest string, first struct<no_id:boolean,id:long,row:long>, n long"
-    return spark.read.schema(schema + ", batch int").option("basePath", out).parquet(out)
+    new = [f"{out}/{name}" for name in work.names("updates") if name not in known]
+    return spark.read.schema(f"digest string, first {FIRST}, n long").parquet(*new)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, trigger_bytes: int = 16 << 30) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, trigger_bytes: int = 16 << 30, store: str | None = None) -> DataFrame:
     """Rows (doc struct of the input's columns, digest, keep_id, group_size, kept).
 
-    ``trigger_bytes`` bounds what one micro-batch takes from the log.
+    ``trigger_bytes`` bounds what one micro-batch takes from the log; ``store`` names a
+    folder in the shared one that lasts from call to call.
     """
     spark = docs.sparkSession
-    work = Workspace(spark, "dedup")
+    work = Workspace(spark, "dedup", store)
+    number = 1 + max((int(name.partition("=")[2]) for name in work.names("log")), default=-1)
     log = work.table(
         docs.select(
             digest(normalised(F.col(text_col))).alias("digest"),
@@ -85,29 +101,34 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.monotonically_increasing_id().alias("row"),
             F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
         ),
-        "log",
-    )
+        f"log/batch={number}",
+    ).withColumn("batch", F.lit(number))
     if log.isEmpty():
         return log.select("doc", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    groups = work.table(_stream(work, "log", trigger_bytes).groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), "groups")
-    work.drop("updates", "stream")
+    groups = work.table(_stream(work, trigger_bytes).groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), f"groups/batch={number}")
 
     # Texts move only where a digest has been met again.
     text = normalised(F.col(f"doc.{text_col}"))
     salts = F.ceil(F.col("n") / HITS_PER_TASK).cast("int")
     known = marked(log, groups.where("n > 1"), "digest")
     found = known.where("hit").drop("hit").join(groups.hint("merge"), "digest")
-    hits = found.where("n > 1").select("digest", "row", "first", text.alias("t"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"), salts.alias("salts"))
-    held = hits.where("row = first.row").select("digest", F.col("t").alias("held"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    differ = hits.where("row <> first.row").join(held.hint("merge"), ["digest", "salt"]).where("t <> held").select("digest").distinct()
-    differ = work.table(differ, "differ")
+    hits = found.where("n > 1").select("digest", "batch", "row", "first", text.alias("t"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
+    # Locators are followed: only rows that one points to leave the log.
+    whole = work.read("log", log.schema) if number else log
+    places = groups.where("n > 1").select(F.struct("first.batch", "first.row").alias("place"), salts.alias("salts"))
+    pointed = marked(whole.select(F.struct("batch", "row").alias("place"), "digest", text.alias("held")), places, "place").where("hit").drop("hit")
+    held = pointed.join(places.hint("merge"), "place").select("digest", "held", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    differ = hits.where("batch <> first.batch OR row <> first.row").join(held.hint("merge"), ["digest", "salt"]).where("t <> held").select("digest").distinct()
+    differ = work.table(differ, f"differ/batch={number}")
     if not differ.isEmpty():
-        apart = found.join(differ, "digest").withColumn("t", text)
-        byte_groups = apart.groupBy("digest", "t").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count("*").alias("n"))
-        exact = apart.drop("first", "n").join(byte_groups, ["digest", "t"])
-        found = found.join(differ, "digest", "left_anti").select("digest", "row", "doc", "first", "n").unionByName(exact.select("digest", "row", "doc", "first", "n"))
+        apart = whole.join(differ, "digest").withColumn("t", text)
+        byte_groups = apart.groupBy("digest", "t").agg(_first(), F.count("*").alias("n"))
+        exact = apart.where(F.col("batch") == number).join(byte_groups, ["digest", "t"])
+        columns = ["digest", "batch", "row", "doc", "first", "n"]
+        found = found.join(differ, "digest", "left_anti").select(*columns).unionByName(exact.select(*columns))
     alone = known.where("NOT hit").select("doc", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return alone.unionByName(found.select("doc", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept")))
+    kept = (F.col("row") == F.col("first.row")) & (F.col("batch") == F.col("first.batch"))
+    return alone.unionByName(found.select("doc", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept")))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

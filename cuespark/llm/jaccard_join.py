@@ -6,7 +6,11 @@ that are similar enough are expected to share a path, and miss it with a
 probability below 1/e a run.  Sets that share a path form a bucket; a bucket of more
 than BUCKET sets is split further on shingles sampled for the next level, with
 SPLIT times that rate, to DEPTH levels, unless a sample shows that its sets are all
-alike, which no split would part.  Buckets are then brute-forced on sketches.
+alike, which no split would part.  Buckets are then brute-forced on sketches, a task
+holding BUCKET sets at most: a bucket that is still larger is dealt in parts of half
+that, each with the same few leaders, so that what is alike in all parts is linked
+through them; the sets that are not linked to most of their bucket are then held
+against every part of it.
 RUNS is the least number of runs for which a pair at the threshold is lost, even at
 full depth, with a probability below 1 - RECALL.
 
@@ -16,7 +20,10 @@ a bucket of copies takes time in proportion to its size.  Candidates are joined
 into components, and within a component every pair is counted exactly, in blocks, so
 a pair that its own paths missed is still found if both are near a third set.
 
-Copies (equal sets) are one set with a multiplicity.  The result has a row for each
+Copies (equal sets) are one set with a multiplicity.  Sets are known by a 128-bit
+digest of their shingles' 64-bit hashes, and texts that are read again by their md5:
+two of n sets are taken for one with a chance below n*n / 2**129, and a pair's overlap
+is off by a shingle with a chance of its size in shingles / 2**63.  The result has a row for each
 document: the class of documents that links connect, and the number of documents
 that it is linked to, copies included.
 
@@ -48,7 +55,7 @@ RECALL, DEPTH, SPLIT = 0.9999, 3, 2.5
 #: Chance that a pair at the threshold shares a path at the first level, and goes on together at each next.
 _FIRST, _NEXT = 1 - math.exp(-1), 1 - math.exp(-SPLIT * THRESHOLD)
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - _FIRST * _NEXT ** (DEPTH - 1)))
-BUCKET = 20_000
+BUCKET = 8_000
 #: Bytes of a sketch; those that are compared first, and how many of them must agree (a pair at the threshold: all but 4 in a million).
 SKETCH, GLANCE, GLANCE_LEAST = 128, 16, 5
 #: Estimate of the similarity that makes a candidate: 5 standard errors below the threshold.
@@ -227,6 +234,32 @@ def _brute_force(batches):
     yield from out()
 
 
+def _crowds(rows: DataFrame, work: Workspace, most: int) -> DataFrame:
+    """Candidate edges in buckets of over ``most`` sets: rows (bucket, rid, count, size, sketch)."""
+    half = max(1, most // 2)
+    force = lambda cells: cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force, "a long, b long").distinct()
+    split = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    deal = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n).cast("int")
+    h, what = F.xxhash64("rid"), ["rid", "size", "sketch"]
+    rows = work.table(rows.withColumn("parts", split(F.col("count"))).withColumn("part", deal(F.col("parts"))), "crowds")
+    picks = [F.min(F.when(F.pmod(h, F.lit(SAMPLE)) == i, F.struct(h.alias("h"), *what))) for i in range(SAMPLE)]
+    leaders = rows.groupBy("bucket", "parts").agg(F.array_compact(F.array(*picks)).alias("picks"))
+    leaders = leaders.select("bucket", F.explode("picks").alias("x"), "parts").select("bucket", each(F.col("parts")).alias("part"), *[F.col(f"x.{c}") for c in what])
+    cell = lambda *names: F.xxhash64(*names).alias("bucket")
+    first = work.table(force(rows.select("bucket", "part", *what).unionByName(leaders).select(cell("bucket", "part"), *what).distinct()), "crowd-edges")
+    linked = components(first, work, "crowd")
+    rooted = work.table(rows.join(linked.select(F.col("node").alias("rid"), "root").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "rooted")
+    sizes = rooted.groupBy("bucket", "root").count()
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all")).select("bucket", F.col("m.root").alias("main"), split(F.col("all") - F.col("m.count")).alias("blocks"), (F.col("all") > F.col("m.count")).alias("some"))
+    told = work.table(rooted.join(main.where("some").hint("merge"), "bucket"), "told")
+    if told.isEmpty():
+        return first
+    rest = told.where("root <> main").withColumn("block", deal(F.col("blocks"))).select("bucket", "block", each(F.col("parts")).alias("part"), *what)
+    members = told.select("bucket", each(F.col("blocks")).alias("block"), "part", *what)
+    return first.unionByName(force(members.unionByName(rest).select(cell("bucket", "part", "block"), *what).distinct()))
+
+
 def _with_shingles(batches):
     for batch in batches:
         found = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -310,20 +343,24 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     # Buckets: those that are small enough, level by level.
     level = sets.select("rid", F.explode("paths").alias("p")).select("rid", "p.run", F.col("p.tok").alias("bucket"))
-    ready = None
+    ready = crowds = None
     sketches = sets.select("rid", "size", "sketch")
     for depth in range(DEPTH):
         counts = work.table(level.groupBy("bucket").count().where("count > 1"), f"counts-{depth}")
         level = work.table(level.join(counts.hint("merge"), "bucket"), f"level-{depth}")
-        done = level if depth == DEPTH - 1 else level.where(F.col("count") <= bucket)
+        done = level.where(F.col("count") <= bucket)
         big = level.where(F.col("count") > bucket)
         if depth < DEPTH - 1 and not big.isEmpty():
             h = F.xxhash64("rid")
             picks = [F.min(F.when(F.pmod(h, F.lit(SAMPLE)) == i, F.struct(h.alias("h"), "sketch"))) for i in range(SAMPLE)]
             sample = big.join(sketches.hint("merge"), "rid").groupBy("bucket").agg(F.array_compact(F.array(*picks)).alias("sample"))
             dense = work.table(sample.mapInArrow(_density, "bucket long, dense boolean").where("dense").select("bucket"), f"dense-{depth}")
-            done = done.unionByName(big.join(dense, "bucket", "left_semi"))
+            alike = big.join(dense, "bucket", "left_semi").select("bucket", "rid", "count")
+            crowds = alike if crowds is None else crowds.unionByName(alike)
             big = big.join(dense, "bucket", "left_anti")
+        elif depth == DEPTH - 1:
+            alike = big.select("bucket", "rid", "count")
+            crowds = alike if crowds is None else crowds.unionByName(alike)
         ready = done.select("bucket", "rid") if ready is None else ready.unionByName(done.select("bucket", "rid"))
         if depth == DEPTH - 1 or big.isEmpty():
             break
@@ -332,6 +369,8 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         level = big.drop("count").join(onward, ["rid", "run"]).select("rid", "run", F.xxhash64("bucket", "tok").alias("bucket"))
     rows = ready.join(sketches.hint("merge"), "rid")
     found = work.table(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute_force, "a long, b long").distinct(), "candidates")
+    if crowds is not None and not crowds.isEmpty():
+        found = found.unionByName(_crowds(crowds.join(sketches.hint("merge"), "rid"), work, bucket))
     work.drop(*(f"{n}-{d}" for n in ("level", "counts", "dense", "wanted") for d in range(DEPTH)))
     near = work.table(components(found, work, "near"), "near")
 
@@ -357,8 +396,13 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each class stays, the one with the least doc_id, with all their columns; rows without an id stay."""
-    return without(docs, classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id"), "doc_id")
+    """The documents of which one of each class stays, with all their columns: the row with the least doc_id (null ids last), whatever rows share an id."""
+    work = Workspace(docs.sparkSession, "one-of-each")
+    rows = work.table(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "rows")
+    found = classes(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"))).where("class_size > 1").select(F.col("doc_id").alias("id"), "class_id")
+    members = work.table(found.hint("merge").join(rows.select("id", F.col("row.doc_id").alias("doc_id")), "id"), "members")
+    stays = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")).select(F.col("first.id").alias("id"))
+    return without(rows, members.select("id").join(stays.hint("merge"), "id", "left_anti"), "id").select("row.*")
 
 
 def op7_jaccard_join(spark, sf_dir):

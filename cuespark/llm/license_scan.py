@@ -5,7 +5,8 @@ may differ: ``<<opt>> ... <</opt>>`` may be left out, ``<<var 1-6>>`` stands for
 to six words of any kind.  Every other word is mandatory.  All templates are
 compiled into one automaton over words, made deterministic as it is needed; a text
 has a licence where some run of its words is accepted, that is where the mandatory
-wording stands exactly, in order, with nothing between but what markup allows.
+wording stands exactly, in order, with nothing between but what markup allows.  Texts
+that lack the longest mandatory word of every template are not run through it.
 
 Base phrases are found beside it, place by place, on the bytes of the whole text.
 
@@ -25,21 +26,39 @@ from pyspark.sql import DataFrame
 #: Phrases and labels of the contract.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+_MIT_DISCLAIMER = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<opt>>the<</opt>> <<var 1-8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_START = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>><<var 1-1>><</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>><<var 1-1>><</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "<<opt>><<var 1-1>><</opt>> neither the name of <<opt>>the<</opt>> <<var 1-8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = "this software is provided by <<opt>>the<</opt>> <<var 1-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<opt>>the<</opt>> <<var 1-8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GPL_TERMS = "<<var 1-6>> is free software you can redistribute it and or modify it under the terms of the gnu <<opt>>{kind}<</opt>> general public license as published by the free software foundation either version {version} of the license or at your option any later version"
+_GPL_HOPE = "<<var 1-6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<opt>>{kind}<</opt>> general public license for more details"
+
 #: Label: wording.  Case and punctuation do not count.
 TEMPLATES = {
+    # notices
     "mit-notice": "<<opt>>this <<var 1-4>> is<</opt>> released under the <<opt>>terms of the<</opt>> mit license",
-    "apache-2.0": "licensed under the apache license <<opt>>version<</opt>> 2.0 <<opt>>the license you may not use this file except in compliance with the license<</opt>>",
+    "apache-2.0": "licensed under the apache license <<opt>>version<</opt>> 2.0",
+    "apache-2.0-notice": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "gpl-2.0": "<<opt>>this <<var 1-4>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>version<</opt>> 2",
     "gpl-3.0": "<<opt>>this <<var 1-4>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>version<</opt>> 3",
+    "gpl-2.0-or-later-notice": _GPL_TERMS.format(kind="library", version="2") + " " + _GPL_HOPE.format(kind="library"),
+    "gpl-3.0-or-later-notice": _GPL_TERMS.format(kind="affero", version="3") + " " + _GPL_HOPE.format(kind="affero"),
     "gpl-redistribution": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<opt>>either version <<var 1-3>> of the license or <<opt>>at your option<</opt>> any later version<</opt>>",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http<<opt>>s<</opt>> <<opt>>www<</opt>> mozilla org mpl 2.0",
     "cc-by-4.0": "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by 4.0 <<opt>>international<</opt>>",
     "cc-by-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by sa 4.0 <<opt>>international<</opt>>",
     "cc-by-nc-4.0": "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by nc 4.0 <<opt>>international<</opt>>",
     "cc0-1.0": "<<opt>>released<</opt>> under cc0 <<opt>>1.0<</opt>> <<opt>>universal<</opt>> public domain dedication",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>><<var 1-1>><</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>><<var 1-1>><</opt>> redistributions in binary form must reproduce the above copyright notice",
-    "public-domain": "this is free and unencumbered software released into the public domain",
+    # whole licences
+    "mit-text": f"{_MIT_GRANT} subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software {_MIT_DISCLAIMER}",
+    "mit-0-text": f"{_MIT_GRANT} {_MIT_DISCLAIMER}",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<opt>>the<</opt>> <<var 1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<opt>>the<</opt>> <<var 1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": f"{_BSD_START} {_BSD_DISCLAIMER}",
+    "bsd-3-clause-text": f"{_BSD_START} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>>1<</opt>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<opt>>2<</opt>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<opt>>3<</opt>> this notice may not be removed or altered from any source distribution",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsl-1.0-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
 }
 
 WORD_BYTE = np.zeros(256, bool)
@@ -67,6 +86,12 @@ def parse(template: str) -> list:
     return stack[0]
 
 
+def needed(templates: dict[str, str]) -> re.Pattern | None:
+    """Finds the longest mandatory word of any of the templates; None if one has no mandatory word."""
+    longest = [max((x for x in parse(t) if isinstance(x, bytes)), key=lambda w: (len(w), w), default=b"") for t in templates.values()]
+    return re.compile(b"|".join(sorted(map(re.escape, set(longest))))) if all(longest) else None
+
+
 class TokenAutomaton:
     """Templates over words: a nondeterministic automaton, with its subsets made as texts need them."""
 
@@ -83,7 +108,6 @@ class TokenAutomaton:
             self.ends[self._chain(parse(text), first)] = label
         self.alphabet = {w: i for i, w in enumerate(sorted({w for m in self.moves for w, _ in m if w}), 1)}
         self.start = self._closure(starts)
-        self.first_words = {w for s in self.start for w, _ in self.moves[s] if w}
         self.forget()
 
     def forget(self) -> None:
@@ -176,7 +200,7 @@ def _n_words(texts: pa.Array) -> np.ndarray:
 def scanner(templates: dict[str, str]):
     def scan(batches):
         automaton = TokenAutomaton(templates)
-        trigger = re.compile(b"|".join(sorted({w for w in (b"licens", b"permission", b"redistribut", b"public", b"cc")})))
+        own_words, base_words = needed(templates), needed({p: p for p in BASE})
         label_of = {re.sub(_GAP, b" ", k.encode()): v for k, v in BASE.items()}
         for batch in batches:
             texts = batch.column("text").fill_null("")
@@ -185,14 +209,15 @@ def scanner(templates: dict[str, str]):
             for text in texts.cast(pa.large_binary()):
                 low = text.as_buffer().to_pybytes().lower()
                 n, first, last, base, own = 0, None, None, set(), set()
-                if trigger.search(low):
-                    places = [(m.start(), m[1]) for m in PLACES.finditer(low)]
-                    words = list(WORDS.finditer(low)) if places else None
-                    if places:
+                words = None
+                if base_words.search(low):
+                    if places := [(m.start(), m[1]) for m in PLACES.finditer(low)]:
+                        words = list(WORDS.finditer(low))
                         starts = np.fromiter((m.start() for m in words), np.int64, len(words))
                         at = np.searchsorted(starts, [p for p, _ in places])
                         n, first, last = len(places), int(at.min()), int(at.max())
                         base = {label_of[re.sub(_GAP, b" ", m)] for _, m in places}
+                if own_words is None or own_words.search(low):
                     own = automaton.accepted([m[0] for m in words] if words else WORDS.findall(low))
                 rows["n_base"].append(n)
                 rows["first_word"].append(first)

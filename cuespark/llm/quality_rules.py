@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, without
+from .workspace import Workspace
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Frequent function words of the languages that are expected.
@@ -59,12 +59,12 @@ def _repeat_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(pairs, covered))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules judge, from whole texts in one pass."""
+def features(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """A column that is carried and the counts that the rules judge, from whole texts in one pass."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
-    base = docs.select("doc_id", text.alias("t"), words.alias("w"), F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    base = docs.select(carried, text.alias("t"), words.alias("w"), F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
     windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, WINDOW)))
@@ -72,7 +72,7 @@ def features(docs: DataFrame) -> DataFrame:
     base = base.withColumn("h", windows)
     count = lambda pattern: F.regexp_count("t", F.lit(pattern))
     return base.select(
-        "doc_id",
+        carried,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -142,17 +142,13 @@ def _parameters(patterns: Column, steps: int = EM_STEPS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Counts, votes' posterior and verdict, a row for each row of ``docs`` (doc_id, text).
-
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, p_good, kept.
-    """
+def _judged(docs: DataFrame, carried: str, threshold: float) -> DataFrame:
+    """The carried column, counts, base_failed, p_good and kept."""
     rules = {name: _rules()[name] for name in RULES}
     votes = F.array(*rules.values())
     place = reduce(lambda a, v: a * 3 + (v + 1), rules.values(), F.lit(0))
     work = Workspace(docs.sparkSession, "quality")
-    table = work.table(features(docs).withColumn("pattern", place).withColumn("v", votes), "features")
+    table = work.table(features(docs, carried).withColumn("pattern", place).withColumn("v", votes), "features")
     # At most 3**len(RULES) rows; one row each for EM and for the verdicts.
     counts = table.groupBy("pattern").agg(F.first("v").alias("v"), F.count("*").alias("n"))
     fitted = counts.agg(F.array_sort(F.collect_list(F.struct("pattern", "v", "n"))).alias("all")).select("all", _parameters(F.col("all")).alias("p"))
@@ -161,14 +157,23 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return (
         table.join(F.broadcast(verdicts), "pattern")
         .withColumn("base_failed", failed)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
+        .select(carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
     )
 
 
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Counts, votes' posterior and verdict, a row for each row of ``docs`` (doc_id, text).
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, p_good, kept.
+    """
+    return _judged(docs, "doc_id", threshold)
+
+
 def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that are kept, with all their columns.  Rows of one doc_id stay if any of them is kept."""
-    out = judge(docs.select("doc_id", "text"), threshold).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("NOT _kept").select("doc_id")
-    return without(docs, out, "doc_id")
+    """The rows that are kept, with all their columns; each row is judged by itself, whatever its id."""
+    rows = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return _judged(rows, "row", threshold).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -5,12 +5,17 @@ one the session names in ``spark.checkpoint.dir``; only where that is unset (a
 local session, tests) is a temporary folder made and set.  Everything goes
 through Spark's own readers, writers and Hadoop's file system, so the folder may
 be in any store.
+
+A result may read the tables of its run until its last row has been read.  ``collected``
+removes the tables of all runs begun within it, also after a failure, and ``clear``
+those of a session; a job calls one of them when its results are written.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that all executors see."""
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
@@ -61,12 +68,18 @@ def without(docs: DataFrame, out: DataFrame, column: str) -> DataFrame:
     return known.where("NOT hit").select("row.*").unionByName(asked.select("row.*"))
 
 
+#: Runs whose tables have not been removed; named stores are not among them.
+_RUNS: list[Workspace] = []
+
+
 class Workspace:
-    """A folder of one run of an operator; tables that are no longer read can be dropped."""
+    """A folder of one run of an operator, or a named one that lasts; tables that are no longer read can be dropped."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, store: str | None = None):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_root(spark)}/{store or f'{name}-{uuid.uuid4().hex[:12]}'}"
+        if not store:
+            _RUNS.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -80,9 +93,41 @@ class Workspace:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(self.path(name))
 
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def names(self, name: str) -> list[str]:
+        """Folders in a folder, in order; none if there is no such folder."""
+        files, path = self._files(self.path(name))
+        return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory() and "=" in f.getPath().getName()) if files.exists(path) else []
+
     def drop(self, *names: str) -> None:
         """Delete tables; only those that no returned DataFrame reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = self._files(self.path(name))
+            files.delete(path, True)
+
+    def remove(self) -> None:
+        """Delete the whole folder."""
+        files, path = self._files(self.root)
+        files.delete(path, True)
+        if self in _RUNS:
+            _RUNS.remove(self)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables of all runs of a session."""
+    for run in [r for r in _RUNS if r.spark is spark]:
+        run.remove()
+
+
+@contextmanager
+def collected():
+    """Removes the tables of all runs begun within; what is to be kept has been written elsewhere by then."""
+    before = list(_RUNS)
+    try:
+        yield
+    finally:
+        for run in [r for r in _RUNS if r not in before]:
+            run.remove()

@@ -100,6 +100,44 @@ def test_exact_dedup(odd, spark):
     assert {(r.doc.doc_id, r.keep_id) for r in weak.collect()} == {(i, i % 7) for i in range(60)}
 
 
+def test_exact_dedup_store(odd, spark):
+    """A second batch is held against the first, also where digests collide."""
+    import uuid
+
+    store = "store-" + uuid.uuid4().hex
+    one = spark.createDataFrame([(5, "a  b"), (6, "c"), (7, None)], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d "), (8, "d"), (4, "")], "doc_id long, text string")
+    for digest in (exact_dedup.sha256, lambda t: F.lit("same")):
+        ask = lambda docs: {(r.doc.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(docs, digest=digest, store=store + str(digest is exact_dedup.sha256)).collect()}  # noqa: B023, E731
+        assert ask(one) == {(5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True)}
+        assert ask(two) == {(1, 5, 2, False), (2, 2, 2, True), (3, 3, 1, True), (8, 2, 2, False), (4, 7, 2, False)}
+        assert ask(one) == {(5, 5, 3, False), (6, 6, 2, False), (7, 7, 3, False)}
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Rows that share an id, or have none, are judged one by one."""
+    long = "One of the finest words that anyone may use in a text of some length is this one, and it stands here alone. " * 3
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " u"), (2, "a unique text that nothing else is like"), (None, words), (3, words), (3, words)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:3]) for r in jaccard_join.one_of_each(docs).collect()) == [(1, "w0 "), (2, "a u")]
+    docs = spark.createDataFrame([(i, f"{long} {i} of those") for i in range(30)] + [(7, "## $$ %%"), (None, "### $$$"), (None, long)], "doc_id long, text string")
+    kept = quality_rules.filtered(docs).collect()
+    assert all("##" not in r.text for r in kept) and sum(r.doc_id == 7 for r in kept) == sum(r.doc_id == 8 for r in kept)
+
+
+def test_runs_are_removed(spark):
+    import os
+
+    from cuespark.llm import workspace
+
+    with pytest.raises(ValueError), workspace.collected():
+        run = Workspace(spark, "gone")
+        run.table(spark.range(3), "x")
+        assert os.path.exists(run.root.removeprefix("file://"))
+        raise ValueError
+    assert not os.path.exists(run.root.removeprefix("file://"))
+
+
 def test_sharding(odd, spark, tmp_path):
     rows = sharding.assign(odd, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)), 4).collect()
     sizes = [sum(r.shard == k for r in rows) for k in range(4)]
@@ -292,6 +330,30 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.classes(docs).collect())) == want
 
 
+def test_jaccard_crowds(spark):
+    """Buckets beyond what a task may hold lose no link."""
+    random.seed(6)
+    base, other = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    docs = []
+    for i in range(240):
+        words = list(base if i % 8 else other)
+        words[random.randrange(60)] = f"x{i}"
+        docs.append((i, " ".join(words[: random.choice([60, 58, 60])] + (["tail"] if i % 5 == 0 else []))))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, jaccard_join.classes(docs).collect()))
+    sets = {r.doc_id: set(jaccard_join.shingles(r.text.encode()).tolist()) for r in docs.collect()}
+    for doc_id, _, _, links in want:
+        assert links == sum(len(sets[doc_id] & s) >= 0.8 * len(sets[doc_id] | s) for j, s in sets.items() if j != doc_id)
+    assert sorted(map(tuple, jaccard_join.classes(docs, bucket=40).collect())) == want
+    sketches = spark.createDataFrame([(1, i, 240, len(s), bytearray(jaccard_join.sketch(np.array(sorted(s), np.uint64)).tobytes())) for i, s in sets.items()], "bucket long, rid long, count long, size int, sketch binary")
+    for most in (10, 40):
+        work = Workspace(spark, "crowds")
+        got = {(r.node, r.root) for r in components.components(jaccard_join._crowds(sketches, work, most), work, "got").collect()}
+        rows = sketches.orderBy("rid").collect()
+        pairs = jaccard_join.bucket_edges(np.array([r.rid for r in rows]), np.array([r.size for r in rows]), np.frombuffer(b"".join(bytes(r.sketch) for r in rows), np.uint8).reshape(-1, jaccard_join.SKETCH))
+        assert got == {(r.node, r.root) for r in components.components(spark.createDataFrame(pairs, "a long, b long"), work, "whole").collect()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     got = {(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "c"), "x").collect()}
@@ -305,6 +367,29 @@ def test_license_templates():
     assert ask("x y end") == set() and ask("x 1 2 3 y end") == set() and ask("x 1 y z z end") == set()
 
 
+def test_license_texts(spark):
+    """Templates by their own regular expressions, the prefilter included, on texts with and without their parts."""
+    import re
+
+    random.seed(8)
+    fill = lambda items: " ".join(w for x in items for w in ([] if isinstance(x, list) and random.random() < 0.5 else [fill(x)] if isinstance(x, list) else [f"n{k}" for k in range(random.randint(x[1], x[2]))] if isinstance(x, tuple) else [x.decode()]))
+    texts = [(0, None), (1, "say hello big world now"), (2, "")]
+    for label, template in license_scan.TEMPLATES.items():
+        for cut in (False, True):
+            words = fill(license_scan.parse(template)).split()
+            if cut:
+                del words[len(words) // 2]
+            texts.append((len(texts), "Before, (c) 2020. " + " ".join(words).title().replace(" By ", " BY, ") + " - after"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for templates in (license_scan.TEMPLATES, {"x": "hello big world"}, {"any": "<<var 1-2>>"}):
+        got = by_id(license_scan.scan(docs, templates), "labels")
+        for i, text in texts:
+            words = " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) + " "
+            base = {v for k, v in license_scan.BASE.items() if f" {k} " in words}
+            own = {label for label, t in templates.items() if re.search(license_scan._pattern(license_scan.parse(t)) + " ", words)}
+            assert got[i] == ",".join(sorted(base | own)), (i, text)
+
+
 def test_license_scan(odd):
     got = by_id(license_scan.scan(odd), "n_base", "first_word", "labels", "score")
     assert got[9] == (1, 3, "mit,mit-notice", 1.0) and got[2] == (0, None, "", 0.0)
@@ -362,18 +447,67 @@ def test_html_of_any_shape(spark):
     assert len(rows) == 5 and max(r.n_chars for r in rows) == len("long text of many words " * 20000) - 1
 
 
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def squeezed(text):
+    import re
+
+    return re.sub(r"[\x20\t-\r]+", " ", text or "")
+
+
+def shingle_set(text):
+    words = [w for w in squeezed((text or "").translate({c: c + 32 for c in range(65, 91)})).split(" ") if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def stage_by_brute_force(name, docs, kept_by_rules):
+    """The texts that a stage should give for (doc_id, text) rows, as a sorted list."""
+    least = lambda rows: min(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    if name == "quality_rules":
+        return sorted(t for _, t in docs if kept_by_rules[t])
+    if name == "exact_dedup":
+        groups = {}
+        for row in docs:
+            groups.setdefault(squeezed(row[1]), []).append(row)
+        return sorted(str(least(rows)[0]) for rows in groups.values())
+    if name == "jaccard_join":
+        sets, parent = [shingle_set(t) for _, t in docs], list(range(len(docs)))
+        root = lambda i: i if parent[i] == i else root(parent[i])
+        for i, j in itertools.combinations(range(len(docs)), 2):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+        groups = {}
+        for i, row in enumerate(docs):
+            groups.setdefault(root(i), []).append(row)
+        return sorted(str(least(rows)[0]) for rows in groups.values())
+    texts = [(t or "").encode() for _, t in docs]
+    left = [np.frombuffer(t, np.uint8)[~c].tobytes().decode("utf-8", "ignore") for t, c in zip(texts, brute_cover(texts, corpus_pipeline.REPEAT_BYTES))]
+    return sorted(t for t in left if squeezed(t).strip(" "))
+
+
+def test_pipeline(spark, sf_dir, odd, library):
+    """Every stage against brute force on its own input, with null and repeated ids, and clashing names."""
+    prepare(spark)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table.unionByName(table.where("doc_id % 17 = 0")).unionByName(table.where("doc_id % 19 = 0").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.select("doc_id", "text"), allowMissingColumns=True)
+    docs = docs.withColumns({"hit": F.lit("h"), "row": F.lit(1), "bucket": F.lit(2), "kept": F.lit(True)})
     columns = docs.columns
     work = Workspace(spark, "p")
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        judged = {r.text: r.kept for r in quality_rules._judged(docs.select("text"), "text", 0.5).collect()} if name == "quality_rules" else None
         docs = work.table(stage(spark, docs, sf_dir), name)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns and docs.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
-    assert docs.select("doc_id").distinct().count() == before_count(work, spark)
-    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
-
-
-def before_count(work, spark):
-    return work.read("suffix_dedup").select("doc_id").distinct().count()
+        assert docs.columns == columns
+        by_text = name in ("quality_rules", "suffix_dedup")
+        assert sorted(r.text if by_text else str(r.doc_id) for r in docs.collect()) == stage_by_brute_force(name, before, judged), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    lengths = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    rows = last.collect()
+    assert sum(r.length for r in rows) == sum(lengths) and len(rows) == sum(-(-n // packing.CAPACITY) for n in lengths)
+    assert len({r.sequence_id for r in rows}) <= 1.1 * -(-sum(lengths) // packing.CAPACITY) + 1
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_of_an_empty_table(none, spark, sf_dir):
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = Workspace(spark, "p").table(stage(spark, docs, sf_dir), name)
+        assert docs.count() == 0
