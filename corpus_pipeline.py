@@ -1,6 +1,11 @@
 """A training corpus from raw documents: filter, deduplicate three ways, pack.
 
-Each stage reads what the one before it wrote and works on all of it.
+Each stage reads what the one before it wrote and works on all of it.  Tables of a
+stage's own go when its result is written, and its result when the next one's is.
+
+Defined cases, of every stage: null text counts as empty; rows of one id, rows without
+one and repeated rows are judged by their texts, row by row; an empty table gives an
+empty result; columns of any further names are kept.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuespark.llm import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
-from cuespark.llm.workspace import Workspace, prepare
+from cuespark.llm.workspace import Workspace, collected, prepare
 
 #: Bytes of a passage that counts as repeated: less than 51 words take.
 REPEAT_BYTES = 240
@@ -44,13 +49,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("jaccard_join", near), ("suffix_dedup", repeats), ("packing", pack)]
 
-#: Tokenisation, EM and suffix arrays have no SQL; the pipeline is tested against brute force.
+#: Tokenisation, EM and suffix arrays have no SQL; every stage is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        docs = work.table(stage(spark, docs, sf_dir), f"{k}-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with collected():
+            docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
+    return docs
