@@ -75,10 +75,13 @@ def interval_coverage(spark, d):
     return timeline.interval_coverage(frames, rows.join(F.broadcast(first), F.col("kind") == F.col("first"), "left_anti"))
 
 
-@_query(CUES + """, t AS (SELECT file, max(end_ms) AS d FROM cues GROUP BY file)
-SELECT file, k::BIGINT AS segment, (k * 9000)::BIGINT AS start_ms, least(k * 9000 + 10000, d)::BIGINT AS end_ms FROM (SELECT file, d, unnest(range(0, greatest(1, ceil((d - 1000) / 9000.0)::BIGINT))) AS k FROM t)""")
+@_query(CUES + """, t AS (SELECT file, CASE WHEN file % 7 <> 0 THEN max(end_ms) END AS d FROM cues GROUP BY file)
+SELECT file, k::BIGINT AS segment, (k * 9000)::BIGINT AS start_ms, CASE WHEN d > 0 THEN least(k * 9000 + 10000, d) END::BIGINT AS end_ms, CASE WHEN k > 0 THEN 1000 ELSE 0 END::BIGINT AS overlap_before_ms,
+CASE WHEN coalesce(k * 9000 + 10000 >= d, false) THEN 0 ELSE 1000 END::BIGINT AS overlap_after_ms, CASE WHEN d > 0 THEN 'planned' ELSE 'planned_unknown_duration' END AS status
+FROM (SELECT file, d, unnest(range(0, greatest(1, ceil((coalesce(d, 0) - 1000) / 9000.0)::BIGINT))) AS k FROM t)""")
 def segments(spark, d):
-    return timeline.segments(cues(spark, d).groupBy("file").agg(F.max("end_ms").alias("duration_ms")), 10_000, 1_000)
+    lengths = cues(spark, d).groupBy("file").agg(F.max("end_ms").alias("duration_ms"))
+    return timeline.segments(lengths.withColumn("duration_ms", F.expr("if(file % 7 <> 0, duration_ms, null)")), 10_000, 1_000)
 
 
 @_query(CUES + ", c AS (SELECT *, " + _READ.format("content") + " AS chars, string_split(content, chr(10)) AS l FROM cues) SELECT file, pos, idx, unnest(" + _CODES([
@@ -117,14 +120,14 @@ def chunks_fixed(spark, d):
     return chunking.fixed(cues(spark, d), 3)
 
 
-@_query("RECURSIVE " + CUES + """, r AS (SELECT file, pos, length(content) AS ch, contains(content, 'tion')::INT AS rk, regexp_matches(content, '[。！？!?…」』.]$') AND length(content) >= 18 AS e FROM cues),
+@_query("RECURSIVE " + CUES + """, r AS (SELECT file, pos, length(content) AS ch, contains(content, 'tion')::INT AS rk, regexp_matches(content, '[。！？….!?][ \n]*$') AND length(trim(content, ' ' || chr(10))) >= 18 AS e FROM cues),
 f AS (SELECT file, pos, 0::BIGINT AS chunk, 1 AS n, ch, rk, e FROM r WHERE pos = 1
 UNION ALL SELECT file, pos, CASE WHEN cut THEN chunk + 1 ELSE chunk END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN xch ELSE ch + xch END, CASE WHEN cut THEN xrk ELSE rk + xrk END, xe FROM (
  SELECT r.file, r.pos, f.chunk, f.n, f.ch, f.rk, r.ch AS xch, r.rk AS xrk, r.e AS xe, (f.n >= 4 OR (f.n >= 2 AND f.ch >= 1500) OR (f.n >= 2 AND f.rk >= 3) OR (f.n >= 3 AND f.ch >= 700)) OR (f.n >= 2 AND f.ch >= 700 AND f.e) AS cut FROM f JOIN r ON r.file = f.file AND r.pos = f.pos + 1))
 SELECT file, pos, chunk FROM f""")
 def chunks_dynamic(spark, d):
     rows = cues(spark, d).select("file", "pos", "content", F.length("content").cast("long").alias("chars"), F.col("content").contains("tion").cast("long").alias("risk"))
-    return chunking.dynamic(rows, size=3, least=2, most=4, target=700, hard=1500, risk_limit=3)
+    return chunking.dynamic(rows, size=3, least=2, most=4, target=700, hard=1500, risk_limit=3).drop("reason")
 
 
 @_query(CUES + " SELECT file, pos, coalesce(string_agg(pos::VARCHAR, ',') OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(pos::VARCHAR, ',') OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM cues")
@@ -139,11 +142,13 @@ def deep_groups(spark, d):
     return chunking.dilated_groups(cues(spark, d).select("file", "pos", (F.length("content") > 400).alias("flag")), 1, 3)
 
 
-_SIDES = ", r AS (SELECT file, pos, idx + (pos % 7 = 0)::INT AS idx, start_ms, end_ms + (pos % 5 = 0)::INT AS end_ms FROM cues WHERE file % 6 <> 0 AND pos % 11 <> 0)"
+_SIDES = ", r AS (SELECT file + (file % 6 = 0)::INT * 1000000 AS file, pos + (pos % 11 = 0)::INT * 1000 AS pos, idx + (pos % 7 = 0)::INT AS idx, start_ms, end_ms + (pos % 5 = 0)::INT AS end_ms FROM cues)"
 
 
 def _right(rows: DataFrame) -> DataFrame:
-    return rows.where("file % 6 <> 0 AND pos % 11 <> 0").select("file", "pos", (F.col("idx") + (F.col("pos") % 7 == 0).cast("int")).alias("idx"), "start_ms", (F.col("end_ms") + (F.col("pos") % 5 == 0).cast("int")).alias("end_ms"), "content")
+    """A second version: every sixth file has another name, every eleventh cue another place, and some other indexes and ends."""
+    moved = lambda e, kind="int": F.expr(e).cast(kind)
+    return rows.select((F.col("file") + moved("file % 6 = 0") * 1_000_000).alias("file"), (F.col("pos") + moved("pos % 11 = 0") * 1000).alias("pos"), (F.col("idx") + moved("pos % 7 = 0")).alias("idx"), "start_ms", (F.col("end_ms") + moved("pos % 5 = 0")).alias("end_ms"), "content")
 
 
 @_query(CUES + _SIDES + """ SELECT * FROM (SELECT file, pos, CASE WHEN r.idx IS NULL THEN 'missing_right' WHEN cues.idx IS NULL THEN 'missing_left' WHEN cues.idx <> r.idx THEN 'index_mismatch' WHEN cues.start_ms <> r.start_ms OR cues.end_ms <> r.end_ms THEN 'timeline_mismatch' END AS code FROM cues FULL JOIN r USING (file, pos)) WHERE code IS NOT NULL""")
@@ -158,39 +163,32 @@ def missing_pairs(spark, d):
     return review.missing_pairs(rows, _right(rows))
 
 
-@_query(CUES + ", i AS (SELECT file, idx FROM cues WHERE pos % 3 = 0) SELECT i.file, i.idx, o.o AS \"offset\", c.content FROM i, (SELECT unnest([-2, -1, 1, 2]) AS o) o JOIN cues c ON c.file = i.file AND c.idx = i.idx + o.o")
+@_query(CUES + ", i AS (SELECT file, idx FROM cues) SELECT i.file, i.idx, o.o AS \"offset\", c.content FROM i, (SELECT unnest([-2, -1, 1, 2]) AS o) o JOIN cues c ON c.file = i.file AND c.idx = i.idx + o.o")
 def neighbor_context(spark, d):
     rows = cues(spark, d)
-    return review.neighbour_context(rows.where("pos % 3 = 0").select("file", "idx"), rows)
+    return review.neighbour_context(rows.select("file", "idx"), rows)
 
 
-@_query("""e AS (SELECT doc_id AS issue_id FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT doc_id AS issue_id, CASE WHEN toxic = 1 THEN 'defer' WHEN quality = 1 THEN 'Accept ' ELSE 'reject' END AS decision, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'seen' END AS reason FROM labels)
-SELECT issue_id, CASE WHEN e.issue_id IS NULL THEN 'unknown' WHEN r.issue_id IS NULL THEN 'unresolved' WHEN decision = 'defer' THEN 'deferred' WHEN trim(reason) = '' THEN 'invalid' WHEN decision = 'Accept ' THEN 'ready_to_apply' ELSE 'rejected' END AS status FROM e FULL JOIN r USING (issue_id)""")
-def closure_status(spark, d):
-    word = F.when(F.col("toxic") == 1, "defer").when(F.col("quality") == 1, "Accept ").otherwise("reject")
-    reviewed = table(spark, d, "labels").select(F.col("doc_id").alias("issue_id"), F.lit(0).alias("ord"), word.alias("decision"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise("seen").alias("reason"))
-    return review.closure(table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("issue_id")), reviewed)
-
-
-@_query(CUES + """, u AS (SELECT file, idx + (file % 4 = 0 AND idx = 3)::INT * 100 AS idx, CASE WHEN file % 5 = 0 AND idx = 2 THEN 'other' ELSE content END AS cur, CASE WHEN idx % 3 = 0 THEN content ELSE 'new' END AS rep FROM cues WHERE idx < 5),
+@_query(CUES + """, u AS (SELECT file, idx + (file % 4 = 0 AND idx = 3)::INT * 100 AS idx, CASE WHEN file % 5 = 0 AND idx = 2 THEN 'other' ELSE content END AS cur, CASE WHEN idx % 3 = 0 THEN content ELSE 'new' END AS rep FROM cues),
 s AS (SELECT u.file, u.idx, CASE WHEN c.content IS NULL THEN 'not_found' WHEN trim(rep) = '' THEN 'empty' WHEN trim(cur) <> '' AND trim(cur) <> trim(c.content) THEN 'stale' WHEN trim(rep) = trim(c.content) THEN 'already_correct' ELSE 'applied' END AS status FROM u LEFT JOIN cues c ON c.file = u.file AND c.idx = u.idx)
 SELECT file, idx, CASE WHEN status = 'applied' AND bool_or(status IN ('not_found', 'empty', 'stale')) OVER (PARTITION BY file) THEN 'not_applied' ELSE status END AS status FROM s""")
 def apply_result(spark, d):
     rows = cues(spark, d).select("file", "idx", "content")
-    updates = rows.where("idx < 5").select("file", F.expr("idx + if(file % 4 = 0 AND idx = 3, 100, 0)").alias("idx"), F.expr("if(file % 5 = 0 AND idx = 2, 'other', content)").alias("current"), F.expr("if(idx % 3 = 0, content, 'new')").alias("replacement"))
+    updates = rows.select("file", F.expr("idx + if(file % 4 = 0 AND idx = 3, 100, 0)").alias("idx"), F.expr("if(file % 5 = 0 AND idx = 2, 'other', content)").alias("current"), F.expr("if(idx % 3 = 0, content, 'new')").alias("replacement"))
     return review.apply_updates(rows, updates)
 
 
-@_query("held AS (SELECT doc_id AS id, lang AS v FROM documents WHERE doc_id % 2 = 0), new AS (SELECT doc_id AS id, source AS v FROM documents WHERE doc_id % 3 = 0) SELECT * FROM held UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM held)")
+@_query("held AS (SELECT doc_id AS id, lang AS v FROM documents), new AS (SELECT doc_id + (doc_id % 3 = 0)::INT * 1000000 AS id, source AS v FROM documents) SELECT * FROM held UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM held)")
 def queue_upsert(spark, d):
     docs = table(spark, d, "documents")
-    return review.upsert_absent(docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("v")), "id")
+    return review.upsert_absent(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), docs.select(F.expr("doc_id + if(doc_id % 3 = 0, 1000000, 0)").alias("id"), F.col("source").alias("v")), "id")
 
 
-@_query("w AS (SELECT doc_id, sha256(coalesce(text, '')) AS signature FROM documents) SELECT doc_id, signature FROM w WHERE signature NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0)")
+@_query("w AS (SELECT doc_id, sha256(coalesce(text, '')) AS signature FROM documents), c AS (SELECT sha256(coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' edited' END) AS signature, doc_id % 10 <> 0 AS ok FROM documents) SELECT doc_id, signature FROM w WHERE signature NOT IN (SELECT signature FROM c WHERE ok)")
 def cache_misses(spark, d):
-    wanted = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("signature"))
-    return review.cache_misses(wanted, wanted.where("doc_id % 2 = 0").select("signature", F.when(F.col("doc_id") % 10 == 0, "failed").otherwise("ok").alias("status")))
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    held = docs.select(F.sha2(F.concat("text", F.expr("if(doc_id % 2 = 0, '', ' edited')")), 256).alias("signature"), F.when(F.col("doc_id") % 10 == 0, "failed").otherwise("ok").alias("status"))
+    return review.cache_misses(docs.select("doc_id", F.sha2("text", 256).alias("signature")), held)
 
 
 @_query(CUES + " SELECT 'qc-' || substr(sha256(file::VARCHAR || chr(31) || idx::VARCHAR || chr(31) || content), 1, 16) AS issue_id, file, idx, CASE WHEN regexp_matches(lower(content), 'licen') THEN 'terminology' WHEN regexp_matches(lower(content), 'sch') THEN 'formatting' ELSE 'semantic' END AS category FROM cues")
@@ -294,7 +292,7 @@ def activity_candidates(spark, d):
     return activity.candidates(seen).select("file", "start_s", "end_s", "frames", F.round("gap_ratio", 6).alias("gap_ratio"), "side")
 
 
-_REVIEWS = """e AS (SELECT doc_id AS issue_id, source AS file, doc_id AS idx, CASE WHEN doc_id % 4 = 0 THEN 'formatting' ELSE 'semantic' END AS category FROM documents WHERE doc_id % 3 <> 0),
+_REVIEWS = """e AS (SELECT doc_id + (doc_id % 3 = 0)::INT * 1000000 AS issue_id, source AS file, doc_id AS idx, CASE WHEN doc_id % 4 = 0 THEN 'formatting' ELSE 'semantic' END AS category FROM documents),
 r AS (SELECT doc_id AS issue_id, CASE WHEN toxic = 1 THEN 'defer' WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'seen' END AS reason, CASE WHEN doc_id % 7 = 0 THEN 'insufficient' ELSE 'script_confirmed' END AS level, CASE WHEN doc_id % 11 = 0 THEN 'looks right' ELSE 'ASR line' END AS evidence FROM labels)"""
 
 
@@ -302,15 +300,23 @@ r AS (SELECT doc_id AS issue_id, CASE WHEN toxic = 1 THEN 'defer' WHEN quality =
 SELECT issue_id, CASE WHEN ri IS NULL THEN 'unresolved' WHEN ei IS NULL THEN 'unknown' WHEN put_off OR decision = 'defer' THEN 'deferred' WHEN decision = 'accept' AND NOT failed THEN 'ready_to_apply' WHEN decision = 'reject' AND NOT failed THEN 'rejected' ELSE 'invalid' END AS status,
 ri IS NOT NULL AND ei IS NOT NULL AND decision = 'accept' AND NOT put_off AND NOT failed AS apply_allowed FROM j""")
 def closure_report(spark, d):
-    n = F.col("doc_id")
-    e = table(spark, d, "documents").where("doc_id % 3 <> 0").select(n.alias("issue_id"), F.col("source").alias("file"), n.alias("idx"), F.when(n % 4 == 0, "formatting").otherwise("semantic").alias("category"), F.lit("high").alias("severity"))
-    none = F.lit(None).cast("string")
+    return _closed(spark, d).select("issue_id", "status", "apply_allowed")
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    n, none = F.col("doc_id"), F.lit(None).cast("string")
     word = F.when(F.col("toxic") == 1, "defer").when(F.col("quality") == 1, "accept").otherwise("reject")
-    r = table(spark, d, "labels").select(
+    return table(spark, d, "labels").select(
         n.alias("issue_id"), F.lit(1).alias("ord"), none.alias("file"), F.lit(None).cast("long").alias("idx"), word.alias("decision"), F.when(n % 5 == 0, "").otherwise("seen").alias("decision_reason"), F.when(n % 7 == 0, "insufficient").otherwise("script_confirmed").alias("evidence_level"),
         F.when(n % 11 == 0, "looks right").otherwise("ASR line").alias("evidence_summary"), F.lit("new").alias("replacement"), none.alias("corrected"), none.alias("suggest"), F.lit("old").alias("current"), none.alias("review_method"), F.lit(True).alias("review_required"),
     )
-    return closure.items(e, r).select("issue_id", "status", "apply_allowed")
+
+
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    """Every third expected issue has an id that no review has."""
+    n = F.col("doc_id")
+    e = table(spark, d, "documents").select(F.expr("doc_id + if(doc_id % 3 = 0, 1000000, 0)").alias("issue_id"), F.col("source").alias("file"), n.alias("idx"), F.when(n % 4 == 0, "formatting").otherwise("semantic").alias("category"), F.lit("high").alias("severity"))
+    return closure.items(e, _reviewed(spark, d))
 
 
 @_query(FILES + """, b AS (SELECT track_key, min({n: w, r: k, p: path, e: extension, d: duration_s}) AS m, bool_or(extension = 'mp3') AS mp3 FROM files WHERE without GROUP BY track_key),
@@ -372,11 +378,16 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 2).alias("work"), F.col("item_id").alias("track"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@_query(None)
-def page_windows(spark, d):
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Passages, and the sentences of a work's passages as its pages."""
     scripts = _scripts(spark, d)
     sentences = scripts.select("work", "track", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select("work", F.struct("track", "k").alias("page"), "text")
-    return matching.best_page_window(scripts, matching.clean_pages(sentences))
+    return scripts, matching.clean_pages(sentences)
+
+
+@_query(None)
+def page_windows(spark, d):
+    return matching.best_page_window(*_pages(spark, d))
 
 
 @_query(None)

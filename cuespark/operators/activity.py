@@ -34,19 +34,28 @@ def weak_text(text: Column, seconds: Column) -> Column:
     )
 
 
-def coverage(frames: DataFrame, cues: DataFrame, clip: int = 120, bin_s: int = 60) -> DataFrame:
+#: Seconds of the shortest class of bins, how much longer each next is, and how many there are.
+BIN_S, LONGER, CLASSES = 60, 8, 7
+
+
+def coverage(frames: DataFrame, cues: DataFrame, clip: int = 120) -> DataFrame:
     """Frames with ``state`` (none, weak, strong) and ``heard``: the texts of cues that overlap them, only strong ones if there is one.
 
     Joined by file and bins of time, so that a long recording is the work of many
-    tasks; a pair that shares several bins counts in its first.
+    tasks.  A cue is cut into bins of a class that is about its length, so it lies in
+    two or three whatever its length; a frame looks in the bins of the classes that its
+    file has.  A pair that shares several bins counts in its first.
     """
     seconds = (F.col("end_ms") - F.col("start_ms")) / 1000
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_s), F.floor(F.greatest(a, b) / bin_s)))
+    width = F.lit(BIN_S) * F.pow(F.lit(LONGER), F.col("class"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(a, b) / width)))
     c = cues.select("file", F.col("pos").alias("c_pos"), (F.col("start_ms") / 1000).alias("c_start"), (F.col("end_ms") / 1000).alias("c_end"), compact(F.col("content")).alias("c_text"), weak_text(F.col("content"), seconds).alias("c_weak"))
+    c = c.withColumn("class", F.least(F.lit(CLASSES - 1), F.greatest(F.lit(0), F.ceil(F.log(float(LONGER), F.greatest(F.lit(1.0), (F.col("c_end") - F.col("c_start")) / BIN_S))))).cast("int"))
+    classes = c.groupBy("file").agg(F.collect_set("class").alias("classes"))
     c = c.withColumn("bin", bins(F.col("c_start"), F.col("c_end")))
-    f = frames.select("file", "pos", "start_s", "end_s").withColumn("bin", bins(F.col("start_s"), F.col("end_s")))
-    meets = (F.col("c_start") < F.col("end_s")) & (F.col("c_end") > F.col("start_s")) & (F.col("bin") == F.floor(F.greatest("c_start", "start_s") / bin_s))
-    met = f.join(c, ["file", "bin"]).where(meets).groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("c_pos", "c_weak", "c_text"))).alias("met"), F.min("c_weak").alias("weak"))
+    f = frames.select("file", "pos", "start_s", "end_s").join(classes, "file").withColumn("class", F.explode("classes")).drop("classes").withColumn("bin", bins(F.col("start_s"), F.col("end_s")))
+    meets = (F.col("c_start") < F.col("end_s")) & (F.col("c_end") > F.col("start_s")) & (F.col("bin") == F.floor(F.greatest("c_start", "start_s") / width))
+    met = f.join(c, ["file", "class", "bin"]).where(meets).groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("c_pos", "c_weak", "c_text"))).alias("met"), F.min("c_weak").alias("weak"))
     kept = F.filter("met", lambda x: F.col("weak") | ~x["c_weak"])
     met = met.select("file", "pos", F.when(F.col("weak"), "weak").otherwise("strong").alias("state"), F.substring(F.array_join(F.transform(kept, lambda x: x["c_text"]), " / "), 1, clip).alias("heard"))
     return frames.join(met, ["file", "pos"], "left").withColumns({"state": F.coalesce("state", F.lit("none")), "heard": F.coalesce("heard", F.lit(""))})

@@ -5,35 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.functions.text import trimmed
+
 _W = lambda: Window.partitionBy("file").orderBy("pos")
-ENDS = r"[。！？!?…」』.]$"
+# Signs that end a sentence.
+ENDS = r"[。！？….!?]$"
+# Presets and profiles of models by class, as (size, least, most, target, hard).
+PRESETS = {"safe": (12, 6, 24, 900, 1300), "fast": (18, 8, 32, 1400, 2200), "turbo": (24, 10, 40, 1800, 2600)}
 
 
 def fixed(cues: DataFrame, size: int) -> DataFrame:
     return cues.select("file", "pos", F.floor((F.row_number().over(_W()) - 1) / size).cast("long").alias("chunk"))
 
 
-def dynamic(cues: DataFrame, size: int = 12, least: int = 6, most: int = 24, target: int = 900, hard: int = 1300, risk_limit: int = 5, sentence: int = 18) -> DataFrame:
-    """Greedy chunks (file, pos, chars, risk, content): whether a chunk closes depends on what it holds.
+def dynamic(cues: DataFrame, size: int = 12, least: int = 6, most: int = 24, target: int = 900, hard: int = 1300, risk_limit: int = 5, sentence: int = 18, gap_ms: int | None = None) -> DataFrame:
+    """Greedy chunks of cues (file, pos, chars, risk, content): file, pos, chunk and why the chunk was closed.
 
-    A fold over a file's rows in order; its state is what is in the open chunk.
+    Whether a chunk closes depends on what it holds: a fold over a file's rows in order,
+    whose state is what is in the open chunk and where chunks began; rows find their
+    chunk by a running count.  With ``gap_ms`` a hole in time (start_ms, end_ms) is a
+    place to close at too; without, only the end of a sentence is.
     """
-    rows = F.array_sort(F.collect_list(F.struct("pos", "chars", "risk", (F.col("content").rlike(ENDS) & (F.length("content") >= sentence)).alias("ends"))))
-    kind = "struct<chunk:long,n:long,chars:long,risk:long,last_ends:boolean,closed:boolean,out:array<struct<pos:long,chunk:long>>>"
-    start = F.expr(f"CAST(named_struct('chunk', 0L, 'n', 0L, 'chars', 0L, 'risk', 0L, 'last_ends', false, 'closed', false, 'out', array()) AS {kind})")
+    text = trimmed(F.col("content"))
+    w = _W()
+    gap = (F.col("start_ms") - F.lag("end_ms").over(w) >= gap_ms) if gap_ms is not None else F.lit(False)
+    ends = text.rlike(ENDS) & (F.length(text) >= sentence)
+    told = cues.withColumn("_boundary", F.coalesce(F.lag(ends).over(w), F.lit(False)) | F.coalesce(gap, F.lit(False)))
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.col("chars").cast("long").alias("chars"), F.col("risk").cast("long").alias("risk"), F.col("_boundary").alias("boundary"))))
+    kind = "struct<n:long,chars:long,risk:long,closed:string,cuts:array<struct<pos:long,why:string>>>"
+    start = F.expr(f"CAST(named_struct('n', 0L, 'chars', 0L, 'risk', 0L, 'closed', '', 'cuts', array()) AS {kind})")
 
     def step(a, x):
-        cut = a["closed"] | ((a["n"] >= least) & (a["chars"] >= target) & a["last_ends"])
-        cut = cut & (a["n"] > 0)
-        chunk = F.when(cut, a["chunk"] + 1).otherwise(a["chunk"])
+        natural = (a["closed"] == "") & (a["n"] >= least) & (a["n"] > 0) & (a["chars"] >= target) & x["boundary"]
+        cut = (a["closed"] != "") | natural
         n = F.when(cut, 1).otherwise(a["n"] + 1)
         chars = F.when(cut, x["chars"]).otherwise(a["chars"] + x["chars"])
         risk = F.when(cut, x["risk"]).otherwise(a["risk"] + x["risk"])
-        closed = (n >= most) | ((n >= least) & (chars >= hard)) | ((n >= least) & (risk >= risk_limit)) | ((n >= size) & (chars >= target))
-        return F.struct(chunk.alias("chunk"), n.alias("n"), chars.alias("chars"), risk.alias("risk"), x["ends"].alias("last_ends"), closed.alias("closed"), F.concat(a["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), chunk.alias("chunk")))).alias("out")).cast(kind)
+        closed = F.when(n >= most, "max_chunk_size").when((n >= least) & (chars >= hard), "hard_chars").when((n >= least) & (risk >= risk_limit), "risk_density").when((n >= size) & (chars >= target), "target_chars").otherwise("")
+        why = F.when(natural, "semantic_gap_or_sentence").otherwise(a["closed"])
+        cuts = F.when(cut, F.concat(a["cuts"], F.array(F.struct(x["pos"].cast("long").alias("pos"), why.alias("why"))))).otherwise(a["cuts"])
+        return F.struct(n.alias("n"), chars.alias("chars"), risk.alias("risk"), closed.alias("closed"), cuts.alias("cuts")).cast(kind)
+
+    last = lambda a: F.struct(a["cuts"].alias("cuts"), F.when(a["closed"] == "", "end").otherwise(a["closed"]).alias("last"))
+    folded = told.groupBy("file").agg(F.aggregate(rows, start, step, last).alias("x")).select("file", "x.*")
+    # the k-th cut begins chunk k and tells why chunk k - 1 was closed
+    why = folded.select("file", F.posexplode(F.concat(F.transform("cuts", lambda c: c["why"]), F.array("last"))).alias("k", "reason")).select("file", F.col("k").cast("long").alias("chunk"), "reason")
+    begins = folded.select("file", F.explode("cuts").alias("c")).select("file", F.col("c.pos").alias("pos"), F.lit(1).cast("long").alias("_cut"))
+    placed = cues.select("file", F.col("pos").cast("long").alias("pos")).join(begins, ["file", "pos"], "left").withColumn("chunk", F.coalesce(F.sum("_cut").over(w), F.lit(0)))
+    return placed.join(why, ["file", "chunk"]).select("file", "pos", "chunk", "reason")
+
 
-    folded = cues.groupBy("file").agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("file", F.explode("out").alias("x")).select("file", "x.pos", "x.chunk")
+def summary(chunked: DataFrame) -> DataFrame:
+    """A row for each chunk of rows (file, chunk, pos, idx, chars, risk, reason): first and last index, indexes, counts and sums."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"])
+    return chunked.groupBy("file", "chunk").agg(
+        F.min_by("idx", "pos").alias("start_i"), F.max_by("idx", "pos").alias("end_i"), rows.alias("target_indexes"), F.count("*").alias("count"), F.sum("chars").alias("chars"), F.sum("risk").alias("risk_score"), F.first("reason").alias("reason")
+    )
 
 
 def halo(cues: DataFrame, n: int = 2) -> DataFrame:

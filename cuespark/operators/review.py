@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespark.functions.text import decision
+from cuespark.functions.text import trimmed
 
 
 def pair_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -30,30 +30,56 @@ def neighbour_context(items: DataFrame, cues: DataFrame, offsets=(-2, -1, 1, 2))
     return wanted.join(last, ["file", "at"]).select("file", "idx", "offset", "content")
 
 
-def closure(expected: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """expected (issue_id) and reviewed (issue_id, ord, decision, reason): a status for every id of either side; the last of repeated reviews counts."""
-    newest = Window.partitionBy("issue_id").orderBy(F.desc("ord"))
-    r = reviewed.withColumn("k", F.row_number().over(newest)).withColumn("times", F.count("*").over(Window.partitionBy("issue_id"))).where("k = 1")
-    word = decision(F.col("decision"), "pending")
-    reason = F.trim(F.coalesce("reason", F.lit(""))) != ""
-    status = (
-        F.when(F.col("e").isNull(), "unknown").when(F.col("k").isNull(), "unresolved").when(F.col("times") > 1, "invalid").when(~word.isin("accept", "reject", "defer"), "invalid")
-        .when(word == "defer", "deferred").when(~reason, "invalid").when(word == "accept", "ready_to_apply").otherwise("rejected")
-    )
-    return expected.select("issue_id", F.lit(1).alias("e")).join(r, "issue_id", "full_outer").select("issue_id", status.alias("status"))
-
-
-def apply_updates(cues: DataFrame, updates: DataFrame) -> DataFrame:
-    """cues (file, idx, content) with updates (file, idx, current, replacement), all or none of a file's.
+def apply_updates(cues: DataFrame, updates: DataFrame, apply: bool = True, allow_stale: bool = False) -> DataFrame:
+    """cues (file, idx, content) with updates (file, idx, current, replacement), all or none of a file's: file, idx, status.
 
     An update fails where its cue is missing, its replacement blank or its view of the
-    cue stale; then no update of that file is made.
+    cue stale (unless ``allow_stale``); then no update of that file is made.  Without
+    ``apply`` what would be applied is told and nothing else.
     """
-    joined = updates.join(cues.select("file", "idx", "content"), ["file", "idx"], "left")
-    status = F.when(F.col("content").isNull(), "not_found").when(F.trim("replacement") == "", "empty").when((F.trim("current") != "") & (F.trim("current") != F.trim("content")), "stale").when(F.trim("replacement") == F.trim("content"), "already_correct").otherwise("applied")
+    last = cues.groupBy("file", "idx").agg(F.max_by("content", "pos").alias("content")) if "pos" in cues.columns else cues.select("file", "idx", "content")
+    joined = updates.join(last, ["file", "idx"], "left")
+    stale = (trimmed(F.col("current")) != "") & (trimmed(F.col("current")) != trimmed(F.col("content"))) & F.lit(not allow_stale)
+    new = trimmed(F.col("replacement"))
+    status = F.when(F.col("content").isNull(), "not_found").when(new == "", "empty").when(stale, "stale").when(new == trimmed(F.col("content")), "already_correct").otherwise("applied" if apply else "would_apply")
     joined = joined.withColumn("status", status)
     failed = F.max(F.col("status").isin("not_found", "empty", "stale").cast("int")).over(Window.partitionBy("file"))
-    return joined.withColumn("status", F.when((F.col("status") == "applied") & (failed == 1), "not_applied").otherwise(F.col("status"))).select("file", "idx", "status")
+    return joined.withColumn("status", F.when(F.col("status").isin("applied", "would_apply") & (failed == 1), "not_applied").otherwise(F.col("status"))).select("file", "idx", "status")
+
+
+def updated_cues(cues: DataFrame, updates: DataFrame, **options) -> DataFrame:
+    """All cues (file, pos, idx, ..., content) after the updates that ``apply_updates`` makes; of cues with one index the last changes, of updates of one cue the greatest text counts."""
+    made = apply_updates(cues, updates, **options).where("status = 'applied'").distinct()
+    text = updates.groupBy("file", "idx").agg(F.max(trimmed(F.col("replacement"))).alias("_new")).join(made.select("file", "idx"), ["file", "idx"])
+    last = F.row_number().over(Window.partitionBy("file", "idx").orderBy(F.desc("pos"))) == 1
+    rows = cues.withColumn("_last", last).join(text, ["file", "idx"], "left")
+    content = F.coalesce(F.when(F.col("_last"), F.col("_new")), F.col("content"))
+    return rows.select(*[content.alias(c) if c == "content" else F.col(c) for c in cues.columns])
+
+
+def changed_within(before: DataFrame, after: DataFrame, allowed: DataFrame) -> DataFrame:
+    """file, within: whether all cues (file, idx, content) of a file that changed are among those allowed (file, idx)."""
+    text = lambda df: F.sort_array(F.collect_list(F.struct("pos", "content"))).alias(df)
+    one = before.groupBy("file", "idx").agg(text("a")).join(after.groupBy("file", "idx").agg(text("b")), ["file", "idx"], "full_outer")
+    changed = one.where(~F.col("a").eqNullSafe(F.col("b"))).join(allowed.select("file", "idx", F.lit(True).alias("_ok")).distinct(), ["file", "idx"], "left")
+    bad = changed.where("_ok IS NULL").select("file").distinct().withColumn("_bad", F.lit(True))
+    return before.select("file").distinct().join(bad, "file", "left").select("file", F.col("_bad").isNull().alias("within"))
+
+
+def strict_pairs(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (file, pos, idx, start_ms, end_ms, ja, zh) of files whose cues agree one by one, and the other files with why: count, index or timeline mismatch.
+
+    Files of the left side that the right side lacks are missing; those of the right alone are not looked at.
+    """
+    r = right.select("file", "pos", F.col("idx").alias("r_idx"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("content").alias("zh"), F.lit(True).alias("r"))
+    both = left.withColumn("l", F.lit(True)).join(r, ["file", "pos"], "full_outer")
+    why = (
+        F.when(F.max(F.col("l")).isNull(), "only_right").when(F.max(F.col("r")).isNull(), "missing_translation").when(F.count("l") != F.count("r"), "count_mismatch")
+        .when(F.count_if(F.col("idx") != F.col("r_idx")) > 0, "pair_index_mismatch").when(F.count_if((F.col("start_ms") != F.col("r_start")) | (F.col("end_ms") != F.col("r_end"))) > 0, "pair_timeline_mismatch")
+    )
+    told = both.groupBy("file").agg(why.alias("code"))
+    good = both.join(told.where("code IS NULL").select("file"), "file", "left_semi")
+    return good.select("file", "pos", "idx", "start_ms", "end_ms", F.col("content").alias("ja"), "zh"), told.where("code IS NOT NULL AND code <> 'only_right'")
 
 
 def upsert_absent(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -88,3 +114,13 @@ def promote(queue: DataFrame, libraries: DataFrame) -> tuple[DataFrame, DataFram
     j = j.withColumn("status", F.when(F.col("_known").isNull(), "unknown_target").when(F.col("_held") | (rank > 1), "already_present").otherwise("applied"))
     added = j.where("status = 'applied'").select("target", "entry")
     return libraries.select("target", "entry").unionByName(added), j.select("id", "status")
+
+
+def pending(queue: DataFrame) -> DataFrame:
+    """Entries of a review queue (status) that wait."""
+    return queue.where(F.col("status").isin("pending", "pending_review"))
+
+
+def queue_report(queue: DataFrame) -> DataFrame:
+    """One row: entries of a review queue, and those that wait."""
+    return queue.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("pending", "pending_review")).alias("pending"))

@@ -76,24 +76,68 @@ def merged_windows(windows: DataFrame, within_ms: int = 250) -> DataFrame:
     return islands.groupBy("file", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("island")
 
 
-def interval_coverage(frames: DataFrame, intervals: DataFrame, bin_ms: int = 60_000) -> DataFrame:
+def interval_coverage(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     """For each frame (file, frame, start_ms, end_ms), how many intervals (file, start_ms, end_ms) of its file overlap it, half-open.
 
-    Both sides are cut into bins of time, so that a long file is joined by many
-    tasks; a pair that shares several bins counts in its first.
+    Of the intervals that begin before a frame ends, those have passed that end by its
+    beginning: two running counts over a file's times, whatever the lengths; no pairs
+    are formed.  Nothing should end before it starts.
     """
-    binned = lambda df: df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_ms") / bin_ms), F.floor(F.greatest(F.col("end_ms") - 1, F.col("start_ms")) / bin_ms))))
-    right = binned(intervals.select("file", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("start_ms"), F.col("end_ms"))).select("file", "bin", "s", "e")
-    left = binned(frames)
-    meets = (F.col("s") < F.col("end_ms")) & (F.col("e") > F.col("start_ms")) & (F.col("bin") == F.floor(F.greatest("s", "start_ms") / bin_ms))
-    hits = left.join(right, ["file", "bin"]).where(meets).groupBy("file", "frame").agg(F.count("*").alias("n"))
+    proper = (F.col("start_ms") < F.col("end_ms")).cast("long")
+    event = lambda df, at, kind, sign, frame: df.select("file", F.col(at).alias("at"), F.lit(kind).alias("kind"), (sign * F.lit(1)).cast("long").alias("n"), (sign * proper).alias("proper"), frame, proper.alias("wide"))
+    none, its = F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"), F.col("frame")
+    # at one time ends come first, then frames, then starts
+    times = event(intervals, "end_ms", 0, F.lit(1), none).unionByName(event(intervals, "start_ms", 3, F.lit(1), none)).unionByName(event(frames, "start_ms", 1, F.lit(0), its)).unionByName(event(frames, "end_ms", 2, F.lit(0), its))
+    before = Window.partitionBy("file").orderBy("at", "kind")
+    of = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col(name)).otherwise(0)).over(before)
+    told = times.withColumns({"begun": of(3, "n"), "ended": of(0, "n"), "begun_proper": of(3, "proper"), "ended_proper": of(0, "proper")}).where("frame IS NOT NULL")
+    # intervals without length do not count for frames without length
+    begun, ended = (F.when(F.col("wide") == 1, F.col(x)).otherwise(F.col(f"{x}_proper")) for x in ("begun", "ended"))
+    hits = told.groupBy("file", "frame").agg((F.sum(F.when(F.col("kind") == 2, begun).otherwise(0)) - F.sum(F.when(F.col("kind") == 1, ended).otherwise(0))).cast("long").alias("n"))
     return frames.join(hits, ["file", "frame"], "left").select("file", "frame", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def segments(tracks: DataFrame, size_ms: int = 900_000, overlap_ms: int = 8_000) -> DataFrame:
-    """Overlapping stretches of fixed size over tracks (file, duration_ms)."""
+    """Overlapping stretches of fixed size over tracks (file, duration_ms), with how far each reaches into its neighbours.
+
+    A track of unknown duration, or of none, is one stretch without an end.
+    """
     if not 0 <= overlap_ms < size_ms:
         raise ValueError("the overlap must be less than the size")
     hop = size_ms - overlap_ms
-    last = F.greatest(F.lit(0), F.ceil((F.col("duration_ms") - overlap_ms) / hop) - 1)
-    return tracks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).select("file", F.col("k").cast("long").alias("segment"), (F.col("k") * hop).cast("long").alias("start_ms"), F.least(F.col("k") * hop + size_ms, F.col("duration_ms")).cast("long").alias("end_ms"))
+    known = F.coalesce(F.col("duration_ms") > 0, F.lit(False))
+    last = F.when(known, F.greatest(F.lit(0), F.ceil((F.col("duration_ms") - overlap_ms) / hop) - 1)).otherwise(0)
+    out = tracks.withColumns({"_known": known, "k": F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))})
+    end = F.when(F.col("_known"), F.least(F.col("k") * hop + size_ms, F.col("duration_ms")))
+    return out.select(
+        "file", F.col("k").cast("long").alias("segment"), (F.col("k") * hop).cast("long").alias("start_ms"), end.cast("long").alias("end_ms"),
+        F.when(F.col("k") > 0, overlap_ms).otherwise(0).cast("long").alias("overlap_before_ms"), F.when(F.coalesce(end >= F.col("duration_ms"), F.lit(False)), 0).otherwise(overlap_ms).cast("long").alias("overlap_after_ms"),
+        F.when(F.col("_known"), "planned").otherwise("planned_unknown_duration").alias("status"),
+    )
+
+
+def repair_actions(cues: DataFrame, fix: bool = False, **limits) -> DataFrame:
+    """Overlaps (file, pos, idx, kind, action) of cues: auto_fixable (fixed, with ``fix``) where the earlier end can be clipped, else review_required."""
+    done = "fixed" if fix else "auto_fixable"
+    return overlap_classes(cues, **limits).where("kind <> 'ok'").select("file", "pos", "idx", "kind", F.when(F.col("kind") == "minor", done).otherwise("review_required").alias("action"))
+
+
+def repair_status(cues: DataFrame, translated: DataFrame, fix: bool = True, allow: bool = False, **limits) -> DataFrame:
+    """A row for each file: status (ok, needs_review, fixed, blocked_by_existing_zh), issues, and those fixed.
+
+    With ``fix``, a file with issues that has a translation (file) is left as it is, as
+    clipping would part their times, unless ``allow``.
+    """
+    issues = repair_actions(cues, **limits).groupBy("file").agg(F.count("*").alias("issues"), F.count_if(F.col("action") == "auto_fixable").alias("fixable"))
+    files = cues.select("file").distinct().join(issues, "file", "left").join(translated.select("file", F.lit(True).alias("_zh")).distinct(), "file", "left")
+    some, blocked = F.coalesce("issues", F.lit(0)) > 0, F.coalesce("_zh", F.lit(False)) & F.lit(fix and not allow)
+    fixed = F.when(some & ~blocked & F.lit(fix), F.coalesce("fixable", F.lit(0))).otherwise(0)
+    status = F.when(~some, "ok").when(blocked, "blocked_by_existing_zh").when(fixed > 0, "fixed").otherwise("needs_review")
+    return files.select("file", status.alias("status"), F.coalesce("issues", F.lit(0)).alias("issues"), fixed.cast("long").alias("fixed"))
+
+
+def repair_summary(statuses: DataFrame) -> DataFrame:
+    """One row of counts over the files of ``repair_status``."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    left = F.col("issues") - F.col("fixed")
+    return statuses.agg(F.count("*").alias("files"), F.sum("issues").alias("issues"), F.sum("fixed").alias("fixed"), F.sum(left).alias("not_fixed"), n("blocked_by_existing_zh").alias("blocked_files"), n("fixed").alias("changed_files"))

@@ -36,7 +36,7 @@ def parse_srt_files(texts: DataFrame) -> DataFrame:
     b = b.withColumn("bad", ~(index.rlike(r"^\d+$") & F.coalesce(timing.rlike(_SRT_TIMING), F.lit(False))))
     w = Window.partitionBy("file")
     b = b.withColumn("n_bad", F.sum(F.col("bad").cast("int")).over(w)).withColumn("pos", F.row_number().over(w.orderBy("k")).cast("long"))
-    good = b.where("n_bad = 0").select("file", "pos", F.expr("try_cast(trim(lines[0]) AS bigint)").alias("idx"), parse_srt(timing).alias("start_ms"), parse_srt(stop).alias("end_ms"), F.array_join(F.slice("lines", 3, 1_000_000), "\n").alias("content"), F.lit(None).cast("string").alias("error"))
+    good = b.where("n_bad = 0").select("file", "pos", F.expr("try_cast(trim(lines[0]) AS bigint)").alias("idx"), parse_srt(timing).alias("start_ms"), parse_srt(stop).alias("end_ms"), F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n").alias("content"), F.lit(None).cast("string").alias("error"))
     none = lambda kind: F.lit(None).cast(kind)
     bad = b.where("n_bad > 0").select("file").distinct().select("file", none("long").alias("pos"), none("long").alias("idx"), none("long").alias("start_ms"), none("long").alias("end_ms"), none("string").alias("content"), F.lit("parse_error").alias("error"))
     return good.unionByName(bad)
@@ -51,7 +51,8 @@ def parse_vtt_files(texts: DataFrame) -> DataFrame:
     """file, pos, idx, start_ms, end_ms, content, error: good cues numbered from 1, and a warning for each bad one."""
     b = _blocks(texts, r"\n(?:[ \t]*\n)+").where(F.exists("lines", lambda x: x.contains("-->")))
     at = F.array_position(F.transform("lines", lambda x: x.contains("-->")), True)
-    b = b.withColumn("timing", F.element_at("lines", at.cast("int"))).withColumn("start_ms", _vtt_ms(F.split("timing", "-->")[0])).withColumn("end_ms", _vtt_ms(F.split("timing", "-->")[1])).withColumn("content", F.array_join(F.slice("lines", at.cast("int") + 1, F.lit(1_000_000)), "\n"))
+    b = b.withColumn("timing", F.element_at("lines", at.cast("int"))).withColumn("start_ms", _vtt_ms(F.split("timing", "-->")[0])).withColumn("end_ms", _vtt_ms(F.split("timing", "-->")[1]))
+    b = b.withColumn("content", F.array_join(F.filter("lines", lambda x: (x != F.col("timing")) & (F.trim(x) != "WEBVTT")), "\n"))  # an identifier stays in the text
     ok = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
     b = b.withColumn("error", F.when(~ok, "bad_cue"))
     number = F.row_number().over(Window.partitionBy("file", F.col("error")).orderBy("k")).cast("long")

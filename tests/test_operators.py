@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from cuespark.functions.timecode import format_srt, parse_srt
-from cuespark.operators import review, timeline
+from cuespark.operators import chunking, review, timeline
 from cuespark.sources import cue_files
 from cuespark.streaming.resume import pending, process_new_files
 
@@ -26,7 +26,7 @@ def test_srt_round_trip_and_errors(spark):
 def test_vtt(spark):
     texts = spark.createDataFrame([("a", "WEBVTT\n\nid\n00:01.000 --> 00:02.500\nHi\n\n00:xx --> 00:03.000\nbad\n\n01:00:00.000 --> 01:00:01.000\nyo\n")], "file string, value string")
     rows = [tuple(r) for r in cue_files.parse_vtt_files(texts).orderBy(F.col("start_ms").asc_nulls_last()).select("pos", "start_ms", "end_ms", "content", "error").collect()]
-    assert rows[:2] == [(1, 1000, 2500, "Hi", None), (2, 3600000, 3601000, "yo", None)]
+    assert rows[:2] == [(1, 1000, 2500, "id\nHi", None), (2, 3600000, 3601000, "yo", None)]
     assert rows[2][0] is None and rows[2][4] == "bad_cue"
 
 
@@ -46,13 +46,6 @@ def test_merge_is_inclusive_and_idempotent(spark):
     assert timeline.merged_windows(once.drop("n")).drop("n").exceptAll(once.drop("n")).count() == 0
 
 
-def test_closure(spark):
-    expected = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "issue_id string")
-    reviewed = spark.createDataFrame([("a", 1, "Accept", "r"), ("b", 1, "reject", " "), ("c", 1, "defer", ""), ("d", 1, "accept", "r"), ("d", 2, "reject", "r"), ("x", 1, "accept", "r")], "issue_id string, ord int, decision string, reason string")
-    got = dict((r.issue_id, r.status) for r in review.closure(expected, reviewed).collect())
-    assert got == {"a": "ready_to_apply", "b": "invalid", "c": "deferred", "d": "invalid", "e": "unresolved", "x": "unknown"}
-
-
 def test_updates_are_all_or_none(spark):
     cues = spark.createDataFrame([("f", 1, "one"), ("f", 2, "two"), ("g", 1, "one")], "file string, idx int, content string")
     updates = spark.createDataFrame([("f", 1, "one", "uno"), ("f", 2, "old", "dos"), ("g", 1, "", "uno"), ("g", 1, "one", "one")], "file string, idx int, current string, replacement string")
@@ -80,3 +73,66 @@ def test_update_and_promotion(spark):
     after, told = review.promote(queue, libraries)
     assert {r.id: r.status for r in told.collect()} == {1: "already_present", 2: "applied", 3: "already_present", 4: "unknown_target"}
     assert sorted((r.target, r.entry or "") for r in after.collect()) == [("rules", "r1"), ("terms", ""), ("terms", "t1")]
+
+
+def greedy(rows, size, least, most, target, hard, limit, gap_ms):
+    """Chunks by the definition, row by row: (chunk, reason) of each row."""
+    chunks, now = [], []
+    for k, (chars, risk, ends, start, end) in enumerate(rows):
+        if now:
+            last = rows[k - 1]
+            if len(now) >= least and sum(rows[i][0] for i in now) >= target and (last[2] or gap_ms is not None and start - last[4] >= gap_ms):
+                chunks.append((now, "semantic_gap_or_sentence"))
+                now = []
+        now = now + [k]
+        n, c, r = len(now), sum(rows[i][0] for i in now), sum(rows[i][1] for i in now)
+        why = "max_chunk_size" if n >= most else "hard_chars" if n >= least and c >= hard else "risk_density" if n >= least and r >= limit else "target_chars" if n >= size and c >= target else None
+        if why:
+            chunks.append((now, why))
+            now = []
+    return [(k, why) for k, (some, why) in enumerate(chunks + ([(now, "end")] if now else [])) for _ in some]
+
+
+def test_chunks_and_why_they_close(spark):
+    import random
+
+    random.seed(1)
+    rows = []
+    for file in range(40):
+        at = 0
+        for pos in range(1, random.randint(1, 60)):
+            text = "w" * random.randint(0, 90) + random.choice(["", ".", "。 ", "」"])
+            at += random.choice([0, 0, 1500])
+            rows.append((str(file), pos, at, at + 900, text, len(text), random.choice([0, 0, 1, 3])))
+            at += 900
+    cues = spark.createDataFrame(rows, "file string, pos long, start_ms long, end_ms long, content string, chars long, risk long")
+    for gap in (None, 1200):
+        got = {(r.file, r.pos): (r.chunk, r.reason) for r in chunking.dynamic(cues, 5, 3, 8, 150, 300, 5, gap_ms=gap).collect()}
+        assert len(got) == len(rows)
+        for file in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == file]
+            want = greedy([(r[5], r[6], len(r[4].strip()) >= 18 and r[4].strip()[-1:] in "。！？….!?", r[2], r[3]) for r in mine], 5, 3, 8, 150, 300, 5, gap)
+            assert [got[file, r[1]] for r in mine] == want
+    long = spark.range(100_000).select(F.lit("a").alias("file"), (F.col("id") + 1).alias("pos"), F.lit("x").alias("content"), F.lit(10).alias("chars"), F.lit(0).alias("risk"))
+    assert chunking.dynamic(long).agg(F.max("chunk")).first()[0] == 100_000 // 24
+
+
+def test_interval_coverage_of_any_length(spark):
+    import random
+
+    random.seed(2)
+    span = lambda: (a := random.randint(0, 30), a + random.choice([0, 0, 1, 5, 10**9]))
+    frames = [(random.choice("ab"), k, *span()) for k in range(60)]
+    others = [(random.choice("abc"), *span()) for _ in range(60)]
+    got = {r.frame: r.n for r in timeline.interval_coverage(spark.createDataFrame(frames, "file string, frame long, start_ms long, end_ms long"), spark.createDataFrame(others, "file string, start_ms long, end_ms long")).collect()}
+    assert got == {k: sum(f == g and s < b and e > a for g, s, e in others) for f, k, a, b in frames}
+
+
+def test_updated_cues(spark):
+    cues = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 2, "y"), ("b", 1, 1, "z"), ("b", 2, 1, "z2")], "file string, pos long, idx long, content string")
+    updates = spark.createDataFrame([("a", 1, "x", "new"), ("a", 2, "stale", "n"), ("b", 1, "z2", " changed ")], "file string, idx long, current string, replacement string")
+    after = review.updated_cues(cues, updates)
+    assert {(r.file, r.pos): r.content for r in after.collect()} == {("a", 1): "x", ("a", 2): "y", ("b", 1): "z", ("b", 2): "changed"}
+    assert {r.status for r in review.apply_updates(cues, updates, apply=False).collect()} == {"not_applied", "stale", "would_apply"}
+    free = review.updated_cues(cues, updates, allow_stale=True)
+    assert {r.file: r.within for r in review.changed_within(cues, free, updates.where("idx = 1")).collect()} == {"a": False, "b": True}
