@@ -368,7 +368,7 @@ def config_overlay(spark, d):
     return stages.overlay([first, second, docs.select(key, F.lit("default").alias("value"))])
 
 
-@_query(None)
+@_query("h AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS t FROM pages) SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[\\s\\pZ]+', ' ', 'g')) AS title, '' AS description, '' AS image, '' AS maker, '' AS published, '' AS keywords FROM h")
 def page_metadata(spark, d):
     return documents.page_metadata(table(spark, d, "pages")).select("page_id", "title", "description", "image", "maker", "published", F.array_join("keywords", ";").alias("keywords"))
 
@@ -398,6 +398,9 @@ def unscripted_cues(spark, d):
     return matching.unscripted(cues(spark, d).withColumn("work", F.col("file") % works), scripts).select("work", "file", "idx", F.round("ratio", 6).alias("ratio"))
 
 
+from cuespark import catalog_details  # noqa: E402, F401 - registers its queries
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cues break each structural rule."""
     return structural_issues(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))

@@ -43,11 +43,14 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
 
 
+# Digits, dashes and punctuation that a script's form leaves out or folds.
+DIGITS, DASHES, PUNCTUATION = "[0-9０-９]", "[-‐‑–—―ー−]+", r"""[、。,.!?！？♡❤♪『』「」()\[\]（）…・:：;；"'“”]"""
+
+
 def script_form(text: Column) -> Column:
     """Form in which scripts and recognised speech are compared: no white space, digits or punctuation, one kind of dash."""
-    plain = F.regexp_replace(compact(F.translate(F.coalesce(text, F.lit("")), "︙", "…")), "[0-9０-９]", "")
-    dashes = F.regexp_replace(plain, "[-‐‑–—―ー−]+", "ー")
-    return F.regexp_replace(dashes, r"""[、。,.!?！？♡❤♪『』「」()\[\]（）…・:：;；"'“”]""", "")
+    plain = F.regexp_replace(compact(F.translate(F.coalesce(text, F.lit("")), "︙", "…")), DIGITS, "")
+    return F.regexp_replace(F.regexp_replace(plain, DASHES, "ー"), PUNCTUATION, "")
 
 
 def simplified(text: Column, note: str, least: int = 100, dominant: float = 0.45, few: int = 12) -> Column:

@@ -48,7 +48,20 @@ def rule_findings(texts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return texts.select("file", "pos", F.explode(hits).alias("hit")).select("file", "pos", "hit.rule", "hit.matched")
 
 
+# Signs of garbled text.
+GARBLED = ("???", "？？？", "\ufffd", "□")
+
+
 def risk_score(texts: DataFrame, terms: list[str], long_chars: int = 140) -> DataFrame:
-    """Terms that a text contains (each entry of the list counts), and one more for a long text."""
-    score = sum((F.col("content").contains(t).cast("int") for t in terms), F.lit(0)) + (F.length("content") > long_chars).cast("int")
+    """Risk of texts (file, pos, content, and zh, the translation, if there is one): file, pos, score.
+
+    One for each term that the text contains (each entry of the list counts), one more
+    for a long text, two for a garbled one, and one each for a translation with a line
+    feed and one with kana.
+    """
+    one = lambda test: F.coalesce(test, F.lit(False)).cast("int")
+    garbled = F.coalesce(*[F.when(F.col("content").contains(g), True) for g in GARBLED])
+    score = sum((one(F.col("content").contains(t)) for t in terms), F.lit(0)) + one(F.length("content") > long_chars) + 2 * one(garbled)
+    if "zh" in texts.columns:
+        score = score + one(F.col("zh").contains("\n")) + one(F.col("zh").rlike(r"[\u3040-\u30ff]"))
     return texts.select("file", "pos", score.cast("long").alias("score"))

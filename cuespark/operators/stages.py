@@ -10,11 +10,12 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.dist import ship
-from cuespark.functions.text import json_rows, trimmed
+from cuespark.functions.text import json_rows, simplified, trimmed
+from cuespark.functions.timecode import format_srt
 
 # Flags that a translation may carry.
 FLAGS = ["asr_uncertain", "adult_term", "speaker_ambiguous", "pronoun_ambiguous", "onomatopoeia", "long_line", "possible_noise", "needs_context"]
@@ -22,6 +23,25 @@ FLAGS = ["asr_uncertain", "adult_term", "speaker_ambiguous", "pronoun_ambiguous"
 RECOGNISERS = ["large-v3", "whisper", "whisper-large-v3"]
 
 
+# Classes of models with a profile of their own, and classes that have that of another.
+PROFILES = ("fast_small_non_reasoning", "balanced_non_reasoning", "large_non_reasoning", "reasoning_verified", "reasoning_slow", "remote_api", "unknown")
+BALANCED = ("non_reasoning_instruct", "balanced", "fast", "translation", "qc")
+# Fixed value: what stands for long noise in a request.
+NOISE_NOTE = "（長い喘ぎ声・キス音・耳舐め音。字幕では简短处理。）"
+
+
+def profile_class(model_class: Column) -> Column:
+    """The class whose profile a model class has: its own, that of reasoning or of balanced models, else ``unknown``."""
+    told = F.coalesce(F.nullif(trimmed(model_class), F.lit("")), F.lit("unknown"))
+    return F.when(told.isin(*PROFILES), told).when(told.startswith("reasoning"), "reasoning_verified").when(told.isin(*BALANCED), "balanced_non_reasoning").otherwise("unknown")
+
+
+def payload(cues: DataFrame) -> DataFrame:
+    """Cues with ``item``, what a request says of them: index, times as written, and text, long noise as a note."""
+    item = F.struct(F.col("idx").alias("i"), format_srt(F.col("start_ms")).alias("start"), format_srt(F.col("end_ms")).alias("end"), simplified(F.col("content"), NOISE_NOTE).alias("text"))
+    return cues.withColumn("item", item)
+
+
 def requests(cues: DataFrame, halo: int = 2) -> DataFrame:
     """Cues (file, pos, chunk, item), ``item`` a struct with ``i``, as one request for each chunk: file, chunk, targets, n and JSON text.
 

@@ -13,7 +13,7 @@ from cuespark.dist import ship
 
 # Endings of audio files.
 EXTENSIONS = ("wav", "wave", "flac", "mp3", "m4a", "aac", "ogg", "opus", "webm", "wma")
-#: Bytes of a file in which its data chunk must begin.
+#: Bytes of a file that are looked at first; most files' samples begin within them.
 HEAD = 1 << 20
 #: Bytes of samples in a row, roughly.
 SLICE = 1 << 20
@@ -47,30 +47,38 @@ def _chunks(head: bytes):
 
 
 def _info(head: bytes | None):
+    """Where samples are and of what kind; None if the file holds none that are PCM; () if what is there ends before them."""
     if not head or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None
-    form = None
+    form, end = None, 12
     for name, at, size in _chunks(head):
         if name == b"fmt " and at + 16 <= len(head):
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, at)
             form = (rate, channels, (bits + 7) // 8) if kind in (1, 0xFFFE) and rate and channels and bits else None
         elif name == b"data":
             return None if form is None else (at, size, *form)
-    return None
+        end = at + size + size % 2
+    return () if end + 8 > len(head) else None
 
 
 def _wav_info(head: pd.Series) -> pd.DataFrame:
-    rows = [_info(h) or (None,) * 5 for h in head]
-    return pd.DataFrame(rows, columns=["data_at", "data_bytes", "rate", "channels", "width"]).astype("Int64")
+    rows = [(*(_info(h) or (None,) * 5), _info(h) == ()) for h in head]
+    out = pd.DataFrame(rows, columns=["data_at", "data_bytes", "rate", "channels", "width", "more"])
+    return out.astype({c: "Int64" for c in out.columns[:-1]} | {"more": "bool"})
 
 
 def wav_info(files: DataFrame) -> DataFrame:
-    """files (path, content): path and ``info``, whose fields are null for anything that is not PCM with its data chunk within the first MiB.
+    """files (path, content): path and ``info``, whose fields are null for anything that is not PCM.
 
-    Only that part of a file goes to Python.
+    Only the first MiB of a file goes to Python, and the whole of those few whose samples begin beyond it.
     """
     ship(files.sparkSession)
-    return files.withColumn("info", F.pandas_udf(_wav_info, INFO)(F.substring("content", 1, HEAD)))
+    udf = F.pandas_udf(_wav_info, INFO + ", more boolean")
+    first = files.withColumn("_i", udf(F.substring("content", 1, HEAD)))
+    whole = first.withColumn("_w", udf(F.when(F.col("_i.more") & (F.length("content") > HEAD), F.col("content"))))
+    names = [x.split()[0] for x in INFO.split(", ")]
+    info = F.struct(*[F.coalesce(F.col(f"_i.{n}"), F.col(f"_w.{n}")).alias(n) for n in names])
+    return whole.withColumn("info", info).drop("_i", "_w")
 
 
 def wav_durations(files: DataFrame) -> DataFrame:

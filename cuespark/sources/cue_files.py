@@ -17,8 +17,8 @@ _VTT_TIME = r"(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})"
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.srt", recursive: bool = False) -> DataFrame:
     """(file, value): whole files whose names match."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def _blocks(texts: DataFrame, blank: str) -> DataFrame:

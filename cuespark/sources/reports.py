@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespark.sources.cue_files import to_texts
+from cuespark.sources.cue_files import parse_srt_files, read_texts, to_texts
 
 KINDS = {"srt": ("srt",), "vtt": ("vtt",), "both": ("srt", "vtt")}
 
 
+def _shared(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the session's file system; a folder of one machine is refused on a cluster."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if uri.startswith("file:"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"executors do not share {folder}")
+        uri = "file://" + uri.removeprefix("file:").replace("//", "/")
+    return uri
+
+
+def convert(spark: SparkSession, source: str, folder: str, kind: str = "vtt", recursive: bool = False, overwrite: bool = False) -> DataFrame:
+    """SRT files under ``source`` written as files of another kind, as ``export`` does it; files that cannot be parsed have status parse_error."""
+    parsed = parse_srt_files(read_texts(spark, source, "*.srt", recursive)).withColumn("file", F.regexp_extract("file", r"([^/]+)\.srt$", 1))
+    failed = parsed.where("error IS NOT NULL").select("file", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("error").alias("status"))
+    return export(parsed.where("error IS NULL"), folder, kind, overwrite).unionByName(failed)
+
+
 def export(cues: DataFrame, folder: str, kind: str = "vtt", overwrite: bool = False) -> DataFrame:
     """Write each file's cues to ``folder/<file>.<kind>`` and return file, kind, path, status (wrote, skipped_exists).
 
@@ -19,6 +37,7 @@ def export(cues: DataFrame, folder: str, kind: str = "vtt", overwrite: bool = Fa
     task that is run again does no harm (it may then report skipped_exists).  The
     result must be read once for the files to be written.
     """
+    folder = _shared(cues.sparkSession, folder)
     texts = None
     for k in KINDS[kind]:
         rows = to_texts(cues, k).withColumn("kind", F.lit(k))
@@ -29,7 +48,7 @@ def export(cues: DataFrame, folder: str, kind: str = "vtt", overwrite: bool = Fa
 
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             out = []
             for file, value, k in zip(batch["file"], batch["value"], batch["kind"]):

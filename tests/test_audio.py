@@ -140,3 +140,14 @@ def test_sources_of_tracks(spark):
     placed = files.withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     pick = lambda s, *v: tracks.in_scope(placed, s, spark.createDataFrame([(x,) for x in v], "value string")).count()
     assert (pick("all", "x"), pick("selected_dirs", "./w/main"), pick("selected_dirs", ".", "w/main"), pick("selected_files", "w/main/02.wav"), pick("selected_files", "z")) == (8, 2, 8, 1, 0)
+
+
+def test_samples_beyond_the_first_mib(spark):
+    import struct
+
+    data = struct.pack("<hh", 100, 7) * 900
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 2, 1000, 4000, 4, 16)
+    whole = lambda extra: b"RIFF" + struct.pack("<I", 0) + b"WAVE" + form + struct.pack("<4sI", b"LIST", len(extra)) + extra + struct.pack("<4sI", b"data", len(data)) + data
+    files = spark.createDataFrame([("a", bytearray(whole(b""))), ("b", bytearray(whole(b"x" * (3 << 20)))), ("c", bytearray(b"RIFF0000WAVE"))], "path string, content binary")
+    assert {r.path: r.duration_s for r in audio_files.wav_durations(files).collect()} == {"a": 0.9, "b": 0.9, "c": None}
+    assert [(r.file, r.left_rms, r.right_rms) for r in audio_files.frames(files).orderBy("file", "pos").collect()] == [(f, 100, 7) for f in "aabb"]

@@ -6,7 +6,7 @@ import pytest
 
 from cuespark import catalog
 
-TABLES = "benchmark conversations documents events labels pages part".split()
+TABLES = "benchmark conversations customer documents events labels lineitem orders pages part supplier".split()
 
 
 @pytest.fixture(scope="module")

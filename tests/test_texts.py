@@ -93,3 +93,26 @@ def test_markdown(spark):
     text = reports.review_queue_markdown(items).collect()[0].section
     assert text.startswith("## q / f #1\n") and text.count("(missing)") == 2 and text.endswith("new\n")
     assert [r.line for r in reports.table_markdown(spark.createDataFrame([("a|b", 1)], "x string, y int"), "x", "y").collect()] == ["| a\\|b | 1 |"]
+
+
+def test_directories_are_converted(spark, tmp_path):
+    from cuespark.sources.reports import convert
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\nHi\n")
+    (tmp_path / "in" / "b.srt").write_text("1\nno time\n")
+    ask = lambda **o: {(r.file, r.kind, r.status) for r in convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), "both", **o).collect()}
+    assert ask() == {("a", "srt", "wrote"), ("a", "vtt", "wrote"), ("b", None, "parse_error")}
+    assert (tmp_path / "out" / "a.vtt").read_text() == "WEBVTT\n\n00:00:00.000 --> 00:00:01.000\nHi\n"
+    assert ask() == {("a", "srt", "skipped_exists"), ("a", "vtt", "skipped_exists"), ("b", None, "parse_error")}
+
+
+def test_globs():
+    import fnmatch
+    import re
+
+    from cuespark.sources.json_files import glob_pattern
+
+    for glob in ("*.srt", "a/*/b?.vtt", "[ab]*", "[!ab]x", "x[", "a.b+c", "*"):
+        for text in ("a.srt", "a/x/y/b1.vtt", "ab", "cx", "x[", "a.b+c", "aXbbc", ""):
+            assert bool(re.search(glob_pattern(glob), text)) == fnmatch.fnmatchcase(text, glob), (glob, text)
