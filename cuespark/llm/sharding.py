@@ -103,20 +103,20 @@ def plan(blocks: list[tuple[int, int, int, int]], n_new: int) -> list[tuple[int,
     """
     total = sum(b[2] for b in blocks)
     floor, more = divmod(total, n_new)
-    net, stay, away = FlowNetwork(), {}, {}
+    net, stay, away, filled = FlowNetwork(), {}, {}, {}
     full = {j: net.add(("new", j), "sink", floor) for j in range(n_new)}
     extra = {j: net.add(("new", j), "extra", 1) for j in range(n_new)}
     net.add("extra", "sink", more)
     enter = {j: net.add("pool", ("new", j), total) for j in range(n_new)}
     for old, c, rows, size in blocks:
-        first = net.add("source", (old, c), rows)
+        filled[old, c] = net.add("source", (old, c), rows)
         away[old, c] = net.add((old, c), "pool", rows, max(1, size // rows))
         if 0 <= old < n_new:
             stay[old, c] = net.add((old, c), ("new", old), rows)
     # Large rows first to where they lie: paths of cost 0, part of a cheapest flow once the rest is augmented.
     for old, c, *_ in sorted(blocks, key=lambda b: -b[1]):
         if (old, c) in stay:
-            net.push(next(e for e in net.arcs["source"] if net.to[e] == (old, c)), stay[old, c], full[old])
+            net.push(filled[old, c], stay[old, c], full[old])
     net.solve("source", "sink")
     room = {j: net.flow(enter[j]) for j in range(n_new)}
     out, j = [], 0

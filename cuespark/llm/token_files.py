@@ -20,7 +20,7 @@ order; a part's segments are files of about SEGMENT ids, which bounds what a tas
 holds whatever a range's size.  Frequencies are counted over all ids of a file.
 
 Defined cases: null text counts as empty and has its end id alone; null ids come
-first; rows of one doc_id follow each other in the order of their texts; an empty
+first; rows of one doc_id follow each other in the order of their ids; an empty
 table gives no files and an empty result; other columns are ignored.
 """
 
@@ -183,11 +183,22 @@ FILES = "part int, segment int, n_ids long, data binary"
 
 
 def write(docs: DataFrame, work: Workspace, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
-    """Token files of all rows of ``docs`` (doc_id, text), as a written table."""
+    """Token files of all rows of ``docs`` (doc_id, text), as a written table.
+
+    Texts are encoded where they lie, once; two bytes an id are what is put in order.
+    """
     path = path or tokenizer_path()
+    end = END.to_bytes(2, "little")
+
+    def encode(batches):
+        encoder = shared_encoder(path)
+        for batch in batches:
+            texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id").cast(pa.int64())
+            for a, b in in_batches(texts):
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([x + end for x in encoder.encode(texts[a:b])], pa.binary())], names=["doc_id", "ids"])
 
     def run(batches):
-        encoder, part = shared_encoder(path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         names, found, held, number = [], [], 0, 0
 
         def flush():
@@ -198,21 +209,21 @@ def write(docs: DataFrame, work: Workspace, path: str | None = None, segment: in
             names, found, held, number = [], [], 0, number + 1
             return row
 
-        end = END.to_bytes(2, "little")
         for batch in batches:
-            texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id").cast(pa.int64()).to_pylist()
-            for a, b in in_batches(texts):
-                for doc_id, x in zip(ids[a:b], encoder.encode(texts[a:b])):
-                    names.append(doc_id)
-                    found.append(x + end)
-                    held += len(x) // 2 + 1
-                    if held >= segment:
-                        yield flush()
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                names.append(doc_id)
+                found.append(x)
+                held += len(x) // 2
+                if held >= segment:
+                    yield flush()
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return work.table(ordered.mapInArrow(run, FILES), "files", "none")
+    encoded = work.table(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "encoded")
+    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    files = work.table(ordered.mapInArrow(run, FILES), "files", "none")
+    work.drop("encoded")
+    return files
 
 
 def read(files: DataFrame) -> DataFrame:

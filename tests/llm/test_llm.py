@@ -82,6 +82,34 @@ def test_quality_counts(spark, sf_dir, odd):
     assert quality_rules.filtered(odd).columns == odd.columns
 
 
+def test_quality_em_by_hand(spark, sf_dir):
+    """Expectation-maximisation over votes, document by document, against the query's posterior and verdict."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rules = {name: quality_rules._rules()[name] for name in quality_rules.RULES}
+    rows = quality_rules.features(docs).select("doc_id", F.array(*rules.values()).alias("v")).collect()
+    votes = np.array([r.v for r in rows], np.float64)
+    good, rg, rb = quality_rules.START_GOOD, np.full(votes.shape[1], quality_rules.START_RIGHT_GOOD), np.full(votes.shape[1], quality_rules.START_RIGHT_BAD)
+
+    def posterior():
+        g = np.log(good) + (np.log(rg) * (votes == 1) + np.log(1 - rg) * (votes == -1)).sum(1)
+        b = np.log(1 - good) + (np.log(rb) * (votes == -1) + np.log(1 - rb) * (votes == 1)).sum(1)
+        return 1 / (1 + np.exp(b - g))
+
+    s, inside = quality_rules.SMOOTHING, lambda x: np.clip(x, 1e-4, 1 - 1e-4)
+    for _ in range(quality_rules.EM_STEPS):
+        q = posterior()
+        told = votes != 0
+        good, rg, rb = (
+            inside((q.sum() + s * quality_rules.START_GOOD) / (len(q) + s)),
+            inside((((votes == 1) * q[:, None]).sum(0) + s * quality_rules.START_RIGHT_GOOD) / ((told * q[:, None]).sum(0) + s)),
+            inside((((votes == -1) * (1 - q)[:, None]).sum(0) + s * quality_rules.START_RIGHT_BAD) / ((told * (1 - q)[:, None]).sum(0) + s)),
+        )
+    got = by_id(quality_rules.judge(docs), "p_good", "base_failed", "kept")
+    for r, p in zip(rows, posterior()):
+        assert abs(got[r.doc_id][0] - p) < 1e-6
+        assert got[r.doc_id][2] == (not got[r.doc_id][1] and got[r.doc_id][0] >= 0.5)
+
+
 def test_quality_rules_find_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
