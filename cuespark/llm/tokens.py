@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Callable
 
 #: Cached pieces of a worker, about; beyond that the cache starts anew.
-CACHED = 250_000
+CACHED = 600_000
 END = 1
 
 _RANGE = [chr(i) for i in range(0x250)]
@@ -49,10 +49,12 @@ class LibraryWords:
     def __init__(self, tokenizer):
         self.model = tokenizer.model
         self.characters = byte_characters()
+        self.two = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
     def __call__(self, word: str) -> bytes:
         shown = word if word.isascii() and word.isprintable() else "".join([self.characters[b] for b in word.encode()])
-        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(shown)])
+        two = self.two
+        return b"".join([two[t.id] for t in self.model.tokenize(shown)])
 
 
 class Pieces(dict):
@@ -62,7 +64,8 @@ class Pieces(dict):
         self.encode_word = encode_word
 
     def __missing__(self, piece: str) -> bytes:
-        found = b"".join([self.encode_word(w) for w in _WORD.findall(piece)])
+        words = _WORD.findall(piece)
+        found = self.encode_word(words[0]) if len(words) == 1 else b"".join([self.encode_word(w) for w in words])
         self[piece] = found
         return found
 
