@@ -203,9 +203,9 @@ def srt_lines(spark, d):
     return cues(spark, d).select("file", "pos", format_srt(F.col("start_ms")).alias("line"))
 
 
-@_query(TRACKS + " SELECT directory, count(*) AS files, coalesce(sum(duration_s), 0.0)::DOUBLE AS seconds, count(*) FILTER (duration_s IS NULL) AS unknown FROM tracks GROUP BY directory")
+@_query(TRACKS + " SELECT directory, count(*) AS files, coalesce(sum(duration_s), 0.0)::DOUBLE AS seconds, count(*) FILTER (duration_s IS NULL) AS unknown, md5(string_agg(path, ',' ORDER BY path)) AS paths FROM tracks GROUP BY directory")
 def folder_rollup(spark, d):
-    return audio.rollup(tracks(spark, d))
+    return audio.rollup(tracks(spark, d)).withColumn("paths", F.md5(F.array_join("paths", ",")))
 
 
 @_query(TRACKS + ", r AS (SELECT *, list_position(['mp3', 'wav', 'flac', 'ogg'], extension) AS k FROM tracks) SELECT track_key, arg_min(path, (warnings, k, path)) AS path, count(*) AS variants FROM r GROUP BY track_key")

@@ -710,3 +710,30 @@ def setting_records(spark, d):
 @_query(CUES + " SELECT file, idx FROM (SELECT file, idx, row_number() OVER (PARTITION BY file ORDER BY idx) AS k FROM cues WHERE length(content) > 100) WHERE k <= 12")
 def first_long_cues(spark, d):
     return matching.first_of_each(cues(spark, d).where("length(content) > 100")).select("file", "idx")
+
+
+_SOUNDS = ["", "……", "！？", "あx…あ", "はい", "abc", "ok now", "うん", "。a。a", "longer text of several words", "12", "ab"]
+_LEXICON = ", ".join(f"'{x}'" for x in activity.WEAK_TEXTS)
+
+
+@_query(CUES + f""", t AS (SELECT file, pos, {_SOUNDS}[((file + pos) % 12 + 1)::INT] AS c, (500 + ((file * 7 + pos * 3) % 12) * 500) / 1000 AS s FROM cues), k AS (SELECT *, regexp_replace(c, '[\\s\\pZ]+', '', 'g') AS t FROM t)
+SELECT file, pos, length(t) = 0 OR lower(t) IN ({_LEXICON}) OR NOT regexp_matches(t, '[\\pL\\pN]') OR (length(t) >= 3 AND len(list_distinct(string_split(t, ''))) <= 2 AND regexp_matches(t, '[…。.、,・~ー-]')) OR (length(t) <= 4 AND regexp_matches(t, 'ん|あ|は|ふ|ちゅ|嗯|啊|哈'))
+OR (s >= 2.5 AND length(t) <= 4) OR (s >= 4 AND length(t) / greatest(s, 0.1) <= 1) AS weak FROM k""".replace("\\\\", "\\"))
+def weak_texts(spark, d):
+    text = F.array(*map(F.lit, _SOUNDS))[if_("int((file + pos) % 12)")]
+    return cues(spark, d).select("file", "pos", activity.weak_text(text, if_("(500 + ((file * 7 + pos * 3) % 12) * 500) / 1000")).alias("weak"))
+
+
+@_query(CUES + """, c AS (SELECT *, ((pos - 1) // 3)::BIGINT AS chunk FROM cues), g AS (SELECT file, chunk, min(pos) AS a, max(pos) AS b FROM c GROUP BY ALL)
+SELECT g.file, g.chunk, coalesce(string_agg(c.idx::VARCHAR, ',' ORDER BY c.pos) FILTER (c.pos < a), '') AS before, coalesce(string_agg(c.idx::VARCHAR, ',' ORDER BY c.pos) FILTER (c.pos > b), '') AS after FROM g LEFT JOIN c ON c.file = g.file AND c.pos BETWEEN a - 2 AND b + 2 GROUP BY g.file, g.chunk""")
+def chunk_contexts(spark, d):
+    rows = cues(spark, d)
+    found = chunking.contexts(rows.join(chunking.fixed(rows, 3), ["file", "pos"]))
+    told = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("file", "chunk", told("before"), told("after"))
+
+
+@_query("o AS (SELECT o_orderkey, 'f/' || o_orderkey AS path, o_custkey AS size_bytes, epoch_ms(o_orderdate) AS modified FROM orders) SELECT o_orderkey, sha256(to_json({'path': path, 'size_bytes': size_bytes, 'modified': modified})::VARCHAR) AS fingerprint FROM o")
+def fingerprints(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", if_("'f/' || o_orderkey").alias("path"), F.col("o_custkey").alias("size_bytes"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    return audio_files.fingerprint(rows).select("o_orderkey", "fingerprint")

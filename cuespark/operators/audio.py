@@ -16,8 +16,8 @@ def ext_rank(extension: Column) -> Column:
 
 
 def rollup(files: DataFrame) -> DataFrame:
-    """Per directory: files, known seconds, files of unknown duration."""
-    return files.groupBy("directory").agg(F.count("*").alias("files"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("seconds"), F.count_if(F.col("duration_s").isNull()).alias("unknown"))
+    """Per directory: files, known seconds, files of unknown duration, and the paths in order."""
+    return files.groupBy("directory").agg(F.count("*").alias("files"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("seconds"), F.count_if(F.col("duration_s").isNull()).alias("unknown"), F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def best_variant(files: DataFrame) -> DataFrame:

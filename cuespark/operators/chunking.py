@@ -70,6 +70,13 @@ def halo(cues: DataFrame, n: int = 2) -> DataFrame:
     return cues.select("file", "pos", joined(-n, -1).alias("before"), joined(1, n).alias("after"))
 
 
+def contexts(chunked: DataFrame, n: int = 2) -> DataFrame:
+    """Indexes (before, after) of the n rows before the first and after the last of each chunk of rows (file, pos, idx, chunk)."""
+    w = _W()
+    near = chunked.withColumns({"before": F.collect_list("idx").over(w.rowsBetween(-n, -1)), "after": F.collect_list("idx").over(w.rowsBetween(1, n))})
+    return near.groupBy("file", "chunk").agg(F.min_by("before", "pos").alias("before"), F.max_by("after", "pos").alias("after"))
+
+
 def dilated_groups(flagged: DataFrame, reach: int = 1, most: int = 8) -> DataFrame:
     """Rows within ``reach`` of a flagged one (file, pos, flag), in runs of neighbours of at most ``most``."""
     w = _W()
