@@ -17,6 +17,8 @@ WEAK_TEXTS = ["…", "……", "...", "。。", "。。。", "ん", "んっ", "
 FILLER_SIGNS = r"[…。.、,・~ー\-]"
 SHORT_SOUNDS = "ん|あ|は|ふ|ちゅ|嗯|啊|哈"
 CONFIDENCE = ("low", "medium", "high")
+# In weak_text, seconds and characters of a long cue that says little; in scored, points and the words that
+# tell of them; in candidates, shares and trust that make a side and a tier, and words that every candidate has.
 
 
 def weak_text(text: Column, seconds: Column) -> Column:

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from cuespark import catalog
+from cuespark.functions.text import DASHES, DIGITS, PUNCTUATION
 
 TABLES = "benchmark conversations customer documents events labels lineitem orders pages part supplier".split()
 
@@ -41,8 +42,8 @@ def test_runs_without_sql(spark, sf_dir, name):
 
 
 def _form(text):
-    text = re.sub(r"[0-9０-９]", "", "".join((text or "").split()).replace("︙", "…"))
-    return re.sub(r"""[、。,.!?！？♡❤♪『』「」()\[\]（）…・:：;；"'“”]""", "", re.sub("[-‐‑–—―ー−]+", "ー", text))
+    text = re.sub(DIGITS, "", "".join((text or "").split()).replace("︙", "…"))
+    return re.sub(PUNCTUATION, "", re.sub(DASHES, "ー", text))
 
 
 def _alike(a, b):
