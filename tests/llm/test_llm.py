@@ -238,6 +238,28 @@ def test_token_files(odd, spark, library):
         token_files.TokenFile(bytes(broken)).ids()
 
 
+def test_pieces_against_the_library(spark, sf_dir, odd, library):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.where("doc_id > 4").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    want = {}
+    for r in docs.collect():
+        ids = np.array(library.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")
+        for k, a in enumerate(range(0, len(ids), packing.CAPACITY)):
+            part = ids[a : a + packing.CAPACITY]
+            want[r.doc_id, k] = (a, len(part), zlib.crc32(part.tobytes()))
+    rows = packing.packed(docs).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+
+
+def test_shards_of_the_table(spark, sf_dir):
+    prepare(spark)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = sharding.op1_sharding(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and {r.law for r in rows} == {"rows"} and all(r.grown_shard is None for r in rows)
+    assert all((r.size, r.text_crc32) == (len((t := (texts[r.doc_id] or "").encode())) + 1, zlib.crc32(t)) for r in rows)
+    sizes = [sum(r.shard == k for r in rows) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(r.slot for r in rows if r.shard == k) == list(range(n)) for k, n in enumerate(sizes))
+
+
 def test_packing(odd):
     rows = packing.packed(odd).collect()
     assert len({r.doc_id for r in rows}) == len({r[0] for r in ODD})
