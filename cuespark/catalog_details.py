@@ -98,11 +98,11 @@ def sampled_cues(spark, d):
     return documents.sample_cues(cues(spark, d)).select("file", "pos")
 
 
-@_query(r"""t AS (SELECT source AS work, doc_id, list_filter(list_transform(string_split(coalesce(text, '') || chr(10) || '- ' || doc_id || ' -' || chr(10) || ' 1 2 ', chr(10)), lambda x: regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^-\s*\d+\s*-$') AND NOT regexp_matches(x, '^[\d\s]+$')) AS l FROM documents)
+@_query(r"""t AS (SELECT doc_id // 50 AS work, doc_id, list_filter(list_transform(string_split(coalesce(text, '') || chr(10) || '- ' || doc_id || ' -' || chr(10) || ' 1 2 ', chr(10)), lambda x: regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^-\s*\d+\s*-$') AND NOT regexp_matches(x, '^[\d\s]+$')) AS l FROM documents)
 SELECT work, row_number() OVER (PARTITION BY work ORDER BY doc_id) AS page, md5(array_to_string(l, chr(10))) AS text FROM t WHERE len(l) > 0""")
 def cleaned_pages(spark, d):
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n- "), F.col("doc_id").cast("string"), F.lit(" -\n 1 2 "))
-    pages = table(spark, d, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("page"), text.alias("text"))
+    pages = table(spark, d, "documents").select(if_("doc_id div 50").alias("work"), F.col("doc_id").alias("page"), text.alias("text"))
     return matching.clean_pages(pages).withColumn("text", F.md5("text"))
 
 
@@ -240,7 +240,7 @@ def srt_times(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parse_srt(value).alias("ms"))
 
 
-@_query("t AS (SELECT o_orderkey AS k FROM orders) SELECT k, CASE k % 5 WHEN 0 THEN k * 1000 WHEN 1 THEN (k * 60 + 2) * 1000 + 500 WHEN 2 THEN k * 3600000 + 120000 + 3250 END AS ms, CASE WHEN k % 3 = 0 THEN 1000 END AS start_ms, CASE WHEN k % 3 = 0 THEN 60000 * (k + 1) END AS end_ms FROM t")
+@_query("t AS (SELECT o_orderkey AS k FROM orders) SELECT k, CASE k % 5 WHEN 0 THEN k * 1000 WHEN 1 THEN (k * 60 + 2) * 1000 + 500 WHEN 2 THEN k * 3600000 + 120000 + 3250 END AS ms, (CASE WHEN k % 3 = 0 THEN 1000 END)::BIGINT AS start_ms, CASE WHEN k % 3 = 0 THEN 60000 * (k + 1) END AS end_ms FROM t")
 def flexible_times(spark, d):
     k = F.col("k")
     value = if_("CASE k % 5 WHEN 0 THEN k || '' WHEN 1 THEN k || ':2,5' WHEN 2 THEN k || ':02:03.25' WHEN 3 THEN 'x' ELSE '' END")
@@ -497,7 +497,7 @@ def validation_report(spark, d):
     return reports.by_file(found, rows)
 
 
-@_query(_BY_FILE + " SELECT length(file) AS digits, ['OK', 'WARN', 'FAIL'][max(list_position(['OK', 'WARN', 'FAIL'], status))] AS status FROM st GROUP BY length(file)")
+@_query(_BY_FILE + " SELECT length(file)::INT AS digits, ['OK', 'WARN', 'FAIL'][max(list_position(['OK', 'WARN', 'FAIL'], status))] AS status FROM st GROUP BY length(file)")
 def worst_statuses(spark, d):
     rows, found = _all_issues(spark, d)
     return reports.worst(reports.by_file(found, rows).withColumn("digits", F.length("file")), "digits")

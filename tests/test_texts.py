@@ -116,3 +116,18 @@ def test_globs():
     for glob in ("*.srt", "a/*/b?.vtt", "[ab]*", "[!ab]x", "x[", "a.b+c", "*"):
         for text in ("a.srt", "a/x/y/b1.vtt", "ab", "cx", "x[", "a.b+c", "aXbbc", ""):
             assert bool(re.search(glob_pattern(glob), text)) == fnmatch.fnmatchcase(text, glob), (glob, text)
+
+
+def test_similarity_is_that_of_the_library():
+    import difflib
+    import random
+
+    from cuespark.operators import matching
+
+    random.seed(5)
+    for alphabet in ("ab", "abcdefgh ", "あいう🙂x"):
+        for _ in range(60):
+            a, b = ("".join(random.choice(alphabet) for _ in range(random.randint(0, 130))) for _ in range(2))
+            matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            assert matching._ratio(a, b) == matcher.ratio()
+            assert matching._matched(a, b) == sum(m.size for m in matcher.get_matching_blocks()) <= matching._common(a, b)
