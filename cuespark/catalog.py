@@ -374,8 +374,8 @@ def page_metadata(spark, d):
 
 
 def _scripts(spark: SparkSession, d: str) -> DataFrame:
-    """Two passages in a row are the script of a work, at every size of the table."""
-    return table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 2).alias("work"), F.col("item_id").alias("track"), F.coalesce("text", F.lit("")).alias("text"))
+    """Ten passages in a row are the script of a work, at every size of the table, so that no script grows with it."""
+    return table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 10).alias("work"), F.col("item_id").alias("track"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
