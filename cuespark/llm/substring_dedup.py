@@ -329,13 +329,24 @@ def covered(n_bytes: int, runs, length: int = LENGTH) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def _remover(length: int):
+def worded(text: bytes, cover: np.ndarray, least_words: int) -> np.ndarray:
+    """The cover without runs of fewer than LENGTH bytes that hold, or touch, fewer words."""
+    edges = np.flatnonzero(np.diff(cover.astype(np.int8), prepend=0, append=0))
+    for a, b in edges.reshape(-1, 2).tolist():
+        if b - a < LENGTH and len(text[a:b].split()) < least_words:
+            cover[a:b] = False
+    return cover
+
+
+def _remover(length: int, least_words: int):
     def run(batches):
         for batch in batches:
             texts, runs = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
             kept, removed, n_spans = [], [], []
             for text, r in zip(texts, runs):
                 cover = covered(len(text), r or [], length)
+                if least_words:
+                    cover = worded(text, cover, least_words)
                 kept.append(np.frombuffer(text, np.uint8)[~cover].tobytes())
                 removed.append(int(cover.sum()))
                 n_spans.append(int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum()))
@@ -353,10 +364,11 @@ def _remover(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """(row struct of the input's columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
-    kept_sha256: digest of the bytes that are left; kept: the text they are, without
+    With ``least_words``, runs of fewer words stay, unless they have LENGTH bytes, as
+    writing without spaces may.  A word that a run cuts counts.  kept_sha256: digest of the bytes that are left; kept: the text they are, without
     characters that were cut in two.  Only texts with repeats move.
     """
     found = spans(docs, Workspace(docs.sparkSession, "repeats"), length)
@@ -366,12 +378,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
     hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans")
     kind = rows.schema["row"].dataType.simpleString()
-    return clean.unionByName(hit.mapInArrow(_remover(length), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    return clean.unionByName(hit.mapInArrow(_remover(length, least_words), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """The documents with repeated strings taken out, with all their columns; those of which nothing but white space is left go."""
-    left = remove_repeats(docs, length).where(r"kept RLIKE '[^\\x20\\x09-\\x0D]'")
+    left = remove_repeats(docs, length, least_words).where(r"kept RLIKE '[^\\x20\\x09-\\x0D]'")
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return left.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"row.{c}") for c in docs.columns])
 
