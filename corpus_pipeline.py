@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cuespark.llm import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
 from cuespark.llm.workspace import Workspace, collected, prepare
 
-#: Bytes of a passage that counts as repeated: less than 51 words take.
-REPEAT_BYTES = 240
+#: Passages that count as repeated: so many words, found by a number of bytes that fewer words take.
+REPEAT_WORDS, REPEAT_BYTES = 51, 240
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that also stand elsewhere."""
     prepare(spark)
-    return substring_dedup.without_repeats(docs, REPEAT_BYTES)
+    return substring_dedup.without_repeats(docs, REPEAT_BYTES, REPEAT_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
