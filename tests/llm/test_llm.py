@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import duckdb
@@ -326,6 +327,22 @@ def test_substring_dedup(spark, sf_dir, odd):
     assert substring_dedup.without_repeats(odd).columns == odd.columns
 
 
+def test_repeats_of_few_words_stay(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    words = lambda n: " ".join(word() for _ in range(n))
+    few, many, unspaced = words(40), words(51), "".join(word() for _ in range(70))
+    texts = [f"{words(30)} {x} {words(30)}" for x in (few, many, unspaced) for _ in range(2)] + [None, "", f"{words(9)} {many}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least, gone in ((0, {few, many, unspaced}), (51, {many, unspaced})):
+        left = {r.row.doc_id: r.kept for r in substring_dedup.remove_repeats(docs, 240, least).collect()}
+        assert len(left) == len(texts)
+        for i, text in enumerate(texts):
+            held = [x for x in (few, many, unspaced) if text and x in text]
+            assert all((x in left[i]) == (x not in gone) for x in held)
+            assert held or left[i] == (text or "")
+
+
 def test_frequent_anchors_are_dealt_in_parts(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     want = sorted(map(str, substring_dedup.remove_repeats(docs).collect()))
@@ -508,6 +525,16 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def without_runs(text, cover, words):
+    """The text without covered runs of so many words or 400 bytes."""
+    out, at = b"", 0
+    for hit, run in itertools.groupby(cover.tolist()):
+        part = text[at : (at := at + len(list(run)))]
+        if not hit or len(part) < 400 and len([w for w in re.split(rb"[\x20\x09-\x0D]+", part) if w]) < words:
+            out += part
+    return out.decode("utf-8", "ignore")
+
+
 def stage_by_brute_force(name, docs, kept_by_rules):
     """The texts that a stage should give for (doc_id, text) rows, as a sorted list."""
     least = lambda rows: min(rows, key=lambda r: (r[0] is None, r[0] or 0))
@@ -529,7 +556,7 @@ def stage_by_brute_force(name, docs, kept_by_rules):
             groups.setdefault(root(i), []).append(row)
         return sorted(str(least(rows)[0]) for rows in groups.values())
     texts = [(t or "").encode() for _, t in docs]
-    left = [np.frombuffer(t, np.uint8)[~c].tobytes().decode("utf-8", "ignore") for t, c in zip(texts, brute_cover(texts, corpus_pipeline.REPEAT_BYTES))]
+    left = [without_runs(t, c, corpus_pipeline.REPEAT_WORDS) for t, c in zip(texts, brute_cover(texts, corpus_pipeline.REPEAT_BYTES))]
     return sorted(t for t in left if squeezed(t).strip(" "))
 
 
