@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuespark.llm import bpe, components, exact_dedup, html_extraction, jaccard_join, license_scan, packing, quality_rules, registry, sharding, substring_dedup, suffix_groups, token_files, tokens
+from cuespark.llm import bpe, components, exact_dedup, html_extraction, jaccard_join, license_scan, license_texts, packing, quality_rules, registry, sharding, substring_dedup, suffix_groups, token_files, tokens
 from cuespark.llm.workspace import Workspace, prepare
 
 LONG = "the word of a long line that goes on and on " * 400
@@ -457,6 +457,19 @@ def test_license_texts(spark):
             assert got[i] == ",".join(sorted(base | own)), (i, text)
 
 
+@pytest.mark.parametrize("label, text", [("apache-2.0-text", license_texts.APACHE_2_0), ("gpl-2.0-text", license_texts.GPL_2_0), ("gpl-3.0-text", license_texts.GPL_3_0), ("mpl-2.0-text", license_texts.MPL_2_0)])
+def test_whole_license_texts(label, text):
+    automaton = license_scan.TokenAutomaton(license_scan.TEMPLATES)
+    accepts = lambda t: label in automaton.accepted(license_scan.WORDS.findall(t.lower().encode()))
+    unmarked = re.sub(r"(?m)(?:(?<=\n\n)|\A)[ \t]*(?:(?:\d+\.)+\d*|\(?[a-z]\))(?=\s)", "", text)
+    assert unmarked != text and all(map(accepts, (text, unmarked, f"Copyright us\n{text} more", " * ".join(text.split(" ")))))
+    words = text.split()
+    for k in (len(words) // 3, len(words) // 2):
+        word = next(i for i in range(k, len(words)) if words[i].isalpha() and len(words[i]) > 3)
+        assert not accepts(" ".join(words[:word] + words[word + 1 :])) and not accepts(" ".join([*words[:word], "other", *words[word:]]))
+    assert not accepts(" ".join(words[:-3]))
+
+
 def test_license_scan(odd):
     got = by_id(license_scan.scan(odd), "n_base", "first_word", "labels", "score")
     assert got[9] == (1, 3, "mit,mit-notice", 1.0) and got[2] == (0, None, "", 0.0)
