@@ -11,13 +11,19 @@ from .jaccard_join import op7_jaccard_join
 from .license_scan import op5_license_scan
 from .license_scan import sql as license_sql
 from .packing import op2_packing
+from .phrase_index import SQL as DECONTAMINATION_SQL
+from .phrase_index import op12_decontamination
 from .quality_rules import op10_quality_rules
 from .sharding import op1_sharding
+from .source_audit import SQL as SOURCE_AUDIT_SQL
+from .source_audit import op13_source_audit
 from .substring_dedup import op8_suffix_dedup
 from .token_files import op6_token_files
+from .vector_codes import SQL as VECTOR_CODES_SQL
+from .vector_codes import op11_vector_codes
 from .workspace import prepare
 
-OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op7_jaccard_join, op8_suffix_dedup, op9_html_extraction, op10_quality_rules]
+OPERATORS = [op1_sharding, op2_packing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_token_files, op7_jaccard_join, op8_suffix_dedup, op9_html_extraction, op10_quality_rules, op11_vector_codes, op12_decontamination, op13_source_audit]
 
 
 def _shipped(query):
@@ -34,4 +40,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP_SQL, "op5_license_scan": license_sql(), "op7_jaccard_join": JACCARD_SQL}
+    return {"op4_exact_dedup": EXACT_DEDUP_SQL, "op5_license_scan": license_sql(), "op7_jaccard_join": JACCARD_SQL, "op11_vector_codes": VECTOR_CODES_SQL, "op12_decontamination": DECONTAMINATION_SQL, "op13_source_audit": SOURCE_AUDIT_SQL}
