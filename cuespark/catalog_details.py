@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from cuespark.catalog import _GAPS, _REVIEWS, _SCORED, _SIDES, _closed, _lengths, _query, _reviewed, _right
 from cuespark.functions.text import flexible_ms, folder_tags, listed, simplified, slug, window_ms, work_id
 from cuespark.functions.timecode import format_srt, parse_srt
-from cuespark.operators import activity, chunking, closure, matching, readability, recovery, reports, review, stages, timeline
+from cuespark.operators import activity, chunking, closure, matching, readability, recovery, reports, review, rules, stages, timeline
 from cuespark.operators import tracks as track_files
-from cuespark.plans.views import CUES, FILES, FRAMES, cues, files, frames, table
+from cuespark.plans.views import CUES, FILES, FRAMES, LINES, cues, doc_lines, files, frames, table
 from cuespark.sources import audio_files, cue_files, documents, json_files
 from cuespark.sources.reports import review_queue_markdown, table_markdown
 from cuespark.streaming.resume import pending
@@ -49,9 +49,10 @@ def vtt_texts(spark, d):
 
 @_query(TIMED + """ SELECT file, pos, idx, start_ms, end_ms, content, NULL::VARCHAR AS error FROM timed WHERE file % 5 <> 0 UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, 'parse_error' FROM timed WHERE file % 5 = 0""")
 def srt_scan(spark, d):
-    """Every fifth file is broken, every other one has other ends of lines."""
-    value = if_(r"if(file % 5 = 0, replace(value, ' --> ', ' -> '), if(file % 2 = 1, replace(value, '\n', '\r\n'), value))")
-    return cue_files.parse_srt_files(cue_files.to_texts(_timed(spark, d)).withColumn("value", value))
+    """Every fifth file is broken, every other one has other ends of lines, and most have lines of white space between cues."""
+    spaced = if_(r"replace(value, '\n\n', element_at(array('\n\n', '\n\u3000\n', '\n\f\n \u00a0\n'), int(file % 3) + 1))")
+    value = if_(r"if(file % 5 = 0, replace(spaced, ' --> ', ' -> '), if(file % 2 = 1, replace(spaced, '\n', '\r\n'), spaced))")
+    return cue_files.parse_srt_files(cue_files.to_texts(_timed(spark, d)).withColumn("spaced", spaced).withColumn("value", value))
 
 
 @_query(TIMED + f""", v AS (SELECT *, CASE WHEN pos % 5 = 0 THEN 'name' || {_NL} ELSE '' END || content AS told FROM timed)
@@ -79,6 +80,26 @@ def rule_texts(spark, d):
     return documents.rule_texts(srt.unionByName(vtt)).select("file", "line", "idx", "content")
 
 
+_WIDE = ("abcdefghijklmnopqrstuvwxyzéèàçüöäñóíáú", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺÉÈÀÇÜÖÄÑÓÍÁÚ")
+_WIDE_LOW = "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚéèàçüöäñóíáú"
+
+
+@_query(LINES + f""", told AS MATERIALIZED (SELECT *, lower(content) AS low FROM (SELECT file, pos AS line, CASE WHEN pos % 2 = 0 THEN translate(content, '{_WIDE[0]}', '{_WIDE[1]}') ELSE content END AS content FROM lines)),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[{_WIDE[0]}]{{5,}}')) AS w FROM benchmark),
+rules AS MATERIALIZED (SELECT w AS rule, w AS plain, translate(w, '{_WIDE[0]}', '{_WIDE_LOW}') AS wide, 'says ' || w AS problem FROM words)
+SELECT file, line, rule, unnest(regexp_extract_all(content, '(?i)' || plain || '|' || wide || '[ａ-ｚ]*')) AS matched, problem, 'drop' AS suggestion, 'benchmark' AS rules
+FROM told JOIN rules ON CASE WHEN line % 2 = 0 THEN contains(low, wide) ELSE contains(low, plain) END""")
+def rule_scan(spark, d):
+    """Words of the benchmark as a rule table against all lines, every other one in capitals and full width."""
+    plain, wide = _WIDE
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(f"[{plain}]{{5,}}"), F.lit(0))).alias("name")).distinct()
+    wide_low = F.translate("name", plain, _WIDE_LOW)
+    rule = F.struct("name", F.concat("name", F.lit("|"), wide_low, F.lit("[ａ-ｚ]*")).alias("pattern"), F.concat(F.lit("says "), "name").alias("problem"), F.lit("drop").alias("suggestion"))
+    tables = words.agg(F.array_sort(F.collect_list(rule)).alias("patterns")).select(F.lit("benchmark").alias("file"), F.to_json(F.struct(F.lit(1).alias("version"), "patterns")).alias("value"))
+    texts = doc_lines(spark, d).select("file", F.col("pos").alias("line"), F.when(F.col("pos") % 2 == 0, F.translate("content", plain, wide)).otherwise(F.col("content")).alias("content"))
+    return rules.findings(texts, json_files.rules(tables))
+
+
 _PROBLEMS = ["漏译了", "幻觉 here", "术语不对", "人称", "标点", "过长", "错译", "nothing"]
 _CLASSES = ["omission", "hallucination", "terminology", "role_tone", "formatting", "readability", "semantic", "semantic"]
 

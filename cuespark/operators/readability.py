@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.functions.timecode import readable_length
+from cuespark.operators.rules import findings
 
 
 def warnings(cues: DataFrame, most_chars: int = 42, most_cps: float = 10.0, most_lines: int = 2, most_line: int = 24) -> DataFrame:
@@ -33,19 +34,9 @@ def short_runs(cues: DataFrame, run: int = 4, short_chars: int = 4, most_gap_ms:
     return seen.where((F.col("all_short") == 1) & (F.col("n") == run) & (F.col("widest") <= most_gap_ms)).select("file", "pos", "idx")
 
 
-def rule_findings(texts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """texts (file, pos, content) x rules (name, pattern): a row for each match, in any case.
-
-    The rules are a small table known beforehand: each becomes a literal pattern,
-    compiled once, instead of a cross join that compiles a pattern for each row.
-    """
-
-    def found(name: str, pattern: str):
-        matches = F.regexp_extract_all("content", F.lit(f"(?i){pattern}"), F.lit(0))
-        return F.transform(matches, lambda m: F.struct(F.lit(name).alias("rule"), m.alias("matched")))
-
-    hits = F.flatten(F.array(*[found(*rule) for rule in rules]))
-    return texts.select("file", "pos", F.explode(hits).alias("hit")).select("file", "pos", "hit.rule", "hit.matched")
+def rule_findings(texts: DataFrame, rules: DataFrame | list[tuple] | None) -> DataFrame:
+    """texts (file, pos, content) x rules: file, pos, rule, matched for each match; see ``rules.findings``."""
+    return findings(texts.select("file", "pos", "content"), rules).select("file", "pos", "rule", "matched")
 
 
 # Signs of garbled text.

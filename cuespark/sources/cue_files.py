@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from cuespark.functions.timecode import SRT_TIME, format_srt, parse_srt
 
-_SRT_TIMING = rf"^\s*{SRT_TIME}\s*-->\s*{SRT_TIME}.*$"
+#: White space of any script, and the separators U+001C to U+001F, but no line feed: a line of these ends a cue.
+_SPACE = r"[\x{1c}-\x{1f}\s&&[^\n]]"
+_ANY = r"[\x{1c}-\x{1f}\s]"
+#: Either side of the arrow begins with a time, and white space parts it from what else stands there.
+_SRT_TIMING = rf"(?Us)^{_ANY}*{SRT_TIME}(?:{_ANY}(?:(?!-->).)*)?-->{_ANY}*{SRT_TIME}(?:{_ANY}.*)?$".replace(r"\d", "[0-9]")
 _VTT_TIME = r"(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})"
 
 
@@ -23,20 +27,20 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.srt", recursive: b
 
 def _blocks(texts: DataFrame, blank: str) -> DataFrame:
     """Runs of lines between blank ones, as arrays, in order."""
-    unix = F.regexp_replace("value", r"\r\n?", "\n")
-    cut = F.filter(F.split(unix, blank), lambda b: F.regexp_replace(b, r"(?U)\s", "") != "")
+    unix = F.concat(F.lit("\n"), F.regexp_replace("value", r"\r\n?", "\n"), F.lit("\n"))
+    cut = F.filter(F.split(unix, blank), lambda b: F.regexp_replace(b, rf"(?U){_ANY}", "") != "")
     return texts.select("file", F.posexplode(cut).alias("k", "block")).select("file", "k", F.split(F.regexp_replace("block", r"^\n+|\n+$", ""), "\n").alias("lines"))
 
 
 def parse_srt_files(texts: DataFrame) -> DataFrame:
     """file, pos, idx, start_ms, end_ms, content, error: cues, or one row with an error for a file that is not wholly well formed."""
-    b = _blocks(texts, r"\n(?:[ \t]*\n)+")
-    index, timing = F.trim(F.get("lines", F.lit(0))), F.get("lines", F.lit(1))
-    stop = F.regexp_extract(timing, r"-->\s*(.*)$", 1)
+    b = _blocks(texts, rf"(?U)\n(?:{_SPACE}*\n)+")
+    index, timing = F.regexp_replace(F.get("lines", F.lit(0)), rf"(?U)^{_ANY}+|{_ANY}+$", ""), F.get("lines", F.lit(1))
+    stop = F.regexp_extract(timing, r"(?s)-->(.*)$", 1)
     b = b.withColumn("bad", ~(index.rlike(r"^\d+$") & F.coalesce(timing.rlike(_SRT_TIMING), F.lit(False))))
     w = Window.partitionBy("file")
     b = b.withColumn("n_bad", F.sum(F.col("bad").cast("int")).over(w)).withColumn("pos", F.row_number().over(w.orderBy("k")).cast("long"))
-    good = b.where("n_bad = 0").select("file", "pos", F.expr("try_cast(trim(lines[0]) AS bigint)").alias("idx"), parse_srt(timing).alias("start_ms"), parse_srt(stop).alias("end_ms"), F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n").alias("content"), F.lit(None).cast("string").alias("error"))
+    good = b.where("n_bad = 0").select("file", "pos", index.try_cast("long").alias("idx"), parse_srt(timing).alias("start_ms"), parse_srt(stop).alias("end_ms"), F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n").alias("content"), F.lit(None).cast("string").alias("error"))
     none = lambda kind: F.lit(None).cast(kind)
     bad = b.where("n_bad > 0").select("file").distinct().select("file", none("long").alias("pos"), none("long").alias("idx"), none("long").alias("start_ms"), none("long").alias("end_ms"), none("string").alias("content"), F.lit("parse_error").alias("error"))
     return good.unionByName(bad)
@@ -49,7 +53,7 @@ def _vtt_ms(text: Column) -> Column:
 
 def parse_vtt_files(texts: DataFrame) -> DataFrame:
     """file, pos, idx, start_ms, end_ms, content, error: good cues numbered from 1, and a warning for each bad one."""
-    b = _blocks(texts, r"\n(?:[ \t]*\n)+").where(F.exists("lines", lambda x: x.contains("-->")))
+    b = _blocks(texts, rf"(?U)\n(?:{_SPACE}*\n)+").where(F.exists("lines", lambda x: x.contains("-->")))
     at = F.array_position(F.transform("lines", lambda x: x.contains("-->")), True)
     b = b.withColumn("timing", F.element_at("lines", at.cast("int"))).withColumn("start_ms", _vtt_ms(F.split("timing", "-->")[0])).withColumn("end_ms", _vtt_ms(F.split("timing", "-->")[1]))
     b = b.withColumn("content", F.array_join(F.filter("lines", lambda x: (x != F.col("timing")) & (F.trim(x) != "WEBVTT")), "\n"))  # an identifier stays in the text

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.dist import ship
+from cuespark.functions.patterns import compiles
 from cuespark.functions.text import trimmed
 
 #: Fields that every rule must have.
@@ -73,25 +76,18 @@ def duplicate_names(rules: DataFrame) -> DataFrame:
     return rules.where("name <> ''").groupBy("file", "name").agg(F.count("*").alias("times")).where("times > 1")
 
 
-def compiles(pattern: str) -> bool:
-    """Whether a pattern is a regular expression, as it is tested before a scan is planned."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def rule_errors(rules: DataFrame) -> DataFrame:
-    """file, k, error of rules: fields that are blank, a name that an earlier rule has, a pattern that does not compile.
+    """file, k, error of rules: fields that are blank, a name that an earlier rule has, a pattern that does not compile in the dialect that scans run."""
+    ship(rules.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def bad(patterns: pd.Series) -> pd.Series:
+        return ~patterns.map(compiles).astype(bool)
 
-    A rule table is small and known before a scan: its distinct patterns are tested on the driver.
-    """
-    bad = [p for p in (r[0] for r in rules.select("pattern").distinct().collect()) if not compiles(p)]
     again = F.row_number().over(Window.partitionBy("file", "name").orderBy("k")) > 1
-    tests = [(F.col(c) == "", f"missing:{c}") for c in RULE_FIELDS] + [((F.col("name") != "") & F.col("_again"), "duplicate_name"), (F.col("pattern").isin(*bad) if bad else F.lit(False), "invalid_regex")]
+    tests = [(F.col(c) == "", f"missing:{c}") for c in RULE_FIELDS] + [((F.col("name") != "") & F.col("_again"), "duplicate_name"), (F.col("_bad"), "invalid_regex")]
     found = F.array_compact(F.array(*[F.when(test, code) for test, code in tests]))
-    return rules.withColumn("_again", again).select("file", "k", F.explode(found).alias("error"))
+    return rules.withColumn("_again", again).withColumn("_bad", bad("pattern")).select("file", "k", F.explode(found).alias("error"))
 
 
 def glob_pattern(glob: str) -> str:
