@@ -50,7 +50,7 @@ def vtt_texts(spark, d):
 @_query(TIMED + """ SELECT file, pos, idx, start_ms, end_ms, content, NULL::VARCHAR AS error FROM timed WHERE file % 5 <> 0 UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, 'parse_error' FROM timed WHERE file % 5 = 0""")
 def srt_scan(spark, d):
     """Every fifth file is broken, every other one has other ends of lines, and most have lines of white space between cues."""
-    spaced = if_(r"replace(value, '\n\n', element_at(array('\n\n', '\n\u3000\n', '\n\f\n \u00a0\n'), int(file % 3) + 1))")
+    spaced = if_(r"replace(value, '\n\n', element_at(array('\n\n', '\n　\n', '\n\u000c\n  \n'), int(file % 3) + 1))")
     value = if_(r"if(file % 5 = 0, replace(spaced, ' --> ', ' -> '), if(file % 2 = 1, replace(spaced, '\n', '\r\n'), spaced))")
     return cue_files.parse_srt_files(cue_files.to_texts(_timed(spark, d)).withColumn("spaced", spaced).withColumn("value", value))
 
