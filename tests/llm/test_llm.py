@@ -520,6 +520,67 @@ def test_names_alone_do_not_decide():
     assert other == ("prices went up " * 9).strip()
 
 
+FURNITURE = {
+    "footer": "<footer><p>Copyright 2020 all rights reserved by the company and more.</p></footer>",
+    "notice": '<div class="cookie-notice"><p>We use cookies to make this site work as you would expect it to.</p></div>',
+    "advert": '<div class="ad"><p>Buy now while it lasts and save more than half of the price today.</p></div>',
+    "form": '<form action="/go"><label>Mail</label><p>Subscribe to our newsletter to get all of the news every single day.</p></form>',
+    "comments": '<div class="comments"><p>Nice post and I did like what you wrote about it here.</p></div>',
+    "comment section": '<section id="comments"><div class="comment"><p>I have never read anything like this before in all my life.</p></div></section>',
+    "nav": '<nav><p>All of the pages that you may want to see next are listed here.</p><ul><li><a href="/a">Home</a></li></ul></nav>',
+    "related": '<aside class="related"><h3>Related</h3><p>Another story that you may also like to read when you are done.</p></aside>',
+    "sidebar": '<div id="right-sidebar"><div><p>' + "Popular stories of the week that everyone has been reading. " * 30 + "</p></div></div>",
+    "dialog": '<div role="dialog"><p>Please sign in with your account to read on and to save this page.</p></div>',
+    "share": "<p><span class='share'>Share this with all of your friends and family right now please</span></p>",
+    "unseen": '<div style="color:red; display: none"><p>This is for machines and no reader ever gets to see any of it.</p></div>',
+}
+CONTENT = {
+    "list": ("<ul><li>A first thing that one has to know about it.</li><li>Second one</li></ul>", "A first thing that one has to know about it.\nSecond one"),
+    "links": ('<p>One can read of this in <a href="/x">the long book about all of it</a> and elsewhere too.</p>', "One can read of this in the long book about all of it and elsewhere too."),
+    "table": ("<table><tr><td>Some cell of words</td><td>and another cell</td></tr></table>", "Some cell of words\nand another cell"),
+    "quote": ("<blockquote>It was said that nothing would ever be as it had been.</blockquote>", "It was said that nothing would ever be as it had been."),
+    "heading": ("<h4>What came after</h4>", "What came after"),
+}
+BEFORE, AFTER = "It all began a long time ago, when few had heard of it and none had seen it yet.", "And so it went on for many years, until the day that nobody had been waiting for came."
+
+
+@pytest.fixture(scope="module")
+def known_weights(spark):
+    prepare(spark)
+    return html_extraction.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def placed(piece, where):
+    paragraphs = [f"<p>{BEFORE}</p>", f"<p>{AFTER}</p>"] * 3
+    if where == "inside":
+        body = "<article><h1>A title</h1>" + "".join(paragraphs[:3]) + piece + "".join(paragraphs[3:]) + "</article>"
+    elif where == "beside":
+        body = piece + "<article><h1>A title</h1>" + "".join(paragraphs) + "</article>" + piece
+    else:
+        body = "<div><h1>A title</h1>" + "".join(paragraphs[:3]) + piece + "".join(paragraphs[3:]) + "</div>"
+    return f"<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{body}<footer>All rights</footer></body></html>"
+
+
+@pytest.mark.parametrize("where", ["inside", "beside", "without"])
+def test_furniture_goes_and_content_stays(known_weights, where):
+    """Paragraphs of furniture are no content, in the label, beside it, and where there is none; with weights of the table and without a fit."""
+    lines = ["A title", *[BEFORE, AFTER] * 3]
+    for weight in (known_weights, html_extraction.weights({})):
+        for name, piece in FURNITURE.items():
+            assert html_extraction.extract(placed(piece, where), weight) == "\n".join(lines), name
+        for name, (piece, text) in CONTENT.items():
+            want = lines if where == "beside" else [*lines[:4], text, *lines[4:]]
+            assert html_extraction.extract(placed(piece, where), weight) == "\n".join(want), name
+
+
+def test_headers_and_labels_that_hold_little(known_weights):
+    title = "<header><h1>The title of all this</h1><p>By someone who knows all about it and more.</p></header>"
+    body = "".join(f"<p>{BEFORE}</p>" for _ in range(5))
+    assert html_extraction.extract(f"<body><header><p>The news site that you and all of your friends read.</p></header><article>{title}{body}</article>", known_weights) == "\n".join(["The title of all this", "By someone who knows all about it and more.", *[BEFORE] * 5])
+    # a teaser in an article element beside the text does not make the text furniture
+    assert html_extraction.extract(f"<body><div>{body}</div><aside><article><p>Read this too</p></article></aside>", known_weights) == "\n".join([BEFORE] * 5)
+
+
 def test_html_of_any_shape(spark):
     odd_pages = [(1, "u", "<p>" + "long text of many words " * 20000 + "</p>"), (2, "u", "<" * 500 + "&" * 500), (3, "u", "</p></div><article>"), (3, "u", "</p></div><article>"), (None, None, None)]
     df = spark.createDataFrame([(*r, "h", 1) for r in odd_pages], "page_id long, url string, html string, text string, n_chars int")
