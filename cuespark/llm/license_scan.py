@@ -2,7 +2,8 @@
 
 A template is the wording of a licence or of its usual notice, with markup for what
 may differ: ``<<opt>> ... <</opt>>`` may be left out, ``<<var 1-6>>`` stands for one
-to six words of any kind.  Every other word is mandatory.  All templates are
+to six words of any kind, ``<<alt a b|c>>`` for one of several wordings.  Every other
+word is mandatory.  All templates are
 compiled into one automaton over words, made deterministic as it is needed; a text
 has a licence where some run of its words is accepted, that is where the mandatory
 wording stands exactly, in order, with nothing between but what markup allows.  Texts
@@ -41,21 +42,21 @@ TEMPLATES = {
     # notices
     "mit-notice": "<<opt>>this <<var 1-4>> is<</opt>> released under the <<opt>>terms of the<</opt>> mit license",
     "apache-2.0": "licensed under the apache license <<opt>>version<</opt>> 2.0",
-    "apache-2.0-notice": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "gpl-2.0": "<<opt>>this <<var 1-4>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>version<</opt>> 2",
-    "gpl-3.0": "<<opt>>this <<var 1-4>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>version<</opt>> 3",
+    "apache-2.0-notice": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<alt http|https>> www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-2.0": "<<opt>>this <<var 1-4>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<alt 2|version 2|v2|v 2>>",
+    "gpl-3.0": "<<opt>>this <<var 1-4>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<alt 3|version 3|v3|v 3>>",
     "gpl-2.0-or-later-notice": _GPL_TERMS.format(kind="library", version="2") + " " + _GPL_HOPE.format(kind="library"),
     "gpl-3.0-or-later-notice": _GPL_TERMS.format(kind="affero", version="3") + " " + _GPL_HOPE.format(kind="affero"),
     "gpl-redistribution": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<opt>>either version <<var 1-3>> of the license or <<opt>>at your option<</opt>> any later version<</opt>>",
-    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http<<opt>>s<</opt>> <<opt>>www<</opt>> mozilla org mpl 2.0",
-    "cc-by-4.0": "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by 4.0 <<opt>>international<</opt>>",
-    "cc-by-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by sa 4.0 <<opt>>international<</opt>>",
-    "cc-by-nc-4.0": "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by nc 4.0 <<opt>>international<</opt>>",
-    "cc0-1.0": "<<opt>>released<</opt>> under cc0 <<opt>>1.0<</opt>> <<opt>>universal<</opt>> public domain dedication",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at <<alt http|https>> <<opt>>www<</opt>> mozilla org mpl 2.0",
+    "cc-by-4.0": "licensed under <<opt>><<alt a|the>><</opt>> <<opt>>creative commons<</opt>> <<alt cc by|attribution>> 4.0 <<opt>>international<</opt>>",
+    "cc-by-sa-4.0": "licensed under <<opt>><<alt a|the>><</opt>> <<opt>>creative commons<</opt>> <<alt cc by sa|attribution sharealike>> 4.0 <<opt>>international<</opt>>",
+    "cc-by-nc-4.0": "licensed under <<opt>><<alt a|the>><</opt>> <<opt>>creative commons<</opt>> <<alt cc by nc|attribution noncommercial>> 4.0 <<opt>>international<</opt>>",
+    "cc0-1.0": "<<opt>>released<</opt>> under <<opt>>the<</opt>> cc0 <<opt>>1.0<</opt>> <<opt>>universal<</opt>> <<opt>>cc0 1.0<</opt>> public domain dedication",
     # whole licences
     "mit-text": f"{_MIT_GRANT} subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software {_MIT_DISCLAIMER}",
     "mit-0-text": f"{_MIT_GRANT} {_MIT_DISCLAIMER}",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<opt>>the<</opt>> <<var 1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<opt>>the<</opt>> <<var 1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "isc-text": "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<opt>>the<</opt>> <<var 1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<opt>>the<</opt>> <<var 1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "bsd-2-clause-text": f"{_BSD_START} {_BSD_DISCLAIMER}",
     "bsd-3-clause-text": f"{_BSD_START} {_BSD_NAMES} {_BSD_DISCLAIMER}",
     "apache-2.0-text": license_texts.template(license_texts.APACHE_2_0),
@@ -73,11 +74,15 @@ _WORD = rb"[0-9a-z\x80-\xff]"
 _GAP = rb"[^0-9a-z\x80-\xff]+"
 WORDS = re.compile(_WORD + rb"+")
 PLACES = re.compile(rb"(?<!" + _WORD + rb")(?=(" + b"|".join(_GAP.join(map(str.encode, p.split())) for p in BASE) + rb")(?!" + _WORD + rb"))")
-_MARKUP = re.compile(r"<<opt>>|<</opt>>|<<var (\d+)-(\d+)>>|[0-9a-z]+")
+_MARKUP = re.compile(r"<<opt>>|<</opt>>|<<var (\d+)-(\d+)>>|<<alt ([^<>]*)>>|[0-9a-z]+")
+
+
+class Either(list):
+    """Wordings, one of which must stand."""
 
 
 def parse(template: str) -> list:
-    """Words, ("var", least, most) and nested lists for optional regions."""
+    """Words, ("var", least, most), ``Either`` and nested lists for optional regions."""
     stack: list[list] = [[]]
     for m in _MARKUP.finditer(template.lower()):
         if m[0] == "<<opt>>":
@@ -85,6 +90,8 @@ def parse(template: str) -> list:
         elif m[0] == "<</opt>>":
             region = stack.pop()
             stack[-1].append(region)
+        elif m[3] is not None:
+            stack[-1].append(Either(parse(way) for way in m[3].split("|")))
         else:
             stack[-1].append(("var", int(m[1]), int(m[2])) if m[1] else m[0].encode())
     if len(stack) > 1:
@@ -127,7 +134,12 @@ class TokenAutomaton:
 
     def _chain(self, items: list, at: int) -> int:
         for x in items:
-            if isinstance(x, list):
+            if isinstance(x, Either):
+                out = self._state()
+                for way in x:
+                    self.skips[self._chain(way, at)].append(out)
+                at = out
+            elif isinstance(x, list):
                 end = self._chain(x, at)
                 out = self._state()
                 self.skips[at].append(out)
@@ -248,7 +260,7 @@ def op5_license_scan(spark, sf_dir):
 
 def _pattern(items: list) -> str:
     """A template as a regular expression over words that each follow a space."""
-    part = lambda x: f"(?:{_pattern(x)})?" if isinstance(x, list) else f"(?: [^ ]+){{{x[1]},{x[2]}}}" if isinstance(x, tuple) else " " + x.decode()
+    part = lambda x: f"(?:{'|'.join(map(_pattern, x))})" if isinstance(x, Either) else f"(?:{_pattern(x)})?" if isinstance(x, list) else f"(?: [^ ]+){{{x[1]},{x[2]}}}" if isinstance(x, tuple) else " " + x.decode()
     return "".join(map(part, items))
 
 

@@ -432,6 +432,9 @@ def test_license_templates():
     ask = lambda s: automaton.accepted(s.encode().split())
     assert ask("x 1 y end") == {"a"} and ask("so x 1 2 y z end q r") == {"a", "b"}
     assert ask("x y end") == set() and ask("x 1 2 3 y end") == set() and ask("x 1 y z z end") == set()
+    either = license_scan.TokenAutomaton({"a": "x <<alt b c|d>> y", "b": "<<opt>><<alt p|q>><</opt>> z"})
+    ask = lambda s: either.accepted(s.encode().split())
+    assert ask("x b c y") == ask("x d y") == {"a"} and ask("x b y") == ask("x b d y") == ask("x y") == set() and ask("p z") == ask("z") == {"b"}
 
 
 def test_license_texts(spark):
@@ -439,7 +442,7 @@ def test_license_texts(spark):
     import re
 
     random.seed(8)
-    fill = lambda items: " ".join(w for x in items for w in ([] if isinstance(x, list) and random.random() < 0.5 else [fill(x)] if isinstance(x, list) else [f"n{k}" for k in range(random.randint(x[1], x[2]))] if isinstance(x, tuple) else [x.decode()]))
+    fill = lambda items: " ".join(w for x in items for w in ([fill(random.choice(x))] if isinstance(x, license_scan.Either) else [] if isinstance(x, list) and random.random() < 0.5 else [fill(x)] if isinstance(x, list) else [f"n{k}" for k in range(random.randint(x[1], x[2]))] if isinstance(x, tuple) else [x.decode()]))
     texts = [(0, None), (1, "say hello big world now"), (2, "")]
     for label, template in license_scan.TEMPLATES.items():
         for cut in (False, True):
@@ -457,6 +460,80 @@ def test_license_texts(spark):
             assert got[i] == ",".join(sorted(base | own)), (i, text)
 
 
+#: As their authors publish them.
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE {} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation{} either version {} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+PUBLISHED = {
+    "mit-notice": "This project is released under the terms of the MIT License.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+        the License at http{}://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    "gpl-2.0": "licensed under the GNU General Public License v2.0", "gpl-3.0": "Licensed under the terms of the GNU General Public License version 3.",
+    "gpl-2.0-or-later-notice": _GPL.format(";", ";", 2), "gpl-3.0-or-later-notice": _GPL.format(":", ",", 3), "gpl-redistribution": _GPL.format(":", ",", 3),
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+        one at http{}://mozilla.org/MPL/2.0/.""",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-nc-4.0": "licensed under CC BY-NC 4.0",
+    "cc0-1.0": "released under the CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
+    "mit-text": f"{_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS.format('AUTHORS OR COPYRIGHT HOLDERS')}",
+    "mit-0-text": f"{_GRANT}. {_AS_IS.format('AUTHORS OR COPYRIGHT HOLDERS')}",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+        and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause-text": _BSD.format(""),
+    "bsd-3-clause-text": _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n"),
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+        this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+        this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked
+        as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+        either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+        author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+        this software under copyright law. {_AS_IS.format("AUTHORS")}""",
+    "bsl-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+        license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+        third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the
+        above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the
+        Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE,
+        TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "apache-2.0-text": license_texts.APACHE_2_0, "gpl-2.0-text": license_texts.GPL_2_0, "gpl-3.0-text": license_texts.GPL_3_0, "mpl-2.0-text": license_texts.MPL_2_0,
+}
+
+
+@pytest.mark.parametrize("label", license_scan.TEMPLATES)
+def test_templates_accept_published_texts(label):
+    automaton = license_scan.TokenAutomaton(license_scan.TEMPLATES)
+    text = PUBLISHED[label]
+    for said in {text.replace("http{}", "http"), text.replace("http{}", "https")}:
+        low = f"# Copyright (c) 2020\n{said}\n# more".lower().encode()
+        assert label in automaton.accepted(license_scan.WORDS.findall(low)) and license_scan.needed(license_scan.TEMPLATES).search(low)
+
+
 @pytest.mark.parametrize("label, text", [("apache-2.0-text", license_texts.APACHE_2_0), ("gpl-2.0-text", license_texts.GPL_2_0), ("gpl-3.0-text", license_texts.GPL_3_0), ("mpl-2.0-text", license_texts.MPL_2_0)])
 def test_whole_license_texts(label, text):
     automaton = license_scan.TokenAutomaton(license_scan.TEMPLATES)
