@@ -6,10 +6,11 @@ Frames are rows (file, pos, start_s, end_s, left_rms, right_rms); cues are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions.text import compact, dbfs
+from cuespark.operators import carried
 
 # Recognised texts that are sounds or fillers rather than speech.
 WEAK_TEXTS = ["…", "……", "...", "。。", "。。。", "ん", "んっ", "うん", "ううん", "あ", "あっ", "ああ", "はぁ", "はあ", "ハァ", "ふぅ", "ふう", "ちゅ", "ちゅっ", "チュ", "チュッ", "嗯", "嗯嗯", "啊", "啊啊", "哈", "哈啊"]
@@ -71,9 +72,7 @@ def scored(frames: DataFrame, threshold_db: float | None = None, side_db: float
     """
     left, right = dbfs(F.col("left_rms")), dbfs(F.col("right_rms"))
     f = frames.withColumns({"left_db": left, "right_db": right}).withColumn("level_db", F.greatest("left_db", "right_db"))
-    file = Window.partitionBy("file")
-    f = f.withColumns({"_k": F.row_number().over(file.orderBy("level_db")), "_n": F.count("*").over(file)})
-    f = f.withColumn("floor_db", F.max(F.when(F.col("_k") == F.bround((F.col("_n") - 1) * 0.2) + 1, F.col("level_db"))).over(file)).drop("_k", "_n")
+    f = carried.with_value_of_rank(f, "level_db", lambda n: F.bround((n - 1) * 0.2) + 1, "floor_db")
     f = f.withColumn("threshold_db", F.greatest(F.col("floor_db") + margin_db, F.lit(-48.0)) if threshold_db is None else F.lit(float(threshold_db)))
     f = f.withColumns({"active": F.col("level_db") >= F.col("threshold_db"), "differs_db": F.abs(F.col("left_db") - F.col("right_db"))})
     f = f.withColumn("side", F.when(F.col("differs_db") < side_db, "balanced").when(F.col("left_db") > F.col("right_db"), "left").otherwise("right"))
@@ -99,10 +98,10 @@ def candidates(frames: DataFrame, merge_s: float = 0.75, least_s: float = 1.0, l
     A run ends at a frame of another kind (also one between candidates by ``pos``) and
     at a hole in time of more than ``merge_s``.
     """
-    w = Window.partitionBy("file").orderBy("pos")
     kept = frames.where(F.col("active") & ((F.col("state") != "strong") | (F.col("differs_db") >= loud_db)))
-    breaks = F.coalesce((F.col("pos") != F.lag("pos").over(w) + 1) | (F.col("start_s") > F.lag("end_s").over(w) + merge_s), F.lit(True))
-    runs = kept.withColumn("_b", breaks.cast("int")).withColumn("run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = carried.with_previous(carried.ranged(kept, "pos", among=frames), ["pos"], F.struct("pos", "end_s"), "last")
+    breaks = F.coalesce((F.col("pos") != F.col("last.pos") + 1) | (F.col("start_s") > F.col("last.end_s") + merge_s), F.lit(True))
+    runs = carried.with_runs(seen, ["pos"], breaks, "run")
     share = lambda test: F.avg(test.cast("double"))
     out = runs.groupBy("file", "run").agg(
         F.min("start_s").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"), F.count("*").alias("frames"),

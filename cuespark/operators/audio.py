@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.operators import carried
+
 # Kinds of file by preference, first to last.
 PRIORITY = {"mp3": 0, "wav": 1, "wave": 1, "flac": 2, "m4a": 3, "aac": 4, "opus": 5, "ogg": 6, "wma": 7}
 
@@ -42,15 +44,14 @@ def variant_match(files: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
 def noise_floor(frames: DataFrame, p: float = 0.2) -> DataFrame:
     """Nearest-rank percentile of level per file, ranks rounded half to even."""
-    w = Window.partitionBy("file")
-    ranked = frames.select("file", "level", F.row_number().over(w.orderBy("level")).alias("k"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("k") == F.bround((F.col("n") - 1) * p) + 1).select("file", F.col("level").alias("floor"))
+    rank = lambda n: F.bround((n - 1) * p) + 1
+    return carried.value_of_rank(carried.ranged(frames.select("file", "level"), "level"), "level", rank, "floor")
 
 
 def islands(frames: DataFrame, merge_ms: int, least_ms: int) -> DataFrame:
     """Runs of candidate frames (file, pos, start_ms, end_ms, candidate): a run ends at another frame or a hole in time."""
     kept = frames.where("candidate")
-    w = Window.partitionBy("file").orderBy("pos")
-    breaks = F.coalesce((F.col("pos") != F.lag("pos").over(w) + 1) | (F.col("start_ms") - F.lag("end_ms").over(w) > merge_ms), F.lit(True))
-    runs = kept.withColumn("b", breaks.cast("int")).withColumn("run", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = carried.with_previous(carried.ranged(kept, "pos", among=frames), ["pos"], F.struct("pos", "end_ms"), "last")
+    breaks = F.coalesce((F.col("pos") != F.col("last.pos") + 1) | (F.col("start_ms") - F.col("last.end_ms") > merge_ms), F.lit(True))
+    runs = carried.with_runs(seen, ["pos"], breaks, "run")
     return runs.groupBy("file", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("frames")).where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("run")

@@ -1,19 +1,16 @@
 """Order, overlap, gap and merge analysis of cues (file, pos, idx, start_ms, end_ms, content).
 
-Every operator needs the rows of a file together, in order: one exchange by file,
-which the window functions that follow share.
+Operators need the rows of a file in order: one exchange by file and range of its
+order, which the window functions that follow share (see ``carried``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions.timecode import blank
-
-
-def _ordered():
-    return Window.partitionBy("file").orderBy("pos")
+from cuespark.operators import carried
 
 
 def _issues(df: DataFrame, rules: list[tuple[Column, str]], *keep: str) -> DataFrame:
@@ -23,57 +20,65 @@ def _issues(df: DataFrame, rules: list[tuple[Column, str]], *keep: str) -> DataF
 
 def structural_issues(cues: DataFrame) -> DataFrame:
     """A row for each broken rule: index order, time range, overlap with the previous cue, empty text."""
-    w = _ordered()
-    seen = cues.withColumn("last_idx", F.lag("idx", 1, 0).over(w)).withColumn("last_end", F.lag("end_ms").over(w))
+    seen = carried.with_previous(carried.ranged(cues, "pos"), ["pos"], F.struct("idx", "end_ms"), "last")
     rules = [
-        (F.col("idx") != F.col("last_idx") + 1, "index_not_continuous"),
+        (F.col("idx") != F.when(F.col("last").isNull(), 0).otherwise(F.col("last.idx")) + 1, "index_not_continuous"),
         (F.col("start_ms") >= F.col("end_ms"), "invalid_time_range"),
-        (F.col("start_ms") < F.col("last_end"), "time_overlap"),
+        (F.col("start_ms") < F.col("last.end_ms"), "time_overlap"),
         (blank(F.col("content")), "empty_subtitle"),
         (F.col("idx") != F.col("pos"), "index_position_mismatch"),
     ]
     return _issues(seen, rules, "file", "pos", "idx")
 
 
-def overlap_classes(cues: DataFrame, minor_ms: int = 120, severe_ms: int = 500, least_ms: int = 120) -> DataFrame:
-    """Each cue against the one before it: ok, minor, too_short (clipping would leave too little), moderate, severe, invalid."""
-    w = _ordered()
-    seen = cues.withColumn("last_start", F.lag("start_ms").over(w)).withColumn("last_end", F.lag("end_ms").over(w))
-    over = F.coalesce(F.col("last_end") - F.col("start_ms"), F.lit(0))
+def _classed(cues: DataFrame, minor_ms: int = 120, severe_ms: int = 500, least_ms: int = 120) -> DataFrame:
+    """Cues in ranges, with overlap_ms and kind."""
+    seen = carried.with_previous(carried.ranged(cues, "pos"), ["pos"], F.struct("start_ms", "end_ms"), "last")
+    over = F.coalesce(F.col("last.end_ms") - F.col("start_ms"), F.lit(0))
     kind = (
-        F.when((F.col("start_ms") >= F.col("end_ms")) | F.coalesce(F.col("last_start") >= F.col("last_end"), F.lit(False)), "invalid")
+        F.when((F.col("start_ms") >= F.col("end_ms")) | F.coalesce(F.col("last.start_ms") >= F.col("last.end_ms"), F.lit(False)), "invalid")
         .when(over <= 0, "ok")
-        .when((over <= minor_ms) & (F.col("start_ms") - F.col("last_start") >= least_ms), "minor")
+        .when((over <= minor_ms) & (F.col("start_ms") - F.col("last.start_ms") >= least_ms), "minor")
         .when(over <= minor_ms, "too_short")
         .when(over <= severe_ms, "moderate")
         .otherwise("severe")
     )
-    return seen.select("file", "pos", "idx", F.greatest(over, F.lit(0)).cast("long").alias("overlap_ms"), kind.alias("kind"))
+    return seen.withColumns({"overlap_ms": F.greatest(over, F.lit(0)).cast("long"), "kind": kind}).drop("last")
+
+
+def overlap_classes(cues: DataFrame, **limits) -> DataFrame:
+    """Each cue against the one before it: ok, minor, too_short (clipping would leave too little), moderate, severe, invalid.
+
+    Limits: minor_ms, severe_ms, least_ms.
+    """
+    return _classed(cues, **limits).select("file", "pos", "idx", "overlap_ms", "kind")
 
 
 def overlap_clip(cues: DataFrame, **limits) -> DataFrame:
     """Ends of cues after minor overlaps with the next are clipped to its start; starts never move, so nothing cascades."""
-    kinds = overlap_classes(cues, **limits).select("file", "pos", "kind")
-    w = _ordered()
-    joined = cues.join(kinds, ["file", "pos"]).withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_start", F.lead("start_ms").over(w))
-    end = F.when(F.col("next_kind") == "minor", F.col("next_start")).otherwise(F.col("end_ms"))
-    return joined.select("file", "pos", "idx", "start_ms", end.alias("end_ms"))
+    told = carried.with_next(_classed(cues, **limits), ["pos"], F.struct("kind", "start_ms"), "next")
+    end = F.when(F.col("next.kind") == "minor", F.col("next.start_ms")).otherwise(F.col("end_ms"))
+    return told.select("file", "pos", "idx", "start_ms", end.alias("end_ms"))
 
 
 def gap_windows(cues: DataFrame, least_ms: int) -> DataFrame:
     """Times in which no cue has run, of at least ``least_ms``: between the latest end so far and the next start."""
-    w = Window.partitionBy("file").orderBy("start_ms", "end_ms", "pos")
-    reached = F.greatest(F.lit(0), F.coalesce(F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return cues.select("file", reached.cast("long").alias("gap_start"), F.col("start_ms").alias("gap_end")).where(F.col("gap_end") - F.col("gap_start") >= least_ms)
+    seen = carried.with_reached(carried.ranged(cues, "start_ms"), ["start_ms", "end_ms", "pos"], "end_ms", "reached")
+    reached = F.greatest(F.lit(0), F.coalesce("reached", F.lit(0)))
+    return seen.select("file", reached.cast("long").alias("gap_start"), F.col("start_ms").alias("gap_end")).where(F.col("gap_end") - F.col("gap_start") >= least_ms)
 
 
 def merged_windows(windows: DataFrame, within_ms: int = 250) -> DataFrame:
     """Windows (file, start_ms, end_ms) of one file that touch within ``within_ms`` become one."""
-    w = Window.partitionBy("file").orderBy("start_ms", "end_ms")
-    reached = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reached.isNull() | (F.col("start_ms") > reached + within_ms), 1).otherwise(0)
-    islands = windows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("file", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("island")
+    return touching(windows, within_ms).groupBy("file", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("run")
+
+
+def touching(windows: DataFrame, within_ms: int) -> DataFrame:
+    """Windows with the number of their run: one that begins more than ``within_ms`` after all before have ended begins another."""
+    order = ["start_ms", "end_ms"]
+    seen = carried.with_reached(carried.ranged(windows, "start_ms"), order, "end_ms", "reached")
+    fresh = F.col("reached").isNull() | (F.col("start_ms") > F.col("reached") + within_ms)
+    return carried.with_runs(seen, order, fresh, "run").drop("reached", "_range", "_split")
 
 
 def interval_coverage(frames: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -88,9 +93,8 @@ def interval_coverage(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     none, its = F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"), F.col("frame")
     # at one time ends come first, then frames, then starts
     times = event(intervals, "end_ms", 0, F.lit(1), none).unionByName(event(intervals, "start_ms", 3, F.lit(1), none)).unionByName(event(frames, "start_ms", 1, F.lit(0), its)).unionByName(event(frames, "end_ms", 2, F.lit(0), its))
-    before = Window.partitionBy("file").orderBy("at", "kind")
-    of = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col(name)).otherwise(0)).over(before)
-    told = times.withColumns({"begun": of(3, "n"), "ended": of(0, "n"), "begun_proper": of(3, "proper"), "ended_proper": of(0, "proper")}).where("frame IS NOT NULL")
+    of = lambda kind, name: F.when(F.col("kind") == kind, F.col(name)).otherwise(0)
+    told = carried.with_sums(carried.ranged(times, "at"), ["at", "kind"], {"begun": of(3, "n"), "ended": of(0, "n"), "begun_proper": of(3, "proper"), "ended_proper": of(0, "proper")}, ties=True).where("frame IS NOT NULL")
     # intervals without length do not count for frames without length
     begun, ended = (F.when(F.col("wide") == 1, F.col(x)).otherwise(F.col(f"{x}_proper")) for x in ("begun", "ended"))
     hits = told.groupBy("file", "frame").agg((F.sum(F.when(F.col("kind") == 2, begun).otherwise(0)) - F.sum(F.when(F.col("kind") == 1, ended).otherwise(0))).cast("long").alias("n"))
