@@ -39,6 +39,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Rows of a group that are compared with its first row in one task.
 HITS_PER_TASK = 512
+#: Groups of more rows, and of more than a HOT_GROUPS-th of all rows, are hot: there are HOT_GROUPS of them at most.
+HOT_ROWS, HOT_GROUPS = 10_000, 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -107,16 +109,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return log.select("doc", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     groups = work.table(_stream(work, trigger_bytes).groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), f"groups/batch={number}")
 
-    # Texts move only where a digest has been met again.
+    # Texts move only where a digest has been met again, and not where a third of all rows may share it.
     text = normalised(F.col(f"doc.{text_col}"))
     salts = F.ceil(F.col("n") / HITS_PER_TASK).cast("int")
     known = marked(log, groups.where("n > 1"), "digest")
-    found = known.where("hit").drop("hit").join(groups.hint("merge"), "digest")
+    hot = F.col("n") > max(HOT_ROWS, log.count() // HOT_GROUPS)
+    met = known.where("hit").drop("hit").join(F.broadcast(groups.where(hot)), "digest", "left")
+    found = met.where("n IS NOT NULL").unionByName(met.where("n IS NULL").drop("first", "n").join(groups.where(~hot).hint("merge"), "digest"))
     hits = found.where("n > 1").select("digest", "batch", "row", "first", text.alias("t"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
     # Locators are followed: only rows that one points to leave the log.
     whole = work.read("log", log.schema) if number else log
+    named = [r[0] for r in groups.where("n > 1").select("first.batch").distinct().collect()]  # calls so far, at most
     places = groups.where("n > 1").select(F.struct("first.batch", "first.row").alias("place"), salts.alias("salts"))
-    pointed = marked(whole.select(F.struct("batch", "row").alias("place"), "digest", text.alias("held")), places, "place").where("hit").drop("hit")
+    pointed = marked(whole.where(F.col("batch").isin(named)).select(F.struct("batch", "row").alias("place"), "digest", text.alias("held")), places, "place").where("hit").drop("hit")
     held = pointed.join(places.hint("merge"), "place").select("digest", "held", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     differ = hits.where("batch <> first.batch OR row <> first.row").join(held.hint("merge"), ["digest", "salt"]).where("t <> held").select("digest").distinct()
     differ = work.table(differ, f"differ/batch={number}")

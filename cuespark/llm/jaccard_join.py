@@ -402,7 +402,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = classes(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"))).where("class_size > 1").select(F.col("doc_id").alias("id"), "class_id")
     members = work.table(found.hint("merge").join(rows.select("id", F.col("row.doc_id").alias("doc_id")), "id"), "members")
     stays = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")).select(F.col("first.id").alias("id"))
-    return without(rows, members.select("id").join(stays.hint("merge"), "id", "left_anti"), "id").select("row.*")
+    return without(rows, work.table(members.select("id").join(stays.hint("merge"), "id", "left_anti"), "gone"), "id").select("row.*")
 
 
 def op7_jaccard_join(spark, sf_dir):

@@ -176,9 +176,12 @@ def rewrite(target: str, moved: DataFrame, docs: DataFrame, shard_col: str = "sh
 
     ``moved``: rows of ``assign`` over the rows of target.  ``docs``: those rows.  A row's
     identity is its old shard, doc_id, size and crc32 and, among rows that agree in
-    these, its number: the k-th of docs goes where the k-th of ``moved`` does.
+    these, its number: the k-th of docs goes where the k-th of ``moved`` does.  A call that is
+    cut off, at whatever step, loses no row: ``complete`` finishes or undoes it.
     """
     spark = docs.sparkSession
+    if _staged(spark, target):
+        raise ValueError(f"an earlier rewrite of {target} was cut off: complete() it and plan again")
     crossing = moved.where("shard <> old_shard").groupBy("old_shard", "shard").count().collect()
     affected = sorted({r["old_shard"] for r in crossing} | {r["shard"] for r in crossing})
     if not affected:
@@ -193,20 +196,68 @@ def rewrite(target: str, moved: DataFrame, docs: DataFrame, shard_col: str = "sh
     known = F.lag(F.struct(*keys, "k", "side")).over(before).eqNullSafe(F.struct(*keys, "k", F.lit(0).alias("side")))
     paired = both.withColumns({"known": known, "to": F.lag("to").over(before)}).where("side = 1")
     shard = F.when(F.col("known"), F.col("to")).otherwise(F.raise_error(F.lit("a row of the target has no place")).cast("int"))
-    staged = f"{target}/_rewrite-{uuid.uuid4().hex[:12]}"  # not seen by readers; all is written before any of the target goes
+    staged = f"{target}/{_STAGED}{uuid.uuid4().hex[:12]}"  # not seen by readers; all is written before any of the target goes
     paired.select("row.*", shard.alias(shard_col)).write.option("compression", "zstd").partitionBy(shard_col).parquet(staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    for k in affected:
-        files.delete(path(f"{target}/{shard_col}={k}"), True)
-        new = path(f"{staged}/{shard_col}={k}")
-        if files.exists(new) and not files.rename(new, path(f"{target}/{shard_col}={k}")):
-            raise OSError(f"{new.toString()} could not be moved")
-    files.delete(path(staged), True)
-    spark.catalog.refreshByPath(target)
+    files, path = _files(spark, target)
+    plan_of = "\n".join(f"{shard_col}={k} {int(files.exists(path(f'{staged}/{shard_col}={k}')))}" for k in affected)
+    out = files.create(path(f"{staged}/{_PLAN}.part"))
+    out.write(plan_of.encode())
+    out.close()
+    files.rename(path(f"{staged}/{_PLAN}.part"), path(f"{staged}/{_PLAN}"))
+    complete(spark, target)
     return affected
 
 
+_STAGED, _PLAN = "_rewrite-", "_plan"
+
+
+def _files(spark, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(target).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _staged(spark, target: str) -> list[str]:
+    files, path = _files(spark, target)
+    return sorted(f.getPath().toString() for f in files.listStatus(path(target)) if f.getPath().getName().startswith(_STAGED)) if files.exists(path(target)) else []
+
+
+def complete(spark, target: str) -> int:
+    """Finish what a rewrite of ``target`` that was cut off has begun; to be called before it is read again.  Returns how many were found.
+
+    A rewrite whose new files are all written has a plan (a shard's folder, and whether it
+    has rows in a line): old folders move into the staged one, new ones take their place,
+    and only then the old ones go.  Each step is done if it has not been, so any number
+    of calls may be cut off.  A rewrite without a plan has changed nothing and goes.
+    """
+    files, path = _files(spark, target)
+
+    def moved(a: str, b: str) -> None:
+        if not files.rename(path(a), path(b)):
+            raise OSError(f"{a} could not be moved")
+
+    found = _staged(spark, target)
+    for staged in found:
+        if files.exists(path(f"{staged}/{_PLAN}")):
+            files.mkdirs(path(f"{staged}/_old"))
+            lines = spark._jvm.org.apache.hadoop.io.Text()
+            into = files.open(path(f"{staged}/{_PLAN}"))
+            size = int(files.getFileStatus(path(f"{staged}/{_PLAN}")).getLen())
+            lines.readWithKnownLength(into, size)
+            into.close()
+            for line in lines.toString().split("\n"):
+                name, some = line.rsplit(" ", 1)
+                here, new, old = f"{target}/{name}", f"{staged}/{name}", f"{staged}/_old/{name}"
+                waits = files.exists(path(new))
+                if (waits or some == "0") and files.exists(path(here)) and not files.exists(path(old)):
+                    moved(here, old)
+                if waits:
+                    moved(new, here)
+        files.delete(path(staged), True)
+    if found:
+        spark.catalog.refreshByPath(target)
+    return len(found)
+
+
 N_SHARDS = 8
 
 

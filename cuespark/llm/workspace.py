@@ -42,16 +42,24 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-#: Bits of the table of ``marked``, in bitmaps of 2**15 bits: 4 MB, whatever the tables.
-BITS = 1 << 25
+#: Bits of the table of ``marked`` for a key, at least; of the whole table, in bitmaps of 2**15 bits, at least and at most (128 MB).
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 30
+
+
+def table_bits(keys: int) -> int:
+    """Bits for so many keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, BITS_PER_KEY * keys - 1).bit_length()))
 
 
 def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Adds ``hit``: false only for rows whose key is surely not in ``keys``; true for all others, and by chance for a few more.
 
-    What is broadcast has a fixed size.  Rows that are not hit need not move to be joined.
+    Keys are counted first, and what is broadcast has BITS_PER_KEY to twice as many bits a key,
+    so that at most one other row in BITS_PER_KEY passes, up to MOST_BITS; with more than
+    67 million keys more rows pass, by and by.  Rows that are not hit need not move to be joined.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(BITS)) + 1
+    bits = table_bits(keys.count())
+    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
     maps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

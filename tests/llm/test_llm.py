@@ -1,3 +1,4 @@
+import contextlib
 import hashlib
 import itertools
 import random
@@ -10,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuespark.llm import bpe, components, exact_dedup, html_extraction, jaccard_join, license_scan, license_texts, packing, quality_rules, registry, sharding, substring_dedup, suffix_groups, token_files, tokens
-from cuespark.llm.workspace import Workspace, prepare
+from cuespark.llm import bpe, components, exact_dedup, html_extraction, jaccard_join, license_scan, license_texts, packing, quality_rules, registry, sharding, substring_dedup, suffix_groups, token_files, tokens, workspace
+from cuespark.llm.workspace import Workspace, marked, prepare
 
 LONG = "the word of a long line that goes on and on " * 400
 ODD = [
@@ -277,6 +278,76 @@ def test_packing(odd):
         assert sum(x * n for x, n in chosen.items()) == best and all(n <= counts[x] for x, n in chosen.items())
 
 
+@pytest.mark.parametrize("after", range(8))
+def test_rewrite_that_is_cut_off(spark, tmp_path, monkeypatch, after):
+    """Cut off after so many renames: every row is there, at its old or its new shard, and a later call completes what has begun."""
+    target = str(tmp_path / "t")
+    rows = [(i if i % 5 else None, f"text {i % 7} " * (i % 4 + 1), i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(target)
+    read = lambda: spark.read.schema("doc_id long, text string, shard int").parquet(target)
+    moved = Workspace(spark, "m").table(sharding.assign(read(), F.col("shard"), 2), "moved")
+    real, left = sharding._files, [after]
+
+    class Failing:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            if name == "rename":
+                left[0] -= 1
+                if left[0] < 0:
+                    raise ConnectionError("lost")
+            return getattr(self.files, name)
+
+    monkeypatch.setattr(sharding, "_files", lambda *a: (Failing(real(*a)[0]), real(*a)[1]))
+    cut = False
+    try:
+        sharding.rewrite(target, moved, read())
+    except ConnectionError:
+        cut = True
+        with pytest.raises(ValueError, match="cut off"):
+            monkeypatch.setattr(sharding, "_files", real)
+            sharding.rewrite(target, moved, read())
+        left[0] = 1
+        monkeypatch.setattr(sharding, "_files", lambda *a: (Failing(real(*a)[0]), real(*a)[1]))
+        with contextlib.suppress(ConnectionError):  # cut off again
+            sharding.complete(spark, target)
+    monkeypatch.setattr(sharding, "_files", real)
+    sharding.complete(spark, target)
+    assert sharding.complete(spark, target) == 0
+    spark.catalog.refreshByPath(target)
+    got = read().collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(a), b) for a, b, _ in rows)
+    shards = itertools.groupby(sorted(r.shard for r in got))
+    assert {k: len(list(v)) for k, v in shards} == ({0: 20, 1: 20, 2: 20} if after == 0 else {0: 30, 1: 30})
+    assert cut == (after < 6) and not [x for x in (tmp_path / "t").iterdir() if x.name.startswith("_rewrite")]
+
+
+def test_filters_still_filter_many_keys(spark, monkeypatch):
+    """Bits follow the keys: other rows pass one in BITS_PER_KEY at most; with fewer bits than keys nothing is lost."""
+    rows = spark.range(60_000).withColumn("key", F.concat(F.lit("k"), F.col("id").cast("string")))
+    keys = rows.where("id % 3 = 0").select("key")
+    passed = lambda: {r.key for r in marked(rows, keys, "key").where("hit").collect()}
+    monkeypatch.setattr(workspace, "LEAST_BITS", 1 << 10)
+    hit = passed()
+    assert hit >= {r.key for r in keys.collect()} and len(hit) - 20_000 <= 40_000 / workspace.BITS_PER_KEY
+    assert workspace.table_bits(20_000) == 1 << 19 and workspace.table_bits(0) == 1 << 10 and workspace.table_bits(10**12) == workspace.MOST_BITS
+    monkeypatch.setattr(workspace, "MOST_BITS", 1 << 15)
+    assert passed() >= {r.key for r in keys.collect()}
+    assert marked(rows, keys.where("false"), "key").where("hit").count() == 0
+
+
+def test_hot_groups_do_not_move_by_digest(spark, odd, monkeypatch):
+    """Groups above the bound are joined by broadcast, the others by digest; the rows are the same."""
+    docs = spark.createDataFrame([(i, "hot text" if i % 3 == 0 else f"text {i % 40}") for i in range(300)], "doc_id long, text string")
+    told = lambda d: sorted(str(tuple(r)) for r in exact_dedup.deduplicate(d).select("doc.doc_id", "keep_id", "group_size", "kept").collect())
+    want = told(docs), told(odd)
+    for rows in (0, 20):
+        monkeypatch.setattr(exact_dedup, "HOT_ROWS", rows)
+        monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 1 << 40)
+        assert (told(docs), told(odd)) == want
+
+
 def test_rewrite_keeps_every_row(spark, tmp_path):
     prepare(spark)
     target = str(tmp_path / "data")
