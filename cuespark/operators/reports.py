@@ -93,15 +93,46 @@ def next_round(names: DataFrame, *keys: str) -> DataFrame:
     return names.groupBy(*keys).agg(F.concat(F.lit("round_"), F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))).alias("name"))
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct runs of so many characters of a text, or none."""
+    n = F.length(text) - size + 1
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.substring(text, i, size))))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (needle, text) of needles (needle) and texts (text) that hold them; both of one kind (kind), none of them empty.
+
+    An inverted index of the texts' runs of up to three characters: a needle is looked up
+    by the rarest of its own, and what is found there is checked.
+    """
+    one = lambda c, size: F.explode(_grams(F.col(c), size)).alias("gram")
+    held = texts.distinct().select("kind", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("size")).select("kind", "text", one("text", F.col("size")))
+    counts = held.groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    asked = needles.where("needle <> ''").distinct().select("kind", "needle", one("needle", F.least(F.lit(3), F.length("needle"))))
+    rarest = asked.join(counts, ["kind", "gram"], "left").groupBy("kind", "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(held, ["kind", "gram"]).where(F.col("text").contains(F.col("needle"))).select("kind", "needle", "text").distinct()
+
+
+# Points for a name that holds the other, holds it but for its dashes, and for each of its words.
+_WHOLE, _PACKED, _WORD = 100, 80, 10
+
+
 def similar_models(wanted: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
     """Of known model names (id) those most like each wanted one (model): model, id, score; at most ``most`` (the report's length)."""
     low, mid = F.lower("model"), F.lower("id")
     packed = lambda c: F.regexp_replace(c, "[-_]", "")
-    words = F.filter(F.split(F.translate(low, "_", "-"), "-"), lambda w: (F.length(w) >= 3) & mid.contains(w))
-    score = F.when((low != "") & mid.contains(low), 100).otherwise(0) + F.when((packed(low) != "") & packed(mid).contains(packed(low)), 80).otherwise(0) + 10 * F.size(words)
-    scored = wanted.select("model").distinct().join(F.broadcast(known.select("id")), score > 0).withColumn("score", score)
+    words = F.filter(F.split(F.translate(low, "_", "-"), "-"), lambda w: F.length(w) >= 3)
+    models, ids = wanted.select("model").where("model IS NOT NULL").distinct(), known.select("id").where("id IS NOT NULL")
+    told = F.concat(F.array(F.struct(F.lit("name").alias("kind"), low.alias("needle")), F.struct(F.lit("packed").alias("kind"), packed(low).alias("needle"))), F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("needle"))))
+    asked = models.select("model", F.explode(told).alias("x")).select("model", "x.*")
+    texts = ids.distinct().select("id", F.explode(F.array(F.struct(F.lit("name").alias("kind"), mid.alias("text")), F.struct(F.lit("packed").alias("kind"), packed(mid).alias("text")))).alias("x")).select("id", "x.*")
+    found = containing(asked.select("kind", "needle"), texts.select("kind", "text"))
+    pairs = asked.join(found, ["kind", "needle"]).join(texts, ["kind", "text"]).select("model", "id").distinct()
+    met = F.filter(words, lambda w: mid.contains(w))
+    score = F.when((low != "") & mid.contains(low), _WHOLE).otherwise(0) + F.when((packed(low) != "") & packed(mid).contains(packed(low)), _PACKED).otherwise(0) + _WORD * F.size(met)
     rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("model", "id", F.col("score").cast("long").alias("score"), "rank")
+    scored = pairs.join(ids, "id").withColumn("score", score).withColumn("rank", rank)
+    return scored.where(F.col("rank") <= most).select("model", "id", F.col("score").cast("long").alias("score"), "rank")
 
 
 def first_success(tried: DataFrame, *keys: str) -> DataFrame:
