@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from cuespark.functions.text import flexible_ms, folder_tags, listed, simplified
 from cuespark.functions.timecode import format_srt, parse_srt
 from cuespark.operators import activity, chunking, closure, matching, readability, recovery, reports, review, rules, stages, timeline
 from cuespark.operators import tracks as track_files
+from cuespark.plans.folders import scratch
 from cuespark.plans.views import CUES, FILES, FRAMES, LINES, cues, doc_lines, files, frames, table
-from cuespark.sources import audio_files, cue_files, documents, json_files
+from cuespark.sources import audio_files, containers, cue_files, cue_source, documents, json_files
 from cuespark.sources.reports import review_queue_markdown, table_markdown
 from cuespark.streaming.resume import pending
 
@@ -55,6 +58,21 @@ def srt_scan(spark, d):
     return cue_files.parse_srt_files(cue_files.to_texts(_timed(spark, d)).withColumn("spaced", spaced).withColumn("value", value))
 
 
+@_query(TIMED + """ SELECT file % 3 || '/' || file AS file, pos, idx, start_ms, end_ms, content FROM timed WHERE file % 3 <> 0
+UNION ALL SELECT '0/' || file, pos, pos, start_ms, end_ms, content FROM timed WHERE file % 3 = 0""")
+def written_files(spark, d):
+    """All cues written as files in folders, some of another kind, listed with their folders and read again."""
+    cue_source.register(spark)
+    rows = _timed(spark, d).withColumn("name", F.concat((F.col("file") % 3).cast("string"), F.lit("/"), F.col("file").cast("string")))
+    folder = scratch(spark, "cues")
+    back = None
+    for kind, some in (("srt", "file % 3 <> 0"), ("vtt", "file % 3 = 0")):
+        cue_source.written(rows.where(some).drop("file").withColumnRenamed("name", "file")).write.format(kind).mode("append").save(folder)
+        read = spark.read.format(kind).option("recursive", True).load(folder)
+        back = read if back is None else back.unionByName(read)
+    return back.drop("error")
+
+
 @_query(TIMED + f""", v AS (SELECT *, CASE WHEN pos % 5 = 0 THEN 'name' || {_NL} ELSE '' END || content AS told FROM timed)
 SELECT file, row_number() OVER w AS pos, row_number() OVER w AS idx, start_ms, end_ms, told AS content, NULL::VARCHAR AS error FROM v WHERE pos % 4 <> 0 WINDOW w AS (PARTITION BY file ORDER BY pos)
 UNION ALL SELECT file, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, told, 'bad_cue' FROM v WHERE pos % 4 = 0""")
@@ -181,6 +199,14 @@ def final_issues(spark, d):
     return reports.final_issues(_listed(spark, d))
 
 
+@_query(_LISTED + """, w AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN p_brand || '-final' ELSE p_brand END AS directory FROM part)
+SELECT directory AS file, CASE WHEN directory LIKE '%-final' THEN 'missing_final_dir' ELSE 'no_final_subtitles' END AS code FROM w WHERE directory NOT IN (SELECT directory FROM named WHERE name = 'x.zh.vtt')""")
+def wanted_finals(spark, d):
+    """Folders that must be there; those that nothing is listed of are missing."""
+    wanted = table(spark, d, "part").select(if_("if(p_size % 5 = 0, p_brand || '-final', p_brand)").alias("directory")).distinct()
+    return reports.final_issues(_listed(spark, d).join(wanted, "directory", "left_semi"), allow_work=True, folders=wanted)
+
+
 @_query(_LISTED + " SELECT path FROM named WHERE name IN ('Lesson 1.md', 'Learning.txt')")
 def teaching_files(spark, d):
     return reports.teaching_files(_listed(spark, d)).select("path")
@@ -392,6 +418,25 @@ def wav_durations(spark, d):
     return audio_files.wav_durations(_wavs(spark, d))
 
 
+@_query("""p AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS n FROM part)
+SELECT k::VARCHAR AS path, CASE k % 5 WHEN 0 THEN (k * 100 + 1) / 44100 WHEN 1 THEN (k * 10) / 1000 WHEN 2 THEN (k + 1) * 1152 / 44100 WHEN 3 THEN (k * 7 + 312 - 312) / 48000 END AS duration_s FROM p""")
+def container_durations(spark, d):
+    """FLAC, MP4 with its index amid 160 KiB, MPEG audio with counted frames, Opus in Ogg, and text."""
+    k = F.col("p_partkey")
+    big = lambda n, size: F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    little = lambda n, size: F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i) % 256), 2, "0") for i in range(size)])
+    zeros = lambda n: F.lit("00" * n)
+    flac = F.concat(F.lit("664c614300000022"), zeros(10), F.lit("0ac442f0"), big(k * 100 + 1, 4), zeros(16))
+    mvhd = F.concat(F.lit("0000006c6d766864"), zeros(12), F.lit("000003e8"), big(k * 10, 4), zeros(80))
+    mp4 = F.concat(F.lit("00000010667479704d34412000000000"), F.lit("000140086d646174"), F.repeat(F.lit("11"), 0x14000), F.lit("000000746d6f6f76"), mvhd, F.lit("0001400866726565"), F.repeat(F.lit("00"), 0x14000))
+    frame = F.lit("fffb9000" + "00" * 413)
+    mp3 = F.concat(F.lit("fffb9000" + "00" * 32 + "58696e6700000001"), big(k + 1, 4), zeros(417 - 48), frame)
+    page = lambda granule, body: F.concat(F.lit("4f67675300" + "00"), granule, F.lit("07000000" + "00" * 8 + "0113"), F.lit(body))
+    opus = F.concat(page(zeros(8), "4f707573486561640102" + "3801" + "00" * 7), page(little(k * 7 + 312, 8), "00" * 19))
+    kinds = F.when(k % 5 == 0, flac).when(k % 5 == 1, mp4).when(k % 5 == 2, mp3).when(k % 5 == 3, opus).otherwise(F.hex(F.lit("no audio, words only")))
+    return containers.durations(table(spark, d, "part").select(k.cast("string").alias("path"), F.unhex(kinds).alias("content")))
+
+
 @_query(_WAVS + ", f AS (SELECT *, unnest(range(0, ceil(n / 500)::BIGINT)) AS k FROM w WHERE file % 4 <> 3) SELECT file::VARCHAR AS file, k + 1 AS pos, k / 2 AS start_s, least(n, (k + 1) * 500) / 1000 AS end_s, l::INT AS left_rms, r::INT AS right_rms FROM f")
 def wav_frames(spark, d):
     return audio_files.frames(_wavs(spark, d)).select("file", "pos", "start_s", "end_s", F.col("left_rms").cast("int").alias("left_rms"), F.col("right_rms").cast("int").alias("right_rms"))
@@ -587,27 +632,47 @@ def stage_timing(spark, d):
     return stages.timing(chunks).withColumns({"seconds": F.round("seconds", 6), "mean_asked": F.round("mean_asked", 6)})
 
 
-def _fails(request: str) -> str:
-    """A model for tests that refuses requests with an odd number of characters."""
-    if len(request) % 2:
-        raise ValueError("odd")
-    return request[::-1]
+class _Model:
+    """A model for tests: it takes a text at its second asking only, and those of a length that 5 divides not at all."""
+
+    def __init__(self):
+        self.asked: set[str] = set()
+
+    def __call__(self, request: str) -> str:
+        if len(request) % 5 == 0:
+            raise ValueError(f"refused {len(request)}")
+        if request not in self.asked:
+            self.asked.add(request)
+            raise TimeoutError("busy")
+        return hashlib.sha256(request[::-1].encode()).hexdigest()
 
 
-@_query("t AS (SELECT c_custkey, repeat('a', (c_custkey % 7)::INT) || 'b' AS r FROM customer) SELECT c_custkey, CASE WHEN length(r) % 2 = 0 THEN reverse(r) END AS reply, CASE WHEN length(r) % 2 = 1 THEN 'ValueError: odd' END AS error FROM t")
+@_query("t AS (SELECT doc_id, coalesce(text, '') AS r FROM documents) SELECT doc_id, CASE WHEN length(r) % 5 <> 0 THEN sha256(reverse(r)) END AS reply, CASE WHEN length(r) % 5 = 0 THEN 'ValueError: refused ' || length(r) END AS error FROM t")
 def retried_requests(spark, d):
-    asked = table(spark, d, "customer").select("c_custkey", if_("repeat('a', int(c_custkey % 7)) || 'b'").alias("request"))
-    return stages.ask(asked, _fails, attempts=2, wait_s=0.0).select("c_custkey", "reply", "error")
+    """Whole texts put to a model that is busy at first and refuses some."""
+    asked = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("request"))
+    return stages.ask(asked, _Model(), attempts=2, wait_s=0.0).select("doc_id", "reply", "error")
+
+
+def _host(url: str) -> str:
+    from urllib.parse import urlsplit
+
+    parts = urlsplit(url)
+    if parts.path.count("/") % 2:
+        raise LookupError(parts.path)
+    return parts.hostname
 
 
-@_query("t AS (SELECT c_name AS file FROM customer) SELECT file, CASE WHEN length(file || right(file, 1)) % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN length(file || right(file, 1)) % 2 = 0 THEN reverse(file) ELSE 'ValueError: odd' END AS message FROM t")
+@_query("""t AS (SELECT DISTINCT url AS file, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS p FROM pages WHERE url IS NOT NULL), c AS (SELECT *, (length(p) - length(replace(p, '/', ''))) % 2 = 1 AS odd FROM t)
+SELECT file, CASE WHEN odd THEN 'failed' ELSE 'ok' END AS status, CASE WHEN odd THEN 'LookupError: ' || p ELSE host END AS message FROM c""")
 def files_worked(spark, d):
-    return reports.each_file(table(spark, d, "customer").select(F.col("c_name").alias("file")), lambda name: _fails(name + "x")[1:]).select("file", "status", "message")
+    """Addresses of all pages, parsed one by one; some fail."""
+    return reports.each_file(table(spark, d, "pages").where("url IS NOT NULL").select(F.col("url").alias("file")).distinct(), _host).select("file", "status", "message")
 
 
-@_query("t AS (SELECT doc_id, 'r' || doc_id AS request FROM documents) SELECT doc_id, sha256(request || chr(31) || 'model=m' || chr(31) || 'prompt=p' ) AS signature FROM t")
+@_query("t AS (SELECT doc_id, coalesce(text, '') AS request FROM documents) SELECT doc_id, sha256(request || chr(31) || 'model=m' || chr(31) || 'prompt=p') AS signature FROM t")
 def request_signatures(spark, d):
-    return stages.signed(table(spark, d, "documents").select("doc_id", if_("'r' || doc_id").alias("request")), prompt="p", model="m").select("doc_id", "signature")
+    return stages.signed(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("request")), prompt="p", model="m").select("doc_id", "signature")
 
 
 _PROBES = """p AS (SELECT c_custkey // 3 AS model, c_custkey % 3 AS ord, CASE WHEN c_custkey % 3 = 2 THEN 'json' ELSE 'plain' END AS style, c_custkey % 3 = 1 AS quiet, CASE WHEN (c_custkey * 7) % 11 = 0 THEN 401 + (c_custkey % 4) * 33 END AS code, c_custkey % 20 AS s, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE '{}' END AS content, c_custkey % 7 = 0 AS thinks FROM customer),

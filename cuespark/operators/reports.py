@@ -58,13 +58,20 @@ def file_counts(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return files.agg(*[F.count_if(_name(F.col("path")).rlike(p)).alias(k) for k, p in patterns.items()])
 
 
-def final_issues(files: DataFrame, allow_work: bool = False) -> DataFrame:
-    """file, code of final folders' files (directory, path): files of work among them, and folders without a final subtitle file."""
+def final_issues(files: DataFrame, allow_work: bool = False, folders: DataFrame | None = None) -> DataFrame:
+    """file, code of final folders' files (directory, path): files of work among them, and folders without a final subtitle file.
+
+    ``folders`` (directory) names those that must be there; one of which no file is listed is missing.
+    """
     name = _name(F.col("path"))
     ending = lambda *ends: F.coalesce(*[F.when(name.endswith(e), True) for e in ends], F.lit(False))
     work = files.where(name.isin(*WORK_NAMES) | ending(*WORK_ENDINGS)).where(F.lit(not allow_work)).select(F.col("path").alias("file"), F.lit("work_artifact_in_final_dir").alias("code"))
     none = files.groupBy("directory").agg(F.max(ending(".zh.vtt", ".zh.srt")).alias("some")).where("NOT some")
-    return work.unionByName(none.select(F.col("directory").alias("file"), F.lit("no_final_subtitles").alias("code")))
+    out = work.unionByName(none.select(F.col("directory").alias("file"), F.lit("no_final_subtitles").alias("code")))
+    if folders is None:
+        return out
+    missing = folders.select("directory").distinct().join(files.select("directory"), "directory", "left_anti")
+    return out.unionByName(missing.select(F.col("directory").alias("file"), F.lit("missing_final_dir").alias("code")))
 
 
 def teaching_files(files: DataFrame) -> DataFrame:

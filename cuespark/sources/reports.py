@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuespark.functions.timecode import format_srt
 from cuespark.sources.cue_files import parse_srt_files, read_texts, to_texts
 
 KINDS = {"srt": ("srt",), "vtt": ("vtt",), "both": ("srt", "vtt")}
@@ -85,6 +86,28 @@ def review_queue_markdown(items: DataFrame) -> DataFrame:
     return items.select(F.struct("file", "idx", "issue_id").alias("ord"), section.alias("section"))
 
 
+def activity_markdown(found: DataFrame) -> DataFrame:
+    """One section of a report for each candidate (file, start_s, end_s, confidence, side, avg_left_db, avg_right_db, gap_ratio, weak_ratio, reasons): ord, section.
+
+    Candidates of a file are numbered in order of their start.  The head is ``activity_head``.
+    """
+    number = F.row_number().over(Window.partitionBy("file").orderBy("start_s", "end_s"))
+    time = lambda c: format_srt(F.bround(F.col(c) * 1000).cast("long"), ".")
+    told = lambda c: F.concat(F.lit("`"), F.col(c).cast("string"), F.lit("`"))
+    lines = [
+        F.concat(F.lit("## C"), F.lpad(F.col("_k").cast("string"), 3, "0"), F.lit(" "), time("start_s"), F.lit(" - "), time("end_s")), F.lit(""),
+        F.concat(F.lit("- confidence: "), told("confidence"), F.lit(" (energy cannot tell whether this is speech)")), F.concat(F.lit("- side: "), told("side")),
+        F.concat(F.lit("- left / right dB: "), told("avg_left_db"), F.lit(" / "), told("avg_right_db")), F.concat(F.lit("- gap ratio: "), told("gap_ratio")), F.concat(F.lit("- weak coverage ratio: "), told("weak_ratio")),
+        F.concat(F.lit("- reasons: "), F.array_join("reasons", ", ")), F.lit("- decision: pending / prepare-recovery / ignore"), F.lit(""),
+    ]
+    return found.withColumn("_k", number).select(F.struct("file", F.col("_k").alias("k")).alias("ord"), F.concat_ws("\n", *lines).alias("section"))
+
+
+def activity_head(found: DataFrame) -> DataFrame:
+    """The head of each file's report of candidates: file, head."""
+    return found.groupBy("file").agg(F.concat(F.lit("# Channel activity candidates\n\nStretches with energy and little recognised speech; effects can look so too.\n\n- candidates: `"), F.count("*").cast("string"), F.lit("`\n")).alias("head"))
+
+
 def table_markdown(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows as lines of a Markdown table (line); bars inside values are escaped.  The head is ``table_head(*columns)``."""
     cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\])", r"\\$1") for c in columns]
