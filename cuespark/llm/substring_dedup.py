@@ -57,6 +57,8 @@ PER_TASK = 8_000
 #: Places of the anchor that a part spans, where there are more: first so many, then one.
 WIDTHS = (16, 1)
 
+#: Bytes that part words.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -320,12 +322,53 @@ def spans(docs: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def covered(n_bytes: int, runs, length: int = LENGTH) -> np.ndarray:
-    """True for each byte that a repeated string covers."""
+def _short_windows(length: int, n_words: int):
+    """Of each text the windows of so many words that take fewer bytes: key, s, size, and the md5 of their bytes."""
+
+    def run(batches):
+        for batch in batches:
+            keys, starts, sizes, sums = [], [], [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                inside = ~_SPACE[np.frombuffer(text, np.uint8)]
+                edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                if len(edges) < n_words:
+                    continue
+                first, last = edges[: len(edges) - n_words + 1, 0], edges[n_words - 1 :, 1]
+                for s, e in zip(*(x[last - first < length].tolist() for x in (first, last))):
+                    keys.append(key)
+                    starts.append(s)
+                    sizes.append(e - s)
+                    sums.append(hashlib.md5(text[s:e]).digest())
+                if len(keys) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(sums, pa.binary())], names=["key", "s", "size", "sum"])
+                    keys, starts, sizes, sums = [], [], [], []
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(sums, pa.binary())], names=["key", "s", "size", "sum"])
+
+    return run
+
+
+def short_spans(docs: DataFrame, work: Workspace, length: int, n_words: int) -> DataFrame:
+    """key, short: array of (s, size), windows of ``n_words`` words in fewer than ``length`` bytes that also stand elsewhere.
+
+    They are too short for ``spans`` and few, as they take words of few letters: each
+    goes by the md5 of its bytes.
+    """
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    found = work.table(texts.mapInArrow(_short_windows(length, n_words), "key binary, s int, size int, sum binary"), "short")
+    met = work.table(found.groupBy("sum").agg(F.count("*").alias("times")).where("times > 1").select("sum"), "short-met")
+    return found.join(met.hint("merge"), "sum").select("key", "s", "size").distinct().groupBy("key").agg(F.collect_list(F.struct("s", "size")).alias("short"))
+
+
+def covered(n_bytes: int, runs, length: int = LENGTH, short=()) -> np.ndarray:
+    """True for each byte that a repeated string, or short window, covers."""
     edges = np.zeros(n_bytes + 1, np.int64)
     for x in runs:
         edges[x["s"]] += 1
         edges[x["s"] + x["n"] - 1 + length] -= 1
+    for x in short:
+        edges[x["s"]] += 1
+        edges[x["s"] + x["size"]] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -341,10 +384,10 @@ def worded(text: bytes, cover: np.ndarray, least_words: int) -> np.ndarray:
 def _remover(length: int, least_words: int):
     def run(batches):
         for batch in batches:
-            texts, runs = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
             kept, removed, n_spans = [], [], []
-            for text, r in zip(texts, runs):
-                cover = covered(len(text), r or [], length)
+            for text, r, short in zip(texts, batch.column("spans").to_pylist(), batch.column("short").to_pylist()):
+                cover = covered(len(text), r or [], length, short or [])
                 if least_words:
                     cover = worded(text, cover, least_words)
                 kept.append(np.frombuffer(text, np.uint8)[~cover].tobytes())
@@ -368,15 +411,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0)
     """(row struct of the input's columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
     With ``least_words``, runs of fewer words stay, unless they have LENGTH bytes, as
-    writing without spaces may.  A word that a run cuts counts.  kept_sha256: digest of the bytes that are left; kept: the text they are, without
+    writing without spaces may, and runs of as many words go however short they are.  A
+    word that a run cuts counts.  kept_sha256: digest of the bytes that are left; kept: the text they are, without
     characters that were cut in two.  Only texts with repeats move.
     """
-    found = spans(docs, Workspace(docs.sparkSession, "repeats"), length)
+    work = Workspace(docs.sparkSession, "repeats")
+    found = spans(docs, work, length).withColumn("short", F.lit(None).cast("array<struct<s:int,size:int>>"))
+    if least_words:
+        few = short_spans(docs, work, length, least_words)
+        found = work.table(found.drop("short").join(few, "key", "full_outer"), "all-spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     rows = marked(rows, found, "key")
     clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
-    hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans")
+    hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans", "short")
     kind = rows.schema["row"].dataType.simpleString()
     return clean.unionByName(hit.mapInArrow(_remover(length, least_words), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
 

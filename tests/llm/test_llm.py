@@ -757,6 +757,16 @@ def without_runs(text, cover, words):
     return out.decode("utf-8", "ignore")
 
 
+def test_passages_of_short_words(spark):
+    """51 words are found in however few bytes they stand, also twice in one text; 50 are not, nor words with other white space between."""
+    run = " ".join(random.Random(4).choice("abcdefghij") for _ in range(51))
+    docs = [(1, f"first text {run} goes on"), (2, f"{run}\nanother"), (3, f"x {run[:-2]} q"), (4, run.replace(" ", "  ")), (5, f"{run} and then {run}"), (6, None), (7, ""), (8, "a")]
+    df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, short string")
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(df, 240, 51).collect()}
+    assert got == {1: "first text  goes on", 2: "\nanother", 3: docs[2][1], 4: docs[3][1], 5: " and then ", 8: "a"}
+    assert {r.doc_id: r.text for r in substring_dedup.without_repeats(df.where("doc_id IN (1, 3)"), 240, 51).collect()} == {1: docs[0][1], 3: docs[2][1]}
+
+
 def stage_by_brute_force(name, docs, kept_by_rules):
     """The texts that a stage should give for (doc_id, text) rows, as a sorted list."""
     least = lambda rows: min(rows, key=lambda r: (r[0] is None, r[0] or 0))
@@ -778,7 +788,16 @@ def stage_by_brute_force(name, docs, kept_by_rules):
             groups.setdefault(root(i), []).append(row)
         return sorted(str(least(rows)[0]) for rows in groups.values())
     texts = [(t or "").encode() for _, t in docs]
-    left = [without_runs(t, c, corpus_pipeline.REPEAT_WORDS) for t, c in zip(texts, brute_cover(texts, corpus_pipeline.REPEAT_BYTES))]
+    cover, seen = brute_cover(texts, corpus_pipeline.REPEAT_BYTES), {}
+    for k, t in enumerate(texts):  # and windows of as many words in fewer bytes
+        words = list(re.finditer(rb"[^\x20\x09-\x0D]+", t))
+        for a, b in zip(words, words[corpus_pipeline.REPEAT_WORDS - 1 :]):
+            if b.end() - a.start() < corpus_pipeline.REPEAT_BYTES:
+                seen.setdefault(t[a.start() : b.end()], []).append((k, a.start(), b.end()))
+    for places in seen.values():
+        for k, a, b in places if len(places) > 1 else ():
+            cover[k][a:b] = True
+    left = [without_runs(t, c, corpus_pipeline.REPEAT_WORDS) for t, c in zip(texts, cover)]
     return sorted(t for t in left if squeezed(t).strip(" "))
 
 
