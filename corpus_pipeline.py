@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cuespark.llm import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
 from cuespark.llm.workspace import Workspace, collected, prepare
 
-#: Passages that count as repeated: so many words, found by a number of bytes that fewer words take.
+#: Passages that count as repeated: so many words, found by a number of bytes, and where they take fewer as such.
 REPEAT_WORDS, REPEAT_BYTES = 51, 240
 
 
