@@ -163,7 +163,7 @@ def assign(docs: DataFrame, old_shard: Column, n_new: int) -> DataFrame:
     spans = docs.sparkSession.createDataFrame(moves, "old_shard int, cls int, lo long, hi long, shard int").groupBy("old_shard", "cls").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("spans"))
     placed = (
         _ranked(rows, ["old_shard", "cls"], order, "rank")
-        .join(F.broadcast(spans), ["old_shard", "cls"])
+        .join(F.broadcast(spans) if len(moves) <= SMALL else spans, ["old_shard", "cls"])
         .withColumn("shard", F.filter("spans", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0]["shard"])
     )
     placed = work.table(placed.select(*order, "old_shard", "shard", "bucket"), "placed")
@@ -258,6 +258,8 @@ def complete(spark, target: str) -> int:
     return len(found)
 
 
+#: Transfers that are broadcast, at most; a block's own are a join on its shard and class beyond it.
+SMALL = 200_000
 N_SHARDS = 8
 
 
