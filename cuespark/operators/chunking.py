@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.dist import ship
 from cuespark.functions.text import trimmed
+from cuespark.operators import carried
 
 _W = lambda: Window.partitionBy("file").orderBy("pos")
 # Signs that end a sentence.
@@ -24,14 +27,23 @@ def dynamic(cues: DataFrame, size: int = 12, least: int = 6, most: int = 24, tar
     Whether a chunk closes depends on what it holds: a fold over a file's rows in order,
     whose state is what is in the open chunk and where chunks began; rows find their
     chunk by a running count.  With ``gap_ms`` a hole in time (start_ms, end_ms) is a
-    place to close at too; without, only the end of a sentence is.
+    place to close at too; without, only the end of a sentence is.  Long files are
+    folded range by range (``_of_long_files``).
     """
     text = trimmed(F.col("content"))
-    w = _W()
-    gap = (F.col("start_ms") - F.lag("end_ms").over(w) >= gap_ms) if gap_ms is not None else F.lit(False)
     ends = text.rlike(ENDS) & (F.length(text) >= sentence)
-    told = cues.withColumn("_boundary", F.coalesce(F.lag(ends).over(w), F.lit(False)) | F.coalesce(gap, F.lit(False)))
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.col("chars").cast("long").alias("chars"), F.col("risk").cast("long").alias("risk"), F.col("_boundary").alias("boundary"))))
+    end_ms = F.col("end_ms") if gap_ms is not None else F.lit(None).cast("long")
+    seen = carried.with_previous(carried.ranged(cues, "pos"), ["pos"], F.struct(ends.alias("ends"), end_ms.alias("end_ms")), "_last")
+    gap = (F.col("start_ms") - F.col("_last.end_ms") >= gap_ms) if gap_ms is not None else F.lit(False)
+    told = seen.select("file", F.col("pos").cast("long").alias("pos"), F.col("chars").cast("long").alias("chars"), F.col("risk").cast("long").alias("risk"), (F.coalesce("_last.ends", F.lit(False)) | F.coalesce(gap, F.lit(False))).alias("boundary"), "_range", "_split")
+    limits = (size, least, most, target, hard, risk_limit)
+    out = _of_files(told.where("NOT _split"), *limits)
+    long = told.where("_split")
+    return out if long.isEmpty() else out.unionByName(_of_long_files(long, *limits))
+
+
+def _of_files(told: DataFrame, size: int, least: int, most: int, target: int, hard: int, risk_limit: int) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("pos", "chars", "risk", "boundary")))
     kind = "struct<n:long,chars:long,risk:long,closed:string,cuts:array<struct<pos:long,why:string>>>"
     start = F.expr(f"CAST(named_struct('n', 0L, 'chars', 0L, 'risk', 0L, 'closed', '', 'cuts', array()) AS {kind})")
 
@@ -51,10 +63,90 @@ def dynamic(cues: DataFrame, size: int = 12, least: int = 6, most: int = 24, tar
     # the k-th cut begins chunk k and tells why chunk k - 1 was closed
     why = folded.select("file", F.posexplode(F.concat(F.transform("cuts", lambda c: c["why"]), F.array("last"))).alias("k", "reason")).select("file", F.col("k").cast("long").alias("chunk"), "reason")
     begins = folded.select("file", F.explode("cuts").alias("c")).select("file", F.col("c.pos").alias("pos"), F.lit(1).cast("long").alias("_cut"))
-    placed = cues.select("file", F.col("pos").cast("long").alias("pos")).join(begins, ["file", "pos"], "left").withColumn("chunk", F.coalesce(F.sum("_cut").over(w), F.lit(0)))
+    placed = told.select("file", "pos").join(begins, ["file", "pos"], "left").withColumn("chunk", F.coalesce(F.sum("_cut").over(_W()), F.lit(0)))
     return placed.join(why, ["file", "chunk"]).select("file", "pos", "chunk", "reason")
 
 
+def _chunk_from(i: int, rows: list[tuple], size: int, least: int, most: int, target: int, hard: int, risk_limit: int) -> tuple[int, str]:
+    """Rows (pos, chars, risk, boundary) of the chunk that begins at row i, and why it closes; ``end`` where rows end before."""
+    n = chars = risk = 0
+    for _, c, r, boundary in rows[i : i + most + 1]:
+        if n and n >= least and chars >= target and boundary:
+            return n, "semantic_gap_or_sentence"
+        n, chars, risk = n + 1, chars + c, risk + r
+        if n >= most:
+            return n, "max_chunk_size"
+        if n >= least and chars >= hard:
+            return n, "hard_chars"
+        if n >= least and risk >= risk_limit:
+            return n, "risk_density"
+        if n >= size and chars >= target:
+            return n, "target_chars"
+    return n, "end"
+
+
+def _of_long_files(told: DataFrame, size: int, least: int, most: int, target: int, hard: int, risk_limit: int) -> DataFrame:
+    """Chunks of files in ranges.
+
+    A chunk has ``most`` rows at most, so the first row of a range that begins one is among
+    its first ``most``.  Each range, with that many rows that follow it, tells for each of
+    them where the last chunk that it begins ends in the next range, and how many it
+    begins.  These short tables are followed from range to range, and each range then
+    deals its rows out by the one that applies.
+    """
+    ship(told.sparkSession)
+    limits = (size, least, most, target, hard, risk_limit)
+    row = F.struct("pos", "chars", "risk", "boundary")
+    here = Window.partitionBy("file", "_range").orderBy("pos")
+    heads = told.withColumn("_k", F.row_number().over(here)).where(F.col("_k") <= most + 1).groupBy("file", "_range").agg(F.array_sort(F.collect_list(row)).alias("head"))
+    after = Window.partitionBy("file").orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    follow = heads.select("file", "_range", F.slice(F.flatten(F.collect_list("head").over(after)), 1, most + 1).alias("follow"))
+    file = f"file {told.schema['file'].dataType.simpleString()}"
+
+    def walked(part: pd.DataFrame, more) -> tuple[list[tuple], list[tuple[int, str]]]:
+        part = part.sort_values("pos")
+        rows = list(part[["pos", "chars", "risk", "boundary"]].itertuples(index=False, name=None))
+        whole = rows + [(x["pos"], x["chars"], x["risk"], x["boundary"]) for x in more]
+        return rows, [_chunk_from(i, whole, *limits) for i in range(len(rows))]
+
+    def tables(key, part: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        rows, chunks = walked(part, more["follow"].iloc[0])
+        n = len(rows)
+        exits, begun = list(range(n + most)), [0] * (n + most)  # a row at or past the end begins nothing here
+        exits = [i - n if i >= n else 0 for i in exits]
+        for i in range(n - 1, -1, -1):
+            to = i + chunks[i][0]
+            exits[i], begun[i] = exits[to], begun[to] + 1
+        return pd.DataFrame({"file": [key[0]], "_range": [key[1]], "exits": [exits[:most]], "begun": [begun[:most]]})
+
+    by = ["file", "_range"]
+    known = told.groupBy(*by).cogroup(follow.toDF("_f", "_r", "follow").groupBy("_f", "_r")).applyInPandas(tables, f"{file}, _range int, exits array<long>, begun array<long>")
+    steps = F.array_sort(F.collect_list(F.struct("_range", "exits", "begun")))
+    kind = "struct<at:long,base:long,out:array<struct<r:int,entry:long,base:long>>>"
+
+    def step(a, x):
+        out = F.concat(a["out"], F.array(F.struct(x["_range"].alias("r"), a["at"].alias("entry"), a["base"].alias("base"))))
+        return F.struct(F.element_at(x["exits"], (a["at"] + 1).cast("int")).alias("at"), (a["base"] + F.element_at(x["begun"], (a["at"] + 1).cast("int"))).alias("base"), out.alias("out")).cast(kind)
+
+    start = F.expr(f"CAST(named_struct('at', 0L, 'base', 0L, 'out', array()) AS {kind})")
+    entries = known.groupBy("file").agg(F.aggregate(steps, start, step, lambda a: a["out"]).alias("out")).select("file", F.explode("out").alias("x")).select("file", F.col("x.r").alias("_range"), "x.entry", "x.base")
+
+    def dealt(key, part: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        rows, chunks = walked(part, more["follow"].iloc[0])
+        entry, chunk = int(more["entry"].iloc[0]), int(more["base"].iloc[0]) - 1
+        out, i = [(r[0], chunk, None) for r in rows[:entry]], entry
+        while i < len(rows):
+            n, why = chunks[i]
+            chunk += 1
+            out += [(r[0], chunk, why if k == 0 else None) for k, r in enumerate(rows[i : i + n])]
+            i += n
+        return pd.DataFrame(out, columns=["pos", "chunk", "reason"]).assign(file=key[0])[["file", "pos", "chunk", "reason"]]
+
+    placed = told.groupBy(*by).cogroup(follow.join(entries, by).toDF("_f", "_r", "follow", "entry", "base").groupBy("_f", "_r")).applyInPandas(dealt, f"{file}, pos long, chunk long, reason string")
+    why = placed.where("reason IS NOT NULL").select("file", "chunk", "reason")
+    return placed.drop("reason").join(why, ["file", "chunk"]).select("file", "pos", "chunk", "reason")
+
+
 def summary(chunked: DataFrame) -> DataFrame:
     """A row for each chunk of rows (file, chunk, pos, idx, chars, risk, reason): first and last index, indexes, counts and sums."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"])

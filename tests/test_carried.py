@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuespark.operators import activity, audio, carried, recovery, timeline
+from cuespark.operators import activity, audio, carried, chunking, recovery, timeline
 
 rng = random.Random(6)
 
@@ -38,6 +38,19 @@ OPERATORS = {
 }
 
 
+def chunked(c, **limits):
+    told = c.where("file IS NOT NULL").select("file", "pos", (F.col("level") * 30).alias("chars"), (F.col("level") % 3).alias("risk"), F.when(F.col("level") > 6, "A sentence that is long enough.").otherwise("no").alias("content"), "start_ms", "end_ms")
+    return chunking.dynamic(told, **limits)
+
+
+OPERATORS |= {
+    "chunks": lambda c: chunked(c, size=4, least=2, most=7, target=300, hard=700, risk_limit=6),
+    "chunks_by_gaps": lambda c: chunked(c, size=6, least=3, most=9, target=250, hard=2000, risk_limit=99, gap_ms=100),
+    "chunks_of_one": lambda c: chunked(c, size=1, least=1, most=1, target=1, hard=1, risk_limit=1),
+    "chunks_of_many": lambda c: chunked(c, size=60, least=50, most=150, target=9000, hard=90000, risk_limit=9999),
+}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_long_files_in_ranges_give_the_same_rows(cues, name, monkeypatch):
     told = lambda: sorted(str(tuple(r)) for r in OPERATORS[name](cues).collect())
