@@ -47,7 +47,8 @@ def test_empty_tables(none, apply):
 
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, sf_dir)
         cols = sorted(df.columns)
