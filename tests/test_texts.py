@@ -95,6 +95,15 @@ def test_markdown(spark):
     assert [r.line for r in reports.table_markdown(spark.createDataFrame([("a|b", 1)], "x string, y int"), "x", "y").collect()] == ["| a\\|b | 1 |"]
 
 
+def test_report_of_candidates(spark):
+    rows = [("f", 61.5, 63.25, "high", "left", -20.5, -30.0, 1.0, 0.0, ["channel_energy_active", "main_asr_gap"]), ("f", 2.0, 4.0, "low", "balanced", -40.0, -40.0, 0.5, 0.25, []), ("g", 0.0, 1.0, "medium", "right", -1.0, -2.0, 0.0, 0.0, ["x"])]
+    found = spark.createDataFrame(rows, "file string, start_s double, end_s double, confidence string, side string, avg_left_db double, avg_right_db double, gap_ratio double, weak_ratio double, reasons array<string>")
+    sections = [r.section for r in reports.activity_markdown(found).orderBy("ord").collect()]
+    assert [x.split("\n")[0] for x in sections] == ["## C001 00:00:02.000 - 00:00:04.000", "## C002 00:01:01.500 - 00:01:03.250", "## C001 00:00:00.000 - 00:00:01.000"]
+    assert "- left / right dB: `-20.5` / `-30.0`\n" in sections[1] and "- reasons: channel_energy_active, main_asr_gap\n" in sections[1] and sections[0].endswith("ignore\n")
+    assert {r.file: "candidates: `2`" in r.head for r in reports.activity_head(found).collect()} == {"f": True, "g": False}
+
+
 def test_directories_are_converted(spark, tmp_path):
     from cuespark.sources.reports import convert
 
