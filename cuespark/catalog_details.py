@@ -421,14 +421,15 @@ def wav_durations(spark, d):
 @_query("""p AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS n FROM part)
 SELECT k::VARCHAR AS path, CASE k % 5 WHEN 0 THEN (k * 100 + 1) / 44100 WHEN 1 THEN (k * 10) / 1000 WHEN 2 THEN (k + 1) * 1152 / 44100 WHEN 3 THEN (k * 7 + 312 - 312) / 48000 END AS duration_s FROM p""")
 def container_durations(spark, d):
-    """FLAC, MP4 with its index amid 160 KiB, MPEG audio with counted frames, Opus in Ogg, and text."""
+    """FLAC, MP4 with its index amid up to 160 KiB, MPEG audio with counted frames, Opus in Ogg, and text."""
     k = F.col("p_partkey")
     big = lambda n, size: F.lpad(F.hex(n.cast("long")), 2 * size, "0")
     little = lambda n, size: F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i) % 256), 2, "0") for i in range(size)])
     zeros = lambda n: F.lit("00" * n)
     flac = F.concat(F.lit("664c614300000022"), zeros(10), F.lit("0ac442f0"), big(k * 100 + 1, 4), zeros(16))
     mvhd = F.concat(F.lit("0000006c6d766864"), zeros(12), F.lit("000003e8"), big(k * 10, 4), zeros(80))
-    mp4 = F.concat(F.lit("00000010667479704d34412000000000"), F.lit("000140086d646174"), F.repeat(F.lit("11"), 0x14000), F.lit("000000746d6f6f76"), mvhd, F.lit("0001400866726565"), F.repeat(F.lit("00"), 0x14000))
+    body = lambda name, byte: F.when(k % 50 == 1, F.concat(F.lit("00014008" + name), F.repeat(F.lit(byte), 0x14000))).otherwise("00000108" + name + byte * 256)
+    mp4 = F.concat(F.lit("00000010667479704d34412000000000"), body("6d646174", "11"), F.lit("000000746d6f6f76"), mvhd, body("66726565", "00"))
     frame = F.lit("fffb9000" + "00" * 413)
     mp3 = F.concat(F.lit("fffb9000" + "00" * 32 + "58696e6700000001"), big(k + 1, 4), zeros(417 - 48), frame)
     page = lambda granule, body: F.concat(F.lit("4f67675300" + "00"), granule, F.lit("07000000" + "00" * 8 + "0113"), F.lit(body))
