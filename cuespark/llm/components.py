@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+Defined cases: an edge of a node to itself, a repeated or a turned one adds nothing; a
+node that no edge to another names is not returned; no edges give no rows; ends are not null.
+"""
 
 from __future__ import annotations
 

@@ -8,6 +8,9 @@ suffixes leave their group v for new groups v u, v u u, ... just above it.  Then
 pass in ascending order emits every group: a suffix is its Lyndon prefix followed by
 its next smaller suffix, so when that one is emitted, it takes the next place of its
 group.  No names are given to substrings and nothing recurs.
+
+Defined cases: no symbols have an empty array; symbols are whole numbers of any size and
+may all be equal; a suffix that begins another one comes before it.
 """
 
 from __future__ import annotations
