@@ -265,7 +265,7 @@ def _tried(at: list[int], pieces: list[bytes], size: int) -> dict:
 _ASKED = "seconds double, at long"
 
 
-def durations(files: DataFrame, rounds: int = 4) -> DataFrame:
+def durations(files: DataFrame, rounds: int = 3) -> DataFrame:
     """files (path, content): path, duration_s; null for what is no container, is broken or has no content.
 
     The JVM cuts both ends out of a content, and, round by round, ENDS bytes from where
