@@ -109,7 +109,8 @@ def candidates(frames: DataFrame, merge_s: float = 0.75, least_s: float = 1.0, l
         share(F.col("state") == "none").alias("gap_ratio"), share(F.col("state") == "weak").alias("weak_ratio"), share(F.col("state") != "strong").alias("_unexplained"), share(F.col("active")).alias("active_ratio"),
         share(F.col("side") == "left").alias("_left"), share(F.col("side") == "right").alias("_right"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
     ).where(F.col("end_s") - F.col("start_s") >= least_s)
-    trust = F.col("_score") + F.col("_unexplained") * 0.6 + F.col("active_ratio") * 0.4
+    # Rounded, as averages in binary end a bit beside a bound that they meet; of n frames, others differ from it by 1/20n at least.
+    trust = F.round(F.col("_score") + F.col("_unexplained") * 0.6 + F.col("active_ratio") * 0.4, 9)
     side = F.when((F.col("_left") > F.col("_right")) & (F.col("_left") >= 0.4), "left").when((F.col("_right") > F.col("_left")) & (F.col("_right") >= 0.4), "right").otherwise("balanced")
     tier = F.when((trust >= 2.7) & (F.col("_unexplained") >= 0.6), "high").when(trust >= 1.8, "medium").otherwise("low")
     more = F.array(F.lit("speech_not_confirmed_energy_only"), F.lit("needs_user_disambiguation"))

@@ -109,6 +109,15 @@ def test_activity_against_brute_force(spark):
     assert activity.at_least(activity.candidates(df), "high").count() == sum(x.confidence == "high" for x in found)
 
 
+def test_candidates_whose_trust_meets_a_bound(spark):
+    weigh = {"medium": [("strong", x) for x in (1.65, 1.65, 1.65, 1.25, 1.25, 1.25, 1.25, 1.25)], "high": [("none", 2.55), ("none", 2.55), ("none", 2.55), ("strong", 0.8), ("strong", 1.25)]}
+    rows = [(f"{tier}{turn}", k, k / 2 - 0.5, k / 2, state, score) for tier, told in weigh.items() for turn in (1, -1) for k, (state, score) in enumerate(told[::turn], 1)]
+    frames = spark.createDataFrame(rows, "file string, pos long, start_s double, end_s double, state string, score double")
+    frames = frames.withColumns({"left_db": F.lit(-20.0), "right_db": F.lit(-30.0), "level_db": F.lit(-20.0), "differs_db": F.lit(10.0), "active": F.lit(True), "side": F.lit("left"), "reasons": F.array(F.lit("x"))})
+    found = {r.file: (r.confidence, r.trust) for r in activity.candidates(frames).collect()}
+    assert found == {"medium1": ("medium", 1.8), "medium-1": ("medium", 1.8), "high1": ("high", 2.7), "high-1": ("high", 2.7)}
+
+
 def test_recovery_windows(spark):
     cues = spark.createDataFrame([("f", 1, 1, 3000, 9000, "a"), ("f", 2, 2, 4000, 5000, "b"), ("f", 3, 3, 12000, 13000, "c")], CUE)
     lengths = spark.createDataFrame([("f", 20000), ("g", 5000), ("h", None)], "file string, duration_ms long")
