@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import html
 import json
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -76,16 +78,17 @@ def sample_cues(cues: DataFrame, files: int = 6, each: int = 3) -> DataFrame:
 
 
 class _Head(HTMLParser):
-    """Title, meta tags and the data in scripts of JSON-LD."""
+    """Title, meta tags and the data in scripts of JSON-LD; meta tags are decoded ``once`` or, as their attributes are already, twice."""
 
-    def __init__(self):
+    def __init__(self, once: bool):
         super().__init__()
+        self.once = once
         self.title, self.meta, self.data, self.within = [], {}, [], None
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta" and (name := a.get("property") or a.get("name")) and a.get("content"):
-            self.meta[name.lower()] = html.unescape(a["content"]).strip()
+            self.meta[name.lower()] = (a["content"] if self.once else html.unescape(a["content"])).strip()
         elif tag == "title":
             self.within = self.title
         elif tag == "script":
@@ -124,9 +127,15 @@ def _names(value) -> list[str]:
     return [name] if (name := _tidy(value)) else []
 
 
-def _page(text: str | None) -> dict:
-    head = _Head()
-    head.feed(text or "")
+def _ended(text: str) -> str:
+    """The text with ``&amp;`` for each & that begins no character reference ended by a semicolon."""
+    return re.sub(r"&(#(?:[0-9]+|[xX][0-9a-fA-F]+);|[A-Za-z][A-Za-z0-9]*;)?", lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + (m[1] or ""), text)
+
+
+def _page(text: str | None, strict: bool) -> dict:
+    head = _Head(strict)
+    head.feed(_ended(text or "") if strict else text or "")
+    title = " ".join(head.title)
     found = []
     for data in head.data:
         try:
@@ -137,7 +146,7 @@ def _page(text: str | None) -> dict:
     meta = lambda *keys: next((head.meta[k] for k in keys if head.meta.get(k)), "")
     words = [meta("keywords"), *(n for o in found for k in ("keywords", "genre") for n in _names(o.get(k)))]
     return {
-        "title": stated("name", "headline") or meta("og:title") or _tidy(" ".join(head.title)),
+        "title": stated("name", "headline") or meta("og:title") or (" ".join(title.split()) if strict else _tidy(title)),
         "description": stated("description") or meta("description", "og:description"),
         "image": stated("image", "thumbnailUrl") or meta("og:image"),
         "maker": stated("brand", "publisher", "author", "creator"),
@@ -146,16 +155,22 @@ def _page(text: str | None) -> dict:
     }
 
 
-def _page_head(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_page(t) for t in texts], columns=["title", "description", "image", "maker", "published", "words"])
+def _page_head(strict: bool):
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_page(t, strict) for t in texts], columns=["title", "description", "image", "maker", "published", "words"])
+
+    return run
 
 
-def page_metadata(pages: DataFrame, text: str = "html") -> DataFrame:
+def page_metadata(pages: DataFrame, text: str = "html", strict: bool = False) -> DataFrame:
     """Adds title, description, image, maker, published and keywords of pages: JSON-LD first, then meta tags, then the title.
 
-    Scripts that hold no JSON are passed over; a null page has empty fields.
+    Scripts that hold no JSON are passed over; a null page has empty fields.  Character
+    references are decoded as browsers do, without a semicolon too, and once more in
+    titles and meta tags, as many pages escape them twice; with ``strict`` once, and only
+    those that end with a semicolon.
     """
     ship(pages.sparkSession)
-    rows = pages.select("*", F.pandas_udf(_page_head, "title string, description string, image string, maker string, published string, words array<string>")(F.col(text)).alias("_h"))
+    rows = pages.select("*", F.pandas_udf(_page_head(strict), "title string, description string, image string, maker string, published string, words array<string>")(F.col(text)).alias("_h"))
     found = F.array_distinct(F.flatten(F.transform("_h.words", keywords)))
     return rows.select(*[F.col(c) for c in pages.columns if c != text], *[F.col(f"_h.{c}") for c in ("title", "description", "image", "maker", "published")], found.alias("keywords"))

@@ -1,7 +1,9 @@
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
+from cuespark import catalog
 from cuespark.functions import text as T
 from cuespark.operators import matching
 from cuespark.sources import documents, reports
@@ -68,6 +70,28 @@ def test_page_metadata(spark):
     assert rows[3].title == rows[4].title == ""
 
 
+def test_page_metadata_of_cut_off_references(spark):
+    data = {"name": "Q&A &amp; more&amp", "image": "i?a=1&copy=2"}
+    pages = [
+        (1, "<title>the&amp;&amp;&amp;amp &lt;b&gt;</title>"), (2, "<title>and&amp</title>"), (3, "<title>token = &quot</title>"), (4, "<title>&amp;lt; &ampx; &quo R&D &</title>"), (5, None), (6, ""),
+        (7, '<title>T</title><meta name="description" content="x &amp;amp; y &amp z"><script type="application/ld+json">' + json.dumps(data) + "</script>"), (8, "<title>&#39;&#x41; &eacute;&#66</title>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    rows = {r.page_id: r for r in documents.page_metadata(df, strict=True).collect()}
+    assert [rows[k].title for k in range(1, 9)] == ["the&&&amp <b>", "and&amp", "token = &quot", "&lt; &ampx; &quo R&D &", "", "", "Q&A & more&amp", "'A é&#66"]
+    assert (rows[7].description, rows[7].image) == ("x &amp; y &amp z", "i?a=1&copy=2")
+    assert {r.page_id: r.title for r in documents.page_metadata(df.where("page_id IN (2, 3)")).collect()} == {2: "and&", 3: 'token = "'}
+
+
+def test_page_metadata_query_agrees_on_cut_off_references(spark, tmp_path):
+    titles = ["and&amp", "a&lt", "token = &quot", "x &amp;amp; y", "&amp;lt;", "R&D", "&gt;&quot;", "plain"]
+    spark.createDataFrame([(k, f"<html><title>{t}</title><p>x</p></html>") for k, t in enumerate(titles)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.oracle_sql()["page_metadata"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.page_metadata(spark, str(tmp_path)).collect()) == want and len(want) == len(titles)
+
+
 def test_page_windows_and_unscripted(spark):
     pages = matching.clean_pages(spark.createDataFrame([("w", 1, "- 1 -\nabcdefgh\n\n12 3"), ("w", 2, " 7 "), ("w", 3, "ijklmnop"), ("w", 4, "qrstuvwx")], "work string, page int, text string"))
     assert [(r.page, r.text) for r in pages.orderBy("page").collect()] == [(1, "abcdefgh"), (2, "ijklmnop"), (3, "qrstuvwx")]
