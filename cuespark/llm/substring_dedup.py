@@ -26,6 +26,11 @@ that all strings of it hold around the anchor; equal strings agree in both.  The
 parts are then treated like stretches.  Where a group of parts is still too large,
 it is cut into single strings, of which a group holds one class.
 
+Passages of so many words that also stand elsewhere, of any length in bytes, are told
+beside that (passages) and not taken out: their anchor is the one of their grams of
+words with the least hash, stretches that are equal as a whole go by a hash, and of
+others that share an anchor the windows are compared by md5.
+
 Defined cases: null text counts as empty; texts of less than ``length`` bytes and
 empty texts are left as they are; copies of a text are repeats of each other;
 repeated rows are rows like any other; an empty table gives an empty result; other
@@ -39,6 +44,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +52,8 @@ from .suffix_groups import suffix_array
 from .workspace import Workspace, marked
 
 LENGTH = 400
+#: Words of a passage that counts wherever else it stands.
+PASSAGE_WORDS = 51
 #: An anchor has GRAM bytes of RATIO of a string.
 GRAM, RATIO = 8, 25
 #: Bytes of a symbol of the suffix arrays.
@@ -54,6 +62,8 @@ SYMBOL = 16
 BATCH, PART = 1 << 20, 8 << 20
 #: Stretches of an anchor (or parts in a group) that one suffix array takes, at most.
 PER_TASK = 8_000
+#: Windows of words that are hashed at a time.
+WINDOWS = 1 << 20
 #: Places of the anchor that a part spans, where there are more: first so many, then one.
 WIDTHS = (16, 1)
 
@@ -322,6 +332,82 @@ def spans(docs: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
     return out
 
 
+def _words(text: bytes) -> np.ndarray:
+    """Start and end of each word."""
+    return np.flatnonzero(np.diff((~_SPACE[np.frombuffer(text, np.uint8)]).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+
+
+def _passage_stretches(n_words: int):
+    """Over texts: stretches of windows of ``n_words`` words with one anchor: key, hashes of anchor and content, start, bytes."""
+    gram = gram_of(n_words)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            data = b"\n".join(texts)
+            words, opens = _words(data), np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            for at in range(0, len(words) - n_words + 1, WINDOWS):
+                starts, stops = words[at : at + WINDOWS + n_words - 1].T
+                doc, skipped = np.searchsorted(opens, starts, "right") - 1, starts[0]
+                hashes = Hashes(np.frombuffer(data, np.uint8)[skipped : stops[-1]])
+                grams = hashes.of(starts[: len(starts) - gram + 1] - skipped, stops[gram - 1 :] - skipped)
+                place = least_places(grams, n_words - gram + 1)
+                window = np.flatnonzero(doc[: len(place)] == doc[n_words - 1 :])
+                if not len(window):
+                    continue
+                new = np.flatnonzero((np.diff(place[window], prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
+                first, last = window[new], window[np.append(new[1:], len(window)) - 1]
+                anchor, begin, end = place[first], starts[first], stops[last + n_words - 1]
+                content = _mix(hashes.of(begin - skipped, end - skipped) ^ _mix((anchor - first).astype(np.uint64)))
+                columns = [batch.column("key").take(pa.array(doc[first])), *(pa.array(x.view(np.int64)) for x in (grams[anchor], content)), *(pa.array(x.astype(np.int32)) for x in (begin - opens[doc[first]], end - begin))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "m", "d", "s", "size"])
+
+    return run
+
+
+def _passage_windows(n_words: int):
+    """Over texts with stretches asked for: the windows of these, with the md5 of their bytes."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
+                for x in asked:
+                    data = text[x["s"] : x["s"] + x["size"]]
+                    words = _words(data)
+                    for a, b in zip(words[: len(words) - n_words + 1, 0].tolist(), words[n_words - 1 :, 1].tolist()):
+                        for c, v in zip(out, (key, x["s"] + a, b - a, x["one"], hashlib.md5(data[a:b]).digest())):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["key", "s", "size", "one", "sum"])
+
+    return run
+
+
+def passages(docs: DataFrame, work: Workspace, n_words: int = PASSAGE_WORDS) -> DataFrame:
+    """key, passages: array of (s, size), strings of ``n_words`` words or more that also stand elsewhere, or windows of them.
+
+    A string in stretches that are equal as a whole is met there; of other stretches that
+    share an anchor one of each content gives its windows.  Only texts of these move.
+    """
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    found = work.table(texts.mapInArrow(_passage_stretches(n_words), "key binary, m long, d long, s int, size int"), "passage-stretches")
+    anchors = work.table(found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m"), "passage-anchors")
+    again = work.table(marked(found, anchors, "m").where("hit").drop("hit"), "passage-again")
+    work.drop("passage-stretches")
+    classes = work.table(again.groupBy("m", "d").agg(F.count("*").alias("c"), F.min(F.struct("key", "s", "size")).alias("x")), "passage-classes")
+    several = classes.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    asked = classes.join(several.hint("merge"), "m", "left_semi").groupBy("x.key").agg(F.collect_list(F.struct("x.s", "x.size", (F.col("c") == 1).alias("one"))).alias("asked"))
+    asked = work.table(asked, "passage-asked")
+    sources = marked(texts, asked, "key").where("hit").groupBy("key").agg(F.first("text").alias("text"))
+    windows = work.table(asked.hint("merge").join(sources, "key").select("key", "text", "asked").mapInArrow(_passage_windows(n_words), "key binary, s int, size int, one boolean, sum binary"), "passage-windows")
+    met = windows.groupBy("sum").agg(F.count("*").alias("times")).where("times > 1").select("sum")
+    parts = windows.where("one").join(met.hint("merge"), "sum").select("key", "s", "size")
+    whole = again.join(classes.where("c > 1").select("m", "d").hint("merge"), ["m", "d"], "left_semi").select("key", "s", "size")
+    out = work.table(whole.unionByName(parts).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "size")).alias("passages")), "passages")
+    work.drop(*[f"passage-{name}" for name in ("anchors", "again", "classes", "asked", "windows")])
+    return out
+
+
 def _short_windows(length: int, n_words: int):
     """Of each text the windows of so many words that take fewer bytes: key, s, size, and the md5 of their bytes."""
 
@@ -381,6 +467,18 @@ def worded(text: bytes, cover: np.ndarray, least_words: int) -> np.ndarray:
     return cover
 
 
+def _told(batch: pa.RecordBatch, texts: list[bytes]) -> list[int]:
+    """Bytes of each text that its passages cover."""
+    met = batch.column("passages")
+    ends = np.cumsum(np.fromiter((x or 0 for x in pc.list_value_length(met).to_pylist()), np.int64, len(met)))
+    starts, sizes = (met.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    out = []
+    for text, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist()):
+        edges = np.bincount(starts[a:b], minlength=len(text) + 1) - np.bincount(starts[a:b] + sizes[a:b], minlength=len(text) + 1) if b > a else np.zeros(1, np.int64)
+        out.append(int((np.cumsum(edges) > 0).sum()))
+    return out
+
+
 def _remover(length: int, least_words: int):
     def run(batches):
         for batch in batches:
@@ -401,32 +499,38 @@ def _remover(length: int, least_words: int):
                     "n_spans": pa.array(n_spans, pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                     "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
+                    "n_passage_bytes": pa.array(_told(batch, texts), pa.int64()),
                 }
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
-    """(row struct of the input's columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0, passage_words: int = 0) -> DataFrame:
+    """(row struct of the input's columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept, n_passage_bytes).
 
     With ``least_words``, runs of fewer words stay, unless they have LENGTH bytes, as
     writing without spaces may, and runs of as many words go however short they are.  A
     word that a run cuts counts.  kept_sha256: digest of the bytes that are left; kept: the text they are, without
-    characters that were cut in two.  Only texts with repeats move.
+    characters that were cut in two.  n_passage_bytes: bytes of the text in strings of
+    ``passage_words`` words, if given, that also stand elsewhere; these are not taken out
+    for it.  Only texts with repeats move.
     """
     work = Workspace(docs.sparkSession, "repeats")
     found = spans(docs, work, length).withColumn("short", F.lit(None).cast("array<struct<s:int,size:int>>"))
     if least_words:
         few = short_spans(docs, work, length, least_words)
         found = work.table(found.drop("short").join(few, "key", "full_outer"), "all-spans")
+    found = found.withColumn("passages", F.lit(None).cast("array<struct<s:int,size:int>>"))
+    if passage_words:
+        found = work.table(found.drop("passages").join(passages(docs, work, passage_words), "key", "full_outer"), "spans-and-passages")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     rows = marked(rows, found, "key")
-    clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
-    hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans", "short")
+    clean = rows.where("NOT hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"), F.lit(0).cast("long").alias("n_passage_bytes"))
+    hit = rows.where("hit").join(found.hint("merge"), "key", "left").select("row", "text", "spans", "short", "passages")
     kind = rows.schema["row"].dataType.simpleString()
-    return clean.unionByName(hit.mapInArrow(_remover(length, least_words), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    return clean.unionByName(hit.mapInArrow(_remover(length, least_words), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, n_passage_bytes long"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
@@ -438,4 +542,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0)
 
 def op8_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
+    return remove_repeats(docs, passage_words=PASSAGE_WORDS).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"), "n_passage_bytes")
