@@ -12,7 +12,8 @@ hashes form a class, and the bytes of one of a class, or two if it has several,
 to the task of their anchor.
 
 There, what stands right of the anchor and, read backwards, what stands left of it
-are put in order by a suffix array (suffix_groups) over symbols of SYMBOL bytes.
+are put in order by a suffix array (suffix_groups) over symbols of SYMBOL bytes, of
+each as many as decide its order.
 Neighbours in it tell how many bytes they share, so runs of neighbours that share
 enough on both sides hold equal strings: all bytes are compared, also those of
 stretches that are equal as a whole.  What is found for the one or two of a class
@@ -62,6 +63,8 @@ SYMBOL = 16
 BATCH, PART = 1 << 20, 8 << 20
 #: Stretches of an anchor (or parts in a group) that one suffix array takes, at most.
 PER_TASK = 8_000
+#: Bytes of texts that are hashed at a time, about; what is computed for them stays in a processor's cache.
+CHUNK = 1 << 16
 #: Windows of words that are hashed at a time.
 WINDOWS = 1 << 20
 #: Places of the anchor that a part spans, where there are more: first so many, then one.
@@ -110,11 +113,10 @@ def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` hashes the place of the least, the first of those that tie."""
     n = len(hashes) - span + 1
     low = np.uint64((1 << max(24, len(hashes).bit_length())) - 1)
-    keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    full = -(-len(keys) // span) * span
-    padded = np.full(full, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[: len(keys)] = keys
-    rows = padded.reshape(-1, span)
+    keys = np.full(-(-len(hashes) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.bitwise_and(hashes, ~low, out=keys[: len(hashes)])
+    keys[: len(hashes)] |= np.arange(len(hashes), dtype=np.uint64)
+    rows = keys.reshape(-1, span)
     to_end = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     from_start = np.minimum.accumulate(rows, axis=1).ravel()
     return (np.minimum(to_end[:n], from_start[span - 1 : span - 1 + n]) & low).astype(np.int64)
@@ -124,28 +126,67 @@ def gram_of(length: int) -> int:
     return max(1, length * GRAM // RATIO)
 
 
-def stretches(data: bytes, length: int = LENGTH):
-    """Arrays of a text's stretches: anchor hash, content hash, first string's start, strings, anchor's place in the first."""
+def chunks(texts: list[bytes]):
+    """First and end of runs of texts of CHUNK bytes, about."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > CHUNK:
+            yield first, k
+            first, size = k, 0
+        size += len(text)
+    if texts:
+        yield first, len(texts)
+
+
+def stretches(texts: list[bytes], length: int = LENGTH):
+    """Arrays of texts' stretches: number of the text, anchor hash, content hash, first string's start, strings, anchor's place in the first."""
     out, gram = [], gram_of(length)
-    for at in range(0, max(1, len(data) - length + 1), PART):
-        part = np.frombuffer(data, np.uint8, min(len(data) - at, PART + length - 1), at)
-        if len(part) < length:
-            break
-        hashes = Hashes(part)
+    pieces = [(k, at, text[at : at + PART + length - 1]) for k, text in enumerate(texts) for at in range(0, len(text) - length + 1, PART)]
+    for a, b in chunks([data for _, _, data in pieces]):
+        some = pieces[a:b]
+        ends = np.cumsum([len(data) for _, _, data in some])
+        opens = np.append(0, ends[:-1])
+        hashes = Hashes(np.frombuffer(b"".join(data for _, _, data in some), np.uint8))
         grams = hashes.every(gram)
         place = least_places(grams, length - gram + 1)
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        n = np.diff(first, append=len(place))
+        edge = np.ones(len(place) + 1, bool)
+        np.not_equal(place[1:], place[:-1], out=edge[1:-1])
+        edge[opens] = edge[ends - length + 1] = True
+        edges = np.flatnonzero(edge)
+        first, n = edges[:-1], np.diff(edges)
+        piece = np.searchsorted(ends, first, "right")
+        inside = first + length <= ends[piece]  # others reach from a piece into the next
+        first, n, piece = first[inside], n[inside], piece[inside]
         offset = place[first] - first
         content = _mix(hashes.of(first, first + n - 1 + length) ^ _mix(n.astype(np.uint64) << np.uint64(32) ^ offset.astype(np.uint64)))
-        out.append((grams[place[first]].view(np.int64), content.view(np.int64), first + at, n, offset))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+        number, begins = np.array([(k, at) for k, at, _ in some]).T
+        out.append((number[piece], grams[place[first]].view(np.int64), content.view(np.int64), first - opens[piece] + begins[piece], n, offset))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 6
+
+
+def deciding(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many symbols of each row decide its order: up to the first that one and the same rest follows wherever it stands."""
+    end = int(symbols.max(initial=0)) + 1
+    at = np.arange(symbols.shape[1]) < sizes[:, None]
+    here = symbols[at]
+    then = np.append(here[1:], end)
+    then[np.cumsum(sizes[sizes > 0]) - 1] = end
+    after = np.full(end + 2, end + 1)  # the symbol that always follows, the end, or one for several
+    after[here] = then
+    after[here[after[here] != then]] = end + 1
+    after[end] = end
+    while (further := after[after]).tobytes() != after.tobytes():
+        after = further
+    known = np.zeros(symbols.shape, bool)
+    known[at] = after[here] == end
+    return np.where(known.any(1), known.argmax(1) + 1, sizes)
 
 
 def ordered(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The order of byte strings by a suffix array over all of them, and how many bytes neighbours in it share.
 
     Strings are filled up with zeros to whole symbols; what is shared may reach into that.
+    The array takes of each as many symbols as decide its order.
     """
     sizes = np.array([-(-len(x) // SYMBOL) for x in strings])
     width = max(1, int(sizes.max()))
@@ -157,10 +198,11 @@ def ordered(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         symbols = np.unique(symbols * len(names) + rank.reshape(symbols.shape), return_inverse=True)[1].reshape(symbols.shape)
     ends = np.arange(len(strings))  # an end of its own for each string, before all symbols
     rows = np.concatenate([symbols + len(strings), ends[:, None]], axis=1)
-    rows[ends, sizes] = ends
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    order_of = np.empty(int((sizes + 1).sum()), np.int64)
-    order_of[suffix_array(rows[np.arange(width + 1) <= sizes[:, None]])] = np.arange(len(order_of))
+    taken = deciding(symbols, sizes)
+    rows[ends, taken] = ends
+    starts = np.cumsum(taken + 1) - taken - 1
+    order_of = np.empty(int((taken + 1).sum()), np.int64)
+    order_of[suffix_array(rows[np.arange(width + 1) <= taken[:, None]])] = np.arange(len(order_of))
     order = np.argsort(order_of[starts])
     differ = table[order[1:]] != table[order[:-1]]
     shared = np.where(differ.any(1), differ.argmax(1), width * SYMBOL)
@@ -179,8 +221,11 @@ def repeated(rows: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[l
         if len(those) > 1:
             before[left[1:]] = np.cumsum(left_shared < k)
             after[right[1:]] = np.cumsum(right_shared < length - k)
-            _, group, size = np.unique(before[those] * len(rows) + after[those], return_inverse=True, return_counts=True)
-            met = those[size[group] > 1]
+            group = before[those] * len(rows) + after[those]
+            by = np.argsort(group)
+            same = np.zeros(len(by) + 1, bool)
+            same[1:-1] = group[by[1:]] == group[by[:-1]]
+            met = those[by[same[1:] | same[:-1]]]
             hits.append((met, o[met] - k))
     out: list[list[tuple[int, int]]] = [[] for _ in rows]
     if hits:
@@ -198,22 +243,17 @@ STRETCH = "key binary, m long, d long, s int, n int, o int"
 PARTS = STRETCH + ", cm long, cd long, at int"
 
 
-def _stretch_rows(keys: list, columns: list, **more) -> pa.RecordBatch:
-    m, d, s, n, o = (np.concatenate(c) for c in zip(*columns))
-    return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "m": m, "d": d, "s": s.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32)} | more)
+def _stretch_rows(keys: pa.Array, columns, **more) -> pa.RecordBatch:
+    m, d, s, n, o = columns
+    return pa.RecordBatch.from_pydict({"key": keys, "m": m, "d": d, "s": s.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32)} | more)
 
 
 def _finder(length: int):
     def run(batches):
         for batch in batches:
-            keys, columns = [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                found = stretches(text, length)
-                if len(found[0]):
-                    keys += [key] * len(found[0])
-                    columns.append(found)
-            if columns:
-                yield _stretch_rows(keys, columns)
+            number, *columns = stretches(batch.column("text").cast(pa.binary()).to_pylist(), length)
+            if len(number):
+                yield _stretch_rows(batch.column("key").take(pa.array(number)), columns)
 
     return run
 
@@ -236,7 +276,7 @@ def _slicer(length: int):
 
 
 def parts(data: bytes, s: int, n: int, o: int, width: int, length: int):
-    """Like ``stretches``, of one stretch: its parts of ``width`` places of the anchor; the hash is that of what all strings of the part would hold."""
+    """Like ``stretches`` without the number, of one stretch: its parts of ``width`` places of the anchor; the hash is that of what all strings of the part would hold."""
     hashes = Hashes(np.frombuffer(data, np.uint8, n - 1 + length, s))
     low = np.arange((o - n + 1) // width, o // width + 1) * width
     high = np.minimum(low + width - 1, length - gram_of(length))
@@ -261,7 +301,7 @@ def _cutter(width: int, length: int):
                     more["cd"] += [x["cd"]] * size
                     more["at"] += (columns[-1][2] - x["s"] + x["at"]).tolist()
             if columns:
-                yield _stretch_rows(keys, columns, cm=pa.array(more["cm"], pa.int64()), cd=pa.array(more["cd"], pa.int64()), at=pa.array(more["at"], pa.int32()))
+                yield _stretch_rows(pa.array(keys, pa.binary()), (np.concatenate(c) for c in zip(*columns)), cm=pa.array(more["cm"], pa.int64()), cd=pa.array(more["cd"], pa.int64()), at=pa.array(more["at"], pa.int32()))
 
     return run
 
@@ -334,7 +374,9 @@ def spans(docs: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
 
 def _words(text: bytes) -> np.ndarray:
     """Start and end of each word."""
-    return np.flatnonzero(np.diff((~_SPACE[np.frombuffer(text, np.uint8)]).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    space = np.ones(len(text) + 2, bool)
+    np.take(_SPACE, np.frombuffer(text, np.uint8), out=space[1:-1])
+    return np.flatnonzero(space[1:] != space[:-1]).reshape(-1, 2)
 
 
 def _passage_stretches(n_words: int):
@@ -343,42 +385,56 @@ def _passage_stretches(n_words: int):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            data = b"\n".join(texts)
-            words, opens = _words(data), np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            for at in range(0, len(words) - n_words + 1, WINDOWS):
-                starts, stops = words[at : at + WINDOWS + n_words - 1].T
-                doc, skipped = np.searchsorted(opens, starts, "right") - 1, starts[0]
-                hashes = Hashes(np.frombuffer(data, np.uint8)[skipped : stops[-1]])
-                grams = hashes.of(starts[: len(starts) - gram + 1] - skipped, stops[gram - 1 :] - skipped)
-                place = least_places(grams, n_words - gram + 1)
-                window = np.flatnonzero(doc[: len(place)] == doc[n_words - 1 :])
-                if not len(window):
-                    continue
-                new = np.flatnonzero((np.diff(place[window], prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
-                first, last = window[new], window[np.append(new[1:], len(window)) - 1]
-                anchor, begin, end = place[first], starts[first], stops[last + n_words - 1]
-                content = _mix(hashes.of(begin - skipped, end - skipped) ^ _mix((anchor - first).astype(np.uint64)))
-                columns = [batch.column("key").take(pa.array(doc[first])), *(pa.array(x.view(np.int64)) for x in (grams[anchor], content)), *(pa.array(x.astype(np.int32)) for x in (begin - opens[doc[first]], end - begin))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "m", "d", "s", "size"])
+            texts, out = batch.column("text").cast(pa.binary()).to_pylist(), []
+            for a, b in chunks(texts):
+                data = b"\n".join(texts[a:b])
+                words, opens = _words(data), np.cumsum([0, *(len(t) + 1 for t in texts[a : b - 1])])
+                for at in range(0, len(words) - n_words + 1, WINDOWS):
+                    starts, stops = words[at : at + WINDOWS + n_words - 1].T.copy()
+                    doc, skipped = np.searchsorted(opens, starts, "right") - 1, starts[0]
+                    hashes = Hashes(np.frombuffer(data, np.uint8)[skipped : stops[-1]])
+                    grams = hashes.of(starts[: len(starts) - gram + 1] - skipped, stops[gram - 1 :] - skipped)
+                    place = least_places(grams, n_words - gram + 1)
+                    window = np.flatnonzero(doc[: len(place)] == doc[n_words - 1 :])
+                    if not len(window):
+                        continue
+                    new = np.flatnonzero((np.diff(place[window], prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
+                    first, last = window[new], window[np.append(new[1:], len(window)) - 1]
+                    anchor, begin, end = place[first], starts[first], stops[last + n_words - 1]
+                    content = _mix(hashes.of(begin - skipped, end - skipped) ^ _mix((anchor - first).astype(np.uint64)))
+                    out.append((doc[first] + a, grams[anchor].view(np.int64), content.view(np.int64), begin - opens[doc[first]], end - begin))
+            if out:
+                number, m, d, s, size = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(number)), "m": m, "d": d, "s": s.astype(np.int32), "size": size.astype(np.int32)})
 
     return run
 
 
+def _lists(column: pa.Array) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Of arrays of structs: each row's first and end in the fields of all."""
+    ends = np.cumsum([x or 0 for x in pc.list_value_length(column).to_pylist()]).tolist()
+    return list(zip([0, *ends], ends)), [field.to_numpy(zero_copy_only=False) for field in column.flatten().flatten()]
+
+
 def _passage_windows(n_words: int):
     """Over texts with stretches asked for: the windows of these, with the md5 of their bytes."""
+    md5 = hashlib.md5
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
-                for x in asked:
-                    data = text[x["s"] : x["s"] + x["size"]]
-                    words = _words(data)
-                    for a, b in zip(words[: len(words) - n_words + 1, 0].tolist(), words[n_words - 1 :, 1].tolist()):
-                        for c, v in zip(out, (key, x["s"] + a, b - a, x["one"], hashlib.md5(data[a:b]).digest())):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["key", "s", "size", "one", "sum"])
+            bounds, (begins, sizes, ones) = _lists(batch.column("asked"))
+            sums, out = [], []
+            for k, (text, (a, b)) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), bounds)):
+                starts, stops = _words(text).T.copy()
+                first = np.searchsorted(starts, begins[a:b])
+                n = np.searchsorted(stops, begins[a:b] + sizes[a:b], "right") - n_words + 1 - first
+                window = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                start, stop = starts[window], stops[window + n_words - 1]
+                sums += [md5(text[x:y]).digest() for x, y in zip(start.tolist(), stop.tolist())]
+                out.append((np.full(len(window), k), start.astype(np.int32), (stop - start).astype(np.int32), np.repeat(ones[a:b], n)))
+            if out:
+                number, s, size, one = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(number)), "s": s, "size": size, "one": one, "sum": pa.array(sums, pa.binary())})
 
     return run
 
@@ -446,15 +502,12 @@ def short_spans(docs: DataFrame, work: Workspace, length: int, n_words: int) ->
     return found.join(met.hint("merge"), "sum").select("key", "s", "size").distinct().groupBy("key").agg(F.collect_list(F.struct("s", "size")).alias("short"))
 
 
-def covered(n_bytes: int, runs, length: int = LENGTH, short=()) -> np.ndarray:
-    """True for each byte that a repeated string, or short window, covers."""
+def covered(n_bytes: int, *strings: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """True for each byte that a string covers, of starts and sizes."""
     edges = np.zeros(n_bytes + 1, np.int64)
-    for x in runs:
-        edges[x["s"]] += 1
-        edges[x["s"] + x["n"] - 1 + length] -= 1
-    for x in short:
-        edges[x["s"]] += 1
-        edges[x["s"] + x["size"]] -= 1
+    for starts, sizes in strings:
+        if len(starts):
+            edges += np.bincount(starts, minlength=n_bytes + 1) - np.bincount(starts + sizes, minlength=n_bytes + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -467,30 +520,20 @@ def worded(text: bytes, cover: np.ndarray, least_words: int) -> np.ndarray:
     return cover
 
 
-def _told(batch: pa.RecordBatch, texts: list[bytes]) -> list[int]:
-    """Bytes of each text that its passages cover."""
-    met = batch.column("passages")
-    ends = np.cumsum(np.fromiter((x or 0 for x in pc.list_value_length(met).to_pylist()), np.int64, len(met)))
-    starts, sizes = (met.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
-    out = []
-    for text, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist()):
-        edges = np.bincount(starts[a:b], minlength=len(text) + 1) - np.bincount(starts[a:b] + sizes[a:b], minlength=len(text) + 1) if b > a else np.zeros(1, np.int64)
-        out.append(int((np.cumsum(edges) > 0).sum()))
-    return out
-
-
 def _remover(length: int, least_words: int):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            kept, removed, n_spans = [], [], []
-            for text, r, short in zip(texts, batch.column("spans").to_pylist(), batch.column("short").to_pylist()):
-                cover = covered(len(text), r or [], length, short or [])
+            (runs, (run_starts, strings)), (shorts, (short_starts, short_sizes)), (told, (told_starts, told_sizes)) = (_lists(batch.column(c)) for c in ("spans", "short", "passages"))
+            kept, removed, n_spans, n_told = [], [], [], []
+            for text, (a, b), (c, d), (e, f) in zip(texts, runs, shorts, told):
+                cover = covered(len(text), (run_starts[a:b], strings[a:b] - 1 + length), (short_starts[c:d], short_sizes[c:d]))
                 if least_words:
                     cover = worded(text, cover, least_words)
-                kept.append(np.frombuffer(text, np.uint8)[~cover].tobytes())
-                removed.append(int(cover.sum()))
-                n_spans.append(int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum()))
+                kept.append(np.frombuffer(text, np.uint8)[~cover].tobytes() if b > a or d > c else text)
+                removed.append(int(np.count_nonzero(cover)))
+                n_spans.append(int(np.count_nonzero(cover[1:] & ~cover[:-1])) + int(cover[:1].sum()))
+                n_told.append(int(np.count_nonzero(covered(len(text), (told_starts[e:f], told_sizes[e:f])))) if f > e else 0)
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": batch.column("row"),
@@ -499,7 +542,7 @@ def _remover(length: int, least_words: int):
                     "n_spans": pa.array(n_spans, pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                     "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
-                    "n_passage_bytes": pa.array(_told(batch, texts), pa.int64()),
+                    "n_passage_bytes": pa.array(n_told, pa.int64()),
                 }
             )
 

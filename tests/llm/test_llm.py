@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,6 +372,45 @@ def test_suffix_array():
         assert suffix_groups.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_take_what_decides_the_order(monkeypatch):
+    r, taken = random.Random(9), []
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda x: taken.append(len(x)) or suffix_groups.suffix_array(x))
+    for length, n, alphabet in ((400, 100, bytes(range(97, 123))), (400, 30, b"a"), (40, 9, b"ab"), (24, 10, b"\0a")):
+        some = lambda k: bytes(r.choices(alphabet, k=k))
+        rows = []
+        for _ in range(60):
+            o = r.randint(n, length - 10)
+            rows += [(n, o, some(n - 1 + length))] * r.randint(1, 3)
+            data = bytearray(rows[-1][2])
+            data[r.choice((3, -3))] = 98  # shares some strings
+            rows += [(n, o, bytes(data)), (n - 4, o - 4, rows[-1][2][4:])] * r.randint(0, 1)
+        seen = {}
+        for i, (k, o, data) in enumerate(rows):
+            for a in range(k):
+                seen.setdefault((o - a, data[a : a + length]), []).append((i, a))
+        want = {x for places in seen.values() if len(places) > 1 for x in places}
+        taken.clear()
+        assert {(i, a + j) for i, runs in enumerate(substring_dedup.repeated(rows, length)) for a, k in runs for j in range(k)} == want
+        assert alphabet != bytes(range(97, 123)) or sum(taken) < 20 * len(rows)  # whole stretches have 33
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    r, made = random.Random(10), []
+    texts = ["", "x" * 399, "x" * 400, *("".join(r.choices("ab ", k=k)) for k in (401, 900, 5000)), "ab " * 300] + ["".join(r.choices("abcdef ", k=700)) for _ in range(60)] * 2
+    batch = lambda some: pa.RecordBatch.from_pydict({"key": [t.encode() for t in some], "text": some})
+    rows = lambda run, batches: sorted(x for b in run(batches) for x in zip(*(c.to_pylist() for c in b.columns)))
+    hashes = substring_dedup.Hashes
+    monkeypatch.setattr(substring_dedup, "Hashes", lambda data: made.append(1) or hashes(data))
+    for run in (substring_dedup._finder(400), substring_dedup._passage_stretches(51)):
+        want = rows(run, [batch([t]) for t in texts])
+        made.clear()
+        assert rows(run, [batch(texts)]) == want
+        assert len(made) < 5
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup, "CHUNK", 1000)
+            assert rows(run, [batch(texts)]) == want
+
+
 def brute_cover(texts, length):
     seen = {}
     for i, t in enumerate(texts):
